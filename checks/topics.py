@@ -110,8 +110,8 @@ def score_view(tag: str, caps: str) -> None:
 for sfx in ("all", "365d"):
     topic_views(sfx)
     score_view(sfx, f"t_caps_{sfx}")
-topic_views("all", "brass", "brass")
-score_view("brass", "t_caps_all")
+topic_views("all", "widget", "widget")
+score_view("widget", "t_caps_all")
 
 SHARES = ", ".join(
     rnd(ratio(f"source_{x}", "(source_hot + source_keyword + source_kol + source_retweet)"))
@@ -146,9 +146,9 @@ def top_10_year(run):
     return risk_topics(run.tables, run.window("365d"), s=SETTINGS)
 
 
-@query("top_10_search", ranked_sql("brass"))
+@query("top_10_search", ranked_sql("widget"))
 def top_10_search(run):
-    return risk_topics(run.tables, run.window(), q="BRASS", s=SETTINGS)
+    return risk_topics(run.tables, run.window(), q=" WIDGET", s=SETTINGS)
 
 
 @query("top_01", "select * from t_cand_all")

@@ -52,7 +52,7 @@ def total_interactions(tables, window: TimeWindow) -> DataFrame:
 
 def kol_entry_posts(tables, window: TimeWindow) -> DataFrame:
     """Posts of the window that were discovered through a KOL."""
-    kol = tables.discovery.filter(F.col("source_type") == "kol").select("post_id")
+    kol = tables.discovery.filter(F.col("source_type") == "kol").select("post_id").distinct()
     found = posts_in(tables, window).join(kol, "post_id", "left_semi")
     return _one(found, F.count("*"), "kol_entry_post_count")
 

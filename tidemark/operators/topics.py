@@ -233,10 +233,17 @@ def topic_links(tables, topic_id: int) -> DataFrame:
     return tables.post_topic.filter(F.col("topic_id") == topic_id).select("post_id", "topic_id")
 
 
+def predicted_links(tables, window: TimeWindow, topic_id: int,
+                    s: Settings = DEFAULTS) -> DataFrame:
+    """Links of one topic whose post has a prediction in the window."""
+    pred = predictions_in(tables.prediction, window, s.primary_model)
+    return topic_links(tables, topic_id).join(
+        pred.select("post_id").distinct(), "post_id", "left_semi")
+
+
 def topic_base(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
     """Title, counters and predicted post count; no row when the topic is unknown."""
-    pred = predictions_in(tables.prediction, window, s.primary_model)
-    posts = topic_links(tables, topic_id).join(pred, "post_id", "left_semi").agg(
+    posts = predicted_links(tables, window, topic_id, s).agg(
         F.count("*").alias("n")).scalar()
     return tables.topic.filter(F.col("topic_id") == topic_id).groupBy("topic_id").agg(
         F.min("title").alias("title"), F.min("lead").alias("lead"),
@@ -245,8 +252,10 @@ def topic_base(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS
 
 
 def topic_samples(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
+    """Predictions of the posts of one topic and of their comments."""
     pred = predictions_in(tables.prediction, window, s.primary_model)
-    return pred.join(topic_links(tables, topic_id), "post_id", "left_semi")
+    posts = topic_links(tables, topic_id).select("post_id")
+    return join_unique(pred, posts, "post_id", "source_id", how="left_semi")
 
 
 def emotion_by_day(samples: DataFrame) -> DataFrame:
@@ -302,8 +311,7 @@ def engagement_summary(tables, window: TimeWindow, topic_id: int) -> DataFrame:
 
 def topic_sources(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
     """Counts and shares of the four discovery sources over predicted posts of one topic."""
-    pred = predictions_in(tables.prediction, window, s.primary_model)
-    posts = topic_links(tables, topic_id).join(pred, "post_id", "left_semi")
+    posts = predicted_links(tables, window, topic_id, s)
     flags = post_sources(tables).join(posts, "post_id", "left_semi")
     counts = flags.agg(*[F.count_if(F.col(f"from_{t}") == 1).alias(f"source_{t}")
                          for t in SOURCE_TYPES])
