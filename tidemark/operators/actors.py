@@ -51,7 +51,10 @@ def posts_in(tables, window: TimeWindow, topic_id: int | None = None) -> DataFra
 def spoken_samples(tables, window: TimeWindow, topic_id: int | None = None,
                    s: Settings = DEFAULTS) -> DataFrame:
     """Each prediction with its speaker and interactions (post snapshot or comment likes)."""
-    pred = _of_topic(predictions_in(tables.prediction, window, s.primary_model), tables, topic_id)
+    pred = predictions_in(tables.prediction, window, s.primary_model)
+    if topic_id is not None:
+        posts = tables.post_topic.filter(F.col("topic_id") == topic_id).select("post_id")
+        pred = join_unique(pred, posts, "post_id", "source_id", how="left_semi")
     newest = latest_interactions(window.within(tables.engagement, "captured_at"))
     own = pred.filter(F.col("source_type") == "post").select(
         F.col("source_id").alias("post_id"), "pred_label_id")
