@@ -30,7 +30,7 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
         for v in row:
             if hasattr(v, "item"):
                 v = v.item()
-            if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+            if v is None or v is pd.NA or (isinstance(v, float) and v != v) or v is pd.NaT:
                 v = None
             out.append((kind(v), repr(v)))
         rows.append(tuple(out))
@@ -57,8 +57,9 @@ def check(spark, db, root: str, name: str) -> str:
         return f"COLUMNS {sorted(set(got.columns) ^ set(want.columns))}"
     a, b = normal(got), normal(want)
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:2]
-        only_b = [r for r in b if r not in set(a)][:2]
+        seen_a, seen_b = set(a), set(b)
+        only_a = [r for r in a if r not in seen_b][:2]
+        only_b = [r for r in b if r not in seen_a][:2]
         cols = sorted(got.columns)
         lines = [f"DIFF spark {len(a)} sql {len(b)}"]
         for x, y in zip(only_a, only_b):

@@ -159,8 +159,8 @@ def ml_15_summary(run):
   from (select p.*, s.text_raw, {rnd('ca + cb', 6)} total from pairs p join (
     select 'post' k, post_id i, text_raw from v_post union all
     select 'comment', comment_id, text_raw from v_comment) s
-    on s.k = p.source_type and s.i = p.source_id where la <> lb)
-  order by total desc, source_type, source_id limit 30""")
+    on s.k = p.source_type and s.i = p.source_id where la <> lb
+    order by total desc, p.source_type, p.source_id limit 30)""")
 def ml_16(run):
     return d.top_disagreements(run.tables, 30)
 

@@ -132,8 +132,8 @@ def ranked_sql(tag: str) -> str:
       {', '.join(rnd(f'points_{k}', 1) + f' factor_{k}' for k in FACTORS)},
       '负面率 ' || printf('%.1f', {rnd(rnd('negative_ratio_raw') + ' * 100', 1)})
         || '%，主导情绪为' || {label(DOMINANT)} note
-      from t_score_{tag} where sample_count > 0
-      order by risk_score desc, sample_count desc, topic_id limit 20"""
+      from (select * from t_score_{tag} where sample_count > 0
+      order by risk_score desc, sample_count desc, topic_id limit 20)"""
 
 
 @query("top_10", ranked_sql("all"))
