@@ -169,6 +169,11 @@ def ml_16(run):
 TIES = ["l_partkey", "l_suppkey", "like_count", "l_returnflag", "l_linestatus"]
 
 
+def as_text(df):
+    """Nullable profile fields as text, so that both engines show the same nulls."""
+    return df.withColumns({x: F.col(x).cast("string") for x in ("verified", "followers_count")})
+
+
 @query("doc_01", "select comment_id, post_id, user_id, like_count, text_raw from v_comment")
 def doc_01(run):
     return run.tables.comment.select("comment_id", "post_id", "user_id", "like_count", "text_raw")
@@ -198,7 +203,7 @@ def doc_02(run):
 def doc_03(run):
     grown = c.snapshot_growth(run.tables.engagement)
     return grown.select("post_id", local_iso(F.col("captured_at")).alias("captured_at"),
-                        "interaction_count", "gain")
+                        "interaction_count", F.col("gain").cast("string").alias("gain"))
 
 
 @query("doc_04", f"""select post_id, arg_max(comments_count, captured_at) comments_count,
@@ -212,13 +217,14 @@ def doc_04(run):
         local_iso(F.col("as_of")).alias("as_of"))
 
 
-@query("doc_05", """select n.user_id, u.verified, u.followers_count, n.post_cnt from (
+@query("doc_05", """select n.user_id, u.verified::varchar verified,
+  u.followers_count::varchar followers_count, n.post_cnt from (
   select user_id, count(*) post_cnt from v_post where created_at >=
   (select max(created_at) from v_post) - interval 30 days group by 1) n
   left join (select * from v_user where profile_tier >= 1) u on u.uid = n.user_id
   order by post_cnt desc, n.user_id limit 50""")
 def doc_05(run):
-    return c.top_authors(run.tables, 30, 50)
+    return as_text(c.top_authors(run.tables, 30, 50))
 
 
 @query("doc_06", """select s.post_id repost_id, s.user_id repost_user, o.post_id original_id,
@@ -308,12 +314,13 @@ def doc_14_sequence(run):
     return c.entry_sequence(run.tables.discovery)
 
 
-@query("doc_15", """select p.post_id, u.verified, u.followers_count from v_post p
+@query("doc_15", """select p.post_id, u.verified::varchar verified,
+  u.followers_count::varchar followers_count from v_post p
   left join (select * from v_user where profile_tier >= 1) u on u.uid = p.user_id""")
 def doc_15(run):
     trusted = run.tables.user.filter("profile_tier >= 1")
-    return c.with_profile(run.tables.post.select("post_id", "user_id"), trusted, "post_id").select(
-        "post_id", "verified", "followers_count")
+    joined = c.with_profile(run.tables.post.select("post_id", "user_id"), trusted, "post_id")
+    return as_text(joined.select("post_id", "verified", "followers_count"))
 
 
 @query("doc_16", f"""select comment_id, user_id, {iso('first_at')} first_at from (

@@ -181,13 +181,14 @@ def txt_18(run):
 
 
 @query("txt_19", f"""select id, {label('label_id')} label_name, label_id round_trip,
-  list_position({EN}, "label") - 1 english_id
-  from (select t.id, t.label_id, r."label" from v_text t join v_raw r on r.id = t.id)""")
+  coalesce(list_position({EN}, "label") - 1, -1)
+  english_id from (select t.id, t.label_id, r."label" from v_text t join v_raw r on r.id = t.id)""")
 def txt_19(run):
     both = raw(run).select("id", "label").join(run.tables.text.select("id", "label_id"), "id")
     name = lb.label_name(F.col("label_id"))
     return both.select("id", name.alias("label_name"), lb.label_id(name).alias("round_trip"),
-                       lb.english_label_id(F.col("label")).cast("int").alias("english_id"))
+                       F.coalesce(lb.english_label_id(F.col("label")).cast("int"), F.lit(-1))
+                       .alias("english_id"))
 
 
 ALIASES = [*LABEL_ALIASES, *LABELS, "喜怒", "", " 开心 "]
@@ -220,20 +221,20 @@ def replies(run):
 
 
 @query("txt_21", f"""select event_id, case when event_id % 4 < 3 then
-  cast(json_extract_string(props, '$.k') as bigint) end k from events""")
+  json_extract_string(props, '$.k') end k from events""")
 def txt_21(run):
     found = tx.reply_json(F.col("reply"))
-    return replies(run).select("event_id", F.get_json_object(found, "$.k").cast("bigint").alias("k"))
+    return replies(run).select("event_id", F.get_json_object(found, "$.k").alias("k"))
 
 
-@query("txt_22", f"""select event_id, "label", case when second = "label" then '' else second end
+@query("txt_22", f"""select event_id, "label", case when second_raw = "label" then '' else second_raw end
   second_label, confidence, coalesce(case when flag is null then confidence < 0.75
   else lower(trim(flag)) in ('1', 'true', 'yes', 'y', '是', '需要') end, false)
   needs_human_review, case when "label" is null then 'label'
   when not (confidence between 0 and 1) then 'confidence' end error from (
   select event_id, {ALIAS_SQL}[cast(event_id % {len(ALIASES)} as int) + 1] raw,
   {KNOWN_SQL}[trim({ALIAS_SQL}[cast(event_id % {len(ALIASES)} as int) + 1])] "label",
-  coalesce({KNOWN_SQL}[trim({ALIAS_SQL}[cast(user_id % {len(ALIASES)} as int) + 1])], '') second,
+  coalesce({KNOWN_SQL}[trim({ALIAS_SQL}[cast(user_id % {len(ALIASES)} as int) + 1])], '') second_raw,
   value / 50.0::double confidence, case event_id % 5 when 0 then 'Yes' when 1 then 'no'
   when 2 then ' TRUE ' else null end flag from events)""")
 def txt_22(run):
