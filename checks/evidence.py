@@ -197,9 +197,9 @@ def doc_02(run):
 
 
 @query("doc_03", f"""select post_id, {iso('captured_at')} captured_at, comments_count
-  + attitudes_count + reposts_count interaction_count, comments_count + attitudes_count
-  + reposts_count - lag(comments_count + attitudes_count + reposts_count) over (
-  partition by post_id order by captured_at) gain from v_engagement""")
+  + attitudes_count + reposts_count interaction_count, cast(comments_count
+  + attitudes_count + reposts_count - lag(comments_count + attitudes_count + reposts_count) over (
+  partition by post_id order by captured_at) as varchar) gain from v_engagement""")
 def doc_03(run):
     grown = c.snapshot_growth(run.tables.engagement)
     return grown.select("post_id", local_iso(F.col("captured_at")).alias("captured_at"),

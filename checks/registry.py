@@ -26,6 +26,7 @@ class Run:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
+        self.root = root.rstrip("/")
         self.tables: Tables = star_tables(spark, root)
         self._windows: dict[str, TimeWindow] = {}
 
