@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,9 +208,11 @@ class KeywordLists:
 
     def hard_negative_hits(self, text: Column) -> Column:
         """(objective cue and emotion term) or sarcasm, as a word list; empty otherwise."""
-        emotion = distinct_hits(text, self.emotion)
-        sarcasm = distinct_hits(text, self.sarcasm)
-        objective = text.rlike(alternation(self.objective))
+        return self._hard(text.rlike(alternation(self.objective)),
+                          distinct_hits(text, self.emotion), distinct_hits(text, self.sarcasm))
+
+    @staticmethod
+    def _hard(objective: Column, emotion: Column, sarcasm: Column) -> Column:
         words = F.concat(
             F.when(objective, F.array(F.lit("objective_cue"))).otherwise(
                 F.array().cast("array<string>")),
@@ -219,3 +221,15 @@ class KeywordLists:
         hit = (objective & (F.size(emotion) > 0)) | (F.size(sarcasm) > 0)
         return F.when(hit, longest_first(F.array_distinct(words))).otherwise(
             F.array().cast("array<string>"))
+
+    def add_hits(self, df: DataFrame, content: str = "content") -> DataFrame:
+        """One ``_hits_<bucket>`` array per bucket; each pattern runs once per text."""
+        text = F.col(content)
+        scanned = df.withColumns({
+            **{f"_hits_{b}": distinct_hits(text, getattr(self, b)) for b in BUCKETS[:3]},
+            "_emotion": distinct_hits(text, self.emotion),
+            "_sarcasm": distinct_hits(text, self.sarcasm),
+            "_objective": text.rlike(alternation(self.objective))})
+        hard = self._hard(F.col("_objective"), F.col("_emotion"), F.col("_sarcasm"))
+        return scanned.withColumn("_hits_hard_negative", hard).drop(
+            "_emotion", "_sarcasm", "_objective")

@@ -85,17 +85,19 @@ def eval_sample(df: DataFrame, target: int = 1500, min_per_label: int = 100, key
     """At least ``min_per_label`` rows of each label in label order while there is room, then a
     seeded top-up to ``target``.
 
-    Both phases work on frames limited by the sample size.
+    One pass: every selected row is among the first ``target`` rows of its label, so the
+    phases after the per-label top-n work on at most six times ``target`` rows.
     """
     order = [seeded_key(seed, F.col(key)), F.asc(key)]
-    floor = top_per_group(df, [label], order, min_per_label, "_r")
-    placed = floor.withColumn("_n", F.row_number().over(Window.orderBy(label, "_r")))
-    first = placed.filter(F.col("_n") <= target).drop("_r", "_n")
-    rest = df.join(F.broadcast(first.select(key)), key, "left_anti").orderBy(*order).limit(target)
-    room = F.lit(target) - first.agg(F.count("*")).scalar()
-    extra = rest.withColumn("_n", F.row_number().over(Window.orderBy(*order))).filter(
-        F.col("_n") <= room).drop("_n")
-    return first.unionByName(extra.select(*first.columns))
+    near = top_per_group(df, [label], order, target, "_r").withColumn(
+        "_floor", F.col("_r") <= min_per_label)
+    by_label = F.row_number().over(Window.partitionBy("_floor").orderBy(label, "_r"))
+    first = near.withColumn("_first", F.col("_floor") & (by_label <= target))
+    taken = F.count_if("_first").over(Window.partitionBy(F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("_first").orderBy(*order))
+    placed = first.withColumns({"_place": place, "_taken": taken})
+    return placed.filter(F.col("_first") | (F.col("_place") <= target - F.col("_taken"))).drop(
+        "_r", "_floor", "_first", "_place", "_taken")
 
 
 def train_pool(accepted: DataFrame, evaluation: DataFrame) -> DataFrame:

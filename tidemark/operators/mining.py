@@ -19,8 +19,7 @@ from tidemark.schema import (
 def add_buckets(df: DataFrame, words: KeywordLists | None = None) -> DataFrame:
     """Bucket columns of each text that matches any bucket; other rows are dropped."""
     words = words or KeywordLists()
-    hits = {f"_hits_{b}": h for b, h in words.bucket_hits(F.col("content")).items()}
-    found = df.withColumns(hits)
+    found = words.add_hits(df)
     names = F.array_compact(F.array(*[
         F.when(F.size(f"_hits_{b}") > 0, F.lit(b)) for b in BUCKETS]))
     listed = F.concat_ws(";", *[
@@ -28,12 +27,11 @@ def add_buckets(df: DataFrame, words: KeywordLists | None = None) -> DataFrame:
             F.lit(f"{b}:"), F.array_join(F.slice(f"_hits_{b}", 1, words.max_listed), "|")))
         for b in BUCKETS])
     total = sum((F.size(f"_hits_{b}") for b in BUCKETS[1:]), F.size(f"_hits_{BUCKETS[0]}"))
-    return found.withColumn("_names", names).filter(F.size("_names") > 0).withColumns({
-        "target_buckets": F.array_join("_names", ","),
-        "target_bucket": F.element_at("_names", 1),
-        "matched_keywords": listed,
-        "keyword_count": total,
-    }).drop("_names", *hits)
+    marked = found.withColumns({
+        "target_buckets": F.array_join(names, ","), "target_bucket": F.get(names, F.lit(0)),
+        "matched_keywords": listed, "keyword_count": total,
+    }).drop(*[f"_hits_{b}" for b in BUCKETS])
+    return marked.filter(F.col("target_bucket").isNotNull())
 
 
 def _per_bucket(values: dict[str, float]) -> Column:
@@ -79,26 +77,26 @@ def allocate_quotas(targets: DataFrame, target: str = "target") -> DataFrame:
     return filled.select(*targets.columns, F.inline(rows))
 
 
-def take_by_quota(df: DataFrame, target: int, order: list[Column], key: str) -> DataFrame:
+def take_by_quota(df: DataFrame, target: int, order: list[Column]) -> DataFrame:
     """Top rows of each bucket up to its quota, then the best of the rest up to ``target``.
 
-    Rows of both steps come from limited frames, so no full sort is needed.
+    One pass: every chosen or filled row is among the first ``target`` rows of its bucket, so
+    the steps after the per-bucket top-n work on at most four times ``target`` rows.
     """
-    quotas = quotas_for(target)
-    limit = F.col("_rank") <= _per_bucket(quotas)
-    ranked = top_per_group(df, ["target_bucket"], order, max(quotas.values()), "_rank")
-    chosen = ranked.filter(limit).drop("_rank")
-    picked = F.broadcast(chosen.select(key))
-    rest = df.join(picked, key, "left_anti").orderBy(*order).limit(target)
-    missing = F.lit(target) - chosen.agg(F.count("*")).scalar()
-    fill = rest.withColumn("_n", F.row_number().over(Window.orderBy(*order))).filter(
-        F.col("_n") <= missing).drop("_n")
-    return chosen.unionByName(fill)
+    near = top_per_group(df, ["target_bucket"], order, target, "_rank")
+    chosen = F.col("_rank") <= _per_bucket(quotas_for(target))
+    marked = near.withColumn("_chosen", chosen)
+    everyone = Window.partitionBy(F.lit(1))
+    place = F.row_number().over(Window.partitionBy("_chosen").orderBy(*order))
+    placed = marked.withColumns({
+        "_place": place, "_taken": F.count_if("_chosen").over(everyone)})
+    return placed.filter(F.col("_chosen") | (F.col("_place") <= target - F.col("_taken"))).drop(
+        "_rank", "_chosen", "_place", "_taken")
 
 
 def cap_before_scoring(df: DataFrame, maximum: int, key: str = "source_id") -> DataFrame:
     """At most ``maximum`` candidates by bucket quota and heuristic score."""
-    return take_by_quota(df, maximum, [F.desc("heuristic_score"), F.asc(key)], key)
+    return take_by_quota(df, maximum, [F.desc("heuristic_score"), F.asc(key)])
 
 
 def add_model_scores(df: DataFrame, probs: str = "probs") -> DataFrame:
@@ -171,11 +169,13 @@ def reason_text(**parts: Column) -> Column:
 def select_final(df: DataFrame, target: int, key: str = "source_id") -> DataFrame:
     """The final candidates with rank, id and reason; fails when there are too few."""
     order = [F.desc("selection_score"), F.asc("model_margin"), F.asc(key)]
-    chosen = take_by_quota(df, target, order, key).orderBy(*order).limit(target)
-    ranked = number_limited(chosen, order, "candidate_rank")
-    enough = df.agg(F.count("*")).scalar() >= target
-    checked = ranked.filter(F.when(enough, True).otherwise(
-        F.raise_error(F.lit("fewer candidates than the target")).cast("boolean")))
+    chosen = take_by_quota(df, target, order)
+    ranked = number_limited(chosen, order, "candidate_rank").filter(
+        F.col("candidate_rank") <= target)
+    found = F.count("*").over(Window.partitionBy(F.lit(1)))
+    too_few = F.raise_error(F.lit("fewer candidates than the target")).cast("boolean")
+    checked = ranked.withColumn("_found", found).filter(
+        F.when(F.col("_found") >= target, True).otherwise(too_few)).drop("_found")
 
     def number(name: str) -> Column:
         return F.format_string("%.3f", F.col(name))

@@ -73,6 +73,22 @@ def remove_leakage(splits: DataFrame) -> DataFrame:
     return train.unionByName(splits.filter(F.col("split") != "train"))
 
 
+def clean_splits(df: DataFrame, order: str = "id") -> DataFrame:
+    """First row of each content per split, without train rows that eval or test also have.
+
+    One aggregation by content answers both rules: it holds at most one row per split.
+    """
+    carried = [c for c in df.columns if c not in ("content", "split")]
+    folded = df.groupBy("content").agg(*[
+        F.min_by(F.struct(*carried), F.when(F.col("split") == s, F.col(order))).alias(s)
+        for s in SPLITS])
+    leaked = F.col("eval").isNotNull() | F.col("test").isNotNull()
+    rows = F.array_compact(F.array(*[
+        F.when(F.col(s).isNotNull() & (~leaked if s == "train" else F.lit(True)),
+               F.struct(F.lit(s).alias("split"), F.col(s).alias("r"))) for s in SPLITS]))
+    return folded.select("content", F.inline(rows)).select("content", "split", "r.*")
+
+
 def overview(df: DataFrame, group: str = "split") -> DataFrame:
     """Rows, missing labels, empty contents and length min / p50 / p95 / max.
 

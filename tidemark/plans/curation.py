@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.functions.text import clean_text
-from tidemark.operators.quality import clean_frame, dedupe_content, remove_leakage
+from tidemark.operators.quality import clean_frame, clean_splits
 
 
 def prepare_splits(raw: DataFrame, cleaner=clean_text) -> DataFrame:
@@ -13,5 +13,4 @@ def prepare_splits(raw: DataFrame, cleaner=clean_text) -> DataFrame:
 
     Input: id, content, label (English), split.  Leakage is judged on deduplicated splits.
     """
-    cleaned = clean_frame(raw, cleaner)
-    return remove_leakage(dedupe_content(cleaned, "id", ("split",)))
+    return clean_splits(clean_frame(raw, cleaner))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedupe import latest_version
+from tidemark.session import spread
 from tidemark.sources.tables import Tables
 
 COMMENT_TIES = ("l_partkey", "l_suppkey", "like_count", "l_returnflag", "l_linestatus")
@@ -101,7 +102,7 @@ def star_tables(spark: SparkSession, root: str) -> Tables:
         return primary.unionByName(secondary)
 
     def text() -> DataFrame:
-        docs, marks = read("documents"), read("labels")
+        docs, marks = spread(read("documents")), read("labels")
         joined = docs.join(marks.withColumnRenamed("doc_id", "_id"),
                            docs["doc_id"] == F.col("_id"), "left")
         return joined.selectExpr(
