@@ -218,7 +218,7 @@ CAPS = ("cap_negative_growth", "cap_interaction_growth", "cap_kol_verified")
 def top_07(run):
     from tidemark.functions.numeric import round_to
     found = t.topic_candidates_with_factors(run.tables, run.window("365d"))
-    caps = found.agg(*t.window_caps(found))
+    caps = found.agg(*t.window_caps())
     return caps.select(*[round_to(F.col(c), 6).alias(c) for c in CAPS])
 
 

@@ -45,8 +45,10 @@ NEAR_KEY_CHARS = 160
 TRADITIONAL = "們個來這時說國會對學發經現長開關問題間見門東車馬鳥魚龍風飛電買賣讀書話語請謝認識讓給紅綠級紙線細組織結終繼續愛戀親實寶寫應該雖樣機樂歡氣溫熱點無業專義習鄉雙變歷萬與為產傷淚憤懼驚嚇樓圖團園圓衛護讚"
 SIMPLIFIED = "们个来这时说国会对学发经现长开关问题间见门东车马鸟鱼龙风飞电买卖读书话语请谢认识让给红绿级纸线细组织结终继续爱恋亲实宝写应该虽样机乐欢气温热点无业专义习乡双变历万与为产伤泪愤惧惊吓楼图团园圆卫护赞"
 
-# Texts made only of these characters are their own NFKC form.
-NFKC_STABLE = r"\x00-\x7FÀ-ÖØ-öø-ÿ一-龥、。《》【】"
+# Characters whose presence may change a text under NFKC.  All others (ASCII, most of Latin-1,
+# Latin Extended-A, the basic CJK block and its comma and full stop) are stable in any sequence.
+NFKC_UNSTABLE = (r"[\u00A0\u00A8\u00AA\u00AF\u00B2-\u00B5\u00B8-\u00BA\u00BC-\u00BE"
+                 r"\u0132-\u3000\u3003-\u4DFF\u9FA6-\x{10FFFF}]")
 
 
 @F.pandas_udf(T.StringType())
@@ -56,7 +58,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def nfkc(col: Column) -> Column:
     """Unicode NFKC.  Only texts that could change are sent to Python."""
-    candidate = F.when(col.rlike(rf"[^{NFKC_STABLE}]"), col)
+    candidate = F.when(col.rlike(NFKC_UNSTABLE), col)
     return F.coalesce(_nfkc(candidate), col)
 
 
@@ -222,6 +224,12 @@ class KeywordLists:
         return F.when(hit, longest_first(F.array_distinct(words))).otherwise(
             F.array().cast("array<string>"))
 
+    def any_hit(self, text: Column) -> Column:
+        """True when some bucket has a hit; stops at the first match of each pattern."""
+        words = [w for b in BUCKETS[:3] for w in getattr(self, b)] + list(self.sarcasm)
+        return text.rlike(alternation(words)) | (
+            text.rlike(alternation(self.objective)) & text.rlike(alternation(self.emotion)))
+
     def add_hits(self, df: DataFrame, content: str = "content") -> DataFrame:
         """One ``_hits_<bucket>`` array per bucket; each pattern runs once per text."""
         text = F.col(content)

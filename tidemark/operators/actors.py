@@ -9,9 +9,10 @@ from tidemark.functions.labels import label_name
 from tidemark.functions.numeric import followers_bucket, log_norm, ratio, round_to
 from tidemark.operators.joins import join_unique
 from tidemark.operators.samples import (
-    EMOTION_COUNTS, dominant_emotion_id, latest_interactions, predictions_in, speakers,
+    EMOTION_COUNTS, busy_posts, dominant_emotion_id, latest_interactions, predictions_in, speakers,
 )
 from tidemark.operators.window import TimeWindow
+from tidemark.session import shared_dir
 from tidemark.schema import (
     DEFAULTS, NEGATIVE_IDS, ORDINARY_DISPLAY, ROLE_DISPLAY, ROLE_NAMES, Settings,
 )
@@ -54,7 +55,8 @@ def spoken_samples(tables, window: TimeWindow, topic_id: int | None = None,
     pred = predictions_in(tables.prediction, window, s.primary_model)
     if topic_id is not None:
         posts = tables.post_topic.filter(F.col("topic_id") == topic_id).select("post_id")
-        pred = join_unique(pred, posts, "post_id", "source_id", how="left_semi")
+        pred = join_unique(pred, posts, "post_id", "source_id", how="left_semi",
+                           hot_from=busy_posts(tables))
     newest = latest_interactions(window.within(tables.engagement, "captured_at"))
     own = pred.filter(F.col("source_type") == "post").select(
         F.col("source_id").alias("post_id"), "pred_label_id")
@@ -113,14 +115,18 @@ def high_interaction(posts: DataFrame, p95: DataFrame) -> DataFrame:
     return _branch(posts.filter(F.col("interaction_count") >= p95.scalar()), is_high_inter=1)
 
 
-def polar_and_active(folded: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Speakers with enough samples and a high negative share, or with many samples."""
+def speech_markers(s: Settings = DEFAULTS) -> dict[str, Column]:
+    """Polarised: enough samples and a high negative share; active: many samples."""
     share = F.col("negative_count") / F.col("sample_count")
-    enough = F.col("sample_count") >= s.polar_min_samples
-    polar = enough & (share >= s.polar_ratio)
-    active = F.col("sample_count") >= s.active_min_samples
-    return _branch(folded.filter(enough & (active | (share >= s.polar_ratio))),
-                   is_polar=polar, is_active=active)
+    polar = (F.col("sample_count") >= s.polar_min_samples) & (share >= s.polar_ratio)
+    return {"is_polar": polar.cast("int"),
+            "is_active": (F.col("sample_count") >= s.active_min_samples).cast("int")}
+
+
+def polar_and_active(folded: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Role branch of polarised and of active speakers."""
+    marks = speech_markers(s)
+    return _branch(folded, **marks).filter("is_polar = 1 or is_active = 1")
 
 
 def identity_kols(tables, window: TimeWindow, topic_id: int | None = None,
@@ -142,25 +148,36 @@ def cross_topic(tables, posts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return _branch(topics.filter(F.col("topics") >= s.cross_topic_min), is_cross_topic=1)
 
 
-def role_markers(tables, window: TimeWindow, topic_id: int | None = None,
-                 s: Settings = DEFAULTS, folded: DataFrame | None = None) -> DataFrame:
-    """Candidates with their markers; the first ``actor_candidates`` by uid."""
+def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
+                     s: Settings = DEFAULTS) -> DataFrame:
+    """Accounts with any role marker and their counts; the first ``actor_candidates`` by uid.
+
+    The role branches and the folded samples are stacked and folded per account once, instead
+    of joining the candidates back to the samples.
+    """
     posts = posts_in(tables, window, topic_id)
-    if folded is None:
-        folded = fold_actors(spoken_samples(tables, window, topic_id, s))
+    folded = fold_actors(spoken_samples(tables, window, topic_id, s))
     branches = [
         entry_kols(tables, posts),
         high_interaction(posts, interaction_p95(tables, window)),
-        polar_and_active(folded, s),
         identity_kols(tables, window, topic_id, s),
     ]
     if topic_id is None:
         branches.append(cross_topic(tables, posts, s))
-    stacked = branches[0]
-    for b in branches[1:]:
-        stacked = stacked.unionByName(b)
-    return stacked.filter(F.col("uid") > 0).groupBy("uid").agg(
-        *[F.max(m).alias(m) for m in MARKERS]).orderBy("uid").limit(s.actor_candidates)
+    stacked = folded.withColumns(speech_markers(s))
+    for b in branches:
+        stacked = stacked.unionByName(b, allowMissingColumns=True)
+    merged = stacked.filter(F.col("uid") > 0).groupBy("uid").agg(
+        *[F.coalesce(F.max(m), F.lit(0)).alias(m) for m in MARKERS],
+        *[F.max(c).alias(c) for c in _COUNTS])
+    marked = F.greatest(*[F.col(m) for m in MARKERS]) == 1
+    return merged.filter(marked).orderBy("uid").limit(s.actor_candidates)
+
+
+def role_markers(tables, window: TimeWindow, topic_id: int | None = None,
+                 s: Settings = DEFAULTS) -> DataFrame:
+    """Candidates with their markers."""
+    return actor_candidates(tables, window, topic_id, s).select("uid", *MARKERS)
 
 
 # --------------------------------------------------------------------- footprint
@@ -257,13 +274,17 @@ def add_display_names(actors: DataFrame) -> DataFrame:
 
 def actor_profiles(tables, window: TimeWindow, topic_id: int | None = None,
                    s: Settings = DEFAULTS) -> DataFrame:
-    """Every candidate with samples: counts, profile, footprint, influence, roles, name."""
-    folded = fold_actors(spoken_samples(tables, window, topic_id, s))
-    markers = role_markers(tables, window, topic_id, s, folded)
-    counted = folded.join(F.broadcast(markers), "uid")
+    """Every candidate with samples: counts, profile, footprint, influence, roles, name.
+
+    The candidate list is short, so it is checkpointed once and broadcast to the lookups.
+    """
+    shared_dir(tables.spark)
+    found = actor_candidates(tables, window, topic_id, s).checkpoint()
+    few = F.broadcast(found.select("uid"))
     profiles = tables.user.select("uid", "verified", "profile_tier", "followers_count").join(
-        F.broadcast(markers.select("uid")), "uid", "left_semi")
-    footprint = topic_footprint(tables, window, markers, topic_id)
+        few, "uid", "left_semi")
+    footprint = topic_footprint(tables, window, found, topic_id)
+    counted = found.filter(F.col("sample_count").isNotNull())
     joined = counted.join(profiles, "uid", "left").join(footprint, "uid", "left").withColumns({
         "verified": F.coalesce("verified", F.lit(False)),
         "profile_tier": F.coalesce("profile_tier", F.lit(0)),

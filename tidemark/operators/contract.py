@@ -72,7 +72,8 @@ def comment_inputs(tables, post_ids: DataFrame | None = None, limit: int | None
     if limit is not None:
         comments = comments.orderBy(F.desc("like_count"), "comment_id").limit(limit)
     users = tables.user.select(F.col("uid").alias("user_id"), "verified", "followers_count")
-    return join_unique(comments, users, "user_id", "comment_id").select(
+    return join_unique(comments, users, "user_id", "comment_id",
+                       hot_from=tables.comment_versions.select("user_id")).select(
         "comment_id", "text_raw", "like_count", "created_at", "verified", "followers_count")
 
 

@@ -10,7 +10,9 @@ from tidemark.functions.numeric import local_iso, round_to
 from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
 from tidemark.operators.ranking import number_limited, number_rows
-from tidemark.operators.samples import latest_interactions, predictions_in
+from tidemark.operators.samples import (
+    busy_posts, busy_users, latest_interactions, predictions_in,
+)
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import ANGER_FEAR_IDS, DEFAULTS, NEGATIVE_IDS, Settings
 
@@ -95,9 +97,9 @@ def evidence_feed(tables, window: TimeWindow, topic_id: int | None = None, q: st
     """
     spoken = _spoken(tables, window, q, author, s, kinds)
     placed = join_unique(spoken, _post_context(tables, window, topic_id), "post_id", "source_id",
-                         how="inner")
+                         how="inner", hot_from=busy_posts(tables))
     users = tables.user.select(F.col("uid").alias("user_id"), "verified", "profile_tier")
-    known = join_unique(placed, users, "user_id", "source_id")
+    known = join_unique(placed, users, "user_id", "source_id", hot_from=busy_users(tables))
     return known.withColumn("evidence_score", evidence_score(s)).withColumn(
         "actor_role", actor_role())
 

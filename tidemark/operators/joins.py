@@ -20,14 +20,17 @@ def hot_keys(df: DataFrame, key: str, top: int = HOT_KEYS) -> DataFrame:
 
 
 def join_unique(many: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "left",
-                salts: int = SALTS) -> DataFrame:
+                hot_from: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
     """Join to a frame that holds each key once, spreading the rows of hot keys.
 
     Rows of a hot key get a salt from the hash of their own ``spread`` column (the same on
     every retry) and the single matching row is repeated once per salt.  Other keys keep
     salt 0, so nothing is repeated for them.  The broadcast side has at most HOT_KEYS rows.
+    ``hot_from`` is a cheaper frame with the same key, such as the stored table behind a long
+    plan, to look for hot keys in.
     """
-    hot = F.broadcast(hot_keys(many, key).withColumn("_hot", F.lit(True)))
+    source = many if hot_from is None else hot_from
+    hot = F.broadcast(hot_keys(source, key).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0))
     left = many.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(

@@ -19,7 +19,8 @@ from tidemark.schema import (
 def add_buckets(df: DataFrame, words: KeywordLists | None = None) -> DataFrame:
     """Bucket columns of each text that matches any bucket; other rows are dropped."""
     words = words or KeywordLists()
-    found = words.add_hits(df)
+    # deciding first keeps the filter from repeating the match lists
+    found = words.add_hits(df.filter(words.any_hit(F.col("content"))))
     names = F.array_compact(F.array(*[
         F.when(F.size(f"_hits_{b}") > 0, F.lit(b)) for b in BUCKETS]))
     listed = F.concat_ws(";", *[
@@ -27,11 +28,10 @@ def add_buckets(df: DataFrame, words: KeywordLists | None = None) -> DataFrame:
             F.lit(f"{b}:"), F.array_join(F.slice(f"_hits_{b}", 1, words.max_listed), "|")))
         for b in BUCKETS])
     total = sum((F.size(f"_hits_{b}") for b in BUCKETS[1:]), F.size(f"_hits_{BUCKETS[0]}"))
-    marked = found.withColumns({
+    return found.withColumns({
         "target_buckets": F.array_join(names, ","), "target_bucket": F.get(names, F.lit(0)),
         "matched_keywords": listed, "keyword_count": total,
     }).drop(*[f"_hits_{b}" for b in BUCKETS])
-    return marked.filter(F.col("target_bucket").isNotNull())
 
 
 def _per_bucket(values: dict[str, float]) -> Column:

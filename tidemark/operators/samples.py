@@ -61,3 +61,13 @@ def speakers(post: DataFrame, comment: DataFrame) -> DataFrame:
     """Distinct authors of posts and comments."""
     return post.select(F.col("user_id").alias("uid")).unionByName(
         comment.select(F.col("user_id").alias("uid"))).distinct()
+
+
+def busy_posts(tables) -> DataFrame:
+    """Where hot posts show: the post of every stored comment."""
+    return tables.comment_versions.select("post_id")
+
+
+def busy_users(tables) -> DataFrame:
+    """Where hot accounts show: the author of every stored comment and post."""
+    return tables.comment_versions.select("user_id").unionByName(tables.post.select("user_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_name
@@ -12,7 +12,7 @@ from tidemark.functions.numeric import (
 from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
 from tidemark.operators.samples import (
-    EMOTION_COUNTS, dominant_emotion_id, emotion_aggregates, interactions, predictions_in,
+    EMOTION_COUNTS, busy_posts, dominant_emotion_id, emotion_aggregates, interactions, predictions_in,
 )
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import DEFAULTS, RISK_FACTOR_WEIGHTS, SOURCE_TYPES, Settings
@@ -125,6 +125,19 @@ def candidate_topics(tables, totals: DataFrame, q: str = "", s: Settings = DEFAU
         F.desc("post_count"), "topic_id").limit(s.topic_candidates)
 
 
+def candidates_and(tables, totals: DataFrame, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
+    """The candidate topics (``in_pool``) and one more topic, from a single pass."""
+    known = tables.topic.select("topic_id", "title", "lead")
+    enough = F.col("post_count") >= s.topic_min_posts
+    size = F.when(enough, F.col("post_count"))
+    first = [F.desc(F.col("topic_id") == topic_id), F.desc_nulls_last("_size"), F.asc("topic_id")]
+    few = totals.join(known, "topic_id").withColumn("_size", size).orderBy(*first).limit(
+        s.topic_candidates + 1)
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("_size"), "topic_id"))
+    return few.withColumn("in_pool", F.col("_size").isNotNull() & (place <= s.topic_candidates)
+                          ).drop("_size")
+
+
 def add_raw_factors(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Unnormalised risk factors of each topic."""
     zero = F.lit(0)
@@ -143,27 +156,30 @@ def add_raw_factors(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     })
 
 
-def window_caps(candidates: DataFrame) -> list[Column]:
-    """Nearest-rank p95 over the positive values of each capped factor, 1.0 if none."""
+def window_caps(member: str = "true") -> list[Column]:
+    """Nearest-rank p95 over the positive values of each capped factor, 1.0 if none.
+
+    ``member`` restricts the rows that count.
+    """
     return [
         F.coalesce(F.expr(
             f"percentile_disc(0.95) within group (order by cast({c} as double))"
-            f" filter (where {c} > 0)"), F.lit(1.0)).alias(f"cap_{name}")
+            f" filter (where {c} > 0 and {member})"), F.lit(1.0)).alias(f"cap_{name}")
         for name, c in CAPPED.items()]
 
 
-def with_caps(candidates: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+def with_caps(candidates: DataFrame, pool: DataFrame | None = None,
+              member: str = "true") -> DataFrame:
     """Candidates with the window caps on every row.
 
-    Without a separate pool the candidates (at most the candidate limit) are folded and
-    unfolded in one pass; with one, the caps are a one-row subquery.
+    Without a separate pool the candidates (at most the candidate limit, plus one) are folded
+    and unfolded in one pass; with one, the caps are a one-row subquery.
     """
     if pool is None:
-        folded = candidates.agg(
-            *window_caps(candidates), F.collect_list(F.struct("*")).alias("rows"))
+        folded = candidates.agg(*window_caps(member), F.collect_list(F.struct("*")).alias("rows"))
         caps = [c for c in folded.columns if c != "rows"]
         return folded.select(*caps, F.inline("rows"))
-    caps = pool.agg(*window_caps(pool)).select(F.struct("*").alias("c")).scalar()
+    caps = pool.agg(*window_caps()).select(F.struct("*").alias("c")).scalar()
     return candidates.withColumn("_caps", caps).select("*", "_caps.*").drop("_caps")
 
 
@@ -255,7 +271,8 @@ def topic_samples(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAU
     """Predictions of the posts of one topic and of their comments."""
     pred = predictions_in(tables.prediction, window, s.primary_model)
     posts = topic_links(tables, topic_id).select("post_id")
-    return join_unique(pred, posts, "post_id", "source_id", how="left_semi")
+    return join_unique(pred, posts, "post_id", "source_id", how="left_semi",
+                       hot_from=busy_posts(tables))
 
 
 def emotion_by_day(samples: DataFrame) -> DataFrame:

@@ -34,7 +34,6 @@ def risk_topics(tables, window: TimeWindow, q: str = "", limit: int | None = Non
 
 def topic_risk(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
     """Risk of one topic with the formula and caps of the ranking."""
-    totals = t.topic_totals(tables, window, s, t.topic_links(tables, topic_id))
-    known = tables.topic.filter(F.col("topic_id") == topic_id).select("topic_id", "title", "lead")
-    one = t.add_raw_factors(totals.join(known, "topic_id"), s)
-    return t.factor_points(t.with_caps(one, t.topic_candidates_with_factors(tables, window, "", s)))
+    few = t.candidates_and(tables, t.topic_totals(tables, window, s), topic_id, s)
+    scored = t.factor_points(t.with_caps(t.add_raw_factors(few, s), member="in_pool"))
+    return scored.filter(F.col("topic_id") == topic_id).drop("in_pool")

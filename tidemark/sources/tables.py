@@ -46,11 +46,16 @@ def current_rows(df: DataFrame, table: str) -> DataFrame:
 
 
 def canonical_tables(spark: SparkSession, root: str) -> Tables:
-    """Tables stored as ``root/<table>`` parquet folders in the canonical schema."""
-    def loader(table: str) -> Callable[[], DataFrame]:
-        return lambda: current_rows(
-            spark.read.schema(TABLE_SCHEMAS[table]).parquet(f"{root}/{table}"), table)
-    return Tables(spark, {name: loader(name) for name in TABLE_SCHEMAS})
+    """Tables stored as ``root/<table>`` parquet folders in the canonical schema.
+
+    ``<table>`` holds the newest rows, ``<table>_versions`` all stored rows.
+    """
+    def stored(table: str) -> DataFrame:
+        return spark.read.schema(TABLE_SCHEMAS[table]).parquet(f"{root}/{table}")
+
+    current = {n: (lambda n=n: current_rows(stored(n), n)) for n in TABLE_SCHEMAS}
+    versions = {f"{n}_versions": (lambda n=n: stored(n)) for n in TABLE_SCHEMAS}
+    return Tables(spark, {**current, **versions})
 
 
 def add_month(df: DataFrame, column: str, name: str = "month") -> DataFrame:
