@@ -219,3 +219,36 @@ def test_scorer_shape():
     assert np.isfinite(letter_scorer([""])).all()
 
 
+
+
+def test_large_top_n_is_pruned_exactly(spark):
+    from tidemark.operators.ranking import sample_rows, seeded_key, top_per_group
+    df = spark.range(20000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(
+        "cold").alias("g"), (F.col("id") % 50).alias("score"))
+    order = [F.desc("score"), F.asc("id")]
+    got = top_per_group(df, ["g"], order, 1500, "n", -F.col("score"))
+    want = top_per_group(df, ["g"], order, 1500, "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    sampled = {r["id"] for r in sample_rows(df, 1200, "id").collect()}
+    plain = df.orderBy(seeded_key(42, F.col("id")), "id").limit(1200).collect()
+    assert sampled == {r["id"] for r in plain}
+
+
+@pytest.mark.parametrize("values", [[3], [0, 0, 0, 9], list(range(1, 400)), [5] * 50 + [10**9]])
+def test_exact_percentile(spark, values):
+    from tidemark.operators.quantiles import exact_percentile
+    counted = spark.createDataFrame([(v,) for v in values], "v long").groupBy("v").count()
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = exact_percentile(counted, "v", "count", q, "p").first()["p"]
+        assert got == pytest.approx(float(np.quantile(values, q)))
+
+
+def test_gain_crosses_days(spark):
+    from tidemark.operators.contract import snapshot_growth
+    rows = [(1, "2024-01-01 10:00:00", 1), (1, "2024-01-01 11:00:00", 4),
+            (1, "2024-01-03 09:00:00", 10), (1, "2024-01-03 09:00:01", 11)]
+    df = spark.createDataFrame(rows, "post_id int, at string, comments_count int").selectExpr(
+        "post_id", "cast(at as timestamp_ntz) captured_at", "comments_count",
+        "0 attitudes_count", "0 reposts_count")
+    gains = [r["gain"] for r in snapshot_growth(df).orderBy("captured_at").collect()]
+    assert gains == [None, 3, 6, 1]

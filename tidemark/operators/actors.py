@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import label_name
 from tidemark.functions.numeric import followers_bucket, log_norm, ratio, round_to
 from tidemark.operators.joins import join_unique
+from tidemark.operators.quantiles import exact_percentile
 from tidemark.operators.samples import (
     EMOTION_COUNTS, busy_posts, dominant_emotion_id, latest_interactions, predictions_in, speakers,
 )
@@ -24,15 +25,12 @@ _COUNTS = (*EMOTION_COUNTS, "sample_count", "negative_count", "post_count", "com
 
 
 def interaction_p95(tables, window: TimeWindow) -> DataFrame:
-    """One row: p95 of the newest interactions per post, whole number, at least 1.
-
-    Values are counted first, so the percentile sees each distinct value once.
-    """
+    """One row: p95 of the newest interactions per post, whole number, at least 1."""
     newest = latest_interactions(window.within(tables.engagement, "captured_at"))
     counted = newest.groupBy("interaction_count").agg(F.count("*").alias("n"))
-    p95 = F.percentile("interaction_count", F.lit(0.95), F.col("n"))
-    return counted.agg(F.greatest(F.lit(1), F.floor(F.coalesce(p95, F.lit(0.0)))).cast("bigint")
-                       .alias("p95"))
+    found = exact_percentile(counted, "interaction_count", "n", 0.95, "p95")
+    return found.select(F.greatest(F.lit(1), F.floor(F.coalesce("p95", F.lit(0.0))))
+                        .cast("bigint").alias("p95"))
 
 
 def _of_topic(df: DataFrame, tables, topic_id: int | None) -> DataFrame:

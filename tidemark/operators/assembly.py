@@ -9,7 +9,7 @@ from tidemark.functions.labels import label_name
 from tidemark.functions.text import clean_text, in_length_band
 from tidemark.operators.dedupe import exclude_contents, keep_first
 from tidemark.operators.ranking import (
-    number_rows, number_within, sample_per_group, sample_rows, seeded_key, top_per_group,
+    number_rows, number_within, sample_per_group, sample_rows, seeded_key,
 )
 from tidemark.schema import LABELS
 
@@ -89,7 +89,7 @@ def eval_sample(df: DataFrame, target: int = 1500, min_per_label: int = 100, key
     phases after the per-label top-n work on at most six times ``target`` rows.
     """
     order = [seeded_key(seed, F.col(key)), F.asc(key)]
-    near = top_per_group(df, [label], order, target, "_r").withColumn(
+    near = sample_per_group(df, [label], target, key, seed, "_r").withColumn(
         "_floor", F.col("_r") <= min_per_label)
     by_label = F.row_number().over(Window.partitionBy("_floor").orderBy(label, "_r"))
     first = near.withColumn("_first", F.col("_floor") & (by_label <= target))

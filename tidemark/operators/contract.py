@@ -31,10 +31,21 @@ def recent_topic_posts(tables, topic_id: int, days: int = 7) -> DataFrame:
 
 
 def snapshot_growth(engagement: DataFrame) -> DataFrame:
-    """Interaction curve of each post with the gain since the previous snapshot."""
-    w = Window.partitionBy("post_id").orderBy("captured_at")
-    total = engagement.withColumn("interaction_count", interactions())
-    return total.withColumn("gain", F.col("interaction_count") - F.lag("interaction_count").over(w))
+    """Interaction curve of each post with the gain since the previous snapshot.
+
+    A post has at most one snapshot per second, so the window per post and day is bounded, and
+    the value carried over from an earlier day comes from one row per post and day.
+    """
+    total = engagement.withColumn("interaction_count", interactions()).withColumn(
+        "_day", F.to_date("captured_at"))
+    last = total.groupBy("post_id", "_day").agg(
+        F.max_by("interaction_count", "captured_at").alias("_last"))
+    carried = last.select("post_id", "_day", F.lag("_last").over(
+        Window.partitionBy("post_id").orderBy("_day")).alias("_carried"))
+    in_day = Window.partitionBy("post_id", "_day").orderBy("captured_at")
+    before = F.coalesce(F.lag("interaction_count").over(in_day), F.col("_carried"))
+    return total.join(carried, ["post_id", "_day"]).withColumn(
+        "gain", F.col("interaction_count") - before).drop("_day", "_carried")
 
 
 def top_authors(tables, days: int = 1, limit: int = 50) -> DataFrame:

@@ -77,13 +77,13 @@ def allocate_quotas(targets: DataFrame, target: str = "target") -> DataFrame:
     return filled.select(*targets.columns, F.inline(rows))
 
 
-def take_by_quota(df: DataFrame, target: int, order: list[Column]) -> DataFrame:
+def take_by_quota(df: DataFrame, target: int, order: list[Column], lead: Column) -> DataFrame:
     """Top rows of each bucket up to its quota, then the best of the rest up to ``target``.
 
     One pass: every chosen or filled row is among the first ``target`` rows of its bucket, so
     the steps after the per-bucket top-n work on at most four times ``target`` rows.
     """
-    near = top_per_group(df, ["target_bucket"], order, target, "_rank")
+    near = top_per_group(df, ["target_bucket"], order, target, "_rank", lead)
     chosen = F.col("_rank") <= _per_bucket(quotas_for(target))
     marked = near.withColumn("_chosen", chosen)
     everyone = Window.partitionBy(F.lit(1))
@@ -96,7 +96,8 @@ def take_by_quota(df: DataFrame, target: int, order: list[Column]) -> DataFrame:
 
 def cap_before_scoring(df: DataFrame, maximum: int, key: str = "source_id") -> DataFrame:
     """At most ``maximum`` candidates by bucket quota and heuristic score."""
-    return take_by_quota(df, maximum, [F.desc("heuristic_score"), F.asc(key)])
+    return take_by_quota(df, maximum, [F.desc("heuristic_score"), F.asc(key)],
+                         -F.col("heuristic_score"))
 
 
 def add_model_scores(df: DataFrame, probs: str = "probs") -> DataFrame:
@@ -169,7 +170,7 @@ def reason_text(**parts: Column) -> Column:
 def select_final(df: DataFrame, target: int, key: str = "source_id") -> DataFrame:
     """The final candidates with rank, id and reason; fails when there are too few."""
     order = [F.desc("selection_score"), F.asc("model_margin"), F.asc(key)]
-    chosen = take_by_quota(df, target, order)
+    chosen = take_by_quota(df, target, order, -F.floor("selection_score"))
     ranked = number_limited(chosen, order, "candidate_rank").filter(
         F.col("candidate_rank") <= target)
     found = F.count("*").over(Window.partitionBy(F.lit(1)))

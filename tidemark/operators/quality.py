@@ -164,7 +164,7 @@ def long_texts(df: DataFrame, group: str = "split", shown: int = 2) -> DataFrame
         F.col("len") > LONG_CHARS)
     totals = longs.groupBy(group).agg(F.count("*").alias("long_rows"))
     top = top_per_group(longs, [group], [F.desc("len"), F.asc("id")], shown, "n")
-    return top.join(F.broadcast(totals), group)
+    return top.join(totals, group)
 
 
 def empty_texts(df: DataFrame, group: str = "split", shown: int = 3) -> DataFrame:
@@ -172,7 +172,7 @@ def empty_texts(df: DataFrame, group: str = "split", shown: int = 3) -> DataFram
     empty = df.filter(F.length(F.coalesce("content", F.lit(""))) == 0).select(group, "id", "label")
     totals = empty.groupBy(group).agg(F.count("*").alias("empty_rows"))
     return top_per_group(empty, [group], [F.asc("id")], shown, "n").join(
-        F.broadcast(totals), group)
+        totals, group)
 
 
 def length_profile(df: DataFrame, group: str = "split") -> DataFrame:

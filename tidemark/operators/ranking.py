@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_dir
 
 _POSITION_MASK = (1 << 33) - 1
+# Up to this many rows per group Spark itself keeps only the first rows in each map task.
+MAP_SIDE_ROWS = 1000
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -36,13 +38,13 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                   name: str = "rank") -> DataFrame:
     """1, 2, 3, ... inside each group; a hot group is still sorted by many tasks.
 
-    ``group`` must be a short list of groups (labels, splits): the first position of each
-    group is broadcast.
+    The first position of each group is joined back; for a short list of groups (labels,
+    splits) Spark turns that into a broadcast.
     """
     ranked = number_rows(df, [*[F.col(g) for g in group], *order], "_global")
     starts = ranked.groupBy(*group).agg(F.min("_global").alias("_start"))
     keys = [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
-    joined = ranked.alias("r").join(F.broadcast(starts.alias("s")), keys)
+    joined = ranked.alias("r").join(starts.alias("s"), keys)
     kept = [F.col(f"r.{c}") for c in df.columns]
     return joined.select(*kept, (F.col("_global") - F.col("_start") + 1).alias(name))
 
@@ -52,21 +54,51 @@ def seeded_key(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
+def prune_to_top(df: DataFrame, group: Sequence[str], lead: Column, n: int) -> DataFrame:
+    """Drop rows that cannot be among the first n of their group, without ranking them.
+
+    ``lead`` is a coarse, ascending form of the leading sort key with few distinct values.  Rows
+    are counted per value; only the values needed to reach n rows are kept (whole values, so no
+    candidate is lost).
+    """
+    marked = df.withColumn("_lead", lead)
+    counts = marked.groupBy(*group, "_lead").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group or [F.lit(1)]).orderBy("_lead").rowsBetween(
+        Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(
+        F.col("_before") < n).select(*group, "_lead")
+    return marked.join(needed, [*group, "_lead"], "left_semi").select(*df.columns)
+
+
+def _seed_lead(seed: int | str, key: str) -> Column:
+    """First four hex digits of the seeded key: 65536 evenly filled values."""
+    return F.substring(seeded_key(seed, F.col(key)), 1, 4)
+
+
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows in a seeded random order."""
+    if n > MAP_SIDE_ROWS:
+        df = prune_to_top(df, [], _seed_lead(seed, key), n)
     return df.orderBy(seeded_key(seed, F.col(key)), F.col(key)).limit(n)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
-                  name: str = "group_rank") -> DataFrame:
-    """The first n rows of each group; map tasks keep at most n rows per group."""
+                  name: str = "group_rank", lead: Column | None = None) -> DataFrame:
+    """The first n rows of each group.
+
+    Small n: map tasks keep at most n rows per group.  Large n: rows are pruned by the coarse
+    ``lead`` key first, so a group that holds most rows does not reach one task.
+    """
+    if n > MAP_SIDE_ROWS and lead is not None:
+        df = prune_to_top(df, group, lead, n)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(name, rank).filter(F.col(name) <= n)
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], n: int, key: str, seed: int = 42,
                      name: str = "group_rank") -> DataFrame:
-    return top_per_group(df, group, [seeded_key(seed, F.col(key)), F.col(key)], n, name)
+    return top_per_group(df, group, [seeded_key(seed, F.col(key)), F.col(key)], n, name,
+                         _seed_lead(seed, key))
 
 
 def number_limited(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
