@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_name
 from tidemark.functions.numeric import (
-    clip_norm, growth_label, local_day, mean_micros, ratio, risk_level, round_to,
+    clip_norm, growth_label, local_day, mean_micros, micros, ratio, risk_level, round_to,
 )
 from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
@@ -15,7 +15,9 @@ from tidemark.operators.samples import (
     EMOTION_COUNTS, busy_posts, dominant_emotion_id, emotion_aggregates, interactions, predictions_in,
 )
 from tidemark.operators.window import TimeWindow
-from tidemark.schema import DEFAULTS, RISK_FACTOR_WEIGHTS, SOURCE_TYPES, Settings
+from tidemark.schema import (
+    ANGER_FEAR_IDS, DEFAULTS, NEGATIVE_IDS, RISK_FACTOR_WEIGHTS, SOURCE_TYPES, Settings,
+)
 
 CAPPED = {
     "negative_growth": "negative_growth_raw",
@@ -27,17 +29,6 @@ _PREDICTED = [*EMOTION_COUNTS, "sample_count", "negative_count", "anger_fear_cou
 
 
 # ------------------------------------------------------------ one row per post
-def post_emotions(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFrame:
-    """Emotion counters of each post, its comments included."""
-    pred = predictions_in(tables.prediction, window, s.primary_model)
-    negative = F.col("pred_label_id").isin(1, 2, 3)
-    return pred.groupBy("post_id").agg(
-        *emotion_aggregates(),
-        F.count_if(F.col("source_type") == "post").alias("post_samples"),
-        F.count_if(F.col("source_type") == "comment").alias("comment_samples"),
-        F.count_if(negative & window.recent(pred, "source_created_at")).alias("recent_negative"))
-
-
 def post_growth(tables, window: TimeWindow) -> DataFrame:
     """First and last interaction sums of each post inside the window."""
     seen = window.within(tables.engagement, "captured_at")
@@ -69,16 +60,38 @@ def notable_posts(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFra
 def post_features(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFrame:
     """All counters a topic needs, one row per post.
 
-    The four inputs are already one row per post, so they are stacked and folded in a single
-    shuffle instead of being joined one after the other.
+    Predictions, snapshots, discoveries and posts are stacked as narrow rows and folded in one
+    aggregation: every input is combined in its map tasks and shuffled once, and a viral post
+    arrives as one partial row per task.
     """
-    parts = [post_emotions(tables, window, s), post_growth(tables, window), post_sources(tables),
-             notable_posts(tables, window, s)]
+    pred = predictions_in(tables.prediction, window, s.primary_model)
+    predicted = pred.select(
+        "post_id", "source_type", "pred_label_id", micros(F.col("confidence")).alias("micros"),
+        window.recent(pred, "source_created_at").alias("recent"))
+    snapshots = window.within(tables.engagement, "captured_at").select(
+        "post_id", "captured_at", interactions().alias("total"))
+    found = tables.discovery.select("post_id", F.col("source_type").alias("found_by"))
+    parts = [predicted, snapshots, found, notable_posts(tables, window, s)]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
-    values = [c for c in stacked.columns if c != "post_id"]
-    return stacked.groupBy("post_id").agg(*[F.max(c).alias(c) for c in values])
+    label, kind = F.col("pred_label_id"), F.col("source_type")
+    negative = label.isin(*NEGATIVE_IDS)
+    return stacked.groupBy("post_id").agg(
+        *[F.count_if(label == i).alias(c) for i, c in enumerate(EMOTION_COUNTS)],
+        F.count(label).alias("sample_count"),
+        F.count_if(negative).alias("negative_count"),
+        F.count_if(label.isin(*ANGER_FEAR_IDS)).alias("anger_fear_count"),
+        F.coalesce(F.sum("micros"), F.lit(0)).alias("confidence_micros"),
+        F.count_if(kind == "post").alias("post_samples"),
+        F.count_if(kind == "comment").alias("comment_samples"),
+        F.count_if(negative & F.col("recent")).alias("recent_negative"),
+        F.min_by("total", "captured_at").alias("earliest"),
+        F.max_by("total", "captured_at").alias("latest"),
+        *[F.count_if(F.col("found_by") == t).alias(f"from_{t}") for t in SOURCE_TYPES],
+        F.max("created_in_window").alias("created_in_window"), F.max("author").alias("author"),
+        F.max("author_verified").alias("author_verified"),
+        F.max("author_high").alias("author_high"))
 
 
 # ----------------------------------------------------------- one row per topic
@@ -92,7 +105,7 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
     links = tables.post_topic if links is None else links
     linked = join_unique(links.select("post_id", "topic_id"),
                          post_features(tables, window, s), "post_id", "topic_id", how="inner")
-    predicted = F.col("sample_count").isNotNull()
+    predicted = F.col("sample_count") > 0
     gain = F.greatest(F.col("latest") - F.col("earliest"), F.lit(0))
     created = F.col("created_in_window") == 1
     sums = {
@@ -101,9 +114,9 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
         "earliest_interactions": F.col("earliest"),
         "latest_interactions": F.col("latest"),
         "interaction_delta": gain,
-        **{f"source_{t}": (predicted & (F.col(f"from_{t}") == 1)).cast("bigint")
+        **{f"source_{t}": (predicted & (F.col(f"from_{t}") > 0)).cast("bigint")
            for t in SOURCE_TYPES},
-        "kol_entry_count": (created & (F.col("from_kol") == 1)).cast("bigint"),
+        "kol_entry_count": (created & (F.col("from_kol") > 0)).cast("bigint"),
     }
     per_author = linked.groupBy("topic_id", "author").agg(
         *[F.sum(v).alias(k) for k, v in sums.items()],
