@@ -20,8 +20,6 @@ from tidemark.schema import (
 
 MARKERS = ("is_entry_kol", "is_high_inter", "is_polar", "is_active", "is_verified_kol",
            "is_cross_topic")
-_COUNTS = (*EMOTION_COUNTS, "sample_count", "negative_count", "post_count", "comment_count",
-           "interaction_count")
 
 
 def interaction_p95(tables, window: TimeWindow) -> DataFrame:
@@ -72,16 +70,21 @@ def spoken_samples(tables, window: TimeWindow, topic_id: int | None = None,
     return posts.unionByName(comments)
 
 
-def fold_actors(samples: DataFrame) -> DataFrame:
-    """One row per speaker: six counts, samples, posts, comments and interactions."""
-    label = F.col("pred_label_id")
-    return samples.groupBy("uid").agg(
+def _speech_counts() -> list[Column]:
+    """Six counts, samples, posts, comments and interactions of one speaker."""
+    label, kind = F.col("pred_label_id"), F.col("source_type")
+    return [
         *[F.count_if(label == i).alias(c) for i, c in enumerate(EMOTION_COUNTS)],
-        F.count("*").alias("sample_count"),
+        F.count(label).alias("sample_count"),
         F.count_if(label.isin(*NEGATIVE_IDS)).alias("negative_count"),
-        F.count_if(F.col("source_type") == "post").alias("post_count"),
-        F.count_if(F.col("source_type") == "comment").alias("comment_count"),
-        F.sum("interaction_count").alias("interaction_count"))
+        F.count_if(kind == "post").alias("post_count"),
+        F.count_if(kind == "comment").alias("comment_count"),
+        F.coalesce(F.sum("interaction_count"), F.lit(0)).alias("interaction_count")]
+
+
+def fold_actors(samples: DataFrame) -> DataFrame:
+    """One row per speaker with their counts."""
+    return samples.groupBy("uid").agg(*_speech_counts())
 
 
 def actor_emotions(samples: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def high_interaction(posts: DataFrame, p95: DataFrame) -> DataFrame:
 
 def speech_markers(s: Settings = DEFAULTS) -> dict[str, Column]:
     """Polarised: enough samples and a high negative share; active: many samples."""
-    share = F.col("negative_count") / F.col("sample_count")
+    share = F.try_divide("negative_count", "sample_count")
     polar = (F.col("sample_count") >= s.polar_min_samples) & (share >= s.polar_ratio)
     return {"is_polar": polar.cast("int"),
             "is_active": (F.col("sample_count") >= s.active_min_samples).cast("int")}
@@ -150,11 +153,10 @@ def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
                      s: Settings = DEFAULTS) -> DataFrame:
     """Accounts with any role marker and their counts; the first ``actor_candidates`` by uid.
 
-    The role branches and the folded samples are stacked and folded per account once, instead
-    of joining the candidates back to the samples.
+    The samples and the rows of the role branches are stacked and folded per account once,
+    instead of joining the candidates back to the samples.
     """
     posts = posts_in(tables, window, topic_id)
-    folded = fold_actors(spoken_samples(tables, window, topic_id, s))
     branches = [
         entry_kols(tables, posts),
         high_interaction(posts, interaction_p95(tables, window)),
@@ -162,14 +164,15 @@ def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
     ]
     if topic_id is None:
         branches.append(cross_topic(tables, posts, s))
-    stacked = folded.withColumns(speech_markers(s))
+    stacked = spoken_samples(tables, window, topic_id, s)
     for b in branches:
         stacked = stacked.unionByName(b, allowMissingColumns=True)
-    merged = stacked.filter(F.col("uid") > 0).groupBy("uid").agg(
-        *[F.coalesce(F.max(m), F.lit(0)).alias(m) for m in MARKERS],
-        *[F.max(c).alias(c) for c in _COUNTS])
-    marked = F.greatest(*[F.col(m) for m in MARKERS]) == 1
-    return merged.filter(marked).orderBy("uid").limit(s.actor_candidates)
+    merged = stacked.filter(F.col("uid") > 0).groupBy("uid").agg(*_speech_counts(), *[
+        F.coalesce(F.max(m), F.lit(0)).alias(m) for m in MARKERS])
+    marked = merged.withColumns({
+        m: F.coalesce(v, F.lit(0)) for m, v in speech_markers(s).items()})
+    found = F.greatest(*[F.col(m) for m in MARKERS]) == 1
+    return marked.filter(found).orderBy("uid").limit(s.actor_candidates)
 
 
 def role_markers(tables, window: TimeWindow, topic_id: int | None = None,
@@ -282,7 +285,7 @@ def actor_profiles(tables, window: TimeWindow, topic_id: int | None = None,
     profiles = tables.user.select("uid", "verified", "profile_tier", "followers_count").join(
         few, "uid", "left_semi")
     footprint = topic_footprint(tables, window, found, topic_id)
-    counted = found.filter(F.col("sample_count").isNotNull())
+    counted = found.filter(F.col("sample_count") > 0)
     joined = counted.join(profiles, "uid", "left").join(footprint, "uid", "left").withColumns({
         "verified": F.coalesce("verified", F.lit(False)),
         "profile_tier": F.coalesce("profile_tier", F.lit(0)),

@@ -11,7 +11,7 @@ from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
 from tidemark.operators.ranking import number_limited, number_rows
 from tidemark.operators.samples import (
-    busy_posts, busy_users, latest_interactions, predictions_in,
+    busy_posts, busy_users, interactions, predictions_in,
 )
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import ANGER_FEAR_IDS, DEFAULTS, NEGATIVE_IDS, Settings
@@ -50,15 +50,14 @@ def evidence_reason(s: Settings = DEFAULTS) -> Column:
 
 def _post_context(tables, window: TimeWindow, topic_id: int | None) -> DataFrame:
     """Per linked post: its lowest topic id and newest interactions in the window."""
-    links = tables.post_topic
+    links = tables.post_topic.select("post_id", "topic_id")
     if topic_id is not None:
         links = links.filter(F.col("topic_id") == topic_id)
-    topics = links.groupBy("post_id").agg(F.min("topic_id").alias("topic_id"))
-    newest = latest_interactions(window.within(tables.engagement, "captured_at"))
-    stacked = topics.unionByName(newest, allowMissingColumns=True)
-    return stacked.groupBy("post_id").agg(
-        F.max("topic_id").alias("topic_id"),
-        F.coalesce(F.max("interaction_count"), F.lit(0)).alias("interaction_count"),
+    snapshots = window.within(tables.engagement, "captured_at").select(
+        "post_id", "captured_at", interactions().alias("total"))
+    return links.unionByName(snapshots, allowMissingColumns=True).groupBy("post_id").agg(
+        F.min("topic_id").alias("topic_id"),
+        F.coalesce(F.max_by("total", "captured_at"), F.lit(0)).alias("interaction_count"),
     ).filter(F.col("topic_id").isNotNull())
 
 
