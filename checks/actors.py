@@ -33,7 +33,7 @@ def actor_views(sfx: str, tag: str, topic: str | None = None) -> None:
           select c.user_id, sp.pred_label_id, sp.source_type, c.like_count
           from p_{sfx} sp join v_comment c on c.post_id = sp.post_id
           and c.comment_id = sp.source_id where sp.source_type = 'comment' {sp_in}""",
-        f"a_mark_{tag}": f"""select uid, max(k) is_entry_kol, max(h) is_high_inter,
+        f"a_cand_{tag}": f"""select uid, max(k) is_entry_kol, max(h) is_high_inter,
           max(p) is_polar, max(a) is_active, max(v) is_verified_kol, max(x) is_cross_topic from (
           select p.user_id uid, 1 k, 0 h, 0 p, 0 a, 0 v, 0 x from v_discovery pd
             join posts_{sfx} p on p.post_id = pd.post_id where pd.source_type = 'kol' {p_in}
@@ -47,7 +47,8 @@ def actor_views(sfx: str, tag: str, topic: str | None = None) -> None:
             (profile_tier >= 1 and followers_count >= 10000)) and uid in (
             select user_id from posts_{sfx} where true {u_in} union
             select user_id from comments_{sfx} where true {u_in})
-          {cross}) where uid > 0 group by 1 order by uid limit 2000""",
+          {cross}) where uid > 0 group by 1""",
+        f"a_mark_{tag}": f"select * from a_cand_{tag} order by uid limit 2000",
         f"a_topics_{tag}": f"""select s.uid, pt.topic_id, any_value(t.title) title,
           count(distinct s.post_id) posts from (
           select user_id uid, post_id from posts_{sfx} union all
@@ -149,7 +150,7 @@ def act_01(run):
 
 
 def branch(name: str, marker: str, build) -> None:
-    sql = f"select uid from a_mark_365d where {marker} = 1"
+    sql = f"select uid from a_cand_365d where {marker} = 1"
     query(name, sql)(lambda run: build(run).filter(f"{marker} = 1").select("uid").distinct())
 
 

@@ -103,7 +103,8 @@ def reconcile_counts(manifest: DataFrame, loaded: DataFrame) -> DataFrame:
 
 def write_split(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Training rows partitioned by track and split."""
-    df.write.mode(mode).partitionBy("track", "split").parquet(path)
+    df.hint("rebalance", "track", "split").write.mode(mode).partitionBy(
+        "track", "split").parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -152,8 +153,9 @@ def upsert_predictions(spark: SparkSession, path: str, new: DataFrame) -> None:
         old = table.withColumn("month", F.col("month").cast("string")).join(
             months, "month", "left_semi")
         merged = merge_predictions(old, fresh).checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("month").parquet(path)
+    # rebalancing gives each month few files and splits a month that holds most rows
+    merged.hint("rebalance", "month").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
