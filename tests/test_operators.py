@@ -252,3 +252,11 @@ def test_gain_crosses_days(spark):
         "0 attitudes_count", "0 reposts_count")
     gains = [r["gain"] for r in snapshot_growth(df).orderBy("captured_at").collect()]
     assert gains == [None, 3, 6, 1]
+
+
+def test_final_selection_needs_enough_candidates(run):
+    from checks.selection import scored
+    from tidemark.operators.mining import add_selection_scores, select_final
+    ready = add_selection_scores(scored(run))
+    with pytest.raises(Exception, match="fewer candidates than the target"):
+        select_final(ready, 100000, "id").collect()
