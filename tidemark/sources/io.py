@@ -143,7 +143,7 @@ def upsert_predictions(spark: SparkSession, path: str, new: DataFrame) -> None:
     shared_dir(spark)
     fresh = add_month(new, "source_created_at")
     try:
-        table = spark.read.option("mergeSchema", True).parquet(path)
+        table = spark.read.parquet(path)
     except AnalysisException:
         table = None
     if table is None:
