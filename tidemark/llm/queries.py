@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import (decontaminate, langid, line_dedup, quality, secrets)
+from tidemark.llm import (decontaminate, exact_stream, langid, line_dedup, quality, secrets, warc)
 from tidemark.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op3_quality(spark, root):
         read_table(spark, root, "documents"), read_table(spark, root, "labels"))
 
 
+def op6_exact_dedup(spark, root):
+    return exact_stream.dedup_stream(read_table(spark, root, "documents"))
+
+
 def op8_language(spark, root):
     return langid.language_report(read_table(spark, root, "documents"))
 
@@ -28,7 +32,16 @@ def op9_line_dedup(spark, root):
     return line_dedup.line_report(read_table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontamination, op3_quality, op8_language, op9_line_dedup)}
+def op10_warc(spark, root):
+    return warc.archive_report(read_table(spark, root, "pages"))
 
-ORACLES = {"op9_line_dedup": line_dedup.LINE_SQL}
+
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_decontamination, op3_quality, op6_exact_dedup, op8_language, op9_line_dedup,
+    op10_warc)}
+
+ORACLES = {
+    "op6_exact_dedup": exact_stream.EXACT_SQL,
+    "op9_line_dedup": line_dedup.LINE_SQL,
+    "op10_warc": warc.WARC_SQL,
+}
