@@ -130,5 +130,29 @@ def spans_where(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def column_hash(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
+
+
+FILTER_BITS = 1 << 25
+
+
+def key_slot(*cols: Column) -> Column:
+    """The slot of a key in a ``key_filter``."""
+    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+
+
+def key_filter(slots: DataFrame) -> np.ndarray:
+    """A bitmap of the slots in column ``slot``: FILTER_BITS bits whatever the input.
+
+    It only saves shuffling rows that cannot match; a join decides afterwards, so a full bitmap
+    costs time and no result.
+    """
+    words = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("b")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    if len(words):
+        out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint64)
+    return out
+
+
+def in_filter(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import (decontaminate, exact_stream, langid, line_dedup, quality, secrets, warc)
+from tidemark.llm import (decontaminate, exact_stream, jaccard_join, langid, line_dedup, quality, secrets, warc)
 from tidemark.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op6_exact_dedup(spark, root):
     return exact_stream.dedup_stream(read_table(spark, root, "documents"))
 
 
+def op7_jaccard_join(spark, root):
+    return jaccard_join.jaccard_report(read_table(spark, root, "documents"))
+
+
 def op8_language(spark, root):
     return langid.language_report(read_table(spark, root, "documents"))
 
@@ -37,7 +41,7 @@ def op10_warc(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontamination, op3_quality, op6_exact_dedup, op8_language, op9_line_dedup,
+    op1_secret_scan, op2_decontamination, op3_quality, op6_exact_dedup, op7_jaccard_join, op8_language, op9_line_dedup,
     op10_warc)}
 
 ORACLES = {
