@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import (decontaminate, exact_stream, jaccard_join, langid, line_dedup, quality, secrets, warc)
+from tidemark.llm import (decontaminate, exact_stream, jaccard_join, langid, line_dedup, quality, secrets,
+                          suffix_dedup, warc)
 from tidemark.llm.common import read_table
 
 
@@ -20,6 +21,10 @@ def op3_quality(spark, root):
         read_table(spark, root, "documents"), read_table(spark, root, "labels"))
 
 
+def op5_suffix_dedup(spark, root):
+    return suffix_dedup.repeat_report(read_table(spark, root, "documents"))
+
+
 def op6_exact_dedup(spark, root):
     return exact_stream.dedup_stream(read_table(spark, root, "documents"))
 
@@ -41,7 +46,7 @@ def op10_warc(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontamination, op3_quality, op6_exact_dedup, op7_jaccard_join, op8_language, op9_line_dedup,
+    op1_secret_scan, op2_decontamination, op3_quality, op5_suffix_dedup, op6_exact_dedup, op7_jaccard_join, op8_language, op9_line_dedup,
     op10_warc)}
 
 ORACLES = {
