@@ -4,9 +4,9 @@ A document is its set of distinct 5-word shingles.  Two sets link at a similarit
 
 1. Rows with equal sets are one set, told by its hash; they are linked by definition.
 2. Prefix rows: in one global order of shingles (those common in a sample last, then by hash) two
-   linked sets share a shingle among the first ``n - ceil(4n/5) + 1`` of the larger and the first
-   ``n - ceil(8n/9) + 1`` of the smaller one.  Each shingle names a hub, the smallest set that
-   has it in its short prefix; both partners of a link therefore meet in the block of a hub.
+   linked sets share a tenth of their size among the first three tenths of each.  Sets with fewer
+   shared shingles there link with nothing.  Each shared shingle names a hub, the smallest set
+   that is left with it, so both partners of a link meet in the block of a hub.
 3. In a block, members that link with the hub need no search: they are in its component.  Each
    other member searches the block's inverted lists: short lists are merged and counted, long
    ones probed by binary search, and sets that reach the required overlap are kept.  A large block is cut
@@ -35,7 +35,8 @@ from tidemark.llm.features import joined, lowered
 WORDS = 5
 UP, DOWN = 4, 5  # the threshold as a fraction
 SHARD_BYTES = 8 << 20
-SAMPLE_ROWS = 20000
+SAMPLE_ROWS = 4000
+EXTRA = 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -77,9 +78,12 @@ def need(n: int) -> int:
 
 
 def prefix_sizes(n: int) -> tuple[int, int]:
-    """Lengths of the searching prefix and of the shorter, indexed one."""
-    indexed = n - -(-2 * UP * n // (UP + DOWN)) + 1
-    return n - need(n) + 1, indexed
+    """Length of the prefix, and how many of its shingles any partner must have in its own.
+
+    Two sets that share ``need`` shingles share m of the first ``n - need + m`` of each.  With
+    m = 1 + n / 10, a partner, which has at least ``need(n)`` shingles, has at least the m of that size.
+    """
+    return n - need(n) + 1 + n // EXTRA, 1 + need(n) // EXTRA
 
 
 def common_shingles(docs: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
@@ -99,19 +103,19 @@ def common_shingles(docs: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, row, n, set, indexed, prefix) of every row."""
+    """(doc_id, row, n, set, shared shingles that a link needs, prefix) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batch: pa.RecordBatch):
         known = shared.value
-        sizes, ids, short, firsts = [], [], [], []
+        sizes, ids, least, firsts = [], [], [], []
         for values in shingle_sets(texts_of(batch.column(2))):
             n = len(values)
             sizes.append(n)
             ids.append(set_id(values))
             if not n:
-                short.append(0)
+                least.append(0)
                 firsts.append(np.zeros(0, np.int64))
                 continue
             if len(known):
@@ -120,8 +124,8 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 ordered = np.concatenate((values[~hot], values[hot]))
             else:
                 ordered = values
-            long, brief = prefix_sizes(n)
-            short.append(brief)
+            long, shared_there = prefix_sizes(n)
+            least.append(shared_there)
             firsts.append(ordered[:long].view(np.int64))
         ends = np.cumsum([0] + [len(f) for f in firsts])
         lists = pa.ListArray.from_arrays(
@@ -129,24 +133,32 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
             pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
-             pa.array(ids, pa.int64()), pa.array(short, pa.int32()), lists],
-            ["doc_id", ROW, "n", "sid", "indexed", "prefix"])
+             pa.array(ids, pa.int64()), pa.array(least, pa.int32()), lists],
+            ["doc_id", ROW, "n", "sid", "least", "prefix"])
 
     narrow = with_row_key(docs).select("doc_id", ROW, F.col("text").alias("__text"))
-    return map_batches(narrow, cut, f"doc_id {kind}, {ROW} long, n long, sid long, indexed int, "
+    return map_batches(narrow, cut, f"doc_id {kind}, {ROW} long, n long, sid long, least int, "
                        "prefix array<long>")
 
 
+def shared_only(rows: DataFrame) -> DataFrame:
+    """The shingles ``h`` that more than one set has, and the smallest of these sets."""
+    return rows.groupBy("h").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).filter(
+        "hub <> top").select("h", "hub")
+
+
 def block_members(rows: DataFrame) -> DataFrame:
-    """(hub, sid): every set with the hubs of its prefix shingles, hubs with themselves too."""
-    exploded = rows.select("sid", "indexed", F.posexplode("prefix").alias("at", "h"))
-    hubs = stored(exploded.filter("at < indexed").groupBy("h").agg(
-        F.min("sid").alias("hub"), F.max("sid").alias("top"), F.count("*").alias("c"))
-        .select("h", "hub"), "hubs")
-    met = exploded.select("sid", "h").join(hubs, "h").filter("sid <> hub").select(
-        "hub", "sid").distinct()
-    met = stored(met, "members")
-    return met.unionByName(met.select("hub", F.col("hub").alias("sid")).distinct())
+    """(hub, sid): the sets that may have a link, by the hubs of their shared shingles."""
+    exploded = rows.select("sid", "least", F.explode("prefix").alias("h"))
+    shared = stored(shared_only(exploded).select("h"), "shared")
+    met = stored(exploded.join(shared, "h").distinct(), "met")
+    able = stored(met.groupBy("sid", "least").agg(F.count("*").alias("c")).filter(
+        "c >= least").select("sid"), "able")
+    left = stored(met.join(able, "sid").select("sid", "h"), "left")
+    hubs = stored(shared_only(left), "hubs")
+    others = stored(left.join(hubs, "h").filter("sid <> hub").select("hub", "sid").distinct(),
+                    "others")
+    return others.unionByName(others.select("hub", F.col("hub").alias("sid")).distinct())
 
 
 def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -182,42 +194,61 @@ class Lists:
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.lexsort((owner, flat))
-        self.tokens, self.owners = flat[order], owner[order].astype(np.int64)
-
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """Numbers of the sets with a similarity of at least UP / DOWN to the query."""
-        low = np.searchsorted(self.tokens, query, "left")
-        high = np.searchsorted(self.tokens, query, "right")
-        length = high - low
+        self.tokens, self.begin, self.length = np.unique(
+            flat[order], return_index=True, return_counts=True)
+        self.owners = owner[order]
+        # list number and owner in one sorted array, so one binary search probes a list
+        self.keys = np.repeat(np.arange(len(self.tokens)), self.length) * len(sets) + self.owners
+
+    def search(self, query: np.ndarray, own: int = -1) -> np.ndarray:
+        """Numbers of the sets, but ``own``, with a similarity of at least UP / DOWN."""
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        lists = at[self.tokens[at] == query]
+        length = self.length[lists] - (own >= 0)
+        lists, length = lists[length > 0], length[length > 0]
         least = need(len(query))
-        if np.count_nonzero(length) < least:
+        if len(lists) < least:
             return np.zeros(0, np.int64)
-        order = np.argsort(length, kind="stable")
+        lists = lists[np.argsort(length, kind="stable")]
         # the longest lists are only probed: fewer of them than the overlap that is needed
         probed = min(least - 1, int(least / (0.01 * np.log2(length.max() + 2) + 1)))
-        merge, probe = order[:len(order) - probed], order[len(order) - probed:]
-        spans = [self.owners[low[i]:high[i]] for i in merge if length[i]]
-        counts = np.bincount(np.concatenate(spans) if spans else np.zeros(0, np.int64),
-                             minlength=len(self.sizes))
+        merge, probe = lists[:len(lists) - probed], lists[len(lists) - probed:]
+        many = self.length[merge]
+        places = np.arange(int(many.sum())) + np.repeat(
+            self.begin[merge] - np.cumsum(many) + many, many)
+        counts = np.bincount(self.owners[places], minlength=len(self.sizes))
+        if own >= 0:
+            counts[own] = 0
         found = np.flatnonzero(counts >= least - probed)
         found = found[(DOWN * self.sizes[found] >= UP * len(query))
                       & (UP * self.sizes[found] <= DOWN * len(query))]
-        overlap = counts[found]
-        left = probed
-        for i in probe[::-1]:
-            if not len(found):
-                break
-            one = self.owners[low[i]:high[i]]
-            if len(one):
-                at = np.minimum(np.searchsorted(one, found), len(one) - 1)
-                overlap = overlap + (one[at] == found)
-            left -= 1
-            alive = overlap + left >= least
-            if not alive.all():
-                found, overlap = found[alive], overlap[alive]
+        overlap = np.array([counts[k] + self._probe(probe, k) for k in found], np.int64)
         union = self.sizes[found] + len(query) - overlap
         return found[DOWN * overlap >= UP * union]
 
+    def _probe(self, lists: np.ndarray, owner: int) -> int:
+        """In how many of the lists the owner is."""
+        wanted = lists * len(self.sizes) + owner
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return int(np.count_nonzero(self.keys[at] == wanted))
+
+
+class Forest:
+    """Joins that connect what was not connected before, within one block."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, k: int) -> int:
+        while (up := self.parent.setdefault(k, k)) != k:
+            self.parent[k] = k = self.parent[up]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.root(a), self.root(b)
+        self.parent[x] = y
+        return x != y
+
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -251,23 +282,26 @@ def link_rows(rows: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
 
 
 def first_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links with the hub; in a block of one shard also the links of all other members."""
+    """Links with the hub; in a block of one shard also those of the other members, as far as
+    they connect anything."""
     for (hub, _), held in blocks(rows):
         center = next(v for s, v, _, _ in held if s == hub)
         others = [(s, v) for s, v, _, _ in held if s != hub]
+        forest = Forest()
         out, rest = [], []
-        for s, v in others:
+        for k, (s, v) in enumerate(others):
             if linked(v, center):
+                forest.join(s, hub)
                 out.append((s, hub, hub, False))
             else:
-                rest.append((s, v))
+                rest.append((k, s, v))
         if rest and held[0][3] == 1:
             lists = Lists([v for _, v in others])
-            for s, v in rest:
-                out += [(s, others[k][0], hub, False) for k in lists.search(v)
-                        if others[k][0] != s]
+            for k, s, v in rest:
+                out += [(s, others[j][0], hub, False) for j in lists.search(v, k)
+                        if forest.join(s, others[j][0])]
         elif rest:
-            out += [(s, hub, hub, True) for s, _ in rest]
+            out += [(s, hub, hub, True) for _, s, _ in rest]
         if out:
             yield link_rows(out)
 
@@ -276,12 +310,12 @@ def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between searching members (role 1) and the members of one shard (role 0)."""
     for (hub, _), held in blocks(rows):
         own = [(s, v) for s, v, role, _ in held if role == 0]
-        asking = [(s, v) for s, v, role, _ in held if role == 1]
-        if not own or not asking:
+        if not own or len(own) == len(held):
             continue
-        lists = Lists([v for _, v in own])
-        out = [(s, own[k][0], hub, False) for s, v in asking for k in lists.search(v)
-               if own[k][0] != s]
+        forest, lists = Forest(), Lists([v for _, v in own])
+        number = {s: k for k, (s, _) in enumerate(own)}
+        out = [(s, own[j][0], hub, False) for s, v, role, _ in held if role == 1
+               for j in lists.search(v, number.get(s, -1)) if forest.join(s, own[j][0])]
         if out:
             yield link_rows(out)
 
