@@ -21,8 +21,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ROW, stored, with_row_key
 from tidemark.session import scratch_path
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Read when a stream starts.  Without preallocated files a store takes the disk that its keys need,
+# also when there are many partitions.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 TRIGGER_BYTES = 16 << 30
 
 
@@ -58,16 +65,18 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str, sink:
     def emit(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         query = folded.writeStream.outputMode("update").foreachBatch(emit).option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     query.awaitTermination()
 
 
