@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import (decontaminate, exact_stream, jaccard_join, langid, line_dedup, quality, secrets,
-                          suffix_dedup, warc)
+import public_tokenizers
+
+from tidemark.llm import (bpe, decontaminate, exact_stream, jaccard_join, langid, line_dedup, quality,
+                          secrets, suffix_dedup, warc)
 from tidemark.llm.common import read_table
 
 
@@ -21,6 +23,12 @@ def op3_quality(spark, root):
         read_table(spark, root, "documents"), read_table(spark, root, "labels"))
 
 
+def op4_bpe(spark, root):
+    return bpe.token_report(
+        read_table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 def op5_suffix_dedup(spark, root):
     return suffix_dedup.repeat_report(read_table(spark, root, "documents"))
 
@@ -46,7 +54,7 @@ def op10_warc(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontamination, op3_quality, op5_suffix_dedup, op6_exact_dedup, op7_jaccard_join, op8_language, op9_line_dedup,
+    op1_secret_scan, op2_decontamination, op3_quality, op4_bpe, op5_suffix_dedup, op6_exact_dedup, op7_jaccard_join, op8_language, op9_line_dedup,
     op10_warc)}
 
 ORACLES = {
