@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import (ROW, Prefix, in_filter, key_filter, key_slot, map_batches, mixed,
-                                 stored, texts_of, with_row_key)
+                                 same_document, slices, stored, texts_of, with_row_key)
 from tidemark.llm.components import connected_components
 from tidemark.llm.features import joined, lowered
 
@@ -147,6 +147,14 @@ def shared_only(rows: DataFrame) -> DataFrame:
         "hub <> top").select("h", "hub")
 
 
+def linkable(rows: DataFrame) -> DataFrame:
+    """``rows`` (sid, least, h) of sets with enough shared shingles, shared ones only."""
+    met = stored(rows.join(shared_only(rows).select("h"), "h"), "met")
+    able = stored(met.groupBy("sid", "least").agg(F.count("*").alias("c")).filter(
+        "c >= least").select("sid"), "able")
+    return stored(met.join(able, "sid"), "linkable")
+
+
 def block_members(rows: DataFrame) -> DataFrame:
     """(hub, sid): the sets that may have a link, by the hubs of their shared shingles."""
     exploded = rows.select("sid", "least", F.explode("prefix").alias("h"))
@@ -154,36 +162,37 @@ def block_members(rows: DataFrame) -> DataFrame:
     met = stored(exploded.join(shared, "h").distinct(), "met")
     able = stored(met.groupBy("sid", "least").agg(F.count("*").alias("c")).filter(
         "c >= least").select("sid"), "able")
-    left = stored(met.join(able, "sid").select("sid", "h"), "left")
+    # what was shared only with sets that are gone no longer counts
+    left = linkable(met.join(able, "sid")).select("sid", "h")
     hubs = stored(shared_only(left), "hubs")
     others = stored(left.join(hubs, "h").filter("sid <> hub").select("hub", "sid").distinct(),
                     "others")
     return others.unionByName(others.select("hub", F.col("hub").alias("sid")).distinct())
 
 
-def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, n, values) of the sets whose representative row is in ``wanted`` (sid, doc_id, row)."""
+def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, body): the packed text of the representative row of each set in ``wanted``.
+
+    A packed text is a third of its shingle hashes, which the tasks make again.
+    """
+    import zstandard
     bitmap = docs.sparkSession.sparkContext.broadcast(
         key_filter(wanted.select(key_slot("doc_id", ROW).alias("slot"))))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pick(batch: pa.RecordBatch):
         slots = batch.column(0).to_numpy(zero_copy_only=False)
-        take = pa.array(np.flatnonzero(in_filter(bitmap.value, slots)))
-        part = batch.take(take)
-        sets = shingle_sets(texts_of(part.column(2)))
+        part = batch.take(pa.array(np.flatnonzero(in_filter(bitmap.value, slots))))
+        pack = zstandard.ZstdCompressor(level=3).compress
         yield pa.RecordBatch.from_arrays(
-            [part.column(1), pa.array([set_id(v) for v in sets], pa.int64()),
-             pa.array([len(v) for v in sets], pa.int64()),
-             pa.array([v.tobytes() for v in sets], pa.binary())], ["key", "sid", "n", "values"])
+            [part.column(1), part.column(2),
+             pa.array([pack(t) for t in texts_of(part.column(3))], pa.binary())],
+            ["doc_id", ROW, "body"])
 
     rows = with_row_key(docs).select(
-        key_slot("doc_id", ROW).alias("slot"), F.xxhash64("doc_id", ROW).alias("key"),
-        F.col("text").alias("__text"))
-    made = map_batches(rows, pick, "key long, sid long, n long, values binary")
-    keys = wanted.select("sid", F.xxhash64("doc_id", ROW).alias("key"))
-    # rows that repeat the representative carry the same values
-    return made.join(keys, ["sid", "key"]).groupBy("sid").agg(
-        F.first("n").alias("n"), F.first("values").alias("values"))
+        key_slot("doc_id", ROW).alias("slot"), "doc_id", ROW, F.col("text").alias("__text"))
+    made = map_batches(rows, pick, f"doc_id {kind}, {ROW} long, body binary")
+    return same_document(made, wanted, "inner").select("sid", "body")
 
 
 class Lists:
@@ -255,20 +264,27 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DOWN * shared >= UP * (len(a) + len(b) - shared)
 
 
-def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list]]:
-    """Runs of rows with equal (hub, shard) from sorted batches."""
-    key, held = None, []
-    for batch in rows:
+def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Runs of rows with equal (hub, shard) from sorted batches: (sid, set, role, shards)."""
+    import zstandard
+    unpack = zstandard.ZstdDecompressor().decompress
+    key = None
+
+    def made(block: dict) -> list:
+        sets = shingle_sets([unpack(r["body"]) for r in block.values()])
+        return [(r["sid"], v, r["role"], r["shards"]) for r, v in zip(block.values(), sets)]
+    held = {}
+    for batch in (part for b in rows for part in slices(b)):
         for row in batch.to_pylist():
             now = (row["hub"], row["shard"])
             if now != key and held:
-                yield key, held
-                held = []
+                yield key[0], made(held)
+                held = {}
             key = now
-            held.append((row["sid"], np.frombuffer(row["values"], np.uint64), row["role"],
-                         row["shards"]))
+            # rows that repeat the representative bring the same set again
+            held[row["sid"], row["role"]] = row
     if held:
-        yield key, held
+        yield key[0], made(held)
 
 
 LINK = "a long, b long, hub long, pending boolean"
@@ -284,7 +300,7 @@ def link_rows(rows: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
 def first_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links with the hub; in a block of one shard also those of the other members, as far as
     they connect anything."""
-    for (hub, _), held in blocks(rows):
+    for hub, held in blocks(rows):
         center = next(v for s, v, _, _ in held if s == hub)
         others = [(s, v) for s, v, _, _ in held if s != hub]
         forest = Forest()
@@ -308,7 +324,7 @@ def first_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between searching members (role 1) and the members of one shard (role 0)."""
-    for (hub, _), held in blocks(rows):
+    for hub, held in blocks(rows):
         own = [(s, v) for s, v, role, _ in held if role == 0]
         if not own or len(own) == len(held):
             continue
@@ -321,30 +337,34 @@ def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(frame: DataFrame) -> DataFrame:
-    return frame.select("hub", "shard", "sid", "role", "shards", "values").repartition(
+    return frame.select("hub", "shard", "sid", "role", "shards", "body").repartition(
         "hub", "shard").sortWithinPartitions("hub", "shard", "role")
 
 
-def similar_links(members: DataFrame, sets: DataFrame,
+def similar_links(docs: DataFrame, members: DataFrame, wanted: DataFrame,
                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """All links that components need: (a, b) of set ids."""
-    sized = members.join(sets.select("sid", "n"), "sid")
-    shards = stored(sized.groupBy("hub").agg(
+    """All links that components need: (a, b) of set ids.
+
+    ``wanted`` (sid, n, doc_id, row) has the representative row of every member.
+    """
+    shards = stored(members.join(wanted.select("sid", "n"), "sid").groupBy("hub").agg(
         F.ceil(F.sum("n") * 8 / F.lit(shard_bytes)).cast("int").alias("shards")), "shards")
     placed = stored(members.join(shards, "hub").withColumn(
         "shard", F.pmod(F.xxhash64("sid"), F.col("shards")).cast("int")), "placed")
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
     own = placed.filter("sid <> hub")
-    hubs = shards.select("hub", F.col("hub").alias("sid"), "shards", F.explode(
-        F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    whole = own.unionByName(hubs).withColumn("role", F.lit(0)).join(sets.drop("n"), "sid")
-    first = stored(dealt(whole).mapInArrow(first_links, LINK), "links")
-    asking = stored(first.filter("pending").select("hub", F.col("a").alias("sid")), "asking")
-    busy = asking.select("hub").distinct()
-    visits = asking.join(shards, "hub").select("hub", "sid", "shards", F.explode(
-        F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("role"))
-    again = own.join(busy, "hub", "left_semi").withColumn("role", F.lit(0)).unionByName(
-        visits).join(sets.drop("n"), "sid")
-    second = dealt(again).mapInArrow(shard_links, LINK)
+    hubs = shards.select("hub", F.col("hub").alias("sid"), "shards", every)
+    whole = own.unionByName(hubs).withColumn("role", F.lit(0))
+    first = stored(dealt(whole.join(bodies(docs, wanted), "sid")).mapInArrow(first_links, LINK),
+                   "links")
+    asking = stored(first.filter("pending").select("hub", F.col("a").alias("sid")).distinct(),
+                    "asking")
+    visits = asking.join(shards, "hub").select(
+        "hub", "sid", "shards", every, F.lit(1).alias("role"))
+    again = stored(own.join(asking.select("hub").distinct(), "hub", "left_semi").withColumn(
+        "role", F.lit(0)).unionByName(visits), "again")
+    few = stored(wanted.join(again.select("sid").distinct(), "sid", "left_semi"), "few")
+    second = dealt(again.join(bodies(docs, few), "sid")).mapInArrow(shard_links, LINK)
     return first.filter("not pending").select("a", "b").unionByName(second.select("a", "b"))
 
 
@@ -355,11 +375,10 @@ def near_duplicates(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     narrow = stored(rows.select("doc_id", ROW, "n", "sid"), "sets-of-rows")
     members = stored(block_members(rows), "blocks")
     heads = narrow.filter("n > 0").groupBy("sid").agg(
-        F.min(F.struct("doc_id", ROW)).alias("head"))
+        F.min(F.struct("doc_id", ROW)).alias("head"), F.first("n").alias("n"))
     wanted = stored(members.select("sid").distinct().join(heads, "sid").select(
-        "sid", "head.doc_id", f"head.{ROW}"), "wanted")
-    sets = stored(set_table(docs, wanted), "sets")
-    links = similar_links(members, sets, shard_bytes)
+        "sid", "n", "head.doc_id", f"head.{ROW}"), "wanted")
+    links = similar_links(docs, members, wanted, shard_bytes)
     labels = stored(connected_components(links), "labels")
     labelled = stored(narrow.join(labels, narrow["sid"] == labels["node"], "left").select(
         "doc_id", ROW, F.col("n").alias("n_shingles"),
@@ -378,7 +397,6 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group, with its columns; of rows that repeat
     that document all stay.  Empty texts are groups of their own."""
-    from tidemark.llm.common import same_document
     kept = near_duplicates(docs).filter(
         F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", ROW).distinct()
     return same_document(with_row_key(docs), kept, "left_semi").drop(ROW)
