@@ -9,9 +9,10 @@ equality is asked:
    position's anchor.  Equal 200-byte strings have their anchors at the same place.  Each anchor is
    one row: the rank of its 64 bytes, which all its positions share, and the rank of the 336
    bytes that its positions reach.
-2. *185 bytes.*  Anchors whose 64 bytes are unique go.  Where all anchors of a rank agree on the
-   336 bytes, all their positions are repeated.  The others are cut into blocks of 16 positions,
-   ranked by their common 185 bytes and by the 215 bytes that they reach, in the same way.
+2. *185 and 197 bytes.*  Anchors whose 64 bytes are unique go.  Where all anchors of a rank agree on
+   the 336 bytes, all their positions are repeated.  The others are cut into blocks of 16, then of 4
+   positions, ranked by their common 185 (197) bytes and by the 215 (203) bytes that they reach,
+   in the same way.
 3. *200 bytes.*  What is still undecided becomes one row per position with the pair (rank of 100
    bytes, rank of the 100 bytes at offset 100); pairs that occur twice are repeated.
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from tidemark.llm.common import (FILTER_BITS, ROW, Prefix, in_filter, key_filter
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM  # positions are at most so far before their anchor
-BLOCK = 16
+BLOCKS = (16, 4)
 SLICE = 1 << 20
 
 
@@ -139,33 +141,34 @@ def anchor_rows(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
         make, f"doc_id {doc_type(docs)}, {ROW} long, core long, full long, spot long")
 
 
-def block_rows(undecided: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """Blocks of BLOCK positions of the undecided anchors (doc_id, row, text, spots)."""
+def block_rows(undecided: DataFrame, size: int, bitmap: np.ndarray | None = None) -> DataFrame:
+    """Blocks of ``size`` positions of the undecided ones (doc_id, row, body, spots), counted from
+    their anchor."""
     shared = undecided.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for b in batches for part in slices(b, SLICE)):
-            body = Bytes(texts_of(batch.column(2)))
+        for batch in (part for b in batches for part in slices(b, SLICE // 4)):
+            body = Bytes(unpacked_texts(batch.column(2)))
             spots = batch.column(3)
             text = np.repeat(np.arange(batch.num_rows), list_sizes(spots))
             place, first, last = unpacked(spots.flatten().to_numpy(zero_copy_only=False))
-            low, high = (place - last) // BLOCK, (place - first) // BLOCK
+            low, high = (place - last) // size, (place - first) // size
             many = high - low + 1
             of = np.repeat(np.arange(len(place)), many)
             step = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
             number = low[of] + step
             text, place = text[of], place[of]
             base = body.offsets[text]
-            until = place - number * BLOCK  # the last position of the block
-            since = until - BLOCK + 1
+            until = place - number * size  # the last position of the block
+            since = until - size + 1
             begin = np.maximum(since, first[of])
             end = np.minimum(until, last[of])
             core = mixed(body.hashes(base + until, base + since + LENGTH)
                          + number.astype(np.uint64))
             full = body.reach(text, base + since, base + until + LENGTH, base + until)
-            yield group_rows(batch, text, core, full, packed(end, begin, end), shared.value)
+            yield group_rows(batch, text, core, full, packed(place, begin, end), shared.value)
 
-    return undecided.select("doc_id", ROW, "text", "spots").mapInArrow(
+    return undecided.select("doc_id", ROW, "body", "spots").mapInArrow(
         make, f"doc_id {doc_type(undecided)}, {ROW} long, core long, full long, spot long")
 
 
@@ -179,8 +182,8 @@ def position_rows(undecided: DataFrame, bitmap: np.ndarray | None = None) -> Dat
     shared = undecided.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for b in batches for part in slices(b, SLICE)):
-            body = Bytes(texts_of(batch.column(2)))
+        for batch in (part for b in batches for part in slices(b, SLICE // 4)):
+            body = Bytes(unpacked_texts(batch.column(2)))
             spots = batch.column(3)
             text = np.repeat(np.arange(batch.num_rows), list_sizes(spots))
             _, first, last = unpacked(spots.flatten().to_numpy(zero_copy_only=False))
@@ -193,7 +196,7 @@ def position_rows(undecided: DataFrame, bitmap: np.ndarray | None = None) -> Dat
                              body.hashes(at + half, at + LENGTH), packed(place, place, place),
                              shared.value)
 
-    return undecided.select("doc_id", ROW, "text", "spots").mapInArrow(
+    return undecided.select("doc_id", ROW, "body", "spots").mapInArrow(
         make, f"doc_id {doc_type(undecided)}, {ROW} long, core long, full long, spot long")
 
 
@@ -217,42 +220,56 @@ def decide(make, name: str) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, groups: DataFrame, name: str) -> DataFrame:
-    """(doc_id, row, text, spots): undecided groups with the texts that they are in."""
+    """(doc_id, row, body, spots): undecided groups with the packed texts that they are in."""
     lists = stored(groups.filter("not same").groupBy("doc_id", ROW).agg(
         F.array_distinct(F.collect_list("spot")).alias("spots")), f"{name}-lists")
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_filter(
-        lists.select(key_slot("doc_id", ROW).alias("slot"))))
-    hit = pick_rows(docs, bitmap)
-    return stored(same_document(hit, lists, "inner"), f"{name}-texts")
+    return stored(same_document(picked(docs, row_filter(lists)), lists, "inner"),
+                  f"{name}-texts")
 
 
-def pick_rows(docs: DataFrame, bitmap, inside: bool = True) -> DataFrame:
-    """Rows (doc_id, row, text) whose key may be in the bitmap, or surely is not."""
+def row_filter(rows: DataFrame):
+    return rows.sparkSession.sparkContext.broadcast(
+        key_filter(rows.select(key_slot("doc_id", ROW).alias("slot"))))
+
+
+def picked(docs: DataFrame, bitmap) -> DataFrame:
+    """(doc_id, row, body): packed texts of the rows that may be in the bitmap."""
     def pick(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            slots = batch.column(3).to_numpy(zero_copy_only=False)
-            found = in_filter(bitmap.value, slots)
-            yield batch.filter(pa.array(found if inside else ~found)).select(
-                ["doc_id", ROW, "text"])
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in (part for b in batches for part in slices(b)):
+            found = in_filter(bitmap.value, batch.column(3).to_numpy(zero_copy_only=False))
+            kept = batch.filter(pa.array(found))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(0), kept.column(1),
+                 pa.array([pack(t) for t in texts_of(kept.column(2))], pa.binary())],
+                ["doc_id", ROW, "body"])
 
-    keyed = docs if ROW in docs.columns else with_row_key(docs)
-    return keyed.select("doc_id", ROW, "text", key_slot("doc_id", ROW).alias("slot")).mapInArrow(
-        pick, f"doc_id {doc_type(docs)}, {ROW} long, text string")
+    return with_row_key(docs).select(
+        "doc_id", ROW, "text", key_slot("doc_id", ROW).alias("slot")).mapInArrow(
+        pick, f"doc_id {doc_type(docs)}, {ROW} long, body binary")
+
+
+def unpacked_texts(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(v) for v in column.to_pylist()]
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, row, spot): ranges of repeated positions."""
     anchors = decide(lambda bitmap: anchor_rows(docs, bitmap), "anchors")
-    texts = with_texts(docs, anchors, "blocks")
-    blocks = decide(lambda bitmap: block_rows(texts, bitmap), "blocks")
-    texts = with_texts(texts.select("doc_id", ROW, "text"), blocks, "positions")
+    found, groups = [anchors], anchors
+    for size in BLOCKS:
+        texts = with_texts(docs, groups, f"blocks-{size}")
+        groups = decide(lambda bitmap: block_rows(texts, size, bitmap), f"blocks-{size}")
+        found.append(groups)
+    texts = with_texts(docs, groups, "positions")
     pairs = stored(position_rows(texts).groupBy("core", "full").agg(
         F.count("*").alias("n")).filter("n > 1").select("core", "full"), "pairs")
     places = stored(position_rows(texts, core_filter(pairs)).join(
         pairs, ["core", "full"]).select("doc_id", ROW, "spot"), "places")
-    keep = ["doc_id", ROW, "spot"]
-    return anchors.filter("same").select(*keep).unionByName(
-        blocks.filter("same").select(*keep)).unionByName(places)
+    for groups in found:
+        places = places.unionByName(groups.filter("same").select("doc_id", ROW, "spot"))
+    return places
 
 
 def cover(size: int, spots: np.ndarray) -> np.ndarray:
@@ -268,33 +285,40 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     lists = stored(repeated_ranges(docs).groupBy("doc_id", ROW).agg(
         F.collect_list("spot").alias("spots")), "repeats")
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_filter(
-        lists.select(key_slot("doc_id", ROW).alias("slot"))))
-    hit = same_document(pick_rows(docs, bitmap), lists).select("doc_id", "text", "spots")
-    clean = pick_rows(docs, bitmap, inside=False).select(
-        "doc_id", "text", F.lit(None).cast("array<long>").alias("spots"))
+    bitmap = row_filter(lists)
+    hit = same_document(picked(docs, bitmap), lists).select("doc_id", "body", "spots")
+    schema = (f"doc_id {doc_type(docs)}, n_bytes long, removed array<struct<start:long,end:long>>, "
+              "kept binary")
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in (part for b in batches for part in slices(b)):
-            sizes, removed, kept = [], [], []
-            for body, spots in zip(texts_of(batch.column(1)), batch.column(2)):
-                sizes.append(len(body))
-                if not spots.is_valid:
-                    removed.append([])
-                    kept.append(body)
-                    continue
-                gone = cover(len(body), spots.values.to_numpy(zero_copy_only=False))
-                starts, ends = spans_where(gone)
-                removed.append([{"start": a, "end": b}
-                                for a, b in zip(starts.tolist(), ends.tolist())])
-                kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(span)),
-                 pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+        for batch in (part for b in batches for part in slices(b, SLICE)):
+            yield cut_rows(batch.column(0), unpacked_texts(batch.column(1)), batch.column(2))
 
-    kind = f"doc_id {doc_type(docs)}, n_bytes long, removed array<struct<start:long,end:long>>, "
-    return hit.unionByName(clean).mapInArrow(cut, kind + "kept binary")
+    def whole(batches: Iterator[pa.RecordBatch]):
+        for batch in (part for b in batches for part in slices(b)):
+            found = in_filter(bitmap.value, batch.column(2).to_numpy(zero_copy_only=False))
+            rest = batch.filter(pa.array(~found))
+            yield cut_rows(rest.column(0), texts_of(rest.column(1)), None)
+
+    clean = with_row_key(docs).select("doc_id", "text", key_slot("doc_id", ROW).alias("slot"))
+    return hit.mapInArrow(cut, schema).unionByName(clean.mapInArrow(whole, schema))
+
+
+def cut_rows(ids: pa.Array, texts: list[bytes], spots: pa.Array | None) -> pa.RecordBatch:
+    removed, kept = [], []
+    for k, body in enumerate(texts):
+        if spots is None or not spots[k].is_valid:
+            removed.append([])
+            kept.append(body)
+            continue
+        gone = cover(len(body), spots[k].values.to_numpy(zero_copy_only=False))
+        starts, ends = spans_where(gone)
+        removed.append([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist())])
+        kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes())
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.list_(span)),
+         pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
