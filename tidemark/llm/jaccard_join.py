@@ -34,7 +34,7 @@ from tidemark.llm.features import joined, lowered
 
 WORDS = 5
 UP, DOWN = 4, 5  # the threshold as a fraction
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 SAMPLE_ROWS = 4000
 EXTRA = 10
 _SPACE = np.zeros(256, bool)
@@ -147,14 +147,6 @@ def shared_only(rows: DataFrame) -> DataFrame:
         "hub <> top").select("h", "hub")
 
 
-def linkable(rows: DataFrame) -> DataFrame:
-    """``rows`` (sid, least, h) of sets with enough shared shingles, shared ones only."""
-    met = stored(rows.join(shared_only(rows).select("h"), "h"), "met")
-    able = stored(met.groupBy("sid", "least").agg(F.count("*").alias("c")).filter(
-        "c >= least").select("sid"), "able")
-    return stored(met.join(able, "sid"), "linkable")
-
-
 def block_members(rows: DataFrame) -> DataFrame:
     """(hub, sid): the sets that may have a link, by the hubs of their shared shingles."""
     exploded = rows.select("sid", "least", F.explode("prefix").alias("h"))
@@ -162,8 +154,7 @@ def block_members(rows: DataFrame) -> DataFrame:
     met = stored(exploded.join(shared, "h").distinct(), "met")
     able = stored(met.groupBy("sid", "least").agg(F.count("*").alias("c")).filter(
         "c >= least").select("sid"), "able")
-    # what was shared only with sets that are gone no longer counts
-    left = linkable(met.join(able, "sid")).select("sid", "h")
+    left = stored(met.join(able, "sid").select("sid", "h"), "left")
     hubs = stored(shared_only(left), "hubs")
     others = stored(left.join(hubs, "h").filter("sid <> hub").select("hub", "sid").distinct(),
                     "others")
@@ -271,8 +262,8 @@ def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
     key = None
 
     def made(block: dict) -> list:
-        sets = shingle_sets([unpack(r["body"]) for r in block.values()])
-        return [(r["sid"], v, r["role"], r["shards"]) for r, v in zip(block.values(), sets)]
+        return [(r["sid"], shingle_sets([unpack(r["body"])])[0], r["role"], r["shards"])
+                for r in block.values()]
     held = {}
     for batch in (part for b in rows for part in slices(b)):
         for row in batch.to_pylist():
