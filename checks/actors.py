@@ -48,7 +48,7 @@ def actor_views(sfx: str, tag: str, topic: str | None = None) -> None:
             select user_id from posts_{sfx} where true {u_in} union
             select user_id from comments_{sfx} where true {u_in})
           {cross}) where uid > 0 group by 1""",
-        f"a_mark_{tag}": f"select * from a_cand_{tag} order by uid limit 2000",
+        f"a_mark_{tag}": f"select * from a_cand_{tag}",
         f"a_topics_{tag}": f"""select s.uid, pt.topic_id, any_value(t.title) title,
           count(distinct s.post_id) posts from (
           select user_id uid, post_id from posts_{sfx} union all
@@ -124,14 +124,14 @@ def ranked_sql(tag: str, limit: int = 20) -> str:
       actor_influence_score desc, sample_count desc, uid limit {limit}"""
 
 
-actor_views("365d", "365d")
+actor_views("all", "all")
 actor_views("7d", "7d")
 actor_views("all", "one", BUSIEST)
 
 
-@query("act_14", ranked_sql("365d"))
+@query("act_14", ranked_sql("all"))
 def act_14(run):
-    return key_actors(run.tables, run.window("365d"))
+    return key_actors(run.tables, run.window())
 
 
 @query("act_14_week", ranked_sql("7d"))
@@ -144,74 +144,75 @@ def act_14_topic(run):
     return key_actors(run.tables, run.window(), busiest(run))
 
 
-@query("act_01", "select * from a_p95_365d")
+@query("act_01", "select * from a_p95_all")
 def act_01(run):
-    return a.interaction_p95(run.tables, run.window("365d"))
+    return a.interaction_p95(run.tables, run.window())
 
 
 def branch(name: str, marker: str, build) -> None:
-    sql = f"select uid from a_cand_365d where {marker} = 1"
+    sql = f"select uid from a_cand_all where {marker} = 1"
     query(name, sql)(lambda run: build(run).filter(f"{marker} = 1").select("uid").distinct())
 
 
 def folded(run):
-    return a.fold_actors(a.spoken_samples(run.tables, run.window("365d")))
+    return a.fold_actors(a.spoken_samples(run.tables, run.window()))
 
 
 def authored(run):
-    return a.posts_in(run.tables, run.window("365d"))
+    return a.posts_in(run.tables, run.window())
 
 
 branch("act_02", "is_entry_kol", lambda r: a.entry_kols(r.tables, authored(r)))
 branch("act_03", "is_high_inter", lambda r: a.high_interaction(
-    authored(r), a.interaction_p95(r.tables, r.window("365d"))))
+    authored(r), a.interaction_p95(r.tables, r.window("all"))))
 branch("act_04", "is_polar", lambda r: a.polar_and_active(folded(r)))
 branch("act_04_active", "is_active", lambda r: a.polar_and_active(folded(r)))
-branch("act_05", "is_verified_kol", lambda r: a.identity_kols(r.tables, r.window("365d")))
+branch("act_05", "is_verified_kol", lambda r: a.identity_kols(r.tables, r.window("all")))
 branch("act_06", "is_cross_topic", lambda r: a.cross_topic(r.tables, authored(r)))
 
 
-@query("act_07", "select * from a_mark_7d")
+@query("act_07", "select * from a_mark_all")
 def act_07(run):
-    return a.role_markers(run.tables, run.window("7d"))
+    return a.role_markers(run.tables, run.window())
 
 
 @query("act_08", f"""select uid, pred_label_id, count(*) sample_count,
   count(*) filter (where source_type = 'post') post_count,
   count(*) filter (where source_type = 'comment') comment_count,
-  {big('sum(interaction_count)')} interaction_count from a_said_365d group by 1, 2""")
+  {big('sum(interaction_count)')} interaction_count from a_said_all group by 1, 2""")
 def act_08(run):
-    return a.actor_emotions(a.spoken_samples(run.tables, run.window("365d")))
+    return a.actor_emotions(a.spoken_samples(run.tables, run.window()))
 
 
-@query("act_09", "select * from a_foot_7d")
+@query("act_09", "select * from a_foot_all")
 def act_09(run):
-    window = run.window("7d")
+    window = run.window()
     return a.topic_footprint(run.tables, window, a.role_markers(run.tables, window))
 
 
-@query("act_10", "select * from a_fold_365d")
+@query("act_10", "select * from a_fold_all")
 def act_10(run):
     return folded(run)
 
 
-PROFILE_SQL = "select uid, {0} from a_all_7d"
+PROFILE_SQL = "select uid, {0} from a_all_all"
 
 
-def profile_query(name: str, cols: list[str], sql_cols: str, sfx: str = "7d", build=None) -> None:
+def profile_query(name: str, cols: list[str], sql_cols: str, sfx: str = "all", build=None) -> None:
     def fn(run):
-        out = a.actor_profiles(run.tables, run.window(sfx))
+        out = a.actor_profiles(run.tables, run.window())
         return build(out) if build else out.select("uid", *cols)
     query(name, f"select uid, {sql_cols} from a_all_{sfx}")(fn)
 
 
-profile_query("act_11", ["actor_influence_score"], "actor_influence_score", "365d")
+profile_query("act_11", ["actor_influence_score"], "actor_influence_score", "all")
 profile_query("act_12", ["interaction_contribution"], "interaction_contribution")
 profile_query(
     "act_13", [], "case when len(found) = 0 then 'ordinary_actor' else "
-    "array_to_string(found, ',') end roles, role_count", "365d",
+    "array_to_string(found, ',') end roles, role_count", "all",
     lambda p: p.select("uid", F.array_join("roles", ",").alias("roles"), "role_count"))
-profile_query("act_15", ["display_name"], "display_name")
+profile_query("act_15", [], "display_name", build=lambda p: a.add_display_names(p).select(
+    "uid", "display_name"))
 
 
 @query("act_16", """select uid, 'u_' || substr(sha256(cast(uid as varchar)), 1, 10) actor_id
@@ -222,23 +223,23 @@ def act_16(run):
 
 @query("act_17", f"""select actor_id, display_name, actor_influence_score influence_score,
   negative_ratio, interaction_count, dominant_emotion, top_topic_id topic_id
-  from ({ranked_sql('365d', 80)})""")
+  from ({ranked_sql('all', 80)})""")
 def act_17(run):
-    profiles = a.actor_profiles(run.tables, run.window("365d"))
+    profiles = a.actor_profiles(run.tables, run.window())
     return a.influence_points(a.rank_actors(profiles, 80))
 
 
 ROLE_SQL = """select unnest(case when len(found) = 0 then ['ordinary_actor'] else found end) "role"
-  from a_all_365d"""
+  from a_all_all"""
 
 
 @query("act_18", f'select "role", count(*) actors from ({ROLE_SQL}) group by 1')
 def act_18(run):
-    return a.role_counts(a.actor_profiles(run.tables, run.window("365d")))
+    return a.role_counts(a.actor_profiles(run.tables, run.window()))
 
 
-@query("act_18_filter", """select uid from a_all_7d
+@query("act_18_filter", """select uid from a_all_all
   where list_contains(found, 'entry_kol') or list_contains(found, 'high_interaction')""")
 def act_18_filter(run):
-    profiles = a.actor_profiles(run.tables, run.window("7d"))
+    profiles = a.actor_profiles(run.tables, run.window())
     return a.with_any_role(profiles, ["entry_kol", "high_interaction"]).select("uid")

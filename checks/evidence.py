@@ -37,7 +37,7 @@ def evidence_view(name: str, sfx: str, topic: str = "", text: str = "", who: str
 
 
 evidence_view("e_all", "all")
-evidence_view("e_year", "365d")
+evidence_view("e_year", "all")
 evidence_view("e_topic", "all", BUSIEST)
 evidence_view("e_text", "all", "", "and contains(lower(s.text_raw), 'urgent')")
 evidence_view("e_who", "all", "", "", "and s.user_id = (select min(uid) from v_user)")
@@ -63,18 +63,18 @@ FEED_SQL = "select " + ", ".join(f'"{x}"' for x in FEED)
 
 @query("ev_01", "select \"source\", source_id, evidence_score from e_year")
 def ev_01(run):
-    return e.evidence_feed(run.tables, run.window("365d")).select(
+    return e.evidence_feed(run.tables, run.window()).select(
         "source", "source_id", "evidence_score")
 
 
 @query("ev_02", FEED_SQL + " from e_year where \"source\" = 'post'")
 def ev_02(run):
-    return e.evidence_feed(run.tables, run.window("365d"), kinds=("post",)).select(*FEED)
+    return e.evidence_feed(run.tables, run.window(), kinds=("post",)).select(*FEED)
 
 
 @query("ev_03", FEED_SQL + " from e_year where \"source\" = 'comment'")
 def ev_03(run):
-    return e.evidence_feed(run.tables, run.window("365d"), kinds=("comment",)).select(*FEED)
+    return e.evidence_feed(run.tables, run.window(), kinds=("comment",)).select(*FEED)
 
 
 @query("ev_04", FEED_SQL + " from e_text")
@@ -126,7 +126,7 @@ def ev_07(run):
   case when actor_role = 'verified_actor' then '认证账号' end,
   case when margin < 0.15::double then '低 margin' end) evidence_reason from e_year""")
 def ev_08(run):
-    return e.evidence_feed(run.tables, run.window("365d")).select(
+    return e.evidence_feed(run.tables, run.window()).select(
         "source", "source_id", e.evidence_reason().alias("evidence_reason"))
 
 

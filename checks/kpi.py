@@ -49,14 +49,14 @@ def kpi_03(run):
     return times(w.range_window(base, "all_available"), "mid_ts").select("mid_ts")
 
 
-@query("kpi_04", "select count(distinct post_id) post_count from posts_365d")
+@query("kpi_04", "select count(distinct post_id) post_count from posts_all")
 def kpi_04(run):
-    return k.post_count(run.tables, run.window("365d"))
+    return k.post_count(run.tables, run.window())
 
 
-@query("kpi_05", "select count(distinct comment_id) sampled_comment_count from comments_365d")
+@query("kpi_05", "select count(distinct comment_id) sampled_comment_count from comments_all")
 def kpi_05(run):
-    return k.comment_count(run.tables, run.window("365d"))
+    return k.comment_count(run.tables, run.window())
 
 
 ACTIVE = """select count(distinct topic_id) active_topic_count from v_post_topic
@@ -72,24 +72,24 @@ VERIFIED = """select count(distinct uid) verified_actor_count from v_user where
   and uid in (select user_id from posts_{0} union select user_id from comments_{0})"""
 
 
-@query("kpi_06", ACTIVE.format("7d"))
+@query("kpi_06", ACTIVE.format("all"))
 def kpi_06(run):
-    return k.active_topics(run.tables, run.window("7d"))
+    return k.active_topics(run.tables, run.window())
 
 
-@query("kpi_07", INTERACTIONS.format("365d", TOTAL))
+@query("kpi_07", INTERACTIONS.format("all", TOTAL))
 def kpi_07(run):
-    return k.total_interactions(run.tables, run.window("365d"))
+    return k.total_interactions(run.tables, run.window())
 
 
-@query("kpi_08", KOL.format("365d"))
+@query("kpi_08", KOL.format("all"))
 def kpi_08(run):
-    return k.kol_entry_posts(run.tables, run.window("365d"))
+    return k.kol_entry_posts(run.tables, run.window())
 
 
-@query("kpi_09", VERIFIED.format("7d"))
+@query("kpi_09", VERIFIED.format("all"))
 def kpi_09(run):
-    return k.verified_actors(run.tables, run.window("7d"))
+    return k.verified_actors(run.tables, run.window())
 
 
 def summary_sql(sfx: str) -> str:
@@ -106,9 +106,9 @@ def kpi_10(run):
     return k.prediction_summary(run.tables, run.window())
 
 
-@query("kpi_11", f"select risk_index from ({summary_sql('365d')})")
+@query("kpi_11", f"select risk_index from ({summary_sql('all')})")
 def kpi_11(run):
-    return k.prediction_summary(run.tables, run.window("365d")).select("risk_index")
+    return k.prediction_summary(run.tables, run.window()).select("risk_index")
 
 
 def tier_view(sfx: str) -> None:
@@ -119,21 +119,20 @@ def tier_view(sfx: str) -> None:
       select user_id from v_comment, w_{sfx} w where created_at >= w.start_ts) group by 1)"""
 
 
-tier_view("7d")
-tier_view("365d")
+tier_view("all")
 
 
 @query("kpi_12", f"""select s.total prediction_sample_count, s.negative_ratio,
   s.anger_fear_ratio, s.risk_index, s.avg_confidence, s.low_confidence_count,
-  (select count(*) from posts_365d) post_count,
-  (select count(distinct comment_id) from comments_365d) sampled_comment_count,
-  ({ACTIVE.format('365d')}) active_topic_count,
-  ({INTERACTIONS.format('365d', TOTAL)}) latest_interactions,
-  ({KOL.format('365d')}) kol_entry_post_count, ({VERIFIED.format('365d')}) verified_actor_count,
+  (select count(*) from posts_all) post_count,
+  (select count(distinct comment_id) from comments_all) sampled_comment_count,
+  ({ACTIVE.format('all')}) active_topic_count,
+  ({INTERACTIONS.format('all', TOTAL)}) latest_interactions,
+  ({KOL.format('all')}) kol_entry_post_count, ({VERIFIED.format('all')}) verified_actor_count,
   (select string_agg(profile_tier || '=' || printf('%.4f', share), ',' order by profile_tier)
-   from tier_365d) profile_tiers from ({summary_sql('365d')}) s""")
+   from tier_all) profile_tiers from ({summary_sql('all')}) s""")
 def kpi_12(run):
-    return k.overview(run.tables, run.window("365d"))
+    return k.overview(run.tables, run.window())
 
 
 SERIES = f"""select {day('source_created_at')} "day", {EMOTIONS} from p_all group by 1"""
@@ -166,12 +165,12 @@ def kpi_15(run):
     return w.window_meta(w.data_window(run.tables.post, STABLE_DAY))
 
 
-@query("dq_16", "select * from tier_7d")
+@query("dq_16", "select * from tier_all")
 def dq_16(run):
-    return k.tier_distribution(run.tables, run.window("7d"))
+    return k.tier_distribution(run.tables, run.window())
 
 
 @query("dq_17", f"select {rnd('sum(share) filter (where profile_tier >= 1)')} trusted_ratio "
-       "from tier_7d")
+       "from tier_all")
 def dq_17(run):
-    return k.trusted_tier_ratio(k.tier_distribution(run.tables, run.window("7d")))
+    return k.trusted_tier_ratio(k.tier_distribution(run.tables, run.window()))

@@ -138,7 +138,9 @@ RUN_NAME = """event_type || '-' || case when user_id % 2 = 0 then 'usual' else '
 
 @query("src_13", f"""select name, model, track, timestamp_, epochs_run, best_epoch,
   case when lo = 0 then 'no train_args.json' when n < 30 then 'no final_test_report.json' end
-  problem from (select {RUN_NAME} name, event_type model, case when user_id % 2 = 0 then 'usual'
+  problem, case when n >= 30 then n / 200.0::double end test_loss,
+  case when n >= 30 then n end test_samples, case when n >= 30 then n / 100.0::double end first_f1,
+  case when n >= 30 then n end cell from (select {RUN_NAME} name, event_type model, case when user_id % 2 = 0 then 'usual'
   else 'virus' end track, strftime(ts, '%Y%m%d') || '-0000' timestamp_, count(*) n,
   min(event_id % 3) lo, count(*) epochs_run, arg_max(event_id, (value, -event_id)) best_epoch
   from events group by 1, 2, 3, 4)""")
@@ -150,13 +152,17 @@ def src_13(run):
                                         F.min(F.col("event_id") % 3).alias("lo"))
     args = folded.filter("lo <> 0").select("path", F.lit("base").alias("pretrained"))
     reports = folded.filter("n >= 30").select(
-        "path", (F.col("n") / 100.0).alias("macro_f1"), (F.col("n") / 100.0).alias("accuracy"))
+        "path", (F.col("n") / 100.0).alias("macro_f1"), (F.col("n") / 100.0).alias("accuracy"),
+        (F.col("n") / 200.0).alias("loss"), F.col("n").alias("samples"),
+        F.array((F.col("n") / 100.0)).alias("per_class_f1"),
+        F.array(F.array("n")).alias("confusion_matrix"))
     history = events.select("path", F.col("event_id").alias("epoch"),
                             F.col("value").alias("macro_f1"), F.lit(1).alias("train_time_s"),
                             F.lit(1).alias("eval_time_s"))
     return io.join_runs(args, reports, history).select(
         "name", "model", "track", F.col("timestamp").alias("timestamp_"), "epochs_run",
-        "best_epoch", "problem")
+        "best_epoch", "problem", "test_loss", "test_samples",
+        F.col("per_class_f1")[0].alias("first_f1"), F.col("confusion_matrix")[0][0].alias("cell"))
 
 
 @query("src_14", "select text \"content\" from documents union select text from conversations")
@@ -194,7 +200,7 @@ def dated(run):
 @query("cx_03", f"""select conv_id, {iso('updated_at')} updated_at, message_count from (
   select conv_id, max({SAID}) updated_at, count(*) message_count from conversations group by 1)
   where updated_at >= (select max({SAID}) from conversations) - interval 7 days
-  order by updated_at desc, conv_id limit 50""")
+  order by updated_at desc, conv_id""")
 def cx_03(run):
     return cx.active_sessions(dated(run)).withColumn(
         "updated_at", local_iso(F.col("updated_at")))
@@ -252,7 +258,7 @@ def cx_07(run):
 @query("cx_08")
 def cx_08(run):
     """One JSON document; its parts are the checked rankings."""
-    return overview_context(run.tables, run.window("365d"), SETTINGS)
+    return overview_context(run.tables, run.window(), SETTINGS)
 
 
 @query("cx_09")

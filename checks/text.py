@@ -44,14 +44,14 @@ def squeeze(col: str, n: int | None) -> str:
     return out if n is None else f"substr({out}, 1, {n})"
 
 
-def clean_sql(col: str, n: int | None = 512) -> str:
+def clean_sql(col: str, n: int | None = None) -> str:
     out = f"lower({col})"
     for pattern, to in ((tx.URL, ""), (tx.REPOST, ""), (tx.MENTION, ""), (tx.HASHTAG, r"\1")):
         out = rx(out, pattern, to)
     return squeeze(out, n)
 
 
-def legacy_sql(col: str, n: int | None = 140) -> str:
+def legacy_sql(col: str, n: int | None = None) -> str:
     out = f"lower({col})"
     for pattern in (tx.LEGACY_URL, tx.EMAIL, tx.MENTION):
         out = rx(out, pattern)
@@ -86,7 +86,7 @@ text_query("txt_08", tx.unwrap_hashtags, rx("content", tx.HASHTAG, r"\1"))
 text_query("txt_09", lambda c: tx.squeeze(c, 512), squeeze("content", 512))
 text_query("txt_10", tx.clean_text_legacy, legacy_sql("content"))
 text_query("txt_10_whole", lambda c: tx.clean_text_legacy(c, None), legacy_sql("content", None))
-text_query("txt_11", tx.near_dedupe_key, f"substr({rx('content', tx.NON_WORD)}, 1, 160)")
+text_query("txt_11", tx.near_dedupe_key, rx("content", tx.NON_WORD))
 text_query("txt_17", tx.content_hash, "substr(sha256(content), 1, 16)")
 text_query("txt_25", lambda c: tx.shorten(c, 80), """case when length(trim(content)) <= 80 then
   trim(content) else rtrim(substr(trim(content), 1, 80)) || '...' end""")
@@ -126,7 +126,7 @@ def sorted_sql(found: str) -> str:
 
 HARD = f"""case when (len(emo) > 0 and obj) or len(sar) > 0 then {sorted_sql(
     "list_distinct(list_concat(case when obj then ['objective_cue'] else [] end,"
-    " list_concat(emo[1:4], sar[1:4])))")} else [] end"""
+    " list_concat(emo, sar)))")} else [] end"""
 OBJECTIVE = tx.alternation(WORDS.objective)
 VIEWS["v_hits0"] = f"""select id, content, label_id, split, {hits_sql(WORDS.fear)} h_fear,
   {hits_sql(WORDS.surprise)} h_surprise, {hits_sql(WORDS.anger_sad_boundary)} h_anger,
@@ -136,7 +136,7 @@ VIEWS["v_hits"] = f"select *, {HARD} h_hard from v_hits0"
 
 
 def listed(name: str, col: str) -> str:
-    return f"case when len({col}) > 0 then '{name}:' || array_to_string({col}[1:8], '|') end"
+    return f"case when len({col}) > 0 then '{name}:' || array_to_string({col}, '|') end"
 
 
 VIEWS["v_bucket"] = f"""select id, content, label_id, split, concat_ws(',',
@@ -389,7 +389,7 @@ def dq_05(run):
     return exclude_contents(q.dedupe_content(t.text), *others).select("id")
 
 
-NEAR = f"substr({rx('content', tx.NON_WORD)}, 1, 160)"
+NEAR = rx("content", tx.NON_WORD)
 
 
 @query("dq_06", f"""select id from (select id, row_number() over (partition by {NEAR} order by id)

@@ -24,8 +24,7 @@ def topic_views(sfx: str, q: str = "", tag: str | None = None) -> None:
           count(distinct pt.post_id) post_count from v_post_topic pt
           join v_topic t on t.topic_id = pt.topic_id
           where pt.post_id in (select post_id from p_{sfx}) {search}
-          group by 1 having count(distinct pt.post_id) >= 3
-          order by post_count desc, topic_id limit 200""",
+          group by 1 having count(distinct pt.post_id) >= 3""",
         f"t_emo_{tag}": f"""select pt.topic_id, {EMOTIONS},
           count(*) filter (where source_type = 'post') post_samples,
           count(*) filter (where source_type = 'comment') comment_samples,
@@ -166,10 +165,10 @@ def top_01(run):
       recent_negative,
     count(*) filter (where pred_label_id in (1, 2, 3) and source_created_at < w.mid_ts)
       previous_negative
-   from p_365d sp join v_post_topic pt on pt.post_id = sp.post_id, w_365d w group by 1)""")
+   from p_all sp join v_post_topic pt on pt.post_id = sp.post_id, w_all w group by 1)""")
 def top_02(run):
     from tidemark.functions.numeric import mean_micros, round_to
-    totals = t.topic_totals(run.tables, run.window("365d")).filter("sample_count > 0")
+    totals = t.topic_totals(run.tables, run.window()).filter("sample_count > 0")
     return totals.select(
         "topic_id", *EMOTION_COUNTS, "sample_count", "post_samples", "comment_samples",
         round_to(mean_micros(F.col("confidence_micros"), F.col("sample_count")))
@@ -190,10 +189,10 @@ def top_04(run):
     return totals.select("topic_id", *[f"source_{x}" for x in TYPES])
 
 
-@query("top_05", """select * from t_act_365d
+@query("top_05", """select * from t_act_all
   where kol_entry_count + verified_actor_count + high_follower_actor_count > 0""")
 def top_05(run):
-    totals = t.topic_totals(run.tables, run.window("365d"))
+    totals = t.topic_totals(run.tables, run.window())
     cols = ["kol_entry_count", "verified_actor_count", "high_follower_actor_count"]
     return totals.select("topic_id", *cols).filter(" + ".join(cols) + " > 0")
 
@@ -214,12 +213,11 @@ def top_06(run):
 CAPS = ("cap_negative_growth", "cap_interaction_growth", "cap_kol_verified")
 
 
-@query("top_07", f"select {', '.join(rnd(c, 6) + ' ' + c for c in CAPS)} from t_caps_365d")
+@query("top_07", f"select {', '.join(rnd(c, 6) + ' ' + c for c in CAPS)} from t_caps_all")
 def top_07(run):
     from tidemark.functions.numeric import round_to
-    found = t.topic_candidates_with_factors(run.tables, run.window("365d"))
-    caps = found.agg(*t.window_caps())
-    return caps.select(*[round_to(F.col(c), 6).alias(c) for c in CAPS])
+    found = t.topic_candidates_with_factors(run.tables, run.window())
+    return t.window_caps(found).select(*[round_to(F.col(c), 6).alias(c) for c in CAPS])
 
 
 @query("top_08", "select topic_id, risk_score, risk_level, "

@@ -21,7 +21,8 @@ def test_cleaner_order_and_unicode(spark):
     texts = ["ＨＴＴＰ://a.b/x 好", "说//@某人：转发 @小明 你好", "#话题#  真　棒 ",
              "這個國家 http://t.cn/@x", None, "[心] 保留", "a" * 600]
     assert column(spark, texts, tx.clean_text) == [
-        "好", "说转发 你好", "话题 真 棒", "这个国家", "", "[心] 保留", "a" * 512]
+        "好", "说转发 你好", "话题 真 棒", "这个国家", "", "[心] 保留", "a" * 600]
+    assert column(spark, texts[-1:], lambda c: tx.clean_text(c, tx.MAX_CHARS)) == ["a" * 512]
     assert column(spark, ["a" * 600], lambda c: tx.clean_text(c, None)) == ["a" * 600]
 
 

@@ -208,7 +208,9 @@ def plan(df):
 
 
 def test_flagship_plan(run):
-    text = plan(risk_topics(run.tables, run.window("365d"), s=SETTINGS))
+    window = run.window("365d")
+    text = plan(t.topic_candidates_with_factors(run.tables, window)) + plan(
+        risk_topics(run.tables, window, s=SETTINGS))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "GreaterThanOrEqual(o_orderdate" in text and "GreaterThanOrEqual(l_shipdate" in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
@@ -258,5 +260,34 @@ def test_final_selection_needs_enough_candidates(run):
     from checks.selection import scored
     from tidemark.operators.mining import add_selection_scores, select_final
     ready = add_selection_scores(scored(run))
-    with pytest.raises(Exception, match="fewer candidates than the target"):
+    with pytest.raises(Exception, match="candidates for a target"):
         select_final(ready, 100000, "id").collect()
+
+
+@pytest.mark.parametrize("n", [10, 1000, 1001])
+def test_samples_keep_null_groups(spark, n):
+    from tidemark.operators.ranking import sample_per_group, sample_rows
+    df = spark.range(5000).selectExpr("id", "case when id % 2 = 0 then 'a' end g")
+    got = sample_per_group(df, ["g"], n, "id").groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in got} == {"a": n, None: n}
+    assert sample_rows(df, n, "id").count() == n
+
+
+def test_final_selection_of_nothing_fails(run):
+    from tidemark.operators.mining import select_final
+    frame = run.spark.createDataFrame([], (
+        "source_id long, target_bucket string, selection_score double, selection_flags string, "
+        "matched_keywords string, model_pred string, model_top1_prob double, model_top2_label string, "
+        "model_top2_prob double, model_margin double, source string"))
+    with pytest.raises(ValueError, match="candidates"):
+        select_final(frame, 100)
+
+
+def test_nearest_rank_is_exact(spark):
+    from tidemark.operators.quantiles import nearest_rank
+    dice = np.random.default_rng(2)
+    for size in (1, 2, 19, 20, 21, 400):
+        values = np.round(dice.lognormal(0, 3, size), 3) + 0.001
+        frame = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+        got = nearest_rank(frame, ["g"], "v", 0.95).first()["v"]
+        assert got == np.sort(values)[int(np.ceil(size * 0.95)) - 1]

@@ -30,20 +30,22 @@ def test_read_runs(spark, tmp_path):
     for name, f1 in (("bert-usual-20260501-0100", 0.7), ("ernie-virus-20260502-0200", None)):
         d = tmp_path / name
         d.mkdir()
-        (d / "train_args.json").write_text(json.dumps({"pretrained": "p"}))
+        (d / "train_args.json").write_text(json.dumps({"pretrained": "p"}, indent=2))
         log = [{"epoch": i, "macro_f1": v, "train_time_s": 2, "eval_time_s": 1}
                for i, v in enumerate((0.1, 0.5, 0.5), 1)]
         (d / "eval_history.jsonl").write_text("\n".join(map(json.dumps, log)))
         if f1:
             (d / "final_test_report.json").write_text(json.dumps(
-                {"macro_f1": f1, "accuracy": 0.8}))
+                {"macro_f1": f1, "accuracy": 0.8, "loss": 0.5, "samples": 9,
+                 "per_class_f1": [0.1] * 6, "confusion_matrix": [[1] * 6] * 6}, indent=2))
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "train_args.json").write_text("{}")
     runs = {r["name"]: r for r in io.read_runs(spark, str(tmp_path)).collect()}
     assert set(runs) == {"bert-usual-20260501-0100", "ernie-virus-20260502-0200"}
     bert = runs["bert-usual-20260501-0100"]
     assert (bert["best_epoch"], bert["epochs_run"], bert["total_time_s"]) == (2, 3, 9)
-    assert bert["problem"] is None and bert["track"] == "usual"
+    assert bert["problem"] is None and bert["track"] == "usual" and bert["test_loss"] == 0.5
+    assert bert["test_samples"] == 9 and bert["confusion_matrix"] == [[1] * 6] * 6
     assert runs["ernie-virus-20260502-0200"]["problem"] == "no final_test_report.json"
 
 
@@ -67,6 +69,18 @@ def test_upsert_replaces_only_touched_keys(spark, tmp_path):
     assert len(rows) == 4
 
 
+def test_upsert_moves_keys_between_months_and_reads_only_theirs(spark, tmp_path):
+    path = str(tmp_path / "table")
+    first = [(1, "2024-01-05", 0, 1), (2, "2024-02-06", 0, 1), (3, "2024-03-01", 0, 1)]
+    io.upsert_predictions(spark, path, predictions(spark, first))
+    io.upsert_predictions(spark, path, predictions(spark, [(2, "2024-03-09", 4, 2)]))
+    rows = {(r["source_id"], str(r["month"]), r["pred_label_id"])
+            for r in spark.read.parquet(path).collect()}
+    assert rows == {(1, "202401", 0), (2, "202403", 4), (3, "202403", 0)}
+    plan = io.predictions_of(spark, path, ["202403"])._jdf.queryExecution().toString()
+    assert "202403" in plan[plan.index("PartitionFilters"):].split("]")[0]
+
+
 def test_canonical_tables_resolve_versions(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, "old", "2024-01-01", "2024-01-01"), (1, "new", "2024-01-09", "2024-01-05")],
@@ -82,9 +96,12 @@ def test_canonical_tables_resolve_versions(spark, tmp_path):
 
 def test_contents_skip_bad_files(spark, tmp_path):
     spark.createDataFrame([("a",), (None,)], "text string").write.parquet(str(tmp_path / "a.parquet"))
-    paths = [str(tmp_path / "a.parquet"), str(tmp_path / "none.parquet"), "/x/y.zip"]
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 not a table PAR1")
+    paths = [str(tmp_path / "a.parquet"), str(tmp_path / "none.parquet"), "/x/y.zip",
+             str(tmp_path / "broken.parquet")]
     assert [r[0] for r in io.read_contents(spark, paths).collect()] == ["a"]
-    assert io.read_contents(spark, paths[1:]) is None
+    assert io.read_contents(spark, paths[1:3]) is None
+    assert io.read_contents(spark, paths[3:]).count() == 0
 
 
 def chunks(run, tmp_path, parts=4):
@@ -123,3 +140,20 @@ def test_scoring_stream_skips_scored_samples(run, spark, tmp_path):
     st.run_available(texts, "append", state, sink)
     scored = spark.read.parquet(out)
     assert scored.count() == docs.count() == scored.select("source_id").distinct().count()
+
+
+def test_new_checkpoint_neither_loses_nor_repeats_scores(run, spark, tmp_path):
+    out = str(tmp_path / "out")
+    for k, part in enumerate(("doc_id % 2 = 0", "doc_id % 3 = 0", "true", "true")):
+        path = str(tmp_path / f"docs{k}")
+        run.tables.documents.filter(part).coalesce(1).write.parquet(path)
+        texts = st.read_stream(spark, path).selectExpr(
+            "'post' source_type", "doc_id source_id", "doc_id post_id",
+            "timestamp_ntz '2024-01-01 00:00:00' source_created_at", "text text_raw")
+        st.run_available(texts, "append", str(tmp_path / f"state{k}"),
+                         st.scoring_sink(out, letter_scorer, "letters", clean_text))
+        seen = {r[0] for r in run.tables.documents.filter(
+            " or ".join(("doc_id % 2 = 0", "doc_id % 3 = 0", "true")[:k + 1])).select(
+            "doc_id").collect()}
+        rows = [r[0] for r in spark.read.parquet(out).select("source_id").collect()]
+        assert sorted(rows) == sorted(seen)

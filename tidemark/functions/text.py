@@ -36,6 +36,7 @@ FEATURES = {
     "retweet": rf"//[{SPACE}]*@",
     "wb_emoji": r"\[[^\[\]]{1,8}\]",
 }
+# Customary bounds for short posts; whole texts are the default.
 MAX_CHARS = 512
 LEGACY_MAX_CHARS = 140
 NEAR_KEY_CHARS = 160
@@ -96,7 +97,7 @@ def strip_markup(col: Column) -> Column:
     return unwrap_hashtags(drop_mentions(drop_reposts(drop_urls(F.lower(col)))))
 
 
-def clean_text(col: Column, max_chars: int | None = MAX_CHARS,
+def clean_text(col: Column, max_chars: int | None = None,
                table: dict[str, str] | None = None, unicode_form: bool = True) -> Column:
     """The standard cleaner; a missing text becomes ''.  The order of steps matters."""
     text = F.coalesce(col, F.lit(""))
@@ -105,7 +106,7 @@ def clean_text(col: Column, max_chars: int | None = MAX_CHARS,
     return squeeze(strip_markup(to_simplified(text, table)), max_chars)
 
 
-def clean_text_legacy(col: Column, max_chars: int | None = LEGACY_MAX_CHARS,
+def clean_text_legacy(col: Column, max_chars: int | None = None,
                       table: dict[str, str] | None = None, unicode_form: bool = True) -> Column:
     """The older cleaner: stricter URLs, e-mail removal, no hashtag or repost step."""
     text = nfkc(col) if unicode_form else col
@@ -115,8 +116,8 @@ def clean_text_legacy(col: Column, max_chars: int | None = LEGACY_MAX_CHARS,
     return squeeze(text, max_chars)
 
 
-def near_dedupe_key(col: Column, max_chars: int | None = NEAR_KEY_CHARS) -> Column:
-    """Letters and numbers only; the key is the first ``max_chars`` of them."""
+def near_dedupe_key(col: Column, max_chars: int | None = None) -> Column:
+    """Letters and numbers only; optionally the first ``max_chars`` of them."""
     compact = F.regexp_replace(col, NON_WORD, "")
     return compact if max_chars is None else F.substring(compact, 1, max_chars)
 
@@ -141,8 +142,8 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 
 
-def search_argument(raw: str | None, max_chars: int = 100) -> str:
-    return (raw or "").strip()[:max_chars]
+def search_argument(raw: str | None) -> str:
+    return (raw or "").strip()
 
 
 def contains_ignore_case(query: str, *cols: Column) -> Column:
@@ -201,7 +202,6 @@ class KeywordLists:
     objective: Sequence[str] = OBJECTIVE_CUES
     emotion: Sequence[str] = EMOTION_TERMS
     sarcasm: Sequence[str] = SARCASM_TERMS
-    max_listed: int = field(default=8)
 
     def bucket_hits(self, text: Column) -> dict[str, Column]:
         hits = {b: distinct_hits(text, getattr(self, b)) for b in BUCKETS[:3]}
@@ -218,7 +218,7 @@ class KeywordLists:
         words = F.concat(
             F.when(objective, F.array(F.lit("objective_cue"))).otherwise(
                 F.array().cast("array<string>")),
-            F.slice(emotion, 1, 4), F.slice(sarcasm, 1, 4),
+            emotion, sarcasm,
         )
         hit = (objective & (F.size(emotion) > 0)) | (F.size(sarcasm) > 0)
         return F.when(hit, longest_first(F.array_distinct(words))).otherwise(

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_name
 from tidemark.functions.numeric import followers_bucket, log_norm, ratio, round_to
 from tidemark.operators.joins import join_unique
 from tidemark.operators.quantiles import exact_percentile
+from tidemark.operators.ranking import number_within
 from tidemark.operators.samples import (
     EMOTION_COUNTS, busy_posts, dominant_emotion_id, latest_interactions, predictions_in, speakers,
 )
 from tidemark.operators.window import TimeWindow
-from tidemark.session import shared_dir
+from tidemark.session import stored
 from tidemark.schema import (
     DEFAULTS, NEGATIVE_IDS, ORDINARY_DISPLAY, ROLE_DISPLAY, ROLE_NAMES, Settings,
 )
@@ -151,7 +152,7 @@ def cross_topic(tables, posts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
                      s: Settings = DEFAULTS) -> DataFrame:
-    """Accounts with any role marker and their counts; the first ``actor_candidates`` by uid.
+    """Accounts with any role marker and their counts.
 
     The samples and the rows of the role branches are stacked and folded per account once,
     instead of joining the candidates back to the samples.
@@ -172,7 +173,7 @@ def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
     marked = merged.withColumns({
         m: F.coalesce(v, F.lit(0)) for m, v in speech_markers(s).items()})
     found = F.greatest(*[F.col(m) for m in MARKERS]) == 1
-    return marked.filter(found).orderBy("uid").limit(s.actor_candidates)
+    return marked.filter(found)
 
 
 def role_markers(tables, window: TimeWindow, topic_id: int | None = None,
@@ -186,10 +187,9 @@ def topic_footprint(tables, window: TimeWindow, actors: DataFrame,
                     topic_id: int | None = None) -> DataFrame:
     """Per listed actor: number of topics and the topic with most of their posts.
 
-    ``actors`` is bounded by the candidate limit and broadcast, so only their own
-    (actor, post) pairs meet the links.
+    Only the (actor, post) pairs of the listed actors meet the links.
     """
-    few = F.broadcast(actors.select("uid"))
+    few = actors.select("uid")
     def spoke(df: DataFrame) -> DataFrame:
         seen = window.within(df, "created_at").select(F.col("user_id").alias("uid"), "post_id")
         return seen.join(few, "uid", "left_semi")
@@ -208,24 +208,23 @@ def topic_footprint(tables, window: TimeWindow, actors: DataFrame,
 
 
 # --------------------------------------------------------------- scores and roles
-def _over_all(value: Column) -> Column:
-    """Aggregate over the whole candidate list (bounded by the candidate limit)."""
-    return value.over(Window.partitionBy(F.lit(1)))
-
-
 def add_influence(actors: DataFrame) -> DataFrame:
-    """Influence score and interaction contribution, relative to the candidate list."""
+    """Influence score and interaction contribution, relative to all listed actors."""
     trusted = F.col("profile_tier") >= 1
+    whole = actors.agg(F.struct(
+        F.max("interaction_count").alias("interactions"),
+        F.max("followers_count").alias("followers"),
+        F.sum("interaction_count").alias("total")).alias("w")).scalar()
     score = (
-        F.lit(60.0) * log_norm(F.col("interaction_count"), _over_all(F.max("interaction_count")))
+        F.lit(60.0) * log_norm(F.col("interaction_count"), whole["interactions"])
         + F.when(trusted, F.lit(25.0) * log_norm(
-            F.col("followers_count"), _over_all(F.max("followers_count")))).otherwise(F.lit(0.0))
+            F.col("followers_count"), whole["followers"])).otherwise(F.lit(0.0))
         + F.when(F.col("verified"), F.lit(10.0)).otherwise(F.lit(0.0))
         + F.when(trusted, F.lit(5.0)).otherwise(F.lit(0.0)))
     return actors.withColumns({
         "actor_influence_score": round_to(F.least(score, F.lit(100.0)), 1),
         "interaction_contribution": round_to(ratio(
-            F.col("interaction_count"), _over_all(F.sum("interaction_count")))),
+            F.col("interaction_count"), whole["total"])),
     })
 
 
@@ -267,23 +266,23 @@ RANK_ORDER = ("role_count", "actor_influence_score", "sample_count")
 def add_display_names(actors: DataFrame) -> DataFrame:
     """Prefix of the strongest role and A..Z, then numbers, in rank order per prefix."""
     order = [*[F.desc(c) for c in RANK_ORDER], F.asc("uid")]
-    n = F.row_number().over(Window.partitionBy("_prefix").orderBy(*order))
-    suffix = F.when(n <= 26, F.char(n + F.lit(64))).otherwise(n.cast("string"))
-    return actors.withColumn("_prefix", display_prefix()).withColumn(
-        "display_name", F.concat_ws(" ", "_prefix", suffix)).drop("_prefix")
+    placed = number_within(
+        actors.withColumn("_prefix", display_prefix()), ["_prefix"], order, "_n")
+    n = F.col("_n")
+    suffix = F.when(n <= 26, F.char((n + F.lit(64)).cast("int"))).otherwise(n.cast("string"))
+    return placed.withColumn(
+        "display_name", F.concat_ws(" ", "_prefix", suffix)).drop("_prefix", "_n")
 
 
 def actor_profiles(tables, window: TimeWindow, topic_id: int | None = None,
                    s: Settings = DEFAULTS) -> DataFrame:
-    """Every candidate with samples: counts, profile, footprint, influence, roles, name.
+    """Every candidate with samples: counts, profile, footprint, influence and roles.
 
-    The candidate list is short, so it is checkpointed once and broadcast to the lookups.
+    Candidates and their profiles are written once: the footprint, the maxima over all actors
+    and the ranking read them.
     """
-    shared_dir(tables.spark)
-    found = actor_candidates(tables, window, topic_id, s).checkpoint()
-    few = F.broadcast(found.select("uid"))
-    profiles = tables.user.select("uid", "verified", "profile_tier", "followers_count").join(
-        few, "uid", "left_semi")
+    found = stored(actor_candidates(tables, window, topic_id, s), "actors")
+    profiles = tables.user.select("uid", "verified", "profile_tier", "followers_count")
     footprint = topic_footprint(tables, window, found, topic_id)
     counted = found.filter(F.col("sample_count") > 0)
     joined = counted.join(profiles, "uid", "left").join(footprint, "uid", "left").withColumns({
@@ -292,7 +291,7 @@ def actor_profiles(tables, window: TimeWindow, topic_id: int | None = None,
         "followers_count": F.coalesce("followers_count", F.lit(0)),
         "topic_count": F.coalesce("topic_count", F.lit(0)),
     })
-    return add_display_names(add_roles(add_influence(joined), s))
+    return add_roles(add_influence(stored(joined, "profiles")), s)
 
 
 def render_actors(actors: DataFrame) -> DataFrame:
@@ -311,7 +310,9 @@ def render_actors(actors: DataFrame) -> DataFrame:
 
 
 def rank_actors(actors: DataFrame, limit: int) -> DataFrame:
-    return actors.orderBy(*[F.desc(c) for c in RANK_ORDER], F.asc("uid")).limit(limit)
+    """The first ``limit`` actors with their names; a name depends only on better ranked ones."""
+    first = actors.orderBy(*[F.desc(c) for c in RANK_ORDER], F.asc("uid")).limit(limit)
+    return add_display_names(first)
 
 
 def influence_points(ranked: DataFrame) -> DataFrame:

@@ -25,13 +25,14 @@ def last_messages(messages: DataFrame, n: int = PROMPT_MESSAGES) -> DataFrame:
     return top_per_group(messages, ["conv_id"], [F.desc("turn")], n, "_n").drop("_n")
 
 
-def active_sessions(messages: DataFrame, limit: int = 50, days: int = SESSION_DAYS) -> DataFrame:
+def active_sessions(messages: DataFrame, limit: int | None = None, days: int = SESSION_DAYS) -> DataFrame:
     """Conversations updated within the retention of the newest one, newest first."""
     sessions = messages.groupBy("conv_id").agg(
         F.max("created_at").alias("updated_at"), F.count("*").alias("message_count"))
     newest = messages.agg(F.max("created_at")).scalar()
     alive = sessions.filter(F.col("updated_at") >= newest - F.expr(f"INTERVAL {days} DAYS"))
-    return alive.orderBy(F.desc("updated_at"), "conv_id").limit(limit)
+    newest_first = alive.orderBy(F.desc("updated_at"), "conv_id")
+    return newest_first if limit is None else newest_first.limit(limit)
 
 
 def session_rollup(messages: DataFrame, title_chars: int = 40) -> DataFrame:

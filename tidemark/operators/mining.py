@@ -14,6 +14,7 @@ from tidemark.operators.ranking import number_limited, top_per_group
 from tidemark.schema import (
     BUCKET_LABEL_IDS, BUCKET_QUOTAS, BUCKETS, HEURISTIC_BASE, SELECTION_BASE,
 )
+from tidemark.session import stored
 
 
 def add_buckets(df: DataFrame, words: KeywordLists | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def add_buckets(df: DataFrame, words: KeywordLists | None = None) -> DataFrame:
         F.when(F.size(f"_hits_{b}") > 0, F.lit(b)) for b in BUCKETS]))
     listed = F.concat_ws(";", *[
         F.when(F.size(f"_hits_{b}") > 0, F.concat(
-            F.lit(f"{b}:"), F.array_join(F.slice(f"_hits_{b}", 1, words.max_listed), "|")))
+            F.lit(f"{b}:"), F.array_join(f"_hits_{b}", "|")))
         for b in BUCKETS])
     total = sum((F.size(f"_hits_{b}") for b in BUCKETS[1:]), F.size(f"_hits_{BUCKETS[0]}"))
     return found.withColumns({
@@ -171,12 +172,11 @@ def select_final(df: DataFrame, target: int, key: str = "source_id") -> DataFram
     """The final candidates with rank, id and reason; fails when there are too few."""
     order = [F.desc("selection_score"), F.asc("model_margin"), F.asc(key)]
     chosen = take_by_quota(df, target, order, -F.floor("selection_score"))
-    ranked = number_limited(chosen, order, "candidate_rank").filter(
-        F.col("candidate_rank") <= target)
-    found = F.count("*").over(Window.partitionBy(F.lit(1)))
-    too_few = F.raise_error(F.lit("fewer candidates than the target")).cast("boolean")
-    checked = ranked.withColumn("_found", found).filter(
-        F.when(F.col("_found") >= target, True).otherwise(too_few)).drop("_found")
+    checked = stored(number_limited(chosen, order, "candidate_rank").filter(
+        F.col("candidate_rank") <= target), "final")
+    found = checked.count()
+    if found < target:
+        raise ValueError(f"{found} candidates for a target of {target}")
 
     def number(name: str) -> Column:
         return F.format_string("%.3f", F.col(name))

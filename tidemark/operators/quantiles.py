@@ -36,3 +36,26 @@ def exact_percentile(counted: DataFrame, value: str, n: str, q: float, name: str
     low = F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v")))
     high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v")))
     return ordered.agg((low + (high - low) * (at - F.floor(at))).alias(name))
+
+
+def nearest_rank(values: DataFrame, group: list[str], value: str, q: float) -> DataFrame:
+    """Per group the smallest value > 0 with at least the share ``q`` of rows at or below it.
+
+    Counts are added up per value and per logarithmic bin; only the values of the bin that holds
+    the rank are ordered.
+    """
+    counted = values.groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn(
+        "_bin", F.floor(F.log2(value) * BINS_PER_OCTAVE))
+    bins = counted.groupBy(*group, "_bin").agg(F.sum("_n").alias("_n"))
+    running = Window.partitionBy(*group).orderBy("_bin").rowsBetween(
+        Window.unboundedPreceding, 0)
+    hit = bins.withColumns({
+        "_upto": F.sum("_n").over(running),
+        "_rank": F.ceil(F.sum("_n").over(Window.partitionBy(*group)) * F.lit(q)),
+    }).filter("_upto >= _rank and _upto - _n < _rank").select(
+        *group, "_bin", "_rank", (F.col("_upto") - F.col("_n")).alias("_before"))
+    # one bin per group, and the groups are a fixed list of names
+    near = counted.join(F.broadcast(hit), [*group, "_bin"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(
+            Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return near.filter("_upto >= _rank").groupBy(*group).agg(F.min(value).alias(value))

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_dir
 
 _POSITION_MASK = (1 << 33) - 1
-# Up to this many rows per group Spark itself keeps only the first rows in each map task.
-MAP_SIDE_ROWS = 1000
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -59,15 +57,16 @@ def prune_to_top(df: DataFrame, group: Sequence[str], lead: Column, n: int) -> D
 
     ``lead`` is a coarse, ascending form of the leading sort key with few distinct values.  Rows
     are counted per value; only the values needed to reach n rows are kept (whole values, so no
-    candidate is lost).
+    candidate is lost).  Null groups are groups.
     """
     marked = df.withColumn("_lead", lead)
     counts = marked.groupBy(*group, "_lead").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group or [F.lit(1)]).orderBy("_lead").rowsBetween(
         Window.unboundedPreceding, -1)
     needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(
-        F.col("_before") < n).select(*group, "_lead")
-    return marked.join(needed, [*group, "_lead"], "left_semi").select(*df.columns)
+        F.col("_before") < n).select(*[F.col(c).alias(f"_need_{c}") for c in (*group, "_lead")])
+    same = [F.col(c).eqNullSafe(F.col(f"_need_{c}")) for c in (*group, "_lead")]
+    return marked.join(needed, same, "left_semi").select(*df.columns)
 
 
 def _seed_lead(seed: int | str, key: str) -> Column:
@@ -77,8 +76,7 @@ def _seed_lead(seed: int | str, key: str) -> Column:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows in a seeded random order."""
-    if n > MAP_SIDE_ROWS:
-        df = prune_to_top(df, [], _seed_lead(seed, key), n)
+    df = prune_to_top(df, [], _seed_lead(seed, key), n)
     return df.orderBy(seeded_key(seed, F.col(key)), F.col(key)).limit(n)
 
 
@@ -86,10 +84,10 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                   name: str = "group_rank", lead: Column | None = None) -> DataFrame:
     """The first n rows of each group.
 
-    Small n: map tasks keep at most n rows per group.  Large n: rows are pruned by the coarse
-    ``lead`` key first, so a group that holds most rows does not reach one task.
+    With a coarse ``lead`` key rows are pruned first, so that a group that holds most rows does not
+    reach one task, whatever n is.
     """
-    if n > MAP_SIDE_ROWS and lead is not None:
+    if lead is not None:
         df = prune_to_top(df, group, lead, n)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(name, rank).filter(F.col(name) <= n)

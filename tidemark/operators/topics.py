@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_name
@@ -11,6 +11,7 @@ from tidemark.functions.numeric import (
 )
 from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
+from tidemark.operators.quantiles import nearest_rank
 from tidemark.operators.samples import (
     EMOTION_COUNTS, busy_posts, dominant_emotion_id, emotion_aggregates, interactions, predictions_in,
 )
@@ -128,27 +129,20 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
     ).withColumn("previous_negative", F.col("negative_count") - F.col("recent_negative"))
 
 
+def matches(q: str) -> Column:
+    """Whether a topic's title or lead contains the search text."""
+    return contains_ignore_case(q, F.col("title"), F.col("lead"))
+
+
+def known_topics(tables, totals: DataFrame) -> DataFrame:
+    """The metrics of every topic that has a row in the topic table."""
+    return totals.join(tables.topic.select("topic_id", "title", "lead"), "topic_id")
+
+
 def candidate_topics(tables, totals: DataFrame, q: str = "", s: Settings = DEFAULTS) -> DataFrame:
-    """Known topics with enough predicted posts, the largest first; at most the candidate limit."""
-    known = tables.topic.select("topic_id", "title", "lead")
-    if q:
-        known = known.filter(contains_ignore_case(q, F.col("title"), F.col("lead")))
-    enough = totals.filter(F.col("post_count") >= s.topic_min_posts)
-    return enough.join(known, "topic_id").orderBy(
-        F.desc("post_count"), "topic_id").limit(s.topic_candidates)
-
-
-def candidates_and(tables, totals: DataFrame, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
-    """The candidate topics (``in_pool``) and one more topic, from a single pass."""
-    known = tables.topic.select("topic_id", "title", "lead")
-    enough = F.col("post_count") >= s.topic_min_posts
-    size = F.when(enough, F.col("post_count"))
-    first = [F.desc(F.col("topic_id") == topic_id), F.desc_nulls_last("_size"), F.asc("topic_id")]
-    few = totals.join(known, "topic_id").withColumn("_size", size).orderBy(*first).limit(
-        s.topic_candidates + 1)
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("_size"), "topic_id"))
-    return few.withColumn("in_pool", F.col("_size").isNotNull() & (place <= s.topic_candidates)
-                          ).drop("_size")
+    """Known topics with enough predicted posts."""
+    found = known_topics(tables, totals.filter(F.col("post_count") >= s.topic_min_posts))
+    return found.filter(matches(q)) if q else found
 
 
 def add_raw_factors(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -169,30 +163,21 @@ def add_raw_factors(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     })
 
 
-def window_caps(member: str = "true") -> list[Column]:
-    """Nearest-rank p95 over the positive values of each capped factor, 1.0 if none.
-
-    ``member`` restricts the rows that count.
-    """
-    return [
-        F.coalesce(F.expr(
-            f"percentile_disc(0.95) within group (order by cast({c} as double))"
-            f" filter (where {c} > 0 and {member})"), F.lit(1.0)).alias(f"cap_{name}")
-        for name, c in CAPPED.items()]
+def window_caps(pool: DataFrame) -> DataFrame:
+    """One row: nearest-rank p95 over the positive values of each capped factor, 1.0 if none."""
+    values = pool.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("v"))
+        for name, c in CAPPED.items()]))).filter("v > 0")
+    caps = nearest_rank(values, ["name"], "v", 0.95)
+    return caps.agg(*[
+        F.coalesce(F.max(F.when(F.col("name") == name, F.col("v"))), F.lit(1.0))
+        .alias(f"cap_{name}") for name in CAPPED])
 
 
-def with_caps(candidates: DataFrame, pool: DataFrame | None = None,
-              member: str = "true") -> DataFrame:
-    """Candidates with the window caps on every row.
-
-    Without a separate pool the candidates (at most the candidate limit, plus one) are folded
-    and unfolded in one pass; with one, the caps are a one-row subquery.
-    """
-    if pool is None:
-        folded = candidates.agg(*window_caps(member), F.collect_list(F.struct("*")).alias("rows"))
-        caps = [c for c in folded.columns if c != "rows"]
-        return folded.select(*caps, F.inline("rows"))
-    caps = pool.agg(*window_caps()).select(F.struct("*").alias("c")).scalar()
+def with_caps(candidates: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """Candidates with the caps of the pool (or their own) on every row."""
+    caps = window_caps(candidates if pool is None else pool).select(
+        F.struct("*").alias("c")).scalar()
     return candidates.withColumn("_caps", caps).select("*", "_caps.*").drop("_caps")
 
 
@@ -366,10 +351,11 @@ def topic_actor_signals(tables, window: TimeWindow, topic_id: int,
 
 
 def leading_factor(scored: DataFrame) -> DataFrame:
-    """The factor with the most points of each topic (ties: the later name)."""
+    """The factor with the most points of each topic (ties: the first in the fixed order)."""
     best = F.array_max(F.array(*[
-        F.struct(F.col(f"points_{k}").alias("points"), F.lit(k).alias("name"))
-        for k in RISK_FACTOR_WEIGHTS]))
+        F.struct(F.col(f"points_{k}").alias("points"), F.lit(-i).alias("place"),
+                 F.lit(k).alias("name"))
+        for i, k in enumerate(RISK_FACTOR_WEIGHTS)]))
     return scored.select(
         "topic_id", best["name"].alias("leading_factor"),
         round_to(best["points"], 1).alias("leading_points"))

@@ -111,7 +111,6 @@ class Settings:
     secondary_model: str = "secondary"
     stable_day_threshold: int = 10000
     growth_smoothing: float = 5.0
-    topic_candidates: int = 200
     topic_min_posts: int = 3
     topic_limit: int = 20
     low_confidence: float = 0.70
@@ -121,7 +120,6 @@ class Settings:
     polar_min_samples: int = 3
     active_min_samples: int = 10
     cross_topic_min: int = 3
-    actor_candidates: int = 2000
     actor_limit: int = 20
     evidence_limit: int = 8
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.scoring import merge_predictions
-from tidemark.session import shared_dir
+from tidemark.operators.scoring import KEYS, merge_predictions
+from tidemark.session import stored
 from tidemark.sources.tables import add_month
 
 RAW_SCHEMA = "id bigint, content string, label string"
@@ -134,37 +133,72 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
             .option("numPartitions", partitions).options(**options).load())
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _file_system(spark, path)
+    return system.exists(folder)
+
+
+def months_of(df: DataFrame) -> list[str]:
+    """The distinct months, a short list."""
+    return sorted(r[0] for r in df.select("month").distinct().collect() if r[0] is not None)
+
+
+def predictions_of(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    """The stored predictions of some months; only their folders are read."""
+    return spark.read.parquet(path).withColumn("month", F.col("month").cast("string")).filter(
+        F.col("month").isin(months))
+
+
 def upsert_predictions(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Merge predictions into a table partitioned by month of the source time.
 
-    Only the months that receive rows are read and replaced.  The merged rows are
-    checkpointed before the overwrite, because they come from the folder being replaced.
+    The months that receive rows are read and replaced, and those where a key was before, so a key
+    whose month changes is moved.  Which months these are is told by the key columns alone.  The
+    merged rows are written to the shared folder first, since they come from the replaced one.
     """
-    shared_dir(spark)
-    fresh = add_month(new, "source_created_at")
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        table = None
-    if table is None:
-        merged = merge_predictions(fresh.limit(0), fresh)
-    else:
-        months = F.broadcast(fresh.select("month").distinct())
-        old = table.withColumn("month", F.col("month").cast("string")).join(
-            months, "month", "left_semi")
-        merged = merge_predictions(old, fresh).checkpoint()
+    fresh = stored(add_month(new, "source_created_at"), "fresh")
+    months = months_of(fresh)
+    old = fresh.limit(0)
+    if path_exists(spark, path):
+        held = spark.read.parquet(path).select(*KEYS, F.col("month").cast("string").alias("month"))
+        before = held.join(fresh.select(*KEYS).distinct(), list(KEYS), "left_semi")
+        months = sorted({*months, *months_of(before)})
+        old = predictions_of(spark, path, months)
+    merged = stored(merge_predictions(old, fresh), "merged")
     # rebalancing gives each month few files and splits a month that holds most rows
     merged.hint("rebalance", "month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    left = set(months_of(merged))
+    for month in months:
+        if month not in left:  # every key of the month has moved
+            system, folder = _file_system(spark, f"{path}/month={month}")
+            system.delete(folder, True)
+
+
+ARGS_SCHEMA = ("pretrained string, resolved_max_length int, resolved_device string, "
+               "resolved_amp_dtype string")
+REPORT_SCHEMA = ("macro_f1 double, accuracy double, loss double, samples bigint, "
+                 "per_class_f1 array<double>, confusion_matrix array<array<bigint>>")
+HISTORY_SCHEMA = "epoch int, macro_f1 double, train_time_s double, eval_time_s double"
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Artifacts of all run folders below ``root``, one row per run."""
-    def load(pattern: str) -> DataFrame:
-        return spark.read.json(f"{root}/*/{pattern}").withColumn(
-            "path", F.col("_metadata.file_path"))
-    return join_runs(load("train_args.json"), load("final_test_report.json"),
-                     load("eval_history.jsonl"))
+    """Artifacts of all run folders below ``root``, one row per run.
+
+    The two documents may be indented; the history has one object per line.
+    """
+    def load(name: str, schema: str, whole: bool) -> DataFrame:
+        reader = spark.read.schema(schema).option("multiLine", whole).option(
+            "recursiveFileLookup", True).option("pathGlobFilter", name)
+        return reader.json(root).withColumn("path", F.col("_metadata.file_path"))
+    return join_runs(load("train_args.json", ARGS_SCHEMA, True),
+                     load("final_test_report.json", REPORT_SCHEMA, True),
+                     load("eval_history.jsonl", HISTORY_SCHEMA, False))
 
 
 def run_parts(path: Column) -> dict[str, Column]:
@@ -184,12 +218,14 @@ def join_runs(args: DataFrame, reports: DataFrame, history: DataFrame) -> DataFr
         x.select(*ids) for x in (have_args, have_report, have_history)]).distinct()
     epochs = have_history.groupBy("name").agg(
         F.count("*").alias("epochs_run"),
-        F.sum(F.col("train_time_s") + F.col("eval_time_s")).alias("total_time_s"),
+        F.sum(F.coalesce("train_time_s", F.lit(0)) + F.coalesce("eval_time_s", F.lit(0)))
+        .alias("total_time_s"),
         F.max_by("epoch", F.struct(F.col("macro_f1"), -F.col("epoch"))).alias("best_epoch"),
         F.max("macro_f1").alias("best_macro_f1_eval"))
     marked_args = have_args.drop(*ids[1:]).withColumn("_args", F.lit(True))
-    tests = have_report.select("name", F.col("macro_f1").alias("test_macro_f1"),
-                               F.col("accuracy").alias("test_accuracy"), F.lit(True).alias("_report"))
+    tests = have_report.select("name", *[F.col(c).alias(f"test_{c}") for c in (
+        "macro_f1", "accuracy", "loss", "samples")], "per_class_f1", "confusion_matrix",
+        F.lit(True).alias("_report"))
     joined = everyone.join(marked_args, "name", "left").join(tests, "name", "left").join(
         epochs, "name", "left")
     problem = F.when(F.col("_args").isNull(), "no train_args.json").when(
@@ -203,11 +239,17 @@ def read_contents(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     Missing, unsupported and unreadable inputs are skipped; None when nothing is left.
     """
     found = None
+    lenient = {"ignoreCorruptFiles": True, "ignoreMissingFiles": True}
     for path in paths:
-        try:
-            df = _read_one(spark, path, None)
-        except (AnalysisException, ValueError):
+        kind = _suffix(path)
+        if kind not in ("parquet", "csv", "jsonl", "ndjson") or not path_exists(spark, path):
             continue
+        reader = spark.read.options(**lenient)
+        if kind == "csv":  # columns go by the header
+            df = reader.options(**CSV_OPTIONS).csv(path)
+        else:
+            reader = reader.schema("content string, text string")
+            df = reader.parquet(path) if kind == "parquet" else reader.json(path)
         for name in ("content", "text"):
             if name in df.columns:
                 part = df.select(F.col(name).cast("string").alias("content")).filter(

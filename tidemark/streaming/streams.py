@@ -17,6 +17,9 @@ from tidemark.functions.numeric import ratio, round_to
 from tidemark.operators.dedupe import keep_last
 from tidemark.operators.samples import interactions
 from tidemark.operators.scoring import Scorer, score_sources
+from tidemark.session import stored
+from tidemark.sources.io import months_of, path_exists, predictions_of, upsert_predictions
+from tidemark.sources.tables import add_month
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,13 +30,17 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    first = spark.read.format("binaryFile").load(path).select("path").first()
-    if first is not None and first["path"].endswith(path):
+    if is_file(spark, path):
         folder, name = path.rsplit("/", 1)
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder).isFile()
+
+
 def _event_time(df: DataFrame, time: str, lateness: str) -> DataFrame:
     """Watermark on a UTC time column; watermarks need a zoned timestamp."""
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
@@ -104,14 +111,20 @@ def half_window_alerts(counts: DataFrame, smoothing: float = 5.0) -> DataFrame:
 
 
 def scoring_sink(path: str, scorer: Scorer, model_version: str, cleaner) -> Callable:
-    """Score the new samples of a micro-batch that no earlier batch has scored."""
+    """Score the samples of a micro-batch that the table has no prediction of, and merge them in.
+
+    What is scored is told by the table, not by the checkpoint: a replayed batch or a new
+    checkpoint neither loses nor repeats a prediction.  Only the months of the batch are read.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["source_type", "source_id"])
-        if batch_id > 0:
-            done = spark.read.parquet(path).filter(F.col("batch_id") != batch_id)
-        else:
-            done = fresh.limit(0).withColumn("model_version", F.lit(model_version))
-        scored = score_sources(fresh, done, scorer, model_version, model_version, "stream", cleaner)
-        scored.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        fresh = stored(add_month(batch.dropDuplicates(["source_type", "source_id"]),
+                                 "source_created_at"), "arrived")
+        done = fresh.limit(0).withColumn("model_version", F.lit(model_version))
+        if path_exists(spark, path):
+            done = predictions_of(spark, path, months_of(fresh))
+        scored = score_sources(fresh.drop("month"), done, scorer, model_version, model_version,
+                               "stream", cleaner)
+        upsert_predictions(spark, path, scored.withColumn(
+            "predicted_at", F.current_timestamp().cast("timestamp_ntz")))
     return write
