@@ -10,7 +10,6 @@ from tidemark.functions import labels as lb
 from tidemark.functions import numeric as nu
 from tidemark.functions import text as tx
 from tidemark.operators import quality as q
-from tidemark.operators.evidence import evidence_reason  # noqa: F401
 from tidemark.plans.curation import prepare_splits
 from tidemark.schema import LABEL_ALIASES, LABELS, LABELS_EN
 

@@ -79,6 +79,20 @@ def test_join_unique_spreads_a_hot_key(spark):
         assert got.select(*want.columns).exceptAll(want).count() == 0
 
 
+def test_many_hot_keys_fill_no_task(spark):
+    """One key with a third of the rows and 40 with a hundredth each."""
+    many = spark.range(60000).select("id", F.when(F.col("id") % 3 == 0, 7).when(
+        F.col("id") % 3 == 1, 100 + F.floor(F.col("id") / 3) % 50).otherwise(
+        1000 + F.col("id")).alias("k"))
+    hot = {r["k"]: r["salts"] for r in hot_keys(many, "k").collect()}
+    assert hot[7] >= 85 and all(100 + i in hot for i in range(50))
+    salted = many.join(hot_keys(many, "k"), "k", "left").withColumn(
+        "s", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))))
+    assert salted.groupBy("k", "s").count().agg(F.max("count")).first()[0] < 60000 / 100
+    unique = many.select("k").distinct()
+    assert join_unique(many, unique, "k", "id", "inner").count() == 60000
+
+
 def test_join_unique_keeps_null_and_unmatched_keys(spark):
     many = spark.createDataFrame([(1, None), (2, 5), (3, 9)], "id int, k int")
     unique = spark.createDataFrame([(5, "x")], "k int, v string")

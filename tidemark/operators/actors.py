@@ -32,11 +32,13 @@ def interaction_p95(tables, window: TimeWindow) -> DataFrame:
                         .cast("bigint").alias("p95"))
 
 
-def _of_topic(df: DataFrame, tables, topic_id: int | None) -> DataFrame:
+def _of_topic(df: DataFrame, tables, topic_id: int | None, spread: str = "user_id") -> DataFrame:
+    """The rows of one topic; a viral post may hold most of the comments."""
     if topic_id is None:
         return df
     links = tables.post_topic.filter(F.col("topic_id") == topic_id).select("post_id")
-    return df.join(links, "post_id", "left_semi")
+    return join_unique(df, links, "post_id", spread, how="left_semi",
+                       hot_from=busy_posts(tables))
 
 
 def posts_in(tables, window: TimeWindow, topic_id: int | None = None) -> DataFrame:
@@ -135,7 +137,8 @@ def identity_kols(tables, window: TimeWindow, topic_id: int | None = None,
                   s: Settings = DEFAULTS) -> DataFrame:
     """Verified or big accounts that spoke in the window."""
     seen = speakers(_of_topic(window.within(tables.post, "created_at"), tables, topic_id),
-                    _of_topic(window.within(tables.comment, "created_at"), tables, topic_id))
+                    _of_topic(window.within(tables.comment, "created_at"), tables, topic_id,
+                              "comment_id"))
     known = F.col("verified") | (
         (F.col("profile_tier") >= 1) & (F.col("followers_count") >= s.high_followers))
     return _branch(tables.user.filter(known).join(seen, "uid", "left_semi"), is_verified_kol=1)

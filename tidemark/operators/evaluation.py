@@ -152,12 +152,6 @@ def quality_payload(reports: DataFrame, comparisons: DataFrame) -> DataFrame:
     return base.join(comparisons, "name", "left")
 
 
-def overall_table(picked: DataFrame, epochs: DataFrame) -> DataFrame:
-    """Chosen runs with their epoch history."""
-    chosen = picked.filter("picked").drop("picked")
-    return chosen.join(epoch_summary(epochs), "name", "left")
-
-
 def class_table(reports: DataFrame) -> DataFrame:
     """Long per-class F1 table of runs."""
     return reports.select("name", F.posexplode("per_class_f1").alias("label_id", "f1")).select(

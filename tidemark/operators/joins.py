@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 32
-SALTS = 16
+# A key with more than 1 / SHARES of the rows is hot; there are fewer than SHARES such keys.
+SHARES = 256
+TRACKED = 10000
 
 
-def hot_keys(df: DataFrame, key: str, top: int = HOT_KEYS) -> DataFrame:
-    """At most ``top`` of the most frequent keys, from one pass over the key column.
+def hot_keys(df: DataFrame, key: str, shares: int = SHARES) -> DataFrame:
+    """(key, salts): the keys with more than 1 / ``shares`` of the rows, from one pass.
 
-    The counts are sketched, which is enough: the result only routes rows.
+    ``salts`` is the number of shares that a key fills.  Counts are sketched, which is enough:
+    the result only routes rows.
     """
-    sketch = df.agg(F.expr(f"approx_top_k({key}, {int(top)}, 10000)").alias("k"))
-    return sketch.select(F.explode("k").alias("k")).select(F.col("k.item").alias(key)).filter(
-        F.col(key).isNotNull())
+    sketch = df.agg(F.expr(f"approx_top_k({key}, {int(shares)}, {TRACKED})").alias("k"),
+                    F.count(F.lit(1)).alias("n"))
+    found = sketch.select("n", F.explode("k").alias("k")).filter(
+        F.col("k.item").isNotNull() & (F.col("k.count") * F.lit(shares) > F.col("n")))
+    return found.select(F.col("k.item").alias(key), F.ceil(
+        F.col("k.count") * F.lit(shares) / F.col("n")).cast("int").alias("salts"))
 
 
 def join_unique(many: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "left",
-                hot_from: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+                hot_from: DataFrame | None = None) -> DataFrame:
     """Join to a frame that holds each key once, spreading the rows of hot keys.
 
     Rows of a hot key get a salt from the hash of their own ``spread`` column (the same on
-    every retry) and the single matching row is repeated once per salt.  Other keys keep
-    salt 0, so nothing is repeated for them.  The broadcast side has at most HOT_KEYS rows.
-    ``hot_from`` is a cheaper frame with the same key, such as the stored table behind a long
-    plan, to look for hot keys in.
+    every retry) and the single matching row is repeated once per salt; the salts of a key follow
+    its share of the rows.  Other keys keep salt 0, so nothing is repeated for them.  The broadcast
+    side has fewer than SHARES rows.  ``hot_from`` is a cheaper frame with the same key, such as
+    the stored table behind a long plan, to look for hot keys in.
     """
     source = many if hot_from is None else hot_from
-    hot = F.broadcast(hot_keys(source, key).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0))
-    left = many.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0)))
-    right = unique.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    hot = F.broadcast(hot_keys(source, key).withColumnRenamed("salts", "_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0))
+    left = many.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = unique.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")

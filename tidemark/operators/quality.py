@@ -209,15 +209,3 @@ def split_accounting(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     return raws.join(F.broadcast(per_split), "split").withColumns({
         "dropped": F.col("raw") - F.col("after_clean"),
         "kept": F.col("after_clean") - F.col("duplicates") - F.col("leaked")})
-
-
-def union_all(*frames: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def named_distribution(df: DataFrame) -> DataFrame:
-    """Rows of each of the six labels, zero when absent."""
-    counts = df.agg(*[F.count_if(F.col("label") == x).alias(f"c{i}") for i, x in enumerate(LABELS)])
-    rows = F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"c{i}").alias("n"))
-                     for i, x in enumerate(LABELS)])
-    return counts.select(F.inline(rows))

@@ -91,11 +91,12 @@ RISK_FACTOR_WEIGHTS = {
     "negative_ratio": 25, "negative_growth": 20, "interaction_growth": 20,
     "anger_fear": 15, "kol_verified": 10, "source_diversity": 10,
 }
+# Sentences shown with every context pack; deployments bring their own.
 DATA_CAVEATS = (
-    "评论为当前 CK 已采集集合，不代表平台全量评论分布。",
-    "话题情绪结构和负面率按 post/comment 预测样本行统计；评论覆盖范围以 CK 当前采集结果为准。",
-    "风险分用于当前时间窗内话题排序和解释，部分因子采用候选话题 p95 归一化，不建议跨时间窗直接比较绝对分值。",
-    "存储为 UTC，前端展示为东八区。",
+    "Comments are those that were collected, which may be fewer than were written.",
+    "Shares count scored samples; coverage follows the collection.",
+    "Risk scores order the topics of one time range and are not comparable across ranges.",
+    "Times are stored in UTC and shown in local time.",
 )
 REQUEST_NAMES = (
     "overview", "risk_topics", "topic_detail", "actors", "evidence",
