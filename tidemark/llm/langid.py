@@ -26,9 +26,9 @@ from tidemark.llm.features import subword_slots
 
 BITS = 15
 DIM = 12
-MAX_PER_LANG = 800
+MAX_PER_LANG = 1500
 MAX_LANGS = 200
-EPOCHS = 6
+EPOCHS = 5
 UNDEFINED = "und"
 _ASCII_LETTER = re.compile(b"[A-Za-z]")
 
@@ -124,7 +124,7 @@ def descend(samples: list, labels: np.ndarray, langs: list[str], bits: int) -> M
             back = out @ g
             out -= rate * np.outer(mean, g)
             bias -= rate * 0.1 * g
-            embed[slot] -= rate * 20.0 * np.outer(share, back)
+            embed[slot] -= rate * 5.0 * np.outer(share, back)
     model = Model(langs, embed @ out, bias)
     scores = np.array([samples[i][1] @ model.table[samples[i][0]] + bias for i in aside])
     if len(aside):
@@ -133,7 +133,7 @@ def descend(samples: list, labels: np.ndarray, langs: list[str], bits: int) -> M
         def loss(t):
             p = softmax(scores / t)[np.arange(len(truth)), truth]
             return -np.log(np.maximum(p, 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.05, 5.0, 60), key=loss))
+        model.temperature = float(min(np.geomspace(0.5, 5.0, 40), key=loss))
         best = softmax(scores / model.temperature)
         right = best.argmax(axis=1) == truth
         if right.any():
