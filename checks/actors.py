@@ -110,7 +110,7 @@ def actor_views(sfx: str, tag: str, topic: str | None = None) -> None:
     })
 
 
-def ranked_sql(tag: str, limit: int = 20) -> str:
+def ranked_sql(tag: str, limit: int | None = 20) -> str:
     return f"""select 'u_' || substr(sha256(cast(uid as varchar)), 1, 10) actor_id,
       display_name, verified, profile_tier, case when profile_tier < 1 or followers_count <= 0
       then '未覆盖' when followers_count < 10000 then '<1w' when followers_count < 100000
@@ -121,7 +121,7 @@ def ranked_sql(tag: str, limit: int = 20) -> str:
       interaction_contribution, actor_influence_score,
       case when len(found) = 0 then 'ordinary_actor' else array_to_string(found, ',') end roles,
       role_count, {SIX} from a_all_{tag} order by role_count desc,
-      actor_influence_score desc, sample_count desc, uid limit {limit}"""
+      actor_influence_score desc, sample_count desc, uid {"" if limit is None else f"limit {limit}"}"""
 
 
 actor_views("all", "all")
@@ -223,10 +223,10 @@ def act_16(run):
 
 @query("act_17", f"""select actor_id, display_name, actor_influence_score influence_score,
   negative_ratio, interaction_count, dominant_emotion, top_topic_id topic_id
-  from ({ranked_sql('all', 80)})""")
+  from ({ranked_sql('all', None)})""")
 def act_17(run):
     profiles = a.actor_profiles(run.tables, run.window())
-    return a.influence_points(a.rank_actors(profiles, 80))
+    return a.influence_points(a.add_display_names(profiles))
 
 
 ROLE_SQL = """select unnest(case when len(found) = 0 then ['ordinary_actor'] else found end) "role"

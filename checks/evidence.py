@@ -95,7 +95,7 @@ def ev_04_author(run):
 
 @query("ev_05", rendered("e_all", 8))
 def ev_05(run):
-    return e.render_evidence(e.page(e.evidence_feed(run.tables, run.window()), 8))
+    return e.render_evidence(e.evidence_page(run.tables, run.window(), 8))
 
 
 @query("ev_06", """select evidence_score, "source", source_id, n "rank",
@@ -109,10 +109,11 @@ def ev_06(run):
   row_number() over (order by evidence_score desc, "source", source_id) n from e_all)
   where n > 8 and n <= 16""")
 def ev_06_next(run):
-    feed = e.evidence_feed(run.tables, run.window())
-    key = e.next_key(e.page(feed, 8), 8).first()
+    window = run.window()
+    key = e.next_key(e.evidence_page(run.tables, window, 8), 8).first()
     after = (key["evidence_score"], key["source"], key["source_id"])
-    return e.page(feed, 8, after).select("source", "source_id", "evidence_score")
+    return e.evidence_page(run.tables, window, 8, after=after).select(
+        "source", "source_id", "evidence_score")
 
 
 @query("ev_07", "select actor_role, count(*) n from e_all group by 1")
@@ -244,9 +245,9 @@ def doc_07(run):
 
 @query("doc_08", f"""select comment_id, text_raw, like_count, {iso('created_at')} created_at,
   verified, followers_count from v_comment left join v_user on uid = user_id
-  order by like_count desc, comment_id limit 1000""")
+""")
 def doc_08(run):
-    return c.comment_inputs(run.tables, limit=1000).withColumn(
+    return c.comment_inputs(run.tables).withColumn(
         "created_at", local_iso(F.col("created_at")))
 
 

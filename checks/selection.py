@@ -385,8 +385,7 @@ def sel_24(run):
 
 
 VIEWS["v_blocked"] = "select content from v_text where split in ('eval', 'test')"
-VIEWS["v_pool"] = """select id, content, label_id from v_split_first where split = 'train'
-  and label_id in (0, 5)"""
+VIEWS["v_pool"] = "select id, content, label_id from v_split_first where split = 'train'"
 VIEWS["v_fresh"] = """select id, content, adjudicated_label_id label_id from v_acc
   where content not in (select content from v_blocked)"""
 
@@ -397,7 +396,7 @@ VIEWS["v_fresh"] = """select id, content, adjudicated_label_id label_id from v_a
 def sel_25(run):
     text = run.tables.text
     existing = dedupe_content(text, "id", ("split",)).filter(
-        "split = 'train' and label_id in (0, 5)").select("id", "content", "label_id")
+        "split = 'train'").select("id", "content", "label_id")
     fresh = accepted(run).select("id", "content", F.col("adjudicated_label_id").alias("label_id"))
     blocked = text.filter("split in ('eval', 'test')")
     return asm.second_round_pool(existing, fresh, blocked).select("id", "label_id")
@@ -413,7 +412,7 @@ VIEWS["v_capped"] = f"""select id, content, label_id from (select *, row_number(
 def sel_26(run):
     text = run.tables.text
     base = dedupe_content(text, "id", ("split",)).filter(
-        "split = 'train' and label_id in (0, 5)").select("id", "content", "label_id")
+        "split = 'train'").select("id", "content", "label_id")
     business = accepted(run).select(
         "id", "content", F.col("adjudicated_label_id").alias("label_id"))
     mixed = asm.mixed_training(base, business, text.filter("split = 'eval'"),

@@ -163,6 +163,13 @@ def shorten(col: Column, max_chars: int) -> Column:
     )
 
 
+def cut(col: Column, max_chars: int) -> Column:
+    """Text cut to ``max_chars`` with '...' when longer, blanks as they are."""
+    text = F.coalesce(col, F.lit(""))
+    return F.when(F.length(text) <= max_chars, text).otherwise(
+        F.concat(F.substring(text, 1, max_chars), F.lit("...")))
+
+
 def topic_title_key(title: Column) -> Column:
     """Topic title without surrounding blanks and '#', in lower case."""
     return F.lower(F.trim(F.regexp_replace(F.trim(title), r"^#+|#+$", "")))

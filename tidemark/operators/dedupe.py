@@ -39,8 +39,10 @@ def first_seen(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def latest_with_first_seen(df: DataFrame, keys: Sequence[str], version: str, column: str,
                            ties: Sequence[str] = ()) -> DataFrame:
     """The newest version of each key carrying the earliest value of ``column``."""
-    newest = latest_version(df, keys, version, ties).drop(column)
-    return newest.join(first_seen(df, keys, column), list(keys))
+    rest = [c for c in df.columns if c not in (*keys, column)]
+    newest = F.max_by(F.struct(*rest), F.struct(version, *ties)).alias("_newest")
+    folded = df.groupBy(*keys).agg(newest, F.min(column).alias(column))
+    return folded.select(*keys, "_newest.*", column)
 
 
 def exclude_contents(df: DataFrame, *others: DataFrame, key: str = "content") -> DataFrame:

@@ -115,6 +115,22 @@ def page(feed: DataFrame, limit: int, after: tuple[float, str, int] | None = Non
     return feed.orderBy(F.desc("evidence_score"), "source", "source_id").limit(limit)
 
 
+def evidence_page(tables, window: TimeWindow, limit: int, topic_id: int | None = None, q: str = "",
+                  author: int | None = None, s: Settings = DEFAULTS,
+                  after: tuple[float, str, int] | None = None) -> DataFrame:
+    """One page of the feed: narrow rows are ranked, then the texts of the page are fetched."""
+    shown = page(evidence_feed(tables, window, topic_id, q, author, s).drop("content"),
+                 limit, after)
+    # at most ``limit`` keys
+    keys = F.broadcast(shown.select("source", "source_id", "post_id"))
+    posts = tables.post.select(F.lit("post").alias("source"), F.col("post_id").alias("source_id"),
+                               "post_id", F.col("text_raw").alias("content"))
+    comments = tables.comment.select(F.lit("comment").alias("source"), F.col("comment_id").alias(
+        "source_id"), "post_id", F.col("text_raw").alias("content"))
+    texts = posts.unionByName(comments).join(keys, ["source", "source_id", "post_id"])
+    return shown.join(texts, ["source", "source_id", "post_id"], "left")
+
+
 def numbered_pages(feed: DataFrame, limit: int) -> DataFrame:
     """Rank and page number of every sample of the feed."""
     ranked = number_rows(feed.select(*ORDER), [

@@ -30,17 +30,16 @@ _PREDICTED = [*EMOTION_COUNTS, "sample_count", "negative_count", "anger_fear_cou
 
 
 # ------------------------------------------------------------ one row per post
-def post_growth(tables, window: TimeWindow) -> DataFrame:
-    """First and last interaction sums of each post inside the window."""
-    seen = window.within(tables.engagement, "captured_at")
+def post_growth(seen: DataFrame) -> DataFrame:
+    """First and last interaction sums of each post in a set of snapshots."""
     return seen.groupBy("post_id").agg(
         F.min_by(interactions(), F.col("captured_at")).alias("earliest"),
         F.max_by(interactions(), F.col("captured_at")).alias("latest"))
 
 
-def post_sources(tables) -> DataFrame:
+def post_sources(discovery: DataFrame) -> DataFrame:
     """One flag per discovery source of each post."""
-    return tables.discovery.groupBy("post_id").agg(*[
+    return discovery.groupBy("post_id").agg(*[
         F.max(F.when(F.col("source_type") == t, 1).otherwise(0)).alias(f"from_{t}")
         for t in SOURCE_TYPES])
 
@@ -314,7 +313,8 @@ def engagement_curve(tables, window: TimeWindow, topic_id: int) -> DataFrame:
 
 def engagement_summary(tables, window: TimeWindow, topic_id: int) -> DataFrame:
     """First and last totals, gain and growth of one topic."""
-    seen = post_growth(tables, window).join(topic_links(tables, topic_id), "post_id", "left_semi")
+    seen = post_growth(window.within(tables.engagement, "captured_at").join(
+        topic_links(tables, topic_id), "post_id", "left_semi"))
     return seen.agg(
         F.coalesce(F.sum("earliest"), F.lit(0)).alias("earliest_interactions"),
         F.coalesce(F.sum("latest"), F.lit(0)).alias("latest_interactions"),
@@ -327,7 +327,7 @@ def engagement_summary(tables, window: TimeWindow, topic_id: int) -> DataFrame:
 def topic_sources(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
     """Counts and shares of the four discovery sources over predicted posts of one topic."""
     posts = predicted_links(tables, window, topic_id, s)
-    flags = post_sources(tables).join(posts, "post_id", "left_semi")
+    flags = post_sources(tables.discovery.join(posts, "post_id", "left_semi"))
     counts = flags.agg(*[F.count_if(F.col(f"from_{t}") == 1).alias(f"source_{t}")
                          for t in SOURCE_TYPES])
     return source_shares(counts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import shorten
+from tidemark.functions.text import cut
 from tidemark.operators import context as c
 from tidemark.operators import evidence as e
 from tidemark.operators import kpi
@@ -24,8 +24,8 @@ TIMELINE_POINTS = 14
 
 def top_evidence(tables, window: TimeWindow, topic_id: int | None, n: int,
                  s: Settings) -> DataFrame:
-    shown = e.render_evidence(e.page(e.evidence_feed(tables, window, topic_id, s=s), n), s)
-    rows = shown.select("sample_id", "source", shorten(F.col("content"), 120).alias("content"),
+    shown = e.render_evidence(e.evidence_page(tables, window, n, topic_id, s=s), s)
+    rows = shown.select("sample_id", "source", cut(F.col("content"), 80).alias("content"),
                         "pred_label", "confidence", "interaction_count", "evidence_reason")
     return c.ordered_list(rows, [F.asc("sample_id")], "evidence_samples")
 
@@ -64,8 +64,8 @@ def topic_detail(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAUL
     scored = t.render_topics(topic_risk(tables, window, topic_id, s))
     base = t.topic_base(tables, window, topic_id, s).select(
         F.col("topic_id").cast("string").alias("topic_id"), "read_count", "discuss_count")
-    shown = e.render_evidence(e.page(
-        e.evidence_feed(tables, window, topic_id, s=s), evidence_limit), s)
+    shown = e.render_evidence(e.evidence_page(
+        tables, window, evidence_limit, topic_id, s=s), s)
     actors = key_actors(tables, window, topic_id, actor_limit, s)
     lists = {
         "timeline": c.ordered_list(t.emotion_by_day(samples), [F.asc("day")], "x"),
