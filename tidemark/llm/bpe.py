@@ -92,20 +92,33 @@ class Words:
         return [whole[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist())]
 
 
+def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of separate words."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    return (Prefix(data).ranges(ends - sizes, ends),
+            Prefix(data, SECOND_BASE).ranges(ends - sizes, ends))
+
+
 class Frequent:
     """The frequent words by their hashes, with the pool of their ids."""
 
-    def __init__(self, words: list[bytes], ids: list[bytes]):
-        data = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words]).astype(np.int64)
-        starts = ends - np.array([len(w) for w in words], np.int64)
-        first = Prefix(data).ranges(starts, ends)
+    def __init__(self, table: pa.Table):
+        """``table``: first, second (hashes) and ids of every word."""
+        if not table.num_rows:
+            self.first = self.second = np.zeros(0, np.uint64)
+            self.pool = Pool(np.zeros(0, np.int64), np.zeros(0, np.uint32))
+            return
+        first = table["first"].to_numpy().view(np.uint64)
         order = np.argsort(first, kind="stable")
         self.first = first[order]
-        self.second = Prefix(data, SECOND_BASE).ranges(starts, ends)[order]
-        pieces = [ids[i] for i in order]
-        self.pool = Pool(np.array([len(p) // 4 for p in pieces]),
-                         np.frombuffer(b"".join(pieces), np.uint32))
+        self.second = table["second"].to_numpy().view(np.uint64)[order]
+        ids = pa.concat_arrays(table["ids"].chunks).take(pa.array(order))
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)[:len(ids) + 1]
+        values = ids.buffers()[2]
+        self.pool = Pool(np.diff(offsets) // 4, np.frombuffer(values or b"", np.uint32)
+                         [offsets[0] // 4:offsets[-1] // 4].copy())
 
     def number(self, words: Words) -> np.ndarray:
         """1 + the number of every word, 0 for one that is not here."""
@@ -147,13 +160,14 @@ def frequent_words(docs: DataFrame, tokens, pattern: str, limit: int = HOT_WORDS
 
     def encode(batch: pa.RecordBatch):
         words = batch.column(0).to_pylist()
+        first, second = word_keys(words)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(encode_words(tokens.value, pattern, words), pa.binary())],
-            ["word", "ids"])
+            [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)),
+             pa.array(encode_words(tokens.value, pattern, words), pa.binary())],
+            ["first", "second", "ids"])
 
-    table = map_batches(counts.filter(F.col("n") >= least).select("word"), encode,
-                        "word binary, ids binary").toPandas()
-    return Frequent(list(table["word"]), list(table["ids"]))
+    return Frequent(map_batches(counts.filter(F.col("n") >= least).select("word"), encode,
+                                "first long, second long, ids binary").toArrow())
 
 
 def placed_words(docs: DataFrame, frequent, pattern: str) -> DataFrame:

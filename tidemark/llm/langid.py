@@ -26,7 +26,7 @@ from tidemark.llm.features import subword_slots
 
 BITS = 15
 DIM = 12
-MAX_PER_LANG = 1500
+MAX_PER_LANG = 1000
 MAX_LANGS = 200
 EPOCHS = 5
 UNDEFINED = "und"
