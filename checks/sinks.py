@@ -269,7 +269,8 @@ def cx_09(run):
 @query("top_19")
 def top_19(run):
     detail = topic_detail(run.tables, run.window(), busiest(run), SETTINGS)
-    lists = ("timeline", "engagement_curve", "top_actors", "evidence_samples")
+    lists = ("timeline", "engagement_curve", "top_actors", "evidence_samples",
+             "emotion_distribution", "source_counts")
     return detail.withColumns({x: F.to_json(x) for x in lists})
 
 

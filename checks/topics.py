@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import SETTINGS, VIEWS, query
-from checks.views import DOMINANT, EMOTIONS, SIX, big, day, growth, label, micros, ratio, rnd
+from checks.views import DOMINANT, EMOTIONS, SIX, big, day, growth, iso, label, micros, ratio, rnd
 from tidemark.operators import topics as t
 from tidemark.operators.samples import EMOTION_COUNTS
 from tidemark.plans.risk import risk_topics, scored_topics, topic_risk
@@ -252,6 +252,7 @@ VIEWS["one_samples"] = "select * from p_all where post_id in (select post_id fro
 
 
 @query("top_11", f"""select topic_id, title, lead, read_count, discuss_count,
+  {iso('first_seen_at')} first_seen_at, {iso('last_seen_at')} last_seen_at,
   (select count(distinct post_id) from one_samples) post_count from v_topic
   where topic_id = {BUSIEST}""")
 def top_11(run):

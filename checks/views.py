@@ -69,8 +69,9 @@ VIEWS.update({
       like_count desc, l_returnflag desc, l_linestatus desc) rn from v_comment_raw) x
       where rn = 1""",
     "v_topic": """select p_partkey + 1 topic_id, p_name title, p_type lead,
-      cast(floor(p_retailprice) as bigint) read_count, cast(p_size as bigint) discuss_count
-      from part""",
+      cast(floor(p_retailprice) as bigint) read_count, cast(p_size as bigint) discuss_count,
+      timestamp '1992-01-01' + to_days(cast(p_size as int)) first_seen_at,
+      timestamp '1998-01-01' + to_days(cast(p_size as int)) last_seen_at from part""",
     "v_post_topic": """select distinct l_orderkey + 1 post_id, l_partkey + 1 topic_id
       from lineitem""",
     "v_discovery": """select l_orderkey + 1 post_id,

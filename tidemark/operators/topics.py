@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_name
 from tidemark.functions.numeric import (
-    clip_norm, growth_label, local_day, mean_micros, micros, ratio, risk_level, round_to,
+    clip_norm, growth_label, local_day, local_iso, mean_micros, micros, ratio, risk_level, round_to,
 )
 from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
@@ -261,6 +261,8 @@ def topic_base(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS
     return tables.topic.filter(F.col("topic_id") == topic_id).groupBy("topic_id").agg(
         F.min("title").alias("title"), F.min("lead").alias("lead"),
         F.max("read_count").alias("read_count"), F.max("discuss_count").alias("discuss_count"),
+        local_iso(F.min("first_seen_at")).alias("first_seen_at"),
+        local_iso(F.max("last_seen_at")).alias("last_seen_at"),
     ).withColumn("post_count", posts)
 
 

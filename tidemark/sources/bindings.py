@@ -55,7 +55,9 @@ def star_tables(spark: SparkSession, root: str) -> Tables:
         return read("part").selectExpr(
             "p_partkey + 1 topic_id", "p_name title", "p_type lead",
             "cast(floor(p_retailprice) as bigint) read_count",
-            "cast(p_size as bigint) discuss_count")
+            "cast(p_size as bigint) discuss_count",
+            "timestamp_ntz '1992-01-01 00:00:00' + make_dt_interval(p_size) first_seen_at",
+            "timestamp_ntz '1998-01-01 00:00:00' + make_dt_interval(p_size) last_seen_at")
 
     def post_topic() -> DataFrame:
         return read("lineitem").selectExpr(
