@@ -105,16 +105,24 @@ class Frequent:
     """The frequent words by their hashes, with the pool of their ids."""
 
     def __init__(self, table: pa.Table):
-        """``table``: first, second (hashes) and ids of every word."""
+        """``table``: first, second (hashes), count and ids of every word.
+
+        Words are numbered by falling count, so the numbers in documents are small.
+        """
         if not table.num_rows:
             self.first = self.second = np.zeros(0, np.uint64)
+            self.rank = np.zeros(0, np.uint32)
             self.pool = Pool(np.zeros(0, np.int64), np.zeros(0, np.uint32))
             return
         first = table["first"].to_numpy().view(np.uint64)
         order = np.argsort(first, kind="stable")
         self.first = first[order]
         self.second = table["second"].to_numpy().view(np.uint64)[order]
-        ids = pa.concat_arrays(table["ids"].chunks).take(pa.array(order))
+        falling = np.argsort(-table["n"].to_numpy(), kind="stable")
+        rank = np.empty(len(falling), np.uint32)
+        rank[falling] = np.arange(len(falling), dtype=np.uint32)
+        self.rank = rank[order]
+        ids = pa.concat_arrays(table["ids"].chunks).take(pa.array(falling))
         offsets = np.frombuffer(ids.buffers()[1], np.int32)[:len(ids) + 1]
         values = ids.buffers()[2]
         self.pool = Pool(np.diff(offsets) // 4, np.frombuffer(values or b"", np.uint32)
@@ -127,7 +135,7 @@ class Frequent:
             return np.zeros(len(first), np.uint32)
         at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
         known = (self.first[at] == first) & (self.second[at] == second)
-        return np.where(known, at + 1, 0).astype(np.uint32)
+        return np.where(known, self.rank[at] + np.uint32(1), np.uint32(0))
 
 
 def encode_words(tokens: tuple[bytes, ...], pattern: str, words: list[bytes]) -> list[bytes]:
@@ -163,11 +171,11 @@ def frequent_words(docs: DataFrame, tokens, pattern: str, limit: int = HOT_WORDS
         first, second = word_keys(words)
         yield pa.RecordBatch.from_arrays(
             [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)),
-             pa.array(encode_words(tokens.value, pattern, words), pa.binary())],
-            ["first", "second", "ids"])
+             batch.column(1), pa.array(encode_words(tokens.value, pattern, words), pa.binary())],
+            ["first", "second", "n", "ids"])
 
-    return Frequent(map_batches(counts.filter(F.col("n") >= least).select("word"), encode,
-                                "first long, second long, ids binary").toArrow())
+    return Frequent(map_batches(counts.filter(F.col("n") >= least).select("word", "n"), encode,
+                                "first long, second long, n long, ids binary").toArrow())
 
 
 def placed_words(docs: DataFrame, frequent, pattern: str) -> DataFrame:

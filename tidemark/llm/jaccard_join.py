@@ -9,8 +9,8 @@ A document is its set of distinct 5-word shingles.  Two sets link at a similarit
    that is left with it, so both partners of a link meet in the block of a hub.
 3. In a block, members that link with the hub need no search: they are in its component.  Each
    other member searches the block's inverted lists: short lists are merged and counted, long
-   ones probed by binary search, and sets that reach the required overlap are kept.  A large block is cut
-   into shards of bounded bytes, and its searching members visit each shard.
+   ones probed by binary search, and sets that reach the required overlap are kept.  A large block
+   is cut into shards of bounded bytes, and its searching members visit each shard.
 4. Components of the links, by star steps in tables.
 
 Nothing depends on the sample but speed.  Null or empty texts have no shingles and link with nothing;

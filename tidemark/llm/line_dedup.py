@@ -85,14 +85,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", size: int = WINDOW) -> Data
             [*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
             [*kept, "__n_lines", "__n_removed"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("__n_lines"),
-                         F.lit(0).cast("long").alias("__n_removed")).schema
-    def run(batches):
-        from tidemark.llm.common import slices
-        for batch in batches:
-            for part in slices(batch):
-                yield from apply(part)
-    return joined.mapInArrow(run, schema)
+    added = [F.lit(0).cast("long").alias(n) for n in ("__n_lines", "__n_removed")]
+    schema = docs.select(*[f"`{c}`" for c in docs.columns], *added).schema
+    return map_batches(joined, apply, schema)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -109,7 +104,8 @@ l as (select doc_id, t, string_split(t, chr(10)) as ls from d),
 n as (select doc_id, t, ls, unnest(range(len(ls))) as i from l),
 w as (select doc_id, t, i, ls[i + 1] || chr(10) || ls[i + 2] || chr(10) || ls[i + 3] as win from n
       where i + 3 <= len(ls)
-        and trim(ls[i + 1] || ls[i + 2] || ls[i + 3], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+        and trim(ls[i + 1] || ls[i + 2] || ls[i + 3],
+                 ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 f as (select win, min({'d': doc_id, 'i': i}) as first from w group by win having count(*) > 1),
 later as (select distinct w.doc_id, w.i from w join f using (win)
           where {'d': w.doc_id, 'i': w.i} <> f.first),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import (bpe, decontaminate, exact_stream, jaccard_join, langid, line_dedup, quality,
-                          secrets, suffix_dedup, warc)
+from tidemark.llm import (bpe, decontaminate, exact_stream, jaccard_join, langid, line_dedup,
+                          quality, secrets, suffix_dedup, warc)
 from tidemark.llm.common import read_table
 
 
@@ -54,8 +54,8 @@ def op10_warc(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_decontamination, op3_quality, op4_bpe, op5_suffix_dedup, op6_exact_dedup, op7_jaccard_join, op8_language, op9_line_dedup,
-    op10_warc)}
+    op1_secret_scan, op2_decontamination, op3_quality, op4_bpe, op5_suffix_dedup,
+    op6_exact_dedup, op7_jaccard_join, op8_language, op9_line_dedup, op10_warc)}
 
 ORACLES = {
     "op6_exact_dedup": exact_stream.EXACT_SQL,
