@@ -132,6 +132,23 @@ def spans_where(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 
+PLACES = 1 << 30
+
+
+def hash_place(key: Column) -> Column:
+    """A place in 0 .. PLACES - 1 that depends on the key only; samples take the first places."""
+    return F.pmod(F.xxhash64(key), F.lit(PLACES))
+
+
+def may_be_first(key: Column, limit: int, rows: Column) -> Column:
+    """Whether a row can be among the first ``limit`` of ``rows`` rows by hash place.
+
+    A fourfold margin makes a shortfall as good as impossible; what follows sorts a few times
+    ``limit`` rows, whatever the size of the table.
+    """
+    return hash_place(key) <= F.lit(4.0 * PLACES * limit) / rows + F.lit(64.0 * PLACES) / rows
+
+
 FILTER_BITS = 1 << 25
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, map_batches, texts_of
+from tidemark.llm.common import fold_of, hash_place, map_batches, may_be_first, texts_of
 from tidemark.llm.features import subword_slots
 
 BITS = 15
@@ -66,9 +66,11 @@ def training_rows(docs: DataFrame, per_lang: int) -> DataFrame:
     usable = docs.filter((fold_of(F.col("doc_id")) != 1) & F.col("lang").isNotNull()
                          & F.col("text").isNotNull()).select(
         "doc_id", F.col("lang").cast("string").alias("__lang"), F.col("text").alias("__text"))
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # row_number with a limit keeps at most per_lang rows of a language in each map task
-    chosen = usable.select("doc_id", "__lang").withColumn(
+    narrow = usable.select("doc_id", "__lang")
+    sizes = narrow.groupBy("__lang").agg(F.count("*").alias("__rows"))
+    order = Window.partitionBy("__lang").orderBy(hash_place(F.col("doc_id")), "doc_id")
+    chosen = narrow.join(sizes, "__lang").filter(
+        may_be_first(F.col("doc_id"), per_lang, F.col("__rows"))).withColumn(
         "__n", F.row_number().over(order)).filter(F.col("__n") <= per_lang).select(
         "doc_id", "__lang").distinct().limit(per_lang * MAX_LANGS)
     return usable.join(F.broadcast(chosen), ["doc_id", "__lang"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, map_batches, texts_of
+from tidemark.llm.common import fold_of, hash_place, map_batches, may_be_first, texts_of
 from tidemark.llm.features import word_ngrams
 
 BITS = 18
@@ -61,8 +61,9 @@ def sigmoid(x):
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(
         F.max("quality").cast("int").alias("__label"))
-    chosen = known.filter(fold_of(F.col("doc_id")) != 1).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(limit)
+    usable = known.filter(fold_of(F.col("doc_id")) != 1)
+    chosen = usable.filter(may_be_first(F.col("doc_id"), limit, F.lit(max(usable.count(), 1)))
+                           ).orderBy(hash_place(F.col("doc_id")), "doc_id").limit(limit)
     # at most ``limit`` rows of two numbers
     return docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(chosen), "doc_id")
 
