@@ -151,10 +151,10 @@ def block_members(rows: DataFrame) -> DataFrame:
     """(hub, sid): the sets that may have a link, by the hubs of their shared shingles."""
     exploded = rows.select("sid", "least", F.explode("prefix").alias("h"))
     shared = stored(shared_only(exploded).select("h"), "shared")
-    met = stored(exploded.join(shared, "h").distinct(), "met")
-    able = stored(met.groupBy("sid", "least").agg(F.count("*").alias("c")).filter(
-        "c >= least").select("sid"), "able")
-    left = stored(met.join(able, "sid").select("sid", "h"), "left")
+    # a set's list is bounded by its prefix, and equal sets fold in the map tasks
+    able = exploded.join(shared, "h").groupBy("sid", "least").agg(
+        F.collect_set("h").alias("hs")).filter(F.size("hs") >= F.col("least"))
+    left = stored(able.select("sid", F.explode("hs").alias("h")), "left")
     hubs = stored(shared_only(left), "hubs")
     others = stored(left.join(hubs, "h").filter("sid <> hub").select("hub", "sid").distinct(),
                     "others")
