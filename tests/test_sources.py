@@ -81,6 +81,48 @@ def test_upsert_moves_keys_between_months_and_reads_only_theirs(spark, tmp_path)
     assert "202403" in plan[plan.index("PartitionFilters"):].split("]")[0]
 
 
+def test_upserts_keep_rows_without_a_time(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(1, None, 0, 1), (2, None, 0, 1), (3, "2024-01-05", 0, 1)]
+    io.upsert_predictions(spark, path, predictions(spark, rows))
+    again = [(2, None, 5, 2), (4, None, 1, 2)]
+    io.upsert_predictions(spark, path, predictions(spark, again))
+    def held():
+        return sorted((r["source_id"], str(r["month"]), r["pred_label_id"])
+                      for r in spark.read.parquet(path).collect())
+    assert held() == [(1, "none", 0), (2, "none", 5), (3, "202401", 0), (4, "none", 1)]
+    moved = [(1, "2024-02-01", 2, 3), (2, "2024-01-01", 3, 3), (4, "2024-01-09", 4, 3)]
+    io.upsert_predictions(spark, path, predictions(spark, moved))
+    assert held() == [(1, "202402", 2), (2, "202401", 3), (3, "202401", 0), (4, "202401", 4)]
+
+
+def test_upsert_takes_over_the_default_partition(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = predictions(spark, [(1, None, 0, 1), (2, None, 0, 1), (3, "2024-01-05", 0, 1)])
+    rows.withColumn("month", F.date_format("source_created_at", "yyyyMM")).write.partitionBy(
+        "month").parquet(path)
+    io.upsert_predictions(spark, path, predictions(spark, [(1, None, 7, 2)]))
+    assert sorted((r["source_id"], r["month"], r["pred_label_id"])
+                  for r in spark.read.parquet(path).collect()) == [
+        (1, "none", 7), (2, "none", 0), (3, "202401", 0)]
+
+
+def test_scoring_batches_without_times_keep_earlier_ones(run, spark, tmp_path):
+    path, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    for k in range(2):
+        run.tables.documents.filter(f"doc_id % 2 = {k}").coalesce(1).write.mode("append").parquet(
+            path)
+    texts = st.read_stream(spark, path, 1).selectExpr(
+        "'post' source_type", "doc_id source_id", "doc_id post_id",
+        "cast(null as timestamp_ntz) source_created_at", "text text_raw")
+    query = st.run_available(texts, "append", str(tmp_path / "state"),
+                             st.scoring_sink(out, letter_scorer, "letters", clean_text))
+    assert query.lastProgress["batchId"] >= 1
+    scored = [r[0] for r in spark.read.parquet(out).select("source_id").collect()]
+    assert sorted(scored) == sorted(
+        r[0] for r in run.tables.documents.select("doc_id").collect())
+
+
 def test_canonical_tables_resolve_versions(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, "old", "2024-01-01", "2024-01-01"), (1, "new", "2024-01-09", "2024-01-05")],

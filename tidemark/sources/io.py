@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.scoring import KEYS, merge_predictions
 from tidemark.session import stored
-from tidemark.sources.tables import add_month
+from tidemark.sources.tables import NO_MONTH, add_month, month_of
 
 RAW_SCHEMA = "id bigint, content string, label string"
 # Fixed format: <model>-<track>-<yyyymmdd-hhmm>
 RUN_NAME = r"([a-z0-9]+)-(usual|virus)-(\d{8}-\d{4})"
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
@@ -144,13 +145,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def months_of(df: DataFrame) -> list[str]:
-    """The distinct months, a short list."""
-    return sorted(r[0] for r in df.select("month").distinct().collect() if r[0] is not None)
+    """The distinct months, a short list; null is NO_MONTH."""
+    return sorted(r[0] for r in df.select(month_of(F.col("month"))).distinct().collect())
 
 
 def predictions_of(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
     """The stored predictions of some months; only their folders are read."""
-    return spark.read.parquet(path).withColumn("month", F.col("month").cast("string")).filter(
+    return spark.read.parquet(path).withColumn("month", month_of(F.col("month"))).filter(
         F.col("month").isin(months))
 
 
@@ -158,14 +159,15 @@ def upsert_predictions(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Merge predictions into a table partitioned by month of the source time.
 
     The months that receive rows are read and replaced, and those where a key was before, so a key
-    whose month changes is moved.  Which months these are is told by the key columns alone.  The
+    whose month changes is moved.  Rows without a source time have the month NO_MONTH; those that an
+    earlier version left in the default partition are taken over with it.  Which months these are is told by the key columns alone.  The
     merged rows are written to the shared folder first, since they come from the replaced one.
     """
     fresh = stored(add_month(new, "source_created_at"), "fresh")
     months = months_of(fresh)
     old = fresh.limit(0)
     if path_exists(spark, path):
-        held = spark.read.parquet(path).select(*KEYS, F.col("month").cast("string").alias("month"))
+        held = spark.read.parquet(path).select(*KEYS, month_of(F.col("month")).alias("month"))
         before = held.join(fresh.select(*KEYS).distinct(), list(KEYS), "left_semi")
         months = sorted({*months, *months_of(before)})
         old = predictions_of(spark, path, months)
@@ -173,11 +175,12 @@ def upsert_predictions(spark: SparkSession, path: str, new: DataFrame) -> None:
     # rebalancing gives each month few files and splits a month that holds most rows
     merged.hint("rebalance", "month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    left = set(months_of(merged))
-    for month in months:
-        if month not in left:  # every key of the month has moved
-            system, folder = _file_system(spark, f"{path}/month={month}")
-            system.delete(folder, True)
+    gone = sorted(set(months) - set(months_of(merged)))  # every key of these has moved
+    if NO_MONTH in months:
+        gone.append(DEFAULT_PARTITION)
+    for month in gone:
+        system, folder = _file_system(spark, f"{path}/month={month}")
+        system.delete(folder, True)
 
 
 ARGS_SCHEMA = ("pretrained string, resolved_max_length int, resolved_device string, "

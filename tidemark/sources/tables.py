@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedupe import latest_version, latest_with_first_seen
@@ -58,6 +58,13 @@ def canonical_tables(spark: SparkSession, root: str) -> Tables:
     return Tables(spark, {**current, **versions})
 
 
+NO_MONTH = "none"
+
+
+def month_of(month: Column) -> Column:
+    return F.coalesce(month.cast("string"), F.lit(NO_MONTH))
+
+
 def add_month(df: DataFrame, column: str, name: str = "month") -> DataFrame:
-    """Month partition column (yyyyMM) of a time column."""
-    return df.withColumn(name, F.date_format(column, "yyyyMM"))
+    """Month partition column (yyyyMM) of a time column; a null time has the month NO_MONTH."""
+    return df.withColumn(name, month_of(F.date_format(column, "yyyyMM")))
