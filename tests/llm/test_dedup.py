@@ -1,6 +1,7 @@
 """Line, exact, near and byte-string dedup against brute force."""
 
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -108,6 +109,46 @@ def test_near_group_without_a_common_hub(spark):
     assert jaccard_join.one_per_group(frame).count() == len({c for _, c in got.values()})
 
 
+def template_texts(n, own):
+    """Short texts of one template of 100 shingles and ``own`` others each, and two near copies."""
+    dice = random.Random(11)
+    template = sentence(dice, 104)
+    rows = [(k, f"{template} " + " ".join(f"w{k}x{j}" for j in range(own))) for k in range(n)]
+    return rows + [(n, rows[3][1] + " more"), (n + 1, rows[7][1] + " more")]
+
+
+def test_short_texts_of_one_template_move_no_bodies(spark):
+    """100 of 140 shingles are shared: no link, and no block of them all."""
+    rows = template_texts(300, 20)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prefixes = jaccard_join.prefixes(frame, jaccard_join.common_shingles(frame))
+    assert jaccard_join.block_members(prefixes).count() <= 8
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in jaccard_join.near_duplicates(frame, shard_bytes=1 << 14).collect()}
+    assert got == jaccard_join.brute_force(rows)
+
+
+def test_searching_sets_are_streamed_past_bounded_lists(spark, monkeypatch):
+    """A block of many shards whose sizes differ: cells stay bounded and links are complete."""
+    dice = random.Random(13)
+    pool = sentence(dice, 400).split()
+    rows = []
+    for k in range(240):
+        start = dice.randrange(40)
+        body = pool[start:start + dice.choice((70, 90, 130, 200))]
+        rows.append((k, " ".join([*body, *[f"w{k}x{j}" for j in range(dice.randrange(20))]])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = []
+    plain = jaccard_join.dealt
+    monkeypatch.setattr(jaccard_join, "dealt", lambda f: (chunks.append(f), plain(f))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in jaccard_join.near_duplicates(frame, shard_bytes=1 << 12).collect()}
+    assert got == jaccard_join.brute_force(rows)
+    cells = chunks[1].groupBy("hub", "shard", "chunk").agg(
+        F.count_if(F.col("role") == 1).alias("asking")).agg(F.max("asking"), F.count("*")).first()
+    assert cells[1] > 1 and cells[0] <= 60
+
+
 def test_near_of_nothing(no_docs):
     assert jaccard_join.jaccard_report(no_docs).count() == 0
 

@@ -4,13 +4,15 @@ A document is its set of distinct 5-word shingles.  Two sets link at a similarit
 
 1. Rows with equal sets are one set, told by its hash; they are linked by definition.
 2. Prefix rows: in one global order of shingles (those common in a sample last, then by hash) two
-   linked sets share a tenth of their size among the first three tenths of each.  Sets with fewer
-   shared shingles there link with nothing.  Each shared shingle names a hub, the smallest set
-   that is left with it, so both partners of a link meet in the block of a hub.
+   linked sets share a tenth of their size among the first three tenths of the larger and the
+   first two ninths of the smaller one, its early part.  Sets with fewer shingles that are shared
+   so link with nothing.  Each shared shingle names a hub, the smallest set that is left with it,
+   so both partners of a link meet in the block of a hub.
 3. In a block, members that link with the hub need no search: they are in its component.  Each
    other member searches the block's inverted lists: short lists are merged and counted, long
    ones probed by binary search, and sets that reach the required overlap are kept.  A large block
-   is cut into shards of bounded bytes, and its searching members visit each shard.
+   is cut into shards of near sizes and bounded bytes, and its searching members into chunks; a
+   chunk visits the shards whose sizes can link with its own, as a stream past the lists.
 4. Components of the links, by star steps in tables.
 
 Nothing depends on the sample but speed.  Null or empty texts have no shingles and link with nothing;
@@ -35,6 +37,8 @@ from tidemark.llm.features import joined, lowered
 WORDS = 5
 UP, DOWN = 4, 5  # the threshold as a fraction
 SHARD_BYTES = 3 << 20
+CHUNK_SHARDS = 4  # a chunk of searching sets is streamed, so it may be larger than a shard
+CLASS_BASE = 1.3  # sizes of linked sets differ by at most 5 / 4, so by at most one class
 SAMPLE_ROWS = 4000
 EXTRA = 10
 _SPACE = np.zeros(256, bool)
@@ -86,6 +90,11 @@ def prefix_sizes(n: int) -> tuple[int, int]:
     return n - need(n) + 1 + n // EXTRA, 1 + need(n) // EXTRA
 
 
+def early_sizes(n: int) -> tuple[int, int]:
+    """The same for partners of at least n shingles: they share 8 / 9 of n, and the m of size n."""
+    return n - -(-2 * UP * n // (UP + DOWN)) + 1 + n // EXTRA, 1 + n // EXTRA
+
+
 def common_shingles(docs: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Shingles in at least 1 % of a sample: at most 100 times the mean size of a set."""
     step = max(1, docs.count() // rows)
@@ -103,19 +112,22 @@ def common_shingles(docs: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, row, n, set, shared shingles that a link needs, prefix) of every row."""
+    """(doc_id, row, n, set, shared shingles that a link needs with a smaller and with a larger
+    set, length of the early part, prefix) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batch: pa.RecordBatch):
         known = shared.value
-        sizes, ids, least, firsts = [], [], [], []
+        sizes, ids, firsts = [], [], []
+        least, least_early, early = [], [], []
         for values in shingle_sets(texts_of(batch.column(2))):
             n = len(values)
             sizes.append(n)
             ids.append(set_id(values))
             if not n:
-                least.append(0)
+                for column in (least, least_early, early):
+                    column.append(0)
                 firsts.append(np.zeros(0, np.int64))
                 continue
             if len(known):
@@ -126,6 +138,8 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 ordered = values
             long, shared_there = prefix_sizes(n)
             least.append(shared_there)
+            for column, value in zip((early, least_early), early_sizes(n)):
+                column.append(value)
             firsts.append(ordered[:long].view(np.int64))
         ends = np.cumsum([0] + [len(f) for f in firsts])
         lists = pa.ListArray.from_arrays(
@@ -133,12 +147,13 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
             pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
-             pa.array(ids, pa.int64()), pa.array(least, pa.int32()), lists],
-            ["doc_id", ROW, "n", "sid", "least", "prefix"])
+             pa.array(ids, pa.int64()), *[pa.array(x, pa.int32()) for x in (
+                 least, least_early, early)], lists],
+            ["doc_id", ROW, "n", "sid", "least", "least_early", "early", "prefix"])
 
     narrow = with_row_key(docs).select("doc_id", ROW, F.col("text").alias("__text"))
     return map_batches(narrow, cut, f"doc_id {kind}, {ROW} long, n long, sid long, least int, "
-                       "prefix array<long>")
+                       "least_early int, early int, prefix array<long>")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -149,11 +164,20 @@ def shared_only(rows: DataFrame) -> DataFrame:
 
 def block_members(rows: DataFrame) -> DataFrame:
     """(hub, sid): the sets that may have a link, by the hubs of their shared shingles."""
-    exploded = rows.select("sid", "least", F.explode("prefix").alias("h"))
-    shared = stored(shared_only(exploded).select("h"), "shared")
+    exploded = rows.select("sid", "least", "least_early", "early", F.posexplode("prefix").alias(
+        "at", "h")).withColumn("soon", F.col("at") < F.col("early")).drop("at", "early")
+    soon = F.when(F.col("soon"), F.col("sid"))
+    # of the two sets of a link, the smaller one has the shingle in its early part
+    shared = stored(exploded.groupBy("h").agg(
+        F.min("sid").alias("low"), F.max("sid").alias("top"), F.min(soon).alias("soon_low"),
+        F.max(soon).alias("soon_top")).filter("low <> top and soon_low is not null").select(
+        "h", (F.col("soon_low") != F.col("soon_top")).alias("soon_twice")), "shared")
     # a set's list is bounded by its prefix, and equal sets fold in the map tasks
-    able = exploded.join(shared, "h").groupBy("sid", "least").agg(
-        F.collect_set("h").alias("hs")).filter(F.size("hs") >= F.col("least"))
+    use = F.struct("h", "soon", (~F.col("soon") | F.col("soon_twice")).alias("late"))
+    able = exploded.join(shared, "h").groupBy("sid", "least", "least_early").agg(
+        F.collect_set(use).alias("uses")).filter(
+        "size(filter(uses, u -> u.soon)) >= least_early"
+        " or size(filter(uses, u -> u.late)) >= least").withColumn("hs", F.col("uses.h"))
     left = stored(able.select("sid", F.explode("hs").alias("h")), "left")
     hubs = stored(shared_only(left), "hubs")
     others = stored(left.join(hubs, "h").filter("sid <> hub").select("hub", "sid").distinct(),
@@ -314,22 +338,60 @@ def first_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between searching members (role 1) and the members of one shard (role 0)."""
-    for hub, held in blocks(rows):
-        own = [(s, v) for s, v, role, _ in held if role == 0]
-        if not own or len(own) == len(held):
-            continue
-        forest, lists = Forest(), Lists([v for _, v in own])
-        number = {s: k for k, (s, _) in enumerate(own)}
-        out = [(s, own[j][0], hub, False) for s, v, role, _ in held if role == 1
-               for j in lists.search(v, number.get(s, -1)) if forest.join(s, own[j][0])]
+    """Links between the members of a shard (role 0) and those of a chunk (role 1).
+
+    Only the shard is held; the sorted rows of the chunk follow it and are searched one by one.
+    """
+    import zstandard
+    unpack = zstandard.ZstdDecompressor().decompress
+    key = None
+    for part in (p for batch in rows for p in slices(batch)):
+        out = []
+        for row in part.to_pylist():
+            now = (row["hub"], row["shard"], row["chunk"])
+            if now != key:
+                key, own, lists, forest, last = now, {}, None, Forest(), None
+            s = row["sid"]
+            # rows that repeat the representative bring the same set again
+            if s in own if row["role"] == 0 else s == last or not own:
+                continue
+            values = shingle_sets([unpack(row["body"])])[0]
+            if row["role"] == 0:
+                own[s] = values
+                continue
+            if lists is None:
+                ids, lists = list(own), Lists(list(own.values()))
+                number = {k: i for i, k in enumerate(ids)}
+            last = s
+            out += [(s, ids[j], row["hub"], False) for j in lists.search(values, number.get(s, -1))
+                    if forest.join(s, ids[j])]
         if out:
             yield link_rows(out)
 
 
 def dealt(frame: DataFrame) -> DataFrame:
-    return frame.select("hub", "shard", "sid", "role", "shards", "body").repartition(
-        "hub", "shard").sortWithinPartitions("hub", "shard", "role")
+    cell = ["hub", "shard", "chunk"]
+    return frame.select(*cell, "sid", "role", "shards", "body").repartition(
+        *cell).sortWithinPartitions(*cell, "role", "sid")
+
+
+def in_shards(members: DataFrame, wanted: DataFrame, shard_bytes: int) -> DataFrame:
+    """(hub, sid, n, class, shards, shard); ``shards`` is 1 for a block that fits into one.
+
+    In a larger block every class of sizes has shards of its own.
+    """
+    def count(by: list[str], frame: DataFrame, name: str) -> DataFrame:
+        return frame.groupBy(*by).agg(
+            F.ceil(F.sum("n") * 8 / F.lit(shard_bytes)).cast("int").alias(name))
+    sized = members.join(wanted.select("sid", "n"), "sid")
+    shards = stored(count(["hub"], sized, "shards"), "shards")
+    placed = stored(sized.join(shards, "hub").withColumn("class", F.floor(
+        F.log(CLASS_BASE, F.col("n").cast("double"))).cast("int")), "placed")
+    large = placed.filter("shards > 1")
+    cut = large.join(count(["hub", "class"], large, "parts"), ["hub", "class"]).withColumn(
+        "shard", F.col("class").cast("long") * (1 << 32) + F.pmod(F.xxhash64("sid"), F.col("parts")))
+    whole = placed.filter("shards = 1").withColumn("shard", F.lit(0).cast("long"))
+    return stored(whole.unionByName(cut.drop("parts")), "in-shards")
 
 
 def similar_links(docs: DataFrame, members: DataFrame, wanted: DataFrame,
@@ -338,22 +400,32 @@ def similar_links(docs: DataFrame, members: DataFrame, wanted: DataFrame,
 
     ``wanted`` (sid, n, doc_id, row) has the representative row of every member.
     """
-    shards = stored(members.join(wanted.select("sid", "n"), "sid").groupBy("hub").agg(
-        F.ceil(F.sum("n") * 8 / F.lit(shard_bytes)).cast("int").alias("shards")), "shards")
-    placed = stored(members.join(shards, "hub").withColumn(
-        "shard", F.pmod(F.xxhash64("sid"), F.col("shards")).cast("int")), "placed")
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+    placed = in_shards(members, wanted, shard_bytes)
     own = placed.filter("sid <> hub")
-    hubs = shards.select("hub", F.col("hub").alias("sid"), "shards", every)
-    whole = own.unionByName(hubs).withColumn("role", F.lit(0))
-    first = stored(dealt(whole.join(bodies(docs, wanted), "sid")).mapInArrow(first_links, LINK),
-                   "links")
-    asking = stored(first.filter("pending").select("hub", F.col("a").alias("sid")).distinct(),
-                    "asking")
-    visits = asking.join(shards, "hub").select(
-        "hub", "sid", "shards", every, F.lit(1).alias("role"))
-    again = stored(own.join(asking.select("hub").distinct(), "hub", "left_semi").withColumn(
-        "role", F.lit(0)).unionByName(visits), "again")
+    cells = own.select("hub", "class", "shards", "shard").distinct()
+    hubs = cells.select("hub", F.col("hub").alias("sid"), "shards", "shard").distinct()
+    none = F.lit(0).alias("chunk")
+    first_rows = own.select("hub", "sid", "shards", "shard").unionByName(hubs).select(
+        "*", none, F.lit(0).alias("role"))
+    first = stored(dealt(first_rows.join(bodies(docs, wanted), "sid")).mapInArrow(
+        first_links, LINK), "links")
+    pending = first.filter("pending").select("hub", F.col("a").alias("sid"))
+    asking = stored(own.filter("shards > 1").join(pending, ["hub", "sid"], "left_semi"), "asking")
+    chunks = asking.groupBy("hub", "class").agg(F.ceil(
+        F.sum("n") * 8 / F.lit(CHUNK_SHARDS * shard_bytes)).cast("int").alias("chunks"))
+    near = F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class")
+    # a chunk is named by the class of its sets too; it meets the shards of the classes around
+    number = F.col("from") * F.lit(1 << 20) + F.pmod(F.xxhash64("sid"), F.col("chunks"))
+    visits = asking.join(chunks, ["hub", "class"]).withColumn("from", F.col("class").cast(
+        "long")).select("hub", "sid", number.alias("chunk"), near).join(
+        cells, ["hub", "class"]).select(
+        "hub", "sid", "shards", "shard", "chunk", F.lit(1).alias("role"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k")
+    visited = chunks.select("hub", F.col("class").cast("long").alias("from"), near, every).select(
+        "hub", "class", (F.col("from") * F.lit(1 << 20) + F.col("k")).alias("chunk"))
+    lists = own.filter("shards > 1").join(visited, ["hub", "class"]).select(
+        "hub", "sid", "shards", "shard", "chunk", F.lit(0).alias("role"))
+    again = stored(lists.unionByName(visits), "again")
     few = stored(wanted.join(again.select("sid").distinct(), "sid", "left_semi"), "few")
     second = dealt(again.join(bodies(docs, few), "sid")).mapInArrow(shard_links, LINK)
     return first.filter("not pending").select("a", "b").unionByName(second.select("a", "b"))
