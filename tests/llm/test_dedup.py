@@ -149,6 +149,20 @@ def test_searching_sets_are_streamed_past_bounded_lists(spark, monkeypatch):
     assert cells[1] > 1 and cells[0] <= 60
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Groups that repeat their smallest id, the row itself, or have null ids only."""
+    dice = random.Random(17)
+    a, b, c = (sentence(dice, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a + " more"), (2, a), (None, b), (None, b), (None, b + " more"),
+            (1, c), (None, c), (3, ""), (3, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_join.one_per_group(frame).collect()]
+    full = [r for r in got if r[1]]
+    assert len(full) == 3 and {r[0] for r in full if r[1].startswith(b)} == {None}
+    assert [r[0] for r in full if not r[1].startswith(b)] == [1, 1]
+    assert len(got) == 6
+
+
 def test_near_of_nothing(no_docs):
     assert jaccard_join.jaccard_report(no_docs).count() == 0
 

@@ -431,8 +431,8 @@ def similar_links(docs: DataFrame, members: DataFrame, wanted: DataFrame,
     return first.filter("not pending").select("a", "b").unionByName(second.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per row: doc_id, row hash, n_shingles and component_id."""
+def labelled_rows(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per row: doc_id, row hash, n_shingles and the label of its component."""
     docs = docs.select("doc_id", "text")
     rows = prefixes(docs, common_shingles(docs))
     narrow = stored(rows.select("doc_id", ROW, "n", "sid"), "sets-of-rows")
@@ -443,9 +443,14 @@ def near_duplicates(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
         "sid", "n", "head.doc_id", f"head.{ROW}"), "wanted")
     links = similar_links(docs, members, wanted, shard_bytes)
     labels = stored(connected_components(links), "labels")
-    labelled = stored(narrow.join(labels, narrow["sid"] == labels["node"], "left").select(
+    return stored(narrow.join(labels, narrow["sid"] == labels["node"], "left").select(
         "doc_id", ROW, F.col("n").alias("n_shingles"),
         F.coalesce("label", "sid").alias("label")), "labelled")
+
+
+def near_duplicates(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per row: doc_id, row hash, n_shingles and component_id."""
+    labelled = labelled_rows(docs, shard_bytes)
     least = stored(labelled.filter("n_shingles > 0").groupBy("label").agg(
         F.min("doc_id").alias("component_id")), "least")
     full = labelled.filter("n_shingles > 0").join(least, "label")
@@ -458,11 +463,23 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group, with its columns; of rows that repeat
-    that document all stay.  Empty texts are groups of their own."""
-    kept = near_duplicates(docs).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", ROW).distinct()
-    return same_document(with_row_key(docs), kept, "left_semi").drop(ROW)
+    """One row of each group, with its columns: the smallest id, null last, then the smallest row
+    hash, and any one of the rows that repeat both.  Empty texts are groups of their own."""
+    rows = labelled_rows(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    counted = rows.groupBy("label", "doc_id", ROW).agg(
+        F.count("*").alias("times"), F.first("n_shingles").alias("n"))
+    heads = counted.filter("n > 0").groupBy("label").agg(
+        F.min(F.struct(place.alias("place"), "times")).alias("head")).select(
+        "head.place.doc_id", f"head.place.{ROW}", "head.times")
+    kept = stored(heads.unionByName(counted.filter("n = 0").select(
+        "doc_id", ROW, F.lit(1).cast("long").alias("times"))), "kept")
+    # rows of a repeated head are few as a rule, so only they are folded
+    repeated = stored(kept.filter("times > 1"), "repeated")
+    keyed = with_row_key(docs)
+    once = same_document(keyed, kept.filter("times = 1"), "left_semi")
+    folded = same_document(keyed, repeated, "left_semi").dropDuplicates(["doc_id", ROW])
+    return once.unionByName(folded).drop(ROW)
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = WORDS) -> dict[int, tuple]:
