@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import SETTINGS, VIEWS, query
+from checks.registry import ORACLES, SETTINGS, VIEWS, query
 from checks.selection import letter_scorer, probs_sql
 from checks.text import clean_sql
 from checks.topics import busiest
@@ -12,9 +12,11 @@ from checks.views import LABEL_LIST, big, iso, ratio, rnd
 from tidemark.functions.numeric import local_iso, round_to
 from tidemark.functions.text import clean_text
 from tidemark.operators import context as cx
+from tidemark.operators import kpi
 from tidemark.plans.context import overview_context, topic_context, topic_detail
 from tidemark.session import scratch_path
 from tidemark.sources import io
+from tidemark.streaming import state as ss
 from tidemark.streaming import streams as st
 
 # ------------------------------------------------------------------------- sources
@@ -329,6 +331,20 @@ def str_02(run):
         "day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("str_02_series")
+def str_02_series(run):
+    """The emotion series from daily sums that a stream of predictions maintains."""
+    source, path = scratch_path(run.spark, "predictions"), scratch_path(run.spark, "daily")
+    # a third of the days per file, so that days and models come in several batches
+    run.tables.prediction.repartitionByRange(3, "source_created_at").write.parquet(source)
+    st.run_available(st.read_stream(run.spark, source, 1), "append", f"{path}-state",
+                     st.daily_sink(path))
+    return kpi.maintained_series(st.read_daily(run.spark, path))
+
+
+ORACLES["str_02_series"] = ORACLES["kpi_13"]
+
+
 @query("str_03", f"""select post_id, arg_max(i, (captured_at, i)) interaction_count,
   {iso('max(captured_at)')} as_of from (select l_orderkey + 1 post_id, l_shipdate captured_at,
   cast(l_quantity as bigint) + cast(floor(l_extendedprice / 100) as bigint) + l_linenumber i
@@ -339,9 +355,11 @@ def str_03(run):
         "cast(l_quantity as bigint) comments_count",
         "cast(floor(l_extendedprice / 100) as bigint) attitudes_count",
         "cast(l_linenumber as bigint) reposts_count")
-    path = to_table(run, st.latest_snapshots(snapshots), "update", "snapshots")
-    return st.read_changes(run.spark, path, ["post_id"]).withColumn(
-        "as_of", local_iso(F.col("as_of")))
+    path = scratch_path(run.spark, "snapshots")
+    with ss.disk_state(run.spark):
+        st.run_available(ss.newest_snapshots(snapshots), "update", f"{path}-state",
+                         ss.newest_sink(path))
+    return ss.read_newest(run.spark, path).withColumn("as_of", local_iso(F.col("as_of")))
 
 
 @query("str_04", "select distinct l_orderkey * 10 + l_linenumber comment_id from lineitem")
@@ -356,12 +374,14 @@ def str_04(run):
 @query("str_05", f"""select user_id, {iso('min(ts)')} "start", {iso('max(ts) + interval 30 minutes')}
   "end", count(*) events from (select *, sum(fresh) over (partition by user_id order by ts, event_id)
   g from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id)
-  < interval 30 minutes then 0 else 1 end fresh from events)) group by user_id, g
-  having max(ts) + interval 30 minutes <= (select date_trunc('millisecond', max(ts)) from events)
-    - interval 1 hour""")
+  < interval 30 minutes then 0 else 1 end fresh from events)) group by user_id, g""")
 def str_05(run):
-    path = to_table(run, st.user_sessions(stream(run, "events")), "append", "sessions")
-    return run.spark.read.parquet(path).select(
+    path = scratch_path(run.spark, "sessions")
+    with ss.disk_state(run.spark):
+        st.run_available(ss.user_sessions(stream(run, "events")), "append", f"{path}-state",
+                         st.change_sink(path))
+    closed = run.spark.read.parquet(path).drop("batch_id")
+    return closed.unionByName(ss.open_sessions(run.spark, f"{path}-state")).select(
         "user_id", local_iso(F.col("start")).alias("start"), local_iso(F.col("end")).alias("end"),
         "events")
 

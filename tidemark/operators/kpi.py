@@ -11,7 +11,7 @@ from tidemark.operators.samples import (
     EMOTION_COUNTS, emotion_aggregates, interactions, latest_interactions, predictions_in,
     speakers,
 )
-from tidemark.operators.topics import emotion_by_day
+from tidemark.operators.topics import emotion_by_day, series_of_days
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import DEFAULTS, Settings
 
@@ -120,6 +120,17 @@ def emotion_series(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFr
     return emotion_by_day(predictions_in(tables.prediction, window, s.primary_model))
 
 
+def maintained_series(daily: DataFrame, first_day: str | None = None, last_day: str | None = None,
+                      s: Settings = DEFAULTS) -> DataFrame:
+    """The same series from maintained daily sums (``streams.read_daily``), whole days only."""
+    kept = daily.filter(F.col("model_version") == s.primary_model)
+    if first_day is not None:
+        kept = kept.filter(F.col("day") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        kept = kept.filter(F.col("day") <= F.lit(last_day).cast("date"))
+    return series_of_days(kept)
+
+
 def series_totals(series: DataFrame) -> DataFrame:
     """Totals of a daily series per emotion, with shares and the negative share."""
     sums = series.agg(*[F.sum(c).alias(c) for c in EMOTION_COUNTS])

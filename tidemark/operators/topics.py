@@ -276,8 +276,12 @@ def topic_samples(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAU
 
 def emotion_by_day(samples: DataFrame) -> DataFrame:
     """Per local day: six counts, total, negative ratio, weighted confidence."""
-    daily = samples.groupBy(local_day(F.col("source_created_at")).alias("day")).agg(
-        *emotion_aggregates())
+    return series_of_days(samples.groupBy(local_day(F.col("source_created_at")).alias("day")).agg(
+        *emotion_aggregates()))
+
+
+def series_of_days(daily: DataFrame) -> DataFrame:
+    """The series of daily sums, however they were made."""
     return daily.select(
         F.col("day").cast("string").alias("day"), *EMOTION_COUNTS,
         F.col("sample_count").alias("total"),

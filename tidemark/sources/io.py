@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.scoring import KEYS, merge_predictions
 from tidemark.session import stored
+from tidemark.sources.files import delete_folder, folder_names, path_exists
+from tidemark.sources.keyindex import KeyIndex
 from tidemark.sources.tables import NO_MONTH, add_month, month_of
 
 RAW_SCHEMA = "id bigint, content string, label string"
@@ -134,16 +136,6 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
             .option("numPartitions", partitions).options(**options).load())
 
 
-def _file_system(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    system, folder = _file_system(spark, path)
-    return system.exists(folder)
-
-
 def months_of(df: DataFrame) -> list[str]:
     """The distinct months, a short list; null is NO_MONTH."""
     return sorted(r[0] for r in df.select(month_of(F.col("month"))).distinct().collect())
@@ -155,32 +147,58 @@ def predictions_of(spark: SparkSession, path: str, months: list[str]) -> DataFra
         F.col("month").isin(months))
 
 
+def key_index(spark: SparkSession, path: str) -> KeyIndex:
+    """The key index of a prediction table, in a folder beside it."""
+    return KeyIndex(spark, f"{path.rstrip('/')}-keys", KEYS)
+
+
+def keys_of(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    """The key columns of some months."""
+    return predictions_of(spark, path, months).select(*KEYS, "month")
+
+
+def complete_index(spark: SparkSession, path: str) -> KeyIndex:
+    """The index with a filter for every month of the table; months that lack one are read once."""
+    index = key_index(spark, path)
+    held = {NO_MONTH if m == DEFAULT_PARTITION else m for m in folder_names(spark, path, "month")}
+    missing = sorted(held - index.months())
+    if missing:
+        index.replace(stored(keys_of(spark, path, missing), "keys"), missing)
+    return index
+
+
 def upsert_predictions(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Merge predictions into a table partitioned by month of the source time.
 
     The months that receive rows are read and replaced, and those where a key was before, so a key
-    whose month changes is moved.  Rows without a source time have the month NO_MONTH; those that an
-    earlier version left in the default partition are taken over with it.  Which months these are is told by the key columns alone.  The
-    merged rows are written to the shared folder first, since they come from the replaced one.
+    whose month changes is moved.  The key index tells which other months may hold a key; only their
+    key columns are read.  Rows without a source time have the month NO_MONTH; those that an earlier
+    version left in the default partition are taken over with it.  The merged rows are written to
+    the shared folder first, since they come from the replaced one.
     """
     fresh = stored(add_month(new, "source_created_at"), "fresh")
     months = months_of(fresh)
     old = fresh.limit(0)
+    index = key_index(spark, path)
     if path_exists(spark, path):
-        held = spark.read.parquet(path).select(*KEYS, month_of(F.col("month")).alias("month"))
-        before = held.join(fresh.select(*KEYS).distinct(), list(KEYS), "left_semi")
-        months = sorted({*months, *months_of(before)})
+        index = complete_index(spark, path)
+        keys = fresh.select(*KEYS).distinct()
+        others = sorted(set(index.months_with(keys)) - set(months))
+        if others:
+            before = keys_of(spark, path, others).join(keys, list(KEYS), "left_semi")
+            months = sorted({*months, *months_of(before)})
         old = predictions_of(spark, path, months)
     merged = stored(merge_predictions(old, fresh), "merged")
+    index.add(fresh)
     # rebalancing gives each month few files and splits a month that holds most rows
     merged.hint("rebalance", "month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    gone = sorted(set(months) - set(months_of(merged)))  # every key of these has moved
-    if NO_MONTH in months:
-        gone.append(DEFAULT_PARTITION)
-    for month in gone:
-        system, folder = _file_system(spark, f"{path}/month={month}")
-        system.delete(folder, True)
+    left = months_of(merged)
+    gone = sorted(set(months) - set(left))  # every key of these has moved
+    for month in [*gone, DEFAULT_PARTITION] if NO_MONTH in months else gone:
+        delete_folder(spark, f"{path}/month={month}")
+    index.replace(merged, left)
+    index.forget(gone)
 
 
 ARGS_SCHEMA = ("pretrained string, resolved_max_length int, resolved_device string, "

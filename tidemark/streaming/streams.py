@@ -1,4 +1,4 @@
-"""Structured Streaming operators (STR-01..06).
+"""Structured Streaming operators (STR-01, 02, 04, 06); keyed state is in ``state`` (STR-03, 05).
 
 Aggregating streams run in update mode into a change table: every micro-batch writes its
 rows to its own folder, replacing it when the batch is replayed, and readers take the
@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.numeric import ratio, round_to
+from tidemark.functions.numeric import local_day, ratio, round_to
 from tidemark.operators.dedupe import keep_last
-from tidemark.operators.samples import interactions
+from tidemark.operators.samples import emotion_aggregates
 from tidemark.operators.scoring import Scorer, score_sources
 from tidemark.session import stored
-from tidemark.sources.io import months_of, path_exists, predictions_of, upsert_predictions
+from tidemark.sources.files import path_exists
+from tidemark.sources.io import months_of, predictions_of, upsert_predictions
 from tidemark.sources.tables import add_month
 
 
@@ -74,42 +75,57 @@ def daily_counts(events: DataFrame, time: str, label: str, lateness: str = "2 da
         F.col("w.start").alias("day"), label, "n")
 
 
-def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Newest interaction sum of each post as streaming state, one row per post."""
-    return snapshots.groupBy("post_id").agg(
-        F.max_by(interactions(), F.struct(F.col("captured_at"), interactions()))
-        .alias("interaction_count"), F.max("captured_at").alias("as_of"))
-
-
 def drop_repeats(versions: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
     """First arrival of each key within the lateness bound."""
     return _event_time(versions, time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def user_sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Closed activity sessions of each user (append mode)."""
-    return _event_time(events, "ts", lateness).groupBy(
-        F.session_window("ts", gap).alias("s"), "user_id").agg(
-        F.count("*").alias("events")).select(
-        "user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
-
-
 def half_window_counts(events: DataFrame, time: str, negative: Column, half: str,
                        lateness: str = "1 day") -> DataFrame:
-    """Negative events per half window."""
-    return _event_time(events, time, lateness).groupBy(F.window(time, half).alias("w")).agg(
-        F.count_if(negative).alias("negative")).select(F.col("w.start").alias("start"), "negative")
+    """Negative events of each half window and of the one before (update mode).
+
+    Every event counts in its own half window and, as ``previous``, in the next one.  So the state of
+    a half window holds both numbers, late rows correct both, and no row looks at another one.  A half
+    window without events counts as 0; only those with events of their own are shown.
+    """
+    at, hit = F.col(time).cast("timestamp"), negative.cast("int")
+    now = F.struct(at.alias("at"), hit.alias("negative"), F.lit(0).alias("previous"), F.lit(1).alias("own"))
+    later = F.struct((at + F.expr(f"interval {half}")).alias("at"), F.lit(0).alias("negative"),
+                     hit.alias("previous"), F.lit(0).alias("own"))
+    # the second row of an event lies one half window ahead, so the bound moves with it
+    rows = events.filter(F.col(time).isNotNull()).select(F.inline(F.array(now, later))).withWatermark(
+        "at", f"{lateness} {half}")
+    return rows.groupBy(F.window("at", half).alias("w")).agg(
+        *[F.sum(c).alias(c) for c in ("negative", "previous", "own")]).filter("own > 0").select(
+        F.col("w.start").alias("start"), "negative", "previous")
 
 
 def half_window_alerts(counts: DataFrame, smoothing: float = 5.0) -> DataFrame:
-    """Growth of each half window over the one before (one row per half window)."""
-    w = Window.orderBy("start")
-    before = F.coalesce(F.lag("negative").over(w), F.lit(0))
-    grown = counts.withColumn("previous", before)
-    return grown.withColumn("growth", round_to(ratio(
+    """Growth of each half window over the one before, from its own row."""
+    return counts.withColumn("growth", round_to(ratio(
         F.col("negative") - F.col("previous"), F.col("previous") + F.lit(smoothing)), 6))
 
 
+def daily_sink(path: str, keys: tuple[str, ...] = ("model_version",)) -> Callable:
+    """Maintain mergeable daily sums: each micro-batch of new predictions adds one small file.
+
+    The sums of a batch lie in its own folder, which a replay replaces.  Sums of days add up, so
+    readers need no predictions.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        day = local_day(F.col("source_created_at")).alias("day")
+        batch.groupBy(*keys, day).agg(*emotion_aggregates()).coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write
+
+
+def read_daily(spark: SparkSession, path: str, keys: tuple[str, ...] = ("model_version",)) -> DataFrame:
+    """The maintained sums per key and day, over all batches."""
+    parts = spark.read.parquet(path).drop("batch_id")
+    return parts.groupBy(*keys, "day").agg(*[
+        F.sum(c).alias(c) for c in parts.columns if c not in (*keys, "day")])
+
+
 def scoring_sink(path: str, scorer: Scorer, model_version: str, cleaner) -> Callable:
     """Score the samples of a micro-batch that the table has no prediction of, and merge them in.
 
