@@ -141,7 +141,7 @@ def test_tables_intern_every_gram_once(texts, limit):
 
 
 def test_equal_keys_of_different_grams_stay_apart(monkeypatch):
-    monkeypatch.setattr(importance, "xxh64", lambda grams, starts, sizes: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(importance, "xxh64", lambda *a: np.zeros(len(a[2]), np.uint64))
     grams = importance.Grams([b"a b a b c abcdefghi abcdefghj a b"])
     (_, starts, ends), = grams.blocks()
     table = importance.Table(grams, starts, ends)

@@ -27,11 +27,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, Prefix, map_batches, slices, stored, texts_of, with_row_key
+from tidemark.llm.common import (ROW, map_batches, range_hashes, slices, stored, texts_of,
+                                 with_row_key)
 
 HOT_WORDS = 600_000
 SAMPLE_DOCS = 40_000
-SECOND_BASE = 0xA0761D6478BD642F
+HOT_BYTES = 64  # longer words never count as frequent, which bounds the bytes of their table
+SECOND_SEED = 0xA0761D6478BD642F
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -84,8 +86,8 @@ class Words:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of every pre-token."""
-        return (Prefix(self.data).ranges(self.starts, self.ends),
-                Prefix(self.data, SECOND_BASE).ranges(self.starts, self.ends))
+        return (range_hashes(self.data, self.starts, self.ends),
+                range_hashes(self.data, self.starts, self.ends, SECOND_SEED))
 
     def bytes_of(self, which: np.ndarray) -> list[bytes]:
         whole = self.data.tobytes()
@@ -97,8 +99,8 @@ def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(words), np.uint8)
     sizes = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(sizes)
-    return (Prefix(data).ranges(ends - sizes, ends),
-            Prefix(data, SECOND_BASE).ranges(ends - sizes, ends))
+    return (range_hashes(data, ends - sizes, ends),
+            range_hashes(data, ends - sizes, ends, SECOND_SEED))
 
 
 class Frequent:
@@ -155,9 +157,10 @@ def frequent_words(docs: DataFrame, tokens, pattern: str, limit: int = HOT_WORDS
         seen: Counter = Counter()
         for body in texts_of(batch.column(0)):
             seen.update(cut.findall(body.decode("utf-8")))
+        found = [(w, n) for w, n in ((w.encode(), n) for w, n in seen.items()) if len(w) <= HOT_BYTES]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([w.encode() for w in seen], pa.binary()),
-             pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            [pa.array([w for w, _ in found], pa.binary()),
+             pa.array([n for _, n in found], pa.int64())], ["word", "n"])
 
     counts = stored(map_batches(chosen.select("text"), count, "word binary, n long").groupBy(
         "word").agg(F.sum("n").alias("n")).filter("n > 1"), "word-counts")

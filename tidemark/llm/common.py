@@ -2,8 +2,8 @@
 
 A document is identified by ``doc_id`` and a hash of its text (``ROW``), so a null or repeated
 ``doc_id`` neither drops nor multiplies rows.  Rows that repeat another one in both are the same
-document and get the same result.  Only the named columns are read; internal columns start
-with two underscores, so extra columns of any name pass through.
+document and get the same result.  Only the named columns are read; other columns travel in one
+struct (``packed``), so extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+REST = "__rest"
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns and one struct of all others, whose names then clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*[F.col(f"`{c}`") for c in needed],
+                       *([F.struct(*rest).alias(REST)] if rest else []))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of ``docs`` in their order."""
+    return df.select(*[F.col(f"`{c}`") if c in needed else F.col(REST).getField(c).alias(c)
+                       for c in docs.columns])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front as long as it is taken, in either case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def with_row_key(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(ROW, F.xxhash64(F.col(text)))
 
@@ -56,6 +81,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
         for batch in batches:
             for part in slices(batch):
                 yield from fn(part)
+            del batch
+            pa.default_memory_pool().release_unused()  # workers are kept, their free memory is not
     return df.mapInArrow(run, schema)
 
 
@@ -81,11 +108,61 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
 
 
-_ODD = 0x9E3779B97F4A7C15
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+# the primes of xxhash64, fixed values
+_P1 = np.uint64(11400714785074694791)
+_P2 = np.uint64(14029467366897019727)
+_P3 = np.uint64(1609587929392839161)
+_P4 = np.uint64(9650029242287828579)
+_P5 = np.uint64(2870177450012600261)
+
+
+def wide_words(data: bytes) -> np.ndarray:
+    """The eight bytes from each byte on, as a little-endian word; zeros follow the end."""
+    return np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,))
+
+
+def xxh64(data: bytes, wide: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0
+          ) -> np.ndarray:
+    """xxhash64 of many byte ranges: under 32 bytes in lockstep, longer ones by the library."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    h = sizes.astype(np.uint64) + (_P5 + np.uint64(seed))
+    for at in (0, 8, 16):
+        live = np.flatnonzero((sizes >= at + 8) & (sizes < 32))
+        k = _turn(wide[starts[live] + at] * _P2, 31) * _P1
+        h[live] = _turn(h[live] ^ k, 27) * _P1 + _P4
+    # the last 0 to 7 bytes: four at once, then one by one
+    rest = wide[np.minimum(starts + (sizes & ~7), len(wide) - 1)]
+    live = np.flatnonzero(sizes & 4)
+    h[live] = _turn(h[live] ^ (rest[live] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+    rest[live] >>= np.uint64(32)
+    for k in range(3):
+        live = np.flatnonzero((sizes & 3) > k)
+        h[live] = _turn(h[live] ^ ((rest[live] >> np.uint64(8 * k)) & np.uint64(255)) * _P5, 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(sizes >= 32).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k]:starts[k] + sizes[k]], seed)
+    return h
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """xxhash64 of byte ranges of any lengths."""
+    flat = data.tobytes()
+    return xxh64(flat, wide_words(flat), starts, ends - starts, seed)
 
 
 class Prefix:
-    """Hashes of byte ranges from one pass: polynomial prefix sums modulo 2**64."""
+    """Hashes of byte ranges from one pass: polynomial prefix sums modulo 2**64.
+
+    Fit for ranges of up to 512 bytes and where a collision does no harm: some longer texts (1024 and
+    more bytes, Thue-Morse words) have equal sums for every base.  ``range_hashes`` has no such bound.
+    """
 
     def __init__(self, data: np.ndarray, base: int = 0xD6E8FEB86659FD93):
         n = len(data)

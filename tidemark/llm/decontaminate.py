@@ -14,14 +14,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, map_batches, same_document, stored, with_row_key
+from tidemark.llm.common import (ROW, map_batches, packed, same_document, stored, unpacked,
+                                 with_row_key)
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -195,11 +197,34 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (hit > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit; all columns as they were."""
-    found = find_contamination(docs, benchmark)
+def hit_by(spark: SparkSession, items: list[tuple[str, str]], size: int = WINDOW_WORDS):
+    """An Arrow function: whether a text holds a window of the items.  Only texts meet Python."""
+    shared = spark.sparkContext.broadcast(items)
+    built: dict[int, Windows] = {}
+
+    @F.arrow_udf("boolean")
+    def hit(text: pa.Array) -> pa.Array:
+        if 0 not in built:
+            built[0] = Windows(shared.value, size)
+        return pa.array([bool(built[0].scan(words_of(t.as_py()))[1]) for t in text], pa.bool_())
+    return hit
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any hit; all columns as they were.
+
+    With a benchmark of one block the scan itself filters; more blocks are scanned one after the
+    other and the documents that any of them hits are joined out.
+    """
+    blocks = list(islice(item_blocks(benchmark, block_bytes), 2))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        return docs.filter(~hit_by(docs.sparkSession, blocks[0])(F.col("text")))
+    found = find_contamination(docs, benchmark, block_bytes=block_bytes)
     bad = found.filter(F.size("items") > 0).select("doc_id", ROW).distinct()
-    return same_document(with_row_key(docs), bad, "left_anti").drop(ROW)
+    kept = same_document(with_row_key(packed(docs, "doc_id", "text")), bad, "left_anti")
+    return unpacked(kept, docs, "doc_id", "text")
 
 
 def brute_force(text: str | None, items: list[tuple[str, str]], size: int = WINDOW_WORDS):

@@ -104,19 +104,16 @@ def dedup_stream(docs: DataFrame, digest: Callable[[Column], Column] = full_dige
 
     # full bytes of the hits only; a copied text may be hot, and a join of two plain sides is
     # split at run time
-    hits = groups.filter("__n > 1").select("__digest", "__place")
+    hits = groups.filter("__n > 1").select("__digest")
     text = normal_text(F.col("text"))
     bodies = stored(with_row_key(docs.select("doc_id", "text")).select(
         "doc_id", ROW, digest(text).alias("__digest"), text.alias("__text")).join(
         hits, "__digest"), "dedup-bodies")
-    located = F.col("doc_id").eqNullSafe(F.col("__place.doc_id")) & (
-        F.col(ROW) == F.col(f"__place.{ROW}"))
-    content = bodies.filter(located).groupBy("__digest").agg(
-        F.first("__text").alias("__content"))
-    differ = bodies.select("doc_id", ROW, "__digest", "__text").join(
-        stored(content, "dedup-content"), "__digest").filter(
-        F.col("__text") != F.col("__content")).select("__digest").distinct()
-    clashes = stored(differ, "dedup-clashes")
+    # all bytes of a digest are equal if the smallest and the largest text are, located content
+    # included; both are folded in the map tasks, so a hot digest sends two texts per task
+    differ = bodies.groupBy("__digest").agg(
+        F.min("__text").alias("least"), F.max("__text").alias("most")).filter("least <> most")
+    clashes = stored(differ.select("__digest"), "dedup-clashes")
 
     plain = prints.join(clashes, "__digest", "left_anti").join(
         groups, "__digest").select("doc_id", ROW, "__sha", F.col("__place.doc_id").alias("keep_id"),

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, slices, stored, texts_of
+from tidemark.llm.common import map_batches, slices, stored, texts_of, wide_words, xxh64
 from tidemark.llm.features import joined, lowered
 from tidemark.operators.ranking import number_rows
 
@@ -64,8 +63,7 @@ class Grams:
         self.starts = self.ends - sizes
         self.flat = flat.tobytes()
         self.words = np.bincount(self.of, minlength=len(texts))
-        # the eight bytes from each byte on
-        self.wide = np.ndarray(len(flat), "<u8", self.flat + bytes(8), strides=(1,))
+        self.wide = wide_words(self.flat)
 
     def blocks(self, limit: int = BLOCK_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(text, start, end) of the n-grams that start in each run of ``limit`` words."""
@@ -80,41 +78,6 @@ class Grams:
             yield np.concatenate(of), np.concatenate(start), np.concatenate(end)
 
 
-def _turn(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
-
-
-# the primes of xxhash64, fixed values
-_P1 = np.uint64(11400714785074694791)
-_P2 = np.uint64(14029467366897019727)
-_P3 = np.uint64(1609587929392839161)
-_P4 = np.uint64(9650029242287828579)
-_P5 = np.uint64(2870177450012600261)
-
-
-def xxh64(grams: Grams, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """xxhash64, seed 0, of many byte ranges: under 32 bytes in lockstep, longer ones by the library."""
-    h = sizes.astype(np.uint64) + _P5
-    for at in (0, 8, 16):
-        live = np.flatnonzero((sizes >= at + 8) & (sizes < 32))
-        k = _turn(grams.wide[starts[live] + at] * _P2, 31) * _P1
-        h[live] = _turn(h[live] ^ k, 27) * _P1 + _P4
-    # the last 0 to 7 bytes: four at once, then one by one
-    rest = grams.wide[np.minimum(starts + (sizes & ~7), len(grams.wide) - 1)]
-    live = np.flatnonzero(sizes & 4)
-    h[live] = _turn(h[live] ^ (rest[live] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
-    rest[live] >>= np.uint64(32)
-    for k in range(3):
-        live = np.flatnonzero((sizes & 3) > k)
-        h[live] = _turn(h[live] ^ ((rest[live] >> np.uint64(8 * k)) & np.uint64(255)) * _P5, 11) * _P1
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    h ^= h >> np.uint64(32)
-    for k in np.flatnonzero(sizes >= 32).tolist():
-        h[k] = xxhash.xxh64_intdigest(grams.flat[starts[k]:starts[k] + sizes[k]])
-    return h
-
-
 def _crc_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -156,7 +119,7 @@ class Table:
         total = len(starts)
         size = 1 << max(3, (2 * total).bit_length())
         sizes = ends - starts
-        keys = xxh64(grams, starts, sizes)
+        keys = xxh64(grams.flat, grams.wide, starts, sizes)
         place = (keys & np.uint64(size - 1)).astype(np.int64)
         owner = np.full(size, -1, np.int64)
         self.slot = np.empty(total, np.int64)

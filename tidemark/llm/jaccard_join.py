@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import (ROW, Prefix, in_filter, key_filter, key_slot, map_batches, mixed,
-                                 same_document, slices, stored, texts_of, with_row_key)
+from tidemark.llm.common import (ROW, in_filter, key_filter, key_slot, map_batches, mixed, packed,
+                                 range_hashes, same_document, slices, stored, texts_of, unpacked,
+                                 with_row_key)
 from tidemark.llm.components import connected_components
 from tidemark.llm.features import joined, lowered
 
@@ -54,7 +55,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     space = _SPACE[data]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    hashes = Prefix(data).ranges(starts, ends)
+    hashes = range_hashes(data, starts, ends)
     cut = np.searchsorted(starts, offsets)
     run = hashes
     for k in range(1, words):
@@ -290,6 +291,7 @@ def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
                 for r in block.values()]
     held = {}
     for batch in (part for b in rows for part in slices(b)):
+        pa.default_memory_pool().release_unused()
         for row in batch.to_pylist():
             now = (row["hub"], row["shard"])
             if now != key and held:
@@ -346,6 +348,7 @@ def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     key = None
     for part in (p for batch in rows for p in slices(batch)):
+        pa.default_memory_pool().release_unused()
         out = []
         for row in part.to_pylist():
             now = (row["hub"], row["shard"], row["chunk"])
@@ -476,10 +479,10 @@ def one_per_group(docs: DataFrame) -> DataFrame:
         "doc_id", ROW, F.lit(1).cast("long").alias("times"))), "kept")
     # rows of a repeated head are few as a rule, so only they are folded
     repeated = stored(kept.filter("times > 1"), "repeated")
-    keyed = with_row_key(docs)
+    keyed = with_row_key(packed(docs, "doc_id", "text"))
     once = same_document(keyed, kept.filter("times = 1"), "left_semi")
     folded = same_document(keyed, repeated, "left_semi").dropDuplicates(["doc_id", ROW])
-    return once.unionByName(folded).drop(ROW)
+    return unpacked(once.unionByName(folded), docs, "doc_id", "text")
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = WORDS) -> dict[int, tuple]:

@@ -2,11 +2,11 @@
 
 A text is the mean of the embeddings of its byte n-grams inside words; a linear softmax reads the
 mean.  Both are trained by stochastic gradient descent in numpy on at most ``MAX_PER_LANG`` rows of
-each language (the first by a hash of the id, outside the held-out fold); that bound is the one
-documented sample.  Since the model is linear, scoring uses one row of class scores per slot.
+each language (the first by a hash of the id, outside the held-out fold) and at most ``MAX_ROWS`` rows,
+shared evenly among languages; these bounds are the one documented sample.  Since the model is linear, scoring uses one row of class scores per slot.
 
-A part of the sample is set aside to fit a temperature and the rejection limit: the lowest
-probability among the parts' rightly named texts, at most one half.  Null texts and texts without
+A part of the sample is set aside to fit a temperature and the rejection limit: a low quantile of
+the probability of its rightly named texts, at most one half, which does not fall as the sample grows.  Null texts and texts without
 a letter get ``und`` with score 0 and are rejected.  With nothing to learn from, every text is
 ``und``.  Only lang values that were learned are predicted; ties go to the first in sorted order.
 """
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, hash_place, map_batches, may_be_first, texts_of
+from tidemark.llm.common import (fold_of, hash_place, map_batches, may_be_first, slices, stored,
+                                 texts_of)
 from tidemark.llm.features import subword_slots
 
 BITS = 15
 DIM = 12
 MAX_PER_LANG = 1000
-MAX_LANGS = 200
+MAX_ROWS = 200_000
+LIMIT_QUANTILE = 0.002
 EPOCHS = 5
 UNDEFINED = "und"
 _ASCII_LETTER = re.compile(b"[A-Za-z]")
@@ -61,18 +63,25 @@ def has_letter(text: bytes) -> bool:
     return not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def training_rows(docs: DataFrame, per_lang: int) -> DataFrame:
-    """A bounded number of rows of each language, chosen by narrow rows before texts move."""
+def training_rows(docs: DataFrame, per_lang: int, total: int = MAX_ROWS) -> DataFrame:
+    """A bounded number of rows of each language, chosen by narrow rows before texts move.
+
+    With many languages each gets ``total`` divided by their number.  Beyond ``total`` languages, those
+    that come first by hash are learned.  Languages are counted in the map tasks and the counts
+    sent to the rows, so rows are not shuffled by language before they are chosen.
+    """
     usable = docs.filter((fold_of(F.col("doc_id")) != 1) & F.col("lang").isNotNull()
                          & F.col("text").isNotNull()).select(
         "doc_id", F.col("lang").cast("string").alias("__lang"), F.col("text").alias("__text"))
     narrow = usable.select("doc_id", "__lang")
-    sizes = narrow.groupBy("__lang").agg(F.count("*").alias("__rows"))
+    sizes = stored(narrow.groupBy("__lang").agg(F.count("*").alias("__rows")), "languages")
+    bound = min(per_lang, max(1, total // max(sizes.count(), 1)))
+    learned = sizes.orderBy(hash_place(F.col("__lang")), "__lang").limit(total)  # bounded
     order = Window.partitionBy("__lang").orderBy(hash_place(F.col("doc_id")), "doc_id")
-    chosen = narrow.join(sizes, "__lang").filter(
-        may_be_first(F.col("doc_id"), per_lang, F.col("__rows"))).withColumn(
-        "__n", F.row_number().over(order)).filter(F.col("__n") <= per_lang).select(
-        "doc_id", "__lang").distinct().limit(per_lang * MAX_LANGS)
+    chosen = narrow.join(F.broadcast(learned), "__lang").filter(
+        may_be_first(F.col("doc_id"), bound, F.col("__rows"))).withColumn(
+        "__n", F.row_number().over(order)).filter(F.col("__n") <= bound).select(
+        "doc_id", "__lang").distinct()
     return usable.join(F.broadcast(chosen), ["doc_id", "__lang"])
 
 
@@ -139,46 +148,40 @@ def descend(samples: list, labels: np.ndarray, langs: list[str], bits: int) -> M
         best = softmax(scores / model.temperature)
         right = best.argmax(axis=1) == truth
         if right.any():
-            model.limit = float(min(0.5, best.max(axis=1)[right].min()))
+            model.limit = float(min(0.5, np.quantile(best.max(axis=1)[right], LIMIT_QUANTILE)))
     return model
 
 
-def identify(docs: DataFrame, model: Model, bits: int = BITS, text: str = "text",
-             keep: bool = False) -> DataFrame:
-    """``lang_pred``, ``score`` and ``rejected`` of every row, without a shuffle.
-
-    With ``keep`` all columns of ``docs`` stay and the three get a ``__`` in front.
-    """
+def judge(model: Model, texts: list[bytes], known: list[bool], bits: int = BITS
+          ) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and rejection of every text."""
+    if model.langs:
+        p = model.probabilities(texts, bits)
+        best = p.argmax(axis=1)
+        top = p[np.arange(len(texts)), best]
+    langs, scores, no = [], [], []
+    for i, (body, there) in enumerate(zip(texts, known)):
+        told = bool(model.langs) and there and has_letter(body)
+        langs.append(model.langs[best[i]] if told else UNDEFINED)
+        scores.append(float(top[i]) if told else 0.0)
+        no.append(bool(not told or top[i] < model.limit))
+    return langs, scores, no
+
+
+def identify(docs: DataFrame, model: Model, bits: int = BITS, text: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) of every row, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns if keep else ["doc_id", text]
-    mark = "__" if keep else ""
-    added = [f"{mark}lang_pred", f"{mark}score", f"{mark}rejected"]
-    kept = [n for n in names if keep or n != text]
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def name(batch: pa.RecordBatch):
-        m = shared.value
-        column = batch.column(names.index(text))
-        texts = texts_of(column)
-        if m.langs:
-            p = m.probabilities(texts, bits)
-            best = p.argmax(axis=1)
-            top = p[np.arange(len(texts)), best]
-        langs, scores, no = [], [], []
-        for i, (body, known) in enumerate(zip(texts, column.is_valid().to_pylist())):
-            told = bool(m.langs) and known and has_letter(body)
-            langs.append(m.langs[best[i]] if told else UNDEFINED)
-            scores.append(float(top[i]) if told else 0.0)
-            no.append(not told or top[i] < m.limit)
+        column = batch.column(1)
+        langs, scores, no = judge(shared.value, texts_of(column), column.is_valid().to_pylist(), bits)
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(names.index(n)) for n in kept], pa.array(langs, pa.string()),
-             pa.array(scores, pa.float64()), pa.array(no, pa.bool_())], [*kept, *added])
+            [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+             pa.array(no, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    picked = docs.select(*[docs[f"`{n}`"] for n in names])
-    schema = picked.select(*[f"`{n}`" for n in kept], F.lit("").alias(added[0]),
-                           F.lit(0.0).alias(added[1]), F.lit(False).alias(added[2])).schema
-    for field in schema.fields:
-        field.nullable = True
-    return map_batches(picked, name, schema)
+    return map_batches(docs.select("doc_id", F.col(f"`{text}`").alias("__text")), name,
+                       f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -188,6 +191,20 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that the model does not reject, with their columns as they were."""
-    return identify(docs, train(docs), keep=True).filter(~F.col("__rejected")).drop(
-        "__lang_pred", "__score", "__rejected")
+    """The documents that the model does not reject, with their columns as they were.
+
+    Only the texts meet Python; the other columns stay where they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    @F.arrow_udf("boolean")
+    def accepted(text: pa.Array) -> pa.Array:
+        kept: list[bool] = []
+        for part in slices(pa.RecordBatch.from_arrays([text], ["text"])):
+            column = part.column(0)
+            kept += [not no for no in judge(shared.value, texts_of(column),
+                                            column.is_valid().to_pylist())[2]]
+        pa.default_memory_pool().release_unused()
+        return pa.array(kept, pa.bool_())
+
+    return docs.filter(accepted(F.col("text")))

@@ -16,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import (ROW, map_batches, same_document, stored, texts_of, with_row_key)
+from tidemark.llm.common import (REST, ROW, free_name, map_batches, packed, same_document, stored,
+                                 texts_of, with_row_key)
 
 WINDOW = 3
 
@@ -57,12 +58,18 @@ def later_windows(windows: DataFrame) -> DataFrame:
         "doc_id", ROW, "__line")
 
 
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two columns that ``dedup_lines`` adds; a taken name gets underscores in front."""
+    return free_name("__n_lines", docs.columns), free_name("__n_removed", docs.columns)
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` with the text that stays, and ``n_lines`` and ``n_removed``."""
+    """All columns of ``docs`` with the text that stays, and the columns of ``count_names``."""
     windows = stored(line_windows(docs, text, size), "line-windows")
     starts = later_windows(windows).groupBy("doc_id", ROW).agg(
         F.collect_set("__line").alias("__starts"))
-    joined = same_document(with_row_key(docs, text), starts)
+    inner = packed(docs, "doc_id", text)
+    joined = same_document(with_row_key(inner, text), starts)
 
     def apply(batch: pa.RecordBatch):
         names = batch.schema.names
@@ -86,8 +93,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", size: int = WINDOW) -> Data
             [*kept, "__n_lines", "__n_removed"])
 
     added = [F.lit(0).cast("long").alias(n) for n in ("__n_lines", "__n_removed")]
-    schema = docs.select(*[f"`{c}`" for c in docs.columns], *added).schema
-    return map_batches(joined, apply, schema)
+    schema = inner.select("*", *added).schema
+    lines, removed = count_names(docs)
+    return map_batches(joined, apply, schema).select(
+        *[F.col(f"`{c}`") if c in ("doc_id", text) else F.col(REST).getField(c).alias(c)
+          for c in docs.columns],
+        F.col("__n_lines").alias(lines), F.col("__n_removed").alias(removed))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
