@@ -25,9 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line passages go from all documents but the first; a document that loses
     every line goes as a whole."""
-    done = line_dedup.dedup_lines(docs).filter(
-        (F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
-    changed = F.col("__n_removed") > 0
+    total, removed = (F.col(c) for c in line_dedup.count_names(docs))
+    done = line_dedup.dedup_lines(docs).filter((removed == 0) | (removed < total))
+    changed = removed > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(
