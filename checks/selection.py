@@ -721,6 +721,45 @@ def ml_19_classes(run):
     return ev.class_table(reports(run))
 
 
+VIEWS["v_cells"] = """select name, i::bigint true_id, j::bigint pred_id, (select count(*) from v_pred p
+  join v_text t on t.id = p.id where t.lang = r.name and p.label_id = i and p.pred_label_id = j) n
+  from (select distinct lang name from v_text) r, range(6) a(i), range(6) b(j)"""
+
+
+def with_matrix(run):
+    """The reports with their confusion matrix."""
+    both = predicted(run).join(run.tables.text.select("id", "lang"), "id")
+    counts = both.groupBy(F.col("lang").alias("name")).agg(*[
+        F.count_if((F.col("label_id") == i) & (F.col("pred_label_id") == j)).alias(f"c{i}{j}")
+        for i in range(6) for j in range(6)])
+    matrix = F.array(*[F.array(*[F.col(f"c{i}{j}") for j in range(6)]) for i in range(6)])
+    return reports(run).join(counts.select("name", matrix.alias("confusion_matrix")), "name")
+
+
+@query("ml_20_confusions", f"""select name, printf('%d:', rank) || {label('true_id')} || '>' ||
+  {label('pred_id')} || '=' || n worst, m matrix from (select *, row_number() over (partition by name
+  order by n desc, true_id, pred_id) rank, sum(case when true_id = pred_id then n else 0 end)
+  over (partition by name)::bigint m from v_cells) where rank <= 99 and true_id <> pred_id and n > 0
+  qualify row_number() over (partition by name order by rank) <= 3""".replace(
+      "printf('%d:', rank)", "printf('%d:', row_number() over (partition by name order by rank))"))
+def ml_20_confusions(run):
+    """The three worst confusions of each run, and the diagonal total of its matrix."""
+    rows = with_matrix(run)
+    payload = ev.quality_payload(rows, rows.select("name", F.lit("x").alias("compared")))
+    diagonal = sum((F.col("confusion_matrix")[i][i] for i in range(1, 6)), F.col("confusion_matrix")[0][0])
+    return payload.select("name", diagonal.alias("matrix"), F.posexplode("top_confusions").alias(
+        "k", "c")).select("name", "matrix", F.concat(
+            F.col("k") + 1, F.lit(":"), "c.true_label", F.lit(">"), "c.pred_label", F.lit("="),
+            F.col("c.n").cast("string")).alias("worst"))
+
+
+@query("ml_19_confusion", f"""select name, {label('true_id')} true_label, {label('pred_id')} pred_label, n,
+  {rnd(ratio('n', 't'))} share from (select *, sum(n) over (partition by name, true_id)::bigint t
+  from v_cells)""")
+def ml_19_confusion(run):
+    return ev.confusion_table(with_matrix(run))
+
+
 VIEWS["v_prog"] = """select *, macro_f1 > coalesce(max(macro_f1) over (partition by name
   order by epoch rows between unbounded preceding and 1 preceding), -1) new_best,
   row_number() over (partition by name order by epoch) n from v_epochs"""

@@ -11,11 +11,13 @@ from checks.topics import busiest
 from checks.views import LABEL_LIST, big, iso, ratio, rnd
 from tidemark.functions.numeric import local_iso, round_to
 from tidemark.functions.text import clean_text
+from tidemark.functions.variants import stringify_json
 from tidemark.operators import context as cx
 from tidemark.operators import kpi
 from tidemark.plans.context import overview_context, topic_context, topic_detail
 from tidemark.session import scratch_path
 from tidemark.sources import io
+from tidemark.sources import tables as sources_tables
 from tidemark.streaming import state as ss
 from tidemark.streaming import streams as st
 
@@ -118,6 +120,60 @@ def src_11(run):
         "comment_id", "post_id")
 
 
+@query("src_03", "select id, content, label_id from v_text")
+def src_03(run):
+    text = io.require_columns(run.tables.text, ["id", "content", "split"])
+    return io.keep_optional(text, ["id", "content"], ["label_id", "annotator", "id"])
+
+
+@query("src_10_mixed", """select id, label_id::varchar "label", case when id % 3 = 0 then null
+  else (id % 2 = 0)::varchar end flag from v_text""")
+def src_10_mixed(run):
+    """Records whose fields are numbers in some rows and strings in others."""
+    label = F.col("label_id").cast("string")
+    quoted = F.when(F.col("id") % 2 == 0, label).otherwise(F.concat(F.lit('"'), label, F.lit('"')))
+    flag = F.when(F.col("id") % 3 == 0, "null").otherwise((F.col("id") % 2 == 0).cast("string"))
+    record = F.concat(F.lit('{"label": '), quoted, F.lit(', "flag": '), flag, F.lit("}"))
+    path = scratch_path(run.spark, "records")
+    run.tables.text.select("id", record.alias("record")).write.parquet(path)
+    return stringify_json(run.spark.read.parquet(path), "record", ["label", "flag"]).drop("record")
+
+
+@query("src_11_keyset", """select comment_id, post_id from v_comment where comment_id > 5000""")
+def src_11_keyset(run):
+    path = scratch_path(run.spark, "comments")
+    run.tables.comment.select("comment_id", "post_id").write.parquet(path)
+    return io.read_keyset(run.spark, path, "comment_id", "comment_id long, post_id long", after=5000)
+
+
+@query("src_11_stream", """select comment_id, post_id from v_comment""")
+def src_11_stream(run):
+    """The table is read up to a key, grows, and is read on with the same checkpoint."""
+    source, path = scratch_path(run.spark, "comments"), scratch_path(run.spark, "pulled")
+    rows = run.tables.comment.select("comment_id", "post_id")
+    for part in ("comment_id <= 9000", "comment_id > 9000"):
+        rows.filter(part).write.mode("append").parquet(source)
+        pulled = io.read_keyset(run.spark, source, "comment_id", "comment_id long, post_id long", True)
+        pulled.writeStream.format("parquet").option("path", path).option(
+            "checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return run.spark.read.parquet(path)
+
+
+@query("doc_10", """select source_type, source_id, strftime(source_created_at, '%Y-%m-%d') "day"
+  from v_prediction where model_version = 'primary' and dayofweek(source_created_at) = 1
+  and month(source_created_at) % 5 = 0""")
+def doc_10(run):
+    """Predictions of the Mondays of every fifth month, from month folders."""
+    path = scratch_path(run.spark, "by-month")
+    sources_tables.write_by_month(run.tables.prediction, path, "source_created_at")
+    facts = run.spark.read.parquet(path).filter("model_version = 'primary'")
+    dates = scratch_path(run.spark, "dates")
+    run.tables.prediction.select(F.to_date("source_created_at").alias("day")).distinct().write.parquet(dates)
+    wanted = run.spark.read.parquet(dates).filter("dayofweek(day) = 2 and month(day) % 5 = 0")
+    return sources_tables.rows_of_dates(facts, wanted, "source_created_at").select(
+        "source_type", "source_id", F.date_format("source_created_at", "yyyy-MM-dd").alias("day"))
+
+
 @query("src_12", """select model_version, source_type, source_id, case when source_type = 'post'
   and model_version = 'primary' then (pred_label_id + 1) % 6 else pred_label_id end pred_label_id,
   case when source_type = 'post' and model_version = 'primary' then 2 else 1 end predicted_at
@@ -339,7 +395,8 @@ def str_02_series(run):
     run.tables.prediction.repartitionByRange(3, "source_created_at").write.parquet(source)
     st.run_available(st.read_stream(run.spark, source, 1), "append", f"{path}-state",
                      st.daily_sink(path))
-    return kpi.maintained_series(st.read_daily(run.spark, path))
+    return kpi.maintained_series(st.read_daily(run.spark, path), run.spark.read.parquet(source),
+                                 run.window())
 
 
 ORACLES["str_02_series"] = ORACLES["kpi_13"]

@@ -10,14 +10,17 @@ from tidemark.functions import labels as lb
 from tidemark.functions import numeric as nu
 from tidemark.functions import text as tx
 from tidemark.operators import quality as q
+from tidemark.functions import phrases as ph
+from tidemark.functions import variants as vr
 from tidemark.plans.curation import prepare_splits
+from tidemark.session import scratch_path
 from tidemark.schema import LABEL_ALIASES, LABELS, LABELS_EN
 
 EN = "[" + ", ".join(f"'{x}'" for x in LABELS_EN) + "]"
 VIEWS["v_raw"] = f"""select n.id, n.content, case when l.doc_id is null then null
   when n.id % 17 = 0 then 'joy' else {EN}[cast(n.label_id as int) + 1] end "label", n.split
   from v_text_noisy n left join labels l on l.doc_id = n.id"""
-VIEWS["v_raw_known"] = """select * from v_raw where "label" is null or "label" <> 'joy'"""
+VIEWS["v_raw_known"] = """select * from v_raw where "label" <> 'joy'"""
 
 
 def raw(run):
@@ -30,10 +33,6 @@ def raw(run):
         "id", "content", label.alias("label"), "split")
 
 
-def raw_known(run):
-    return raw(run).filter("label is null or label <> 'joy'")
-
-
 def rx(col: str, pattern: str, to: str = "") -> str:
     return f"regexp_replace({col}, '{pattern}', '{to}', 'g')"
 
@@ -259,6 +258,49 @@ def txt_23(run):
     return run.tables.topic.select("topic_id", tx.topic_title_key(title).alias("title_key"))
 
 
+@query("txt_23_id", """select topic_id, k title_key, ('0x' || substr(sha256(k), 1, 15))::bigint title_id
+  from (select topic_id, lower(trim(regexp_replace('## ' || title || '#', '^#+|#+$', '', 'g'))) k
+  from v_topic)""")
+def txt_23_id(run):
+    title = F.concat(F.lit("## "), F.col("title"), F.lit("#"))
+    return run.tables.topic.select("topic_id", tx.topic_title_key(title).alias("title_key"),
+                                   tx.topic_title_id(title).alias("title_id"))
+
+
+@query("txt_24_paths", """select event_id, cast(json_extract_string(props, '$.k') as bigint) k,
+  case when event_id % 3 = 0 then user_id::varchar when event_id % 3 = 1 then event_type end who,
+  case event_id % 3 when 0 then 'number' when 1 then 'string' else 'null' end kind,
+  list_count([event_id, user_id]) places, user_id other, 'n' || event_id deep from events""")
+def txt_24_paths(run):
+    """Six paths of one parsed document; ``who`` is a number, a string or missing."""
+    who = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "who": '), F.col("user_id"))).when(
+        F.col("event_id") % 3 == 1, F.concat(F.lit(', "who": "'), F.col("event_type"), F.lit('"'))
+    ).otherwise(F.lit(""))
+    raw_json = F.concat(F.rtrim(F.col("props"), F.lit("}")), who, F.lit(', "at": ['), F.col("event_id"),
+                        F.lit(", "), F.col("user_id"), F.lit('], "o": {"p": {"q": "n'),
+                        F.col("event_id"), F.lit('"}}}'))
+    events = run.tables.events.select("event_id", raw_json.alias("raw_json"))
+    parsed = vr.add_paths(events, "raw_json", {
+        "k": ("$.k", "bigint"), "who": ("$.who", "string"), "other": ("$.at[1]", "bigint"),
+        "deep": ("$.o.p.q", "string")}, kinds={"kind": "$.who"}, sizes={"places": "$.at"})
+    return parsed.drop("raw_json")
+
+
+@query("txt_03_phrases", "select id, regexp_replace(content, 'th([a-z])|([a-z])([a-z])|"
+       "([0-9])([0-9])([0-9])', '\\1\\3\\2\\6\\5\\4', 'g') \"out\" from v_text_noisy")
+def txt_03_phrases(run):
+    """A dictionary of 1702 phrases: 'th' and a letter lose 'th', two letters change places, three
+    digits are turned round; longer phrases win."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    table = {a + b: b + a for a in letters for b in letters} | {
+        f"th{a}": a for a in letters} | {f"{n:03d}": f"{n:03d}"[::-1] for n in range(1000)}
+    path = scratch_path(run.spark, "phrases")
+    rows = [(f"{k}\t{v} other",) for k, v in table.items()]
+    run.spark.createDataFrame(rows, "value string").write.text(path)
+    phrases = ph.read_phrases(run.spark, path)
+    return run.tables.text_noisy.select("id", ph.convert(F.col("content"), phrases).alias("out"))
+
+
 @query("txt_24", "select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events")
 def txt_24(run):
     return run.tables.events.select(
@@ -346,7 +388,7 @@ def txt_28(run):
 @query("dq_01", f"""select id, {clean_sql('content')} "content", list_position({EN}, "label") - 1
   label_id from v_raw_known where "label" is not null and length({clean_sql('content')}) > 0""")
 def dq_01(run):
-    return q.clean_frame(raw_known(run)).select(
+    return q.clean_frame(raw(run), unknown="drop").select(
         "id", "content", F.col("label_id").cast("int").alias("label_id"))
 
 
@@ -503,12 +545,12 @@ VIEWS["v_cleaned_raw"] = f"""select id, {clean_sql('content')} "content", "label
   c.u - case when r.split = 'train' then (select count(*) from (select distinct content
   from v_cleaned_raw where split = 'train') where content in (select content
   from v_cleaned_raw where split <> 'train')) else 0 end kept
-  from (select split, count(*) n from v_raw_known group by 1) r join (
+  from (select split, count(*) n from v_raw group by 1) r join (
   select split, count(*) n, count(distinct content) u from v_cleaned_raw group by 1) c
   on c.split = r.split""")
 def dq_18(run):
-    known = raw_known(run)
-    return q.split_accounting(known, q.clean_frame(known))
+    rows = raw(run)
+    return q.split_accounting(rows, q.clean_frame(rows, unknown="drop"))
 
 
 @query("dq_18_splits", """select id, split from (select *, row_number() over (
@@ -516,4 +558,4 @@ def dq_18(run):
   split <> 'train' or content not in (select content from v_cleaned_raw
   where split <> 'train'))""")
 def dq_18_splits(run):
-    return prepare_splits(raw_known(run)).select("id", "split")
+    return prepare_splits(raw(run), unknown="drop").select("id", "split")

@@ -175,6 +175,12 @@ def topic_title_key(title: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.trim(title), r"^#+|#+$", "")))
 
 
+def topic_title_id(title: Column) -> Column:
+    """Stable id of a normalised title: the first 60 bits of its SHA-256."""
+    digits = F.substring(F.sha2(topic_title_key(title), 256), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
 def reply_json(text: Column) -> Column:
     """The JSON object inside a model reply, with or without a code fence; null when absent."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)

@@ -141,17 +141,51 @@ def epoch_progress(epochs: DataFrame, patience: int = 2) -> DataFrame:
     }).withColumn("would_stop", F.col("epochs_since_improve") >= patience).drop("_at", "_last")
 
 
+def confusion_cells(matrix: Column) -> Column:
+    """(n, true_id, pred_id) of every cell of a nested matrix."""
+    return F.flatten(F.transform(matrix, lambda row, i: F.transform(row, lambda n, j: F.struct(
+        n.cast("bigint").alias("n"), i.alias("true_id"), j.alias("pred_id")))))
+
+
+def worst_confusions(matrix: Column, k: int = 3) -> Column:
+    """The k largest off-diagonal cells with label names; ties by true id, then predicted id."""
+    wrong = F.filter(confusion_cells(matrix), lambda c: (c["true_id"] != c["pred_id"]) & (c["n"] > 0))
+    ranked = F.array_sort(F.transform(wrong, lambda c: F.struct(
+        (-c["n"]).alias("order"), c["true_id"], c["pred_id"], c["n"])))
+    return F.transform(F.slice(ranked, 1, k), lambda c: F.struct(
+        label_name(c["true_id"]).alias("true_label"), label_name(c["pred_id"]).alias("pred_label"),
+        c["n"].alias("n")))
+
+
 def quality_payload(reports: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """Rounded metrics and label -> F1 map of each run, with the second model when compared."""
+    """Rounded metrics and label -> F1 map of each run, with the second model when compared.
+
+    Reports with a ``confusion_matrix`` also bring it and its three worst confusions; a run without a
+    report has nulls.
+    """
     scores = F.transform("per_class_f1", lambda x: round_to(x))
     labels = F.array(*[F.lit(x) for x in LABELS])
+    matrix = []
+    if "confusion_matrix" in reports.columns:
+        matrix = ["confusion_matrix", worst_confusions(F.col("confusion_matrix")).alias("top_confusions")]
     base = reports.select(
         "name", "samples", round_to(F.col("accuracy")).alias("accuracy"),
         round_to(F.col("macro_f1")).alias("macro_f1"),
-        F.map_from_arrays(labels, scores).alias("per_class_f1"))
+        F.map_from_arrays(labels, scores).alias("per_class_f1"), *matrix)
     return base.join(comparisons, "name", "left")
 
 
+def confusion_table(reports: DataFrame) -> DataFrame:
+    """Long confusion table of runs: count and share of the true label's samples per cell."""
+    cells = reports.select("name", F.inline(confusion_cells(F.col("confusion_matrix"))))
+    rows = reports.select("name", F.posexplode("confusion_matrix").alias("true_id", "row")).select(
+        "name", "true_id", F.aggregate("row", F.lit(0).cast("bigint"), lambda t, n: t + n).alias("total"))
+    return cells.join(rows, ["name", "true_id"]).select(
+        "name", label_name(F.col("true_id")).alias("true_label"),
+        label_name(F.col("pred_id")).alias("pred_label"), "n",
+        round_to(ratio(F.col("n"), F.col("total"))).alias("share"))
+
+
 def class_table(reports: DataFrame) -> DataFrame:
     """Long per-class F1 table of runs."""
     return reports.select("name", F.posexplode("per_class_f1").alias("label_id", "f1")).select(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_name
-from tidemark.functions.numeric import mean_micros, ratio, round_to
+from tidemark.functions.numeric import local_day, mean_micros, ratio, round_to
 from tidemark.operators.samples import (
     EMOTION_COUNTS, emotion_aggregates, interactions, latest_interactions, predictions_in,
     speakers,
 )
 from tidemark.operators.topics import emotion_by_day, series_of_days
-from tidemark.operators.window import TimeWindow
+from tidemark.operators.window import OFFSET, TimeWindow
 from tidemark.schema import DEFAULTS, Settings
 
 
@@ -120,15 +122,24 @@ def emotion_series(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFr
     return emotion_by_day(predictions_in(tables.prediction, window, s.primary_model))
 
 
-def maintained_series(daily: DataFrame, first_day: str | None = None, last_day: str | None = None,
+def maintained_series(daily: DataFrame, prediction: DataFrame, window: TimeWindow,
                       s: Settings = DEFAULTS) -> DataFrame:
-    """The same series from maintained daily sums (``streams.read_daily``), whole days only."""
-    kept = daily.filter(F.col("model_version") == s.primary_model)
-    if first_day is not None:
-        kept = kept.filter(F.col("day") >= F.lit(first_day).cast("date"))
-    if last_day is not None:
-        kept = kept.filter(F.col("day") <= F.lit(last_day).cast("date"))
-    return series_of_days(kept)
+    """The same series from maintained daily sums (``streams.read_daily``).
+
+    Days that lie wholly in the window are taken from the sums.  Only its first and last day, if the
+    window cuts them, are counted from predictions, which the scan prunes to these days.
+    """
+    first, beyond = window.whole_days()
+    kind = prediction.schema["source_created_at"].dataType.simpleString()
+
+    def midnight(day: date):
+        return F.lit(str(datetime.combine(day, time()) - OFFSET)).cast(kind)
+    cut = predictions_in(prediction, window, s.primary_model).filter(
+        (F.col("source_created_at") < midnight(first)) | (F.col("source_created_at") >= midnight(beyond)))
+    edges = cut.groupBy(local_day(F.col("source_created_at")).alias("day")).agg(*emotion_aggregates())
+    inner = daily.filter((F.col("model_version") == s.primary_model) & (F.col("day") >= F.lit(first))
+                         & (F.col("day") < F.lit(beyond))).select(*edges.columns)
+    return series_of_days(inner.unionByName(edges))
 
 
 def series_totals(series: DataFrame) -> DataFrame:

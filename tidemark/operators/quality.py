@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,12 +29,16 @@ def valid_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("label").isNotNull() & (F.length("content") > 0))
 
 
-def clean_frame(df: DataFrame, cleaner=clean_text) -> DataFrame:
+def clean_frame(df: DataFrame, cleaner=clean_text, unknown: str = "fail") -> DataFrame:
     """Drop rows without label or content, clean, drop what became empty, add the label id.
 
-    Unknown labels fail the job when the rows are read.
+    Unknown labels fail the job when the rows are read, or are dropped with ``unknown='drop'``.
     """
+    if unknown not in ("fail", "drop"):
+        raise ValueError("unknown is 'fail' or 'drop'")
     known = df.filter(F.col("label").isNotNull() & F.col("content").isNotNull())
+    if unknown == "drop":
+        known = known.filter(english_label_id(F.col("label")).isNotNull())
     cleaned = known.withColumn("content", cleaner(F.col("content"))).filter(
         F.length("content") > 0)
     label_id = F.coalesce(english_label_id(F.col("label")), F.raise_error(
@@ -57,9 +62,19 @@ def label_conflicts(df: DataFrame, label: str = "label_id") -> DataFrame:
         F.coalesce(F.sum(F.when(conflict, F.col("n"))), F.lit(0)).alias("affected_rows"))
 
 
-def dedupe_content(df: DataFrame, order: str = "id", group: tuple[str, ...] = ()) -> DataFrame:
-    """First row of each content (inside each group)."""
-    return keep_first(df, [*group, "content"], [order])
+def identity(content: Column, digest: Callable[[Column], Column] = digest) -> dict[str, Column]:
+    """Short columns that stand for a text in shuffle and sort keys.
+
+    Equal digests are confirmed by an independent hash, so texts that collide in one of them stay apart.
+    """
+    return {"_digest": digest(content), "_check": F.xxhash64(content)}
+
+
+def dedupe_content(df: DataFrame, order: str = "id", group: tuple[str, ...] = (),
+                   digest: Callable[[Column], Column] = digest) -> DataFrame:
+    """First row of each content (inside each group).  Texts travel, but are no key of anything."""
+    keyed = df.withColumns(identity(F.col("content"), digest))
+    return keep_first(keyed, [*group, "_digest", "_check"], [order]).drop("_digest", "_check")
 
 
 def split_rows(df: DataFrame, split: str) -> DataFrame:
@@ -73,20 +88,22 @@ def remove_leakage(splits: DataFrame) -> DataFrame:
     return train.unionByName(splits.filter(F.col("split") != "train"))
 
 
-def clean_splits(df: DataFrame, order: str = "id") -> DataFrame:
+def clean_splits(df: DataFrame, order: str = "id",
+                 digest: Callable[[Column], Column] = digest) -> DataFrame:
     """First row of each content per split, without train rows that eval or test also have.
 
-    One aggregation by content answers both rules: it holds at most one row per split.
+    One aggregation by the texts' digests answers both rules: it holds at most one row per split.
     """
-    carried = [c for c in df.columns if c not in ("content", "split")]
-    folded = df.groupBy("content").agg(*[
+    carried = [c for c in df.columns if c != "split"]
+    folded = df.withColumns(identity(F.col("content"), digest)).groupBy("_digest", "_check").agg(*[
         F.min_by(F.struct(*carried), F.when(F.col("split") == s, F.col(order))).alias(s)
         for s in SPLITS])
     leaked = F.col("eval").isNotNull() | F.col("test").isNotNull()
     rows = F.array_compact(F.array(*[
         F.when(F.col(s).isNotNull() & (~leaked if s == "train" else F.lit(True)),
                F.struct(F.lit(s).alias("split"), F.col(s).alias("r"))) for s in SPLITS]))
-    return folded.select("content", F.inline(rows)).select("content", "split", "r.*")
+    return folded.select(F.inline(rows)).select("r.content", "split", *[
+        f"r.{c}" for c in carried if c != "content"])
 
 
 def overview(df: DataFrame, group: str = "split") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +87,12 @@ class TimeWindow:
     def literal(self, bound: str, kind: str) -> Column:
         return F.lit(getattr(self, bound).isoformat(sep=" ")).cast(kind)
 
+    def whole_days(self) -> tuple[date, date]:
+        """First local day that lies wholly in the window, and the one after the last such day."""
+        first = (self.start + OFFSET - timedelta(microseconds=1)).date() + timedelta(days=1)
+        beyond = (self.end + OFFSET + timedelta(microseconds=1)).date()
+        return first, max(first, beyond)
+
     def within(self, df: DataFrame, column: str) -> DataFrame:
         """Rows whose time lies in the window, both ends included."""
         kind = df.schema[column].dataType.simpleString()

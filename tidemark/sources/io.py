@@ -11,6 +11,7 @@ from tidemark.operators.scoring import KEYS, merge_predictions
 from tidemark.session import stored
 from tidemark.sources.files import delete_folder, folder_names, path_exists
 from tidemark.sources.keyindex import KeyIndex
+from tidemark.sources.keyset import KeysetSource
 from tidemark.sources.tables import NO_MONTH, add_month, month_of
 
 RAW_SCHEMA = "id bigint, content string, label string"
@@ -128,6 +129,15 @@ def pull_page(df: DataFrame, key: str, after: int, n: int) -> DataFrame:
     return df.filter(F.col(key) > after).orderBy(key).limit(n)
 
 
+def read_keyset(spark: SparkSession, path: str, key: str, schema: str, stream: bool = False,
+                **options) -> DataFrame:
+    """Rows of a Parquet folder in key ranges, as a batch or as a stream that goes on behind its last
+    key; options as in ``keyset.KeysetSource``."""
+    spark.dataSource.register(KeysetSource)
+    reader = (spark.readStream if stream else spark.read).format("keyset").schema(schema)
+    return reader.option("path", path).option("key", key).options(**options).load()
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int,
               partitions: int, **options: str) -> DataFrame:
     """A database table read in parallel key ranges."""

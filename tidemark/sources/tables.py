@@ -68,3 +68,20 @@ def month_of(month: Column) -> Column:
 def add_month(df: DataFrame, column: str, name: str = "month") -> DataFrame:
     """Month partition column (yyyyMM) of a time column; a null time has the month NO_MONTH."""
     return df.withColumn(name, month_of(F.date_format(column, "yyyyMM")))
+
+
+def write_by_month(df: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
+    """Store a fact table in month folders of a time column."""
+    add_month(df, column).hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(path)
+
+
+def rows_of_dates(facts: DataFrame, dates: DataFrame, column: str, day: str = "day") -> DataFrame:
+    """Fact rows of the days of a date table, which is filtered by any of its own columns.
+
+    Facts and dates meet by month and by day; the month comes from the folders, so the filter on the dates
+    prunes folders when the query runs.
+    """
+    wanted = add_month(dates.select(F.col(day).alias("_day")), "_day", "_month").distinct()
+    on = (facts["month"].cast("string") == wanted["_month"]) & (
+        F.to_date(facts[column]) == wanted["_day"])
+    return facts.join(wanted, on).drop("_day", "_month")
