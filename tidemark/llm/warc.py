@@ -1,10 +1,11 @@
 """WARC archives from a chunked record table, and back.
 
-A payload is cut into rows (record, chunk number, bytes) by the JVM; every row becomes one WARC
-record, so an oversized payload is a first record and ``continuation`` segments, as the format
-provides.  Spark's text writer puts the rows into gzip files, record after record, in any storage
-that Spark can write.  The reader walks through an archive with a bounded buffer; segments meet
-by record and are digested one after the other, so no task holds a whole payload.
+A page's payload is one value of its table, so Spark holds it as one value too; nothing here makes
+a second whole copy of it.  Its task cuts it into rows (record, chunk number, bytes) one after the other
+with a running digest, and every row becomes one WARC record, so an oversized payload is a first
+record and ``continuation`` segments, as the format provides.  Spark's text writer puts the records
+into gzip files of bounded size, in any storage that Spark can write.  The reader walks through an
+archive with a bounded buffer; segments meet by record and are digested one after the other.
 
 Payloads of at least ``min_bytes`` that are equal (SHA-1 and length) are stored once: the page with
 the largest id is the response and the others are revisits of it.  A null payload counts as
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import slices, stored
 from tidemark.session import scratch_path
 
 CHUNK_BYTES = 64 << 10
-RECORDS_PER_FILE = 8192
+ROWS_PER_FILE = 512  # rows of at most two chunks: an archive holds 64 MB of records at most
 BREAK = b"\r\n\r\n"
 CAPTURED = "1970-01-01T00:00:00Z"
 READ_BYTES = 256 << 10
@@ -54,15 +55,56 @@ def planned(pages: DataFrame, payload: str = "html", min_bytes: int = 0) -> Data
         "__page", "__url", "__body", "__sha", "__size", refers.alias("__refers"))
 
 
+CHUNK_TYPE = ("__record long, __page string, __url string, __sha binary, __size long, __refers string, "
+              "__chunks int, __chunk int, __bytes binary")
+
+
+def chunks_of(batch: pa.RecordBatch, chunk: int) -> Iterator[dict]:
+    """The chunk rows of some pages, one at a time.  A payload is read where the batch holds it, cut
+    without copying more than a chunk, and digested on the way; revisits have one row without bytes."""
+    column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+    for i in range(batch.num_rows):
+        row = {n: c[i].as_py() for n, c in column.items() if n != "__body"}
+        body = column["__body"][i].as_buffer() if row["__refers"] is None else None
+        view = memoryview(body) if body is not None else memoryview(b"")
+        row["__chunks"] = max(1, -(-len(view) // chunk))
+        digest = hashlib.sha1()
+        for number in range(row["__chunks"]):
+            data = bytes(view[number * chunk:(number + 1) * chunk])
+            digest.update(data)
+            yield {**row, "__chunk": number, "__bytes": data}
+        if row["__refers"] is None and digest.digest() != row["__sha"]:
+            raise ValueError(f"payload of page {row['__page']} changed while it was cut")
+
+
+def numbered(plan: DataFrame) -> DataFrame:
+    """Pages with a record identifier; ids as text, the payload as it is."""
+    return plan.select(
+        F.monotonically_increasing_id().alias("__record"), F.col("__page").cast("string").alias("__page"),
+        "__url", "__sha", "__size", F.col("__refers").cast("string").alias("__refers"), "__body")
+
+
 def chunk_rows(plan: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """(record, chunk number, bytes): revisits have one row without bytes."""
-    body = F.when(F.col("__refers").isNull(), F.col("__body")).otherwise(F.lit(b""))
-    held = plan.withColumn("__record", F.monotonically_increasing_id()).withColumn("__body", body)
-    many = F.greatest(F.lit(1), F.ceil(F.length("__body") / F.lit(chunk))).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring(
-        F.col("__body"), i * F.lit(chunk) + F.lit(1), F.lit(chunk)))
-    return held.select("__record", "__page", "__url", "__sha", "__size", "__refers",
-                       many.alias("__chunks"), F.posexplode(parts).alias("__chunk", "__bytes"))
+    """The chunk table: (record, chunk number, bytes) and what the record's header needs."""
+    def cut(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in slices(batch):
+                rows, size = [], 0
+                for row in chunks_of(part, chunk):
+                    rows.append(row)
+                    size += len(row["__bytes"]) + 256
+                    if size > READ_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, CHUNKS)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, CHUNKS)
+    return numbered(plan).mapInArrow(cut, CHUNK_TYPE)
+
+
+CHUNKS = pa.schema([
+    ("__record", pa.int64()), ("__page", pa.string()), ("__url", pa.string()), ("__sha", pa.binary()),
+    ("__size", pa.int64()), ("__refers", pa.string()), ("__chunks", pa.int32()),
+    ("__chunk", pa.int32()), ("__bytes", pa.binary())])
 
 
 def header(fields: list[tuple[str, object]]) -> bytes:
@@ -104,16 +146,31 @@ def record_of(row: dict) -> bytes:
 
 def write_archives(pages: DataFrame, path: str, payload: str = "html", min_bytes: int = 0,
                    chunk: int = CHUNK_BYTES) -> None:
-    """Write gzip WARC files under ``path``."""
+    """Write gzip WARC files under ``path``, each of at most ROWS_PER_FILE rows of about a chunk.
+
+    Small records share a row, so the bytes of a file are bounded from above and not tiny.
+    """
     def format_rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            records = [record_of(row) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["value"])
+            for part in slices(batch):
+                rows, total, held, size = [], 0, [], 0
+                for row in chunks_of(part, chunk):
+                    held.append(record_of(row))
+                    size += len(held[-1])
+                    if size >= CHUNK_BYTES:
+                        rows.append(BREAK.join(held))
+                        total, held, size = total + size, [], 0
+                    if total > READ_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
+                        rows, total = [], 0
+                if held:
+                    rows.append(BREAK.join(held))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
-    lines = chunk_rows(planned(pages, payload, min_bytes), chunk).mapInArrow(
-        format_rows, "value binary")
+    lines = numbered(planned(pages, payload, min_bytes)).mapInArrow(format_rows, "value binary")
     lines.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option(
-        "compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        "compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
 
 
 class Archive:
