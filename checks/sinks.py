@@ -413,7 +413,7 @@ def str_03(run):
         "cast(floor(l_extendedprice / 100) as bigint) attitudes_count",
         "cast(l_linenumber as bigint) reposts_count")
     path = scratch_path(run.spark, "snapshots")
-    with ss.disk_state(run.spark):
+    with ss.disk_state(run.spark, empty_batches=False):
         st.run_available(ss.newest_snapshots(snapshots), "update", f"{path}-state",
                          ss.newest_sink(path))
     return ss.read_newest(run.spark, path).withColumn("as_of", local_iso(F.col("as_of")))

@@ -22,9 +22,9 @@ def at(minutes):
 
 @pytest.fixture(autouse=True)
 def few_partitions(spark):
-    """State per partition costs a worker and a store each; two of them tell the same."""
+    """State costs a worker and a store per partition and batch; one tells the same."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -95,7 +95,7 @@ def test_snapshot_state_is_bounded_and_cold_posts_are_looked_up(spark, tmp_path)
     batches.append([(0, at(5000), 9, 9, 9), (1, at(-50), 7, 7, 7), (2, None, 1, 1, 1)])
     snapshots = source(spark, str(tmp_path / "in"), batches, SNAPSHOT)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    with ss.disk_state(spark):
+    with ss.disk_state(spark, empty_batches=False):
         query = st.run_available(ss.newest_snapshots(snapshots, ttl="1 millisecond"), "update", state,
                                  ss.newest_sink(out))
     assert query.lastProgress["batchId"] >= 9

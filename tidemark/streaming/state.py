@@ -34,10 +34,15 @@ def interval_micros(text: str) -> int:
 
 
 @contextmanager
-def disk_state(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB; the session's settings come back after."""
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+def disk_state(spark: SparkSession, empty_batches: bool = True):
+    """Streams started inside keep their state in RocksDB; the session's settings come back after.
+
+    Without ``empty_batches`` a batch needs new rows.  State with a time-to-live asks for another batch
+    for ever, so a stream that is to stop when all rows are read has to be started like that.
+    """
+    wanted = STORE | {"spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -206,7 +211,8 @@ class Newest(StatefulProcessor):
 def newest_snapshots(snapshots: DataFrame, ttl: str = "7 days") -> DataFrame:
     """(post_id, captured, interaction_count, cold) of posts with a newer snapshot (update mode).
 
-    State is bounded by the posts that got a newer snapshot within ``ttl`` (processing time).  For
+    Start the stream inside ``disk_state(spark, empty_batches=False)``.  State is bounded by the posts
+    that got a newer snapshot within ``ttl`` (processing time).  For
     other posts the state cannot tell what is newest; they are marked ``cold`` and ``newest_sink`` looks
     them up in the change table.
     """
