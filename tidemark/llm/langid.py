@@ -31,6 +31,7 @@ MAX_PER_LANG = 1000
 MAX_ROWS = 200_000
 LIMIT_QUANTILE = 0.002
 EPOCHS = 5
+SLICE_BYTES = 1 << 18  # features take some hundred times the bytes of their texts
 UNDEFINED = "und"
 _ASCII_LETTER = re.compile(b"[A-Za-z]")
 
@@ -200,7 +201,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("boolean")
     def accepted(text: pa.Array) -> pa.Array:
         kept: list[bool] = []
-        for part in slices(pa.RecordBatch.from_arrays([text], ["text"])):
+        for part in slices(pa.RecordBatch.from_arrays([text], ["text"]), SLICE_BYTES):
             column = part.column(0)
             kept += [not no for no in judge(shared.value, texts_of(column),
                                             column.is_valid().to_pylist())[2]]
