@@ -11,7 +11,8 @@ from tidemark.operators.joins import join_unique
 from tidemark.operators.quantiles import exact_percentile
 from tidemark.operators.ranking import number_within
 from tidemark.operators.samples import (
-    EMOTION_COUNTS, busy_posts, dominant_emotion_id, latest_interactions, predictions_in, speakers,
+    EMOTION_COUNTS, busy_posts, dominant_emotion_id, interactions, latest_interactions,
+    predictions_in, speakers,
 )
 from tidemark.operators.window import TimeWindow
 from tidemark.session import stored
@@ -25,7 +26,11 @@ MARKERS = ("is_entry_kol", "is_high_inter", "is_polar", "is_active", "is_verifie
 
 def interaction_p95(tables, window: TimeWindow) -> DataFrame:
     """One row: p95 of the newest interactions per post, whole number, at least 1."""
-    newest = latest_interactions(window.within(tables.engagement, "captured_at"))
+    return newest_p95(latest_interactions(window.within(tables.engagement, "captured_at")))
+
+
+def newest_p95(newest: DataFrame) -> DataFrame:
+    """One row: p95 of ``interaction_count``, whole number, at least 1."""
     counted = newest.groupBy("interaction_count").agg(F.count("*").alias("n"))
     found = exact_percentile(counted, "interaction_count", "n", 0.95, "p95")
     return found.select(F.greatest(F.lit(1), F.floor(F.coalesce("p95", F.lit(0.0))))
@@ -153,26 +158,96 @@ def cross_topic(tables, posts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return _branch(topics.filter(F.col("topics") >= s.cross_topic_min), is_cross_topic=1)
 
 
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def post_facts(tables, window: TimeWindow, topic_id: int | None = None,
+               s: Settings = DEFAULTS) -> DataFrame:
+    """One row per post: author, newest interactions, own prediction, and flags.
+
+    Posts, their predictions, snapshots and the links of the topic are stacked as narrow rows and
+    folded once, so a post with many snapshots is combined in the map tasks.  ``created`` says whether
+    the post is of the window and is null for ids without a post; ``as_of`` is null without a snapshot.
+    """
+    pred = predictions_in(tables.prediction, window, s.primary_model)
+    parts = [
+        tables.post.select("post_id", F.col("user_id").alias("uid"),
+                           window.holds(tables.post, "created_at").alias("created")),
+        pred.filter(F.col("source_type") == "post").select(
+            F.col("source_id").alias("post_id"), "pred_label_id",
+            F.lit(True).alias("predicted")),
+        window.within(tables.engagement, "captured_at").select(
+            "post_id", "captured_at", interactions().alias("total"))]
+    if topic_id is not None:
+        parts.append(tables.post_topic.filter(F.col("topic_id") == topic_id).select(
+            "post_id", F.lit(True).alias("of_topic")))
+    of_topic = F.lit(True) if topic_id is None else F.coalesce(F.max("of_topic"), F.lit(False))
+    return _stacked(parts).groupBy("post_id").agg(
+        F.max("uid").alias("uid"), F.max("created").alias("created"),
+        F.max_by("total", "captured_at").alias("interaction_count"),
+        F.max("captured_at").alias("as_of"), F.max("pred_label_id").alias("pred_label_id"),
+        F.coalesce(F.max("predicted"), F.lit(False)).alias("predicted"),
+        of_topic.alias("of_topic"))
+
+
+def comment_facts(tables, window: TimeWindow, topic_id: int | None = None,
+                  s: Settings = DEFAULTS) -> DataFrame:
+    """One row per comment that is of the window or has a prediction in it."""
+    pred = predictions_in(tables.prediction, window, s.primary_model)
+    parts = [
+        tables.comment.select("comment_id", "post_id", F.col("user_id").alias("uid"), "like_count",
+                              window.holds(tables.comment, "created_at").alias("created")),
+        pred.filter((F.col("source_type") == "comment") & F.col("post_id").isNotNull()).select(
+            F.col("source_id").alias("comment_id"), "post_id", "pred_label_id",
+            F.lit(True).alias("predicted"))]
+    stacked = _of_topic(_stacked(parts), tables, topic_id, "comment_id")
+    return stacked.groupBy("comment_id", "post_id").agg(
+        F.max("uid").alias("uid"), F.max("created").alias("created"),
+        F.max("like_count").alias("interaction_count"),
+        F.max("pred_label_id").alias("pred_label_id"),
+        F.coalesce(F.max("predicted"), F.lit(False)).alias("predicted"),
+    ).filter(F.col("created") | (F.col("created").isNotNull() & F.col("predicted")))
+
+
+def _said(facts: DataFrame, kind: str, gained: Column) -> DataFrame:
+    """Samples of the facts, and a bare ``spoke`` for what has no prediction."""
+    return facts.select(
+        "uid", "pred_label_id", F.when(F.col("predicted"), F.lit(kind)).alias("source_type"),
+        F.when(F.col("predicted"), gained).alias("interaction_count"),
+        F.col("created").alias("spoke"))
+
+
 def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
                      s: Settings = DEFAULTS) -> DataFrame:
     """Accounts with any role marker and their counts.
 
-    The samples and the rows of the role branches are stacked and folded per account once,
-    instead of joining the candidates back to the samples.
+    The facts of the posts are written once; the percentile and the role branches read them.
+    Samples, branches and notable accounts are stacked and folded per account once, instead of joining
+    the candidates back to the samples.
     """
-    posts = posts_in(tables, window, topic_id)
-    branches = [
+    facts = stored(post_facts(tables, window, topic_id, s), "posts")
+    own = facts.filter(F.col("created").isNotNull() & F.col("of_topic"))
+    posts = own.filter("created").select("post_id", "uid", "interaction_count")
+    known = F.col("verified") | (
+        (F.col("profile_tier") >= 1) & (F.col("followers_count") >= s.high_followers))
+    parts = [
+        _said(own.filter(F.col("created") | F.col("predicted")), "post",
+              F.coalesce("interaction_count", F.lit(0))),
+        _said(comment_facts(tables, window, topic_id, s), "comment", F.col("interaction_count")),
+        tables.user.filter(known).select("uid", F.lit(True).alias("notable")),
         entry_kols(tables, posts),
-        high_interaction(posts, interaction_p95(tables, window)),
-        identity_kols(tables, window, topic_id, s),
+        high_interaction(posts, newest_p95(facts.filter(F.col("as_of").isNotNull()))),
     ]
     if topic_id is None:
-        branches.append(cross_topic(tables, posts, s))
-    stacked = spoken_samples(tables, window, topic_id, s)
-    for b in branches:
-        stacked = stacked.unionByName(b, allowMissingColumns=True)
-    merged = stacked.filter(F.col("uid") > 0).groupBy("uid").agg(*_speech_counts(), *[
-        F.coalesce(F.max(m), F.lit(0)).alias(m) for m in MARKERS])
+        parts.append(cross_topic(tables, posts, s))
+    marks = {m: F.coalesce(F.max(m), F.lit(0)) for m in MARKERS}
+    marks["is_verified_kol"] = F.coalesce(F.max("notable") & F.max("spoke"), F.lit(False)).cast("int")
+    merged = _stacked(parts).filter(F.col("uid") > 0).groupBy("uid").agg(
+        *_speech_counts(), *[v.alias(m) for m, v in marks.items()])
     marked = merged.withColumns({
         m: F.coalesce(v, F.lit(0)) for m, v in speech_markers(s).items()})
     found = F.greatest(*[F.col(m) for m in MARKERS]) == 1

@@ -15,6 +15,7 @@ from tidemark.operators.samples import (
 )
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import ANGER_FEAR_IDS, DEFAULTS, NEGATIVE_IDS, Settings
+from tidemark.session import stored
 
 ORDER = ("evidence_score", "source", "source_id")
 
@@ -118,9 +119,9 @@ def page(feed: DataFrame, limit: int, after: tuple[float, str, int] | None = Non
 def evidence_page(tables, window: TimeWindow, limit: int, topic_id: int | None = None, q: str = "",
                   author: int | None = None, s: Settings = DEFAULTS,
                   after: tuple[float, str, int] | None = None) -> DataFrame:
-    """One page of the feed: narrow rows are ranked, then the texts of the page are fetched."""
-    shown = page(evidence_feed(tables, window, topic_id, q, author, s).drop("content"),
-                 limit, after)
+    """One page of the feed: narrow rows are ranked and written, then the texts of the page are fetched."""
+    shown = stored(page(evidence_feed(tables, window, topic_id, q, author, s).drop("content"),
+                        limit, after), "page")
     # at most ``limit`` keys
     keys = F.broadcast(shown.select("source", "source_id", "post_id"))
     posts = tables.post.select(F.lit("post").alias("source"), F.col("post_id").alias("source_id"),

@@ -103,18 +103,64 @@ def risk_index(negative, anger_fear):
     return round_to(F.lit(100.0) * (F.lit(0.70) * negative + F.lit(0.30) * anger_fear), 1)
 
 
+def _folded(parts: list[DataFrame], key: str) -> DataFrame:
+    """Each part's rows per key, every other column as its maximum."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.filter(F.col(key).isNotNull()).groupBy(key).agg(*[
+        F.max(c).alias(c) for c in stacked.columns if c != key])
+
+
+def post_figures(tables, window: TimeWindow) -> DataFrame:
+    """One row: posts of the window, their newest interactions, and those found through a KOL."""
+    yes = F.lit(True)
+    snapshots = tables.engagement.filter(F.col("captured_at").isNotNull()).select(
+        "post_id", F.struct("captured_at", interactions().alias("total")).alias("newest"))
+    facts = _folded([
+        posts_in(tables, window).select("post_id", yes.alias("created")), snapshots,
+        tables.discovery.filter(F.col("source_type") == "kol").select("post_id", yes.alias("kol")),
+    ], "post_id").filter("created")
+    return facts.agg(
+        F.count("*").alias("post_count"),
+        F.coalesce(F.sum("newest.total"), F.lit(0)).alias("latest_interactions"),
+        F.count_if("kol").alias("kol_entry_post_count"))
+
+
+def user_figures(tables, window: TimeWindow) -> DataFrame:
+    """One row: verified users seen in the window, and the share of each tier since its start."""
+    def seen(df: DataFrame) -> DataFrame:
+        return window.since(df, "created_at").select(
+            F.col("user_id").alias("uid"), window.holds(df, "created_at").alias("inside"))
+    users = tables.user.select("uid", F.lit(True).alias("known"), "verified", "profile_tier")
+    per_tier = _folded([users, seen(tables.post), seen(tables.comment)], "uid").filter(
+        F.col("known") & F.col("inside").isNotNull()).groupBy("profile_tier").agg(
+        F.count("*").alias("n"), F.count_if(F.col("verified") & F.col("inside")).alias("verified"))
+    # a handful of tiers
+    total = per_tier.agg(
+        F.coalesce(F.sum("verified"), F.lit(0)).alias("verified_actor_count"),
+        F.sum("n").alias("n"), F.collect_list(F.struct("profile_tier", "n")).alias("tiers"))
+    shown = F.transform("tiers", lambda t: F.concat_ws(
+        "=", t["profile_tier"].cast("string"),
+        F.format_string("%.4f", round_to(ratio(t["n"], F.col("n"))))))
+    return total.select("verified_actor_count",
+                        F.array_join(F.array_sort(shown), ",").alias("profile_tiers"))
+
+
 def overview(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFrame:
-    """All KPIs in one row; each figure is a scalar subquery of its own aggregate."""
-    parts = [post_count(tables, window), comment_count(tables, window),
-             active_topics(tables, window), total_interactions(tables, window),
-             kol_entry_posts(tables, window), verified_actors(tables, window)]
-    tiers = tier_distribution(tables, window)
-    packed = tiers.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(
-        "=", F.col("profile_tier").cast("string"), F.format_string("%.4f", "share")))), ","))
-    row = prediction_summary(tables, window, s).withColumnRenamed(
-        "total", "prediction_sample_count")
-    figures = {p.columns[0]: p.scalar() for p in parts}
-    return row.withColumns({**figures, "profile_tiers": packed.scalar()})
+    """All KPIs in one row: one fold per post, one per user, and three aggregates, each a scalar subquery."""
+    posts, users = (
+        frame.agg(F.first(F.struct(*frame.columns))).scalar()
+        for frame in (post_figures(tables, window), user_figures(tables, window)))
+    return prediction_summary(tables, window, s).withColumnRenamed(
+        "total", "prediction_sample_count").withColumns({
+            "post_count": posts["post_count"],
+            "sampled_comment_count": comment_count(tables, window).scalar(),
+            "active_topic_count": active_topics(tables, window).scalar(),
+            "latest_interactions": posts["latest_interactions"],
+            "kol_entry_post_count": posts["kol_entry_post_count"],
+            "verified_actor_count": users["verified_actor_count"],
+            "profile_tiers": users["profile_tiers"]})
 
 
 def emotion_series(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFrame:

@@ -19,6 +19,7 @@ from tidemark.operators.window import TimeWindow
 from tidemark.schema import (
     ANGER_FEAR_IDS, DEFAULTS, NEGATIVE_IDS, RISK_FACTOR_WEIGHTS, SOURCE_TYPES, Settings,
 )
+from tidemark.session import stored
 
 CAPPED = {
     "negative_growth": "negative_growth_raw",
@@ -103,7 +104,8 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
     authors by counting rows, without a distinct aggregate.
     """
     links = tables.post_topic if links is None else links
-    linked = join_unique(links.select("post_id", "topic_id"),
+    # the search for hot posts and the join read the links
+    linked = join_unique(stored(links.select("post_id", "topic_id"), "links"),
                          post_features(tables, window, s), "post_id", "topic_id", how="inner")
     predicted = F.col("sample_count") > 0
     gain = F.greatest(F.col("latest") - F.col("earliest"), F.lit(0))

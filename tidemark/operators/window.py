@@ -99,6 +99,12 @@ class TimeWindow:
         return df.filter(F.col(column).between(
             self.literal("start", kind), self.literal("end", kind)))
 
+    def holds(self, df: DataFrame, column: str) -> Column:
+        """Whether a time lies in the window; false for no time."""
+        kind = df.schema[column].dataType.simpleString()
+        return F.coalesce(F.col(column).between(
+            self.literal("start", kind), self.literal("end", kind)), F.lit(False))
+
     def since(self, df: DataFrame, column: str) -> DataFrame:
         kind = df.schema[column].dataType.simpleString()
         return df.filter(F.col(column) >= self.literal("start", kind))
