@@ -84,11 +84,45 @@ def test_session_parts_are_folded_in_the_map_tasks(spark):
     assert sorted((p.user_id, p.events) for p in parts) == [(7, 1000), (8, 1), (8, 2)]
 
 
+def state_operators(query):
+    return {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]}
+
+
+def test_sessions_need_no_python_call_per_user(spark, tmp_path):
+    """Gaps of just 30 minutes split, also between batches; late parts bridge two sessions."""
+    half = dt.timedelta(microseconds=1)
+    rows = [[(1, at(0)), (1, at(60)), (2, at(0)), (3, at(0))],
+            [(1, at(30)), (2, at(30) - half), (3, at(29)), (3, at(58))]]
+    events = source(spark, str(tmp_path / "in"), rows, "user_id long, ts timestamp")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    with ss.disk_state(spark):
+        query = st.run_available(ss.user_sessions(events, lateness="1 day"), "append", state,
+                                 st.change_sink(out))
+    assert state_operators(query) == {"sessionWindowStateStoreSaveExec"}
+    assert taken(ss.open_sessions(spark, state)) == [
+        (1, at(0), at(30), 1), (1, at(30), at(60), 1), (1, at(60), at(90), 1),
+        (2, at(0), at(60) - half, 2), (3, at(0), at(88), 3)]
+
+
 # ------------------------------------------------------------------------ snapshots
 SNAPSHOT = ("post_id long, captured_at timestamp, comments_count long, attitudes_count long, "
             "reposts_count long")
 
 
+def test_snapshots_need_no_python_call_per_post(spark, tmp_path):
+    """A repeat and an older snapshot of a post in the state are no news."""
+    batches = [[(1, at(5), 1, 1, 1), (2, at(5), 1, 1, 1)],
+               [(1, at(5), 1, 1, 1), (2, at(4), 9, 9, 9), (3, at(1), 0, 0, 1)],
+               [(1, at(5), 1, 1, 2)]]
+    snapshots = source(spark, str(tmp_path / "in"), batches, SNAPSHOT)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    with ss.disk_state(spark, empty_batches=False):
+        query = st.run_available(ss.newest_snapshots(snapshots), "update", state, ss.newest_sink(out))
+    assert not any("transformWithState" in o for o in state_operators(query))
+    written = {(r["batch_id"], r["post_id"], r["interaction_count"]) for r in spark.read.parquet(out).collect()}
+    assert written == {(0, 1, 3), (0, 2, 3), (1, 3, 1), (2, 1, 4)}
+
+
 def test_snapshot_state_is_bounded_and_cold_posts_are_looked_up(spark, tmp_path):
     batches = [[(p, at(p + 100 * b), p, b, 0) for p in range(b, b + 5)] for b in range(9)]
     # posts long out of the state: one newer, one older than the table, one null

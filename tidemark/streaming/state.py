@@ -1,4 +1,4 @@
-"""Keyed streaming state: sessions closed by event-time timers, newest snapshots with time-to-live.
+"""Keyed streaming state: sessions closed by the watermark, newest snapshots with time-to-live.
 
 Rows are folded per user or post inside the map tasks first, so a hot key sends a few parts per batch
 and not all its rows.  State is kept by the RocksDB store, which does not have to fit in memory.
@@ -14,7 +14,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.operators.samples import interactions
 from tidemark.sources.files import path_exists
@@ -37,8 +36,7 @@ def interval_micros(text: str) -> int:
 def disk_state(spark: SparkSession, empty_batches: bool = True):
     """Streams started inside keep their state in RocksDB; the session's settings come back after.
 
-    Without ``empty_batches`` a batch needs new rows.  State with a time-to-live asks for another batch
-    for ever, so a stream that is to stop when all rows are read has to be started like that.
+    Without ``empty_batches`` a batch needs new rows, so no batch is run only to drop old state.
     """
     wanted = STORE | {"spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
     before = {k: spark.conf.get(k, None) for k in wanted}
@@ -52,19 +50,6 @@ def disk_state(spark: SparkSession, empty_batches: bool = True):
 
 
 # ------------------------------------------------------------------------- sessions
-def merge_sessions(parts: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """(first, last, events) of the sessions of one user; a session ends ``gap`` after its last event,
-    and an event at that very time starts a new one."""
-    out: list[tuple[int, int, int]] = []
-    for first, last, n in sorted(parts):
-        if out and first - out[-1][1] < gap:
-            held = out[-1]
-            out[-1] = (held[0], max(held[1], last), held[2] + n)
-        else:
-            out.append((first, last, n))
-    return out
-
-
 def session_parts(events: DataFrame, gap: int, user: str, time: str) -> DataFrame:
     """(user, first, last, events): rows of each batch of a map task folded where they are adjacent."""
     kind = events.schema[user].dataType.simpleString()
@@ -88,80 +73,36 @@ def session_parts(events: DataFrame, gap: int, user: str, time: str) -> DataFram
     return rows.mapInArrow(fold, f"{user} {kind}, first long, last long, events long")
 
 
-class Sessions(StatefulProcessor):
-    """Open sessions of a user as list state; a timer at a session's end emits and removes it."""
-
-    def __init__(self, user: str, gap: int):
-        self.user, self.gap = user, gap
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, events long")
-
-    def _ends_ms(self, last: int) -> int:
-        return -(-(last + self.gap) // 1000)
-
-    def _held(self) -> list[tuple[int, int, int]]:
-        return [tuple(r) for r in self.open.get()] if self.open.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = self._held()
-        known = {p[1] for p in parts}
-        for frame in rows:
-            # merged per frame, so what is held is open sessions, not rows
-            parts = merge_sessions([*parts, *zip(frame["first"].tolist(), frame["last"].tolist(),
-                                                 frame["events"].tolist())], self.gap)
-        self.open.put(parts)
-        for _, last, _ in parts:
-            if last not in known:
-                self.handle.registerTimer(self._ends_ms(last))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = self._held()
-        done = [p for p in held if self._ends_ms(p[1]) <= now]
-        if not done:  # the session went on after this timer was set
-            return
-        rest = [p for p in held if self._ends_ms(p[1]) > now]
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
-        yield pd.DataFrame({self.user: [key[0]] * len(done), "first": [p[0] for p in done],
-                            "last": [p[1] for p in done], "events": [p[2] for p in done]})
-
-    def close(self) -> None:
-        pass
-
-
-def _with_times(df: DataFrame, user: str, gap: int) -> DataFrame:
-    return df.select(user, F.timestamp_micros("first").alias("start"),
-                     F.timestamp_micros(F.col("last") + gap).alias("end"), "events")
-
-
 def user_sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour",
                   user: str = "user_id", time: str = "ts") -> DataFrame:
     """Sessions of each user, emitted once the watermark has passed their end (append mode).
 
     Start the stream inside ``disk_state``.  Rows without user or time belong to no session.
+    Spark's session windows merge the folded parts.  A window that starts where another ends is merged
+    with it, so windows are one microsecond short and an event ``gap`` after the last one stands alone.
     """
     width = interval_micros(gap)
-    kind = events.schema[user].dataType.simpleString()
-    parts = session_parts(events, width, user, time).withColumn(
-        "at", F.timestamp_micros("last")).withWatermark("at", lateness)
-    closed = parts.groupBy(user).transformWithStateInPandas(
-        Sessions(user, width), f"{user} {kind}, first long, last long, events long", "append",
-        "EventTime")
-    return _with_times(closed, user, width)
+    parts = session_parts(events, width, user, time)
+    seconds = (F.col("last") - F.col("first") + F.lit(width - 1)).cast("decimal(18,0)") / 1000000
+    timed = parts.select(user, F.timestamp_micros("first").alias("at"), "events", F.make_interval(
+        secs=seconds.cast("decimal(18,6)")).alias("lasts")).withWatermark("at", lateness)
+    merged = timed.groupBy(user, F.session_window("at", F.col("lasts")).alias("w")).agg(
+        F.sum("events").alias("events"))
+    return _whole(merged, user)
+
 
+def _whole(merged: DataFrame, user: str) -> DataFrame:
+    """Sessions of windows that are one microsecond short."""
+    return merged.select(user, F.col("w.start").alias("start"), F.timestamp_micros(
+        F.unix_micros("w.end") + 1).alias("end"), "events")
 
-def open_sessions(spark: SparkSession, checkpoint: str, gap: str = "30 minutes",
-                  user: str = "user_id") -> DataFrame:
+
+def open_sessions(spark: SparkSession, checkpoint: str, user: str = "user_id") -> DataFrame:
     """The closing step: sessions that a stopped stream still holds, read from its state."""
-    held = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
-    rows = held.select(F.col(f"key.{user}").alias(user), "list_element.*")
-    return _with_times(rows, user, interval_micros(gap))
+    held = spark.read.format("statestore").load(checkpoint)
+    return _whole(held.select(
+        F.col(f"value.{user}").alias(user), F.col("value.session_window").alias("w"),
+        F.col("value.sum").alias("events")), user)
 
 
 # ------------------------------------------------------------------------ snapshots
@@ -181,46 +122,25 @@ def newest_parts(snapshots: DataFrame) -> DataFrame:
     return rows.mapInArrow(fold, f"post_id {kind}, captured long, interaction_count long")
 
 
-class Newest(StatefulProcessor):
-    """The newest snapshot of a post, forgotten when nothing newer came for the time-to-live."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("newest", "captured long, interaction_count long",
-                                         ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.held.get()) if self.held.exists() else None
-        best = before
-        for frame in rows:
-            for found in zip(frame["captured"].tolist(), frame["interaction_count"].tolist()):
-                if best is None or found > best:
-                    best = found
-        if best == before:
-            return
-        self.held.update(best)
-        yield pd.DataFrame({"post_id": [key[0]], "captured": [best[0]],
-                            "interaction_count": [best[1]], "cold": [before is None]})
-
-    def close(self) -> None:
-        pass
-
-
 def newest_snapshots(snapshots: DataFrame, ttl: str = "7 days") -> DataFrame:
     """(post_id, captured, interaction_count, cold) of posts with a newer snapshot (update mode).
 
-    Start the stream inside ``disk_state(spark, empty_batches=False)``.  State is bounded by the posts
-    that got a newer snapshot within ``ttl`` (processing time).  For
+    Start the stream inside ``disk_state(spark, empty_batches=False)``.  The newest snapshot is folded per
+    post and span of ``ttl`` (processing time), and a span's state goes when the watermark of the arrival
+    times has passed it, so state is bounded by the posts that came within two ``ttl``.  For
     other posts the state cannot tell what is newest; they are marked ``cold`` and ``newest_sink`` looks
     them up in the change table.
     """
-    kind = snapshots.schema["post_id"].dataType.simpleString()
-    return newest_parts(snapshots).groupBy("post_id").transformWithStateInPandas(
-        Newest(interval_micros(ttl) // 1000),
-        f"post_id {kind}, captured long, interaction_count long, cold boolean", "update",
-        "ProcessingTime")
+    arrived = newest_parts(snapshots).withColumn("arrived", F.current_timestamp()).withWatermark(
+        "arrived", ttl)
+    # equal snapshots: the one that came first, so a repeat is no news
+    best = F.max(F.struct("captured", "interaction_count", (-F.unix_micros("arrived")).alias("since")))
+    folded = arrived.groupBy("post_id", F.window("arrived", ttl)).agg(
+        best.alias("best"), F.min("arrived").alias("first"), F.max("arrived").alias("now"))
+    return folded.filter(F.col("best.since") == -F.unix_micros("now")).select(
+        "post_id", F.col("best.captured").alias("captured"),
+        F.col("best.interaction_count").alias("interaction_count"),
+        (F.col("first") == F.col("now")).alias("cold"))
 
 
 def newest_sink(path: str) -> Callable[[DataFrame, int], None]:
