@@ -305,3 +305,17 @@ def test_nearest_rank_is_exact(spark):
         frame = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
         got = nearest_rank(frame, ["g"], "v", 0.95).first()["v"]
         assert got == np.sort(values)[int(np.ceil(size * 0.95)) - 1]
+
+
+def test_scorers_get_slices_of_bounded_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.operators import scoring as sc
+    batch = pa.RecordBatch.from_pydict({"content": ["a" * 6, None, "b" * 6, "c", "d" * 30, ""]})
+    parts = [p.column("content").to_pylist() for p in sc.text_slices(batch.slice(1), "content", 7)]
+    assert parts == [[None, "b" * 6, "c"], ["d" * 30], [""]]
+    monkeypatch.setattr(sc, "SLICE_BYTES", 40)
+    rows = [(k, "abcdef"[k % 6] * (k % 30 + 1)) for k in range(200)]
+    got = sc.score_texts(spark.createDataFrame(rows, "id long, content string"), letter_scorer).collect()
+    assert {(r["id"], r["content"]): r["logits"] for r in got} == {
+        row: list(letter_scorer([row[1]])[0]) for row in rows}
