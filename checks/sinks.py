@@ -387,13 +387,18 @@ def str_02(run):
         "day", F.date_format("day", "yyyy-MM-dd"))
 
 
+ROWS_PER_FILE = 2_000_000
+
+
 @query("str_02_series")
 def str_02_series(run):
     """The emotion series from daily sums that a stream of predictions maintains."""
     source, path = scratch_path(run.spark, "predictions"), scratch_path(run.spark, "daily")
-    # a third of the days per file, so that days and models come in several batches
-    run.tables.prediction.repartitionByRange(3, "source_created_at").write.parquet(source)
-    st.run_available(st.read_stream(run.spark, source, 1), "append", f"{path}-state",
+    # a third of the files per batch, so that days and models come in several batches; the files of a
+    # batch grow in number and not in size
+    files = 1 + run.tables.lineitem.count() // ROWS_PER_FILE
+    run.tables.prediction.repartitionByRange(3 * files, "source_created_at").write.parquet(source)
+    st.run_available(st.read_stream(run.spark, source, files), "append", f"{path}-state",
                      st.daily_sink(path))
     return kpi.maintained_series(st.read_daily(run.spark, path), run.spark.read.parquet(source),
                                  run.window())
