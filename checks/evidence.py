@@ -110,6 +110,7 @@ def ev_06(run):
   where n > 8 and n <= 16""")
 def ev_06_next(run):
     window = run.window()
+    run.tables.keep("comment", "post_topic", "engagement")  # both pages read them
     key = e.next_key(e.evidence_page(run.tables, window, 8), 8).first()
     after = (key["evidence_score"], key["source"], key["source_id"])
     return e.evidence_page(run.tables, window, 8, after=after).select(

@@ -5,8 +5,11 @@ from dataclasses import replace
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import actors, evidence, kpi, topics
+from checks.registry import Run
+from tests.conftest import ROOT
+from tidemark.operators import actors, evidence, kpi, samples, topics
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import DEFAULTS
 from tidemark.session import stored
@@ -91,3 +94,27 @@ def test_candidates_of_odd_rows(spark):
     of_topic = actors.actor_candidates(tables, window, 100, settings)
     assert {r["uid"] for r in of_topic.collect()} == {10, 50}
     assert actors.actor_candidates(tables, window, 101, settings).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kept_tables_are_resolved_once_for_all_readers(spark):
+    tables = Run(spark, ROOT).tables
+    want = sorted(tables.prediction.collect())
+    assert "Window" in plan_of(tables.prediction)
+    tables.keep("comment", "post_topic")
+    assert "Window" not in plan_of(tables.prediction) and "Exchange" not in plan_of(tables.post_topic)
+    assert sorted(tables.prediction.collect()) == want
+
+
+def test_rows_of_a_topic_stay_where_they_are(spark, monkeypatch):
+    tables = Run(spark, ROOT).tables
+    topic = tables.post_topic.groupBy("topic_id").count().orderBy(
+        F.desc("count"), "topic_id").first()["topic_id"]
+    few = samples.of_topic(tables.discovery, tables, topic, "discovered_at")
+    assert "hashpartitioning" not in plan_of(few)
+    monkeypatch.setattr(samples, "FEW_POSTS", 0)
+    many = samples.of_topic(tables.discovery, tables, topic, "discovered_at")
+    assert few.count() > 0 and sorted(few.collect()) == sorted(many.collect())

@@ -1,11 +1,15 @@
 """Readers, writers and streams on small files."""
 
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import sinks
+from checks.registry import QUERIES, Run
 from checks.selection import letter_scorer
+from tests.conftest import ROOT
 from tidemark.functions.text import clean_text
 from tidemark.sources import io
 from tidemark.sources.tables import canonical_tables
@@ -199,3 +203,32 @@ def test_new_checkpoint_neither_loses_nor_repeats_scores(run, spark, tmp_path):
             "doc_id").collect()}
         rows = [r[0] for r in spark.read.parquet(out).select("source_id").collect()]
         assert sorted(rows) == sorted(seen)
+
+
+def test_new_prediction_tables_are_merged_and_written_once(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(io, "stored", lambda df, name: written.append(name) or df.localCheckpoint())
+    when = dt.datetime(2024, 5, 1)
+    rows = [("m", "post", k, when + dt.timedelta(days=20 * k), k, 1) for k in range(4)]
+    new = spark.createDataFrame(rows + [("m", "post", 3, when, 9, 2)], """model_version string,
+        source_type string, source_id long, source_created_at timestamp_ntz, pred_label_id int,
+        predicted_at int""")
+    path = str(tmp_path / "predictions")
+    io.upsert_predictions(spark, path, new)
+    assert written == ["fresh"]
+    got = {(r["source_id"], r["pred_label_id"]) for r in spark.read.parquet(path).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 9)}
+    index = io.key_index(spark, path)
+    assert "202405" in index.months_with(new) and index.months_with(new, ["202405", "202406"]) == []
+
+
+def test_daily_series_files_grow_in_number(spark, tmp_path, monkeypatch):
+    run, seen = Run(spark, ROOT), []
+    want = sorted(QUERIES["kpi_13"](spark, ROOT).collect())
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 1000)
+    monkeypatch.setattr(sinks.st, "read_stream", lambda s, path, n, real=sinks.st.read_stream: seen.append(
+        (len(s.read.parquet(path).inputFiles()), n)) or real(s, path, n))
+    got = sorted(sinks.str_02_series(run).collect())
+    files = 1 + run.tables.lineitem.count() // 1000
+    assert files > 1 and seen == [(3 * files, files)]
+    assert got == want

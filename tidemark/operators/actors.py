@@ -11,8 +11,8 @@ from tidemark.operators.joins import join_unique
 from tidemark.operators.quantiles import exact_percentile
 from tidemark.operators.ranking import number_within
 from tidemark.operators.samples import (
-    EMOTION_COUNTS, busy_posts, dominant_emotion_id, interactions, latest_interactions,
-    predictions_in, speakers,
+    EMOTION_COUNTS, dominant_emotion_id, interactions, latest_interactions, of_topic,
+    predictions_in, speakers, topic_links,
 )
 from tidemark.operators.window import TimeWindow
 from tidemark.session import stored
@@ -37,18 +37,9 @@ def newest_p95(newest: DataFrame) -> DataFrame:
                         .cast("bigint").alias("p95"))
 
 
-def _of_topic(df: DataFrame, tables, topic_id: int | None, spread: str = "user_id") -> DataFrame:
-    """The rows of one topic; a viral post may hold most of the comments."""
-    if topic_id is None:
-        return df
-    links = tables.post_topic.filter(F.col("topic_id") == topic_id).select("post_id")
-    return join_unique(df, links, "post_id", spread, how="left_semi",
-                       hot_from=busy_posts(tables))
-
-
 def posts_in(tables, window: TimeWindow, topic_id: int | None = None) -> DataFrame:
     """Posts created in the window with their newest interactions."""
-    posts = _of_topic(window.within(tables.post, "created_at"), tables, topic_id)
+    posts = of_topic(window.within(tables.post, "created_at"), tables, topic_id, "user_id")
     newest = latest_interactions(window.within(tables.engagement, "captured_at"))
     return posts.select("post_id", F.col("user_id").alias("uid")).join(newest, "post_id", "left")
 
@@ -56,11 +47,8 @@ def posts_in(tables, window: TimeWindow, topic_id: int | None = None) -> DataFra
 def spoken_samples(tables, window: TimeWindow, topic_id: int | None = None,
                    s: Settings = DEFAULTS) -> DataFrame:
     """Each prediction with its speaker and interactions (post snapshot or comment likes)."""
-    pred = predictions_in(tables.prediction, window, s.primary_model)
-    if topic_id is not None:
-        posts = tables.post_topic.filter(F.col("topic_id") == topic_id).select("post_id")
-        pred = join_unique(pred, posts, "post_id", "source_id", how="left_semi",
-                           hot_from=busy_posts(tables))
+    pred = of_topic(predictions_in(tables.prediction, window, s.primary_model), tables, topic_id,
+                    "source_id")
     newest = latest_interactions(window.within(tables.engagement, "captured_at"))
     own = pred.filter(F.col("source_type") == "post").select(
         F.col("source_id").alias("post_id"), "pred_label_id")
@@ -141,9 +129,9 @@ def polar_and_active(folded: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def identity_kols(tables, window: TimeWindow, topic_id: int | None = None,
                   s: Settings = DEFAULTS) -> DataFrame:
     """Verified or big accounts that spoke in the window."""
-    seen = speakers(_of_topic(window.within(tables.post, "created_at"), tables, topic_id),
-                    _of_topic(window.within(tables.comment, "created_at"), tables, topic_id,
-                              "comment_id"))
+    seen = speakers(
+        of_topic(window.within(tables.post, "created_at"), tables, topic_id, "user_id"),
+        of_topic(window.within(tables.comment, "created_at"), tables, topic_id, "comment_id"))
     known = F.col("verified") | (
         (F.col("profile_tier") >= 1) & (F.col("followers_count") >= s.high_followers))
     return _branch(tables.user.filter(known).join(seen, "uid", "left_semi"), is_verified_kol=1)
@@ -183,15 +171,14 @@ def post_facts(tables, window: TimeWindow, topic_id: int | None = None,
         window.within(tables.engagement, "captured_at").select(
             "post_id", "captured_at", interactions().alias("total"))]
     if topic_id is not None:
-        parts.append(tables.post_topic.filter(F.col("topic_id") == topic_id).select(
-            "post_id", F.lit(True).alias("of_topic")))
-    of_topic = F.lit(True) if topic_id is None else F.coalesce(F.max("of_topic"), F.lit(False))
+        parts.append(topic_links(tables, topic_id).select("post_id", F.lit(True).alias("of_topic")))
+    linked = F.lit(True) if topic_id is None else F.coalesce(F.max("of_topic"), F.lit(False))
     return _stacked(parts).groupBy("post_id").agg(
         F.max("uid").alias("uid"), F.max("created").alias("created"),
         F.max_by("total", "captured_at").alias("interaction_count"),
         F.max("captured_at").alias("as_of"), F.max("pred_label_id").alias("pred_label_id"),
         F.coalesce(F.max("predicted"), F.lit(False)).alias("predicted"),
-        of_topic.alias("of_topic"))
+        linked.alias("of_topic"))
 
 
 def comment_facts(tables, window: TimeWindow, topic_id: int | None = None,
@@ -204,8 +191,7 @@ def comment_facts(tables, window: TimeWindow, topic_id: int | None = None,
         pred.filter((F.col("source_type") == "comment") & F.col("post_id").isNotNull()).select(
             F.col("source_id").alias("comment_id"), "post_id", "pred_label_id",
             F.lit(True).alias("predicted"))]
-    stacked = _of_topic(_stacked(parts), tables, topic_id, "comment_id")
-    return stacked.groupBy("comment_id", "post_id").agg(
+    return of_topic(_stacked(parts), tables, topic_id, "comment_id").groupBy("comment_id", "post_id").agg(
         F.max("uid").alias("uid"), F.max("created").alias("created"),
         F.max("like_count").alias("interaction_count"),
         F.max("pred_label_id").alias("pred_label_id"),
@@ -229,6 +215,7 @@ def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
     Samples, branches and notable accounts are stacked and folded per account once, instead of joining
     the candidates back to the samples.
     """
+    tables.keep("comment", "post_topic")  # the footprint reads them too
     facts = stored(post_facts(tables, window, topic_id, s), "posts")
     own = facts.filter(F.col("created").isNotNull() & F.col("of_topic"))
     posts = own.filter("created").select("post_id", "uid", "interaction_count")
@@ -269,7 +256,8 @@ def topic_footprint(tables, window: TimeWindow, actors: DataFrame,
     """
     few = actors.select("uid")
     def spoke(df: DataFrame) -> DataFrame:
-        seen = window.within(df, "created_at").select(F.col("user_id").alias("uid"), "post_id")
+        said = of_topic(window.within(df, "created_at"), tables, topic_id, "user_id")
+        seen = said.select(F.col("user_id").alias("uid"), "post_id")
         return seen.join(few, "uid", "left_semi")
     pairs = spoke(tables.post).unionByName(spoke(tables.comment)).distinct()
     links = tables.post_topic.select("post_id", "topic_id")

@@ -11,7 +11,7 @@ from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
 from tidemark.operators.ranking import number_limited, number_rows
 from tidemark.operators.samples import (
-    busy_posts, busy_users, interactions, predictions_in,
+    busy_posts, busy_users, interactions, of_topic, predictions_in, topic_links,
 )
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import ANGER_FEAR_IDS, DEFAULTS, NEGATIVE_IDS, Settings
@@ -51,21 +51,21 @@ def evidence_reason(s: Settings = DEFAULTS) -> Column:
 
 def _post_context(tables, window: TimeWindow, topic_id: int | None) -> DataFrame:
     """Per linked post: its lowest topic id and newest interactions in the window."""
-    links = tables.post_topic.select("post_id", "topic_id")
-    if topic_id is not None:
-        links = links.filter(F.col("topic_id") == topic_id)
-    snapshots = window.within(tables.engagement, "captured_at").select(
-        "post_id", "captured_at", interactions().alias("total"))
+    links = tables.post_topic if topic_id is None else topic_links(tables, topic_id)
+    links = links.select("post_id", "topic_id")
+    snapshots = of_topic(window.within(tables.engagement, "captured_at"), tables, topic_id,
+                         "captured_at").select("post_id", "captured_at", interactions().alias("total"))
     return links.unionByName(snapshots, allowMissingColumns=True).groupBy("post_id").agg(
         F.min("topic_id").alias("topic_id"),
         F.coalesce(F.max_by("total", "captured_at"), F.lit(0)).alias("interaction_count"),
     ).filter(F.col("topic_id").isNotNull())
 
 
-def _spoken(tables, window: TimeWindow, q: str, author: int | None, s: Settings,
+def _spoken(tables, window: TimeWindow, topic_id: int | None, q: str, author: int | None, s: Settings,
             kinds: tuple[str, ...]) -> DataFrame:
-    """Predictions of the window with their text and author."""
-    pred = predictions_in(tables.prediction, window, s.primary_model).select(
+    """Predictions of the window, and of a topic's posts, with their text and author."""
+    pred = of_topic(predictions_in(tables.prediction, window, s.primary_model), tables, topic_id,
+                    "source_id").select(
         F.col("source_type").alias("source"), "source_id", "post_id", "source_created_at",
         "pred_label_id", "second_label_id", "confidence", "margin")
 
@@ -95,7 +95,7 @@ def evidence_feed(tables, window: TimeWindow, topic_id: int | None = None, q: st
 
     A viral post or a very busy account is spread over many tasks by ``join_unique``.
     """
-    spoken = _spoken(tables, window, q, author, s, kinds)
+    spoken = _spoken(tables, window, topic_id, q, author, s, kinds)
     placed = join_unique(spoken, _post_context(tables, window, topic_id), "post_id", "source_id",
                          how="inner", hot_from=busy_posts(tables))
     users = tables.user.select(F.col("uid").alias("user_id"), "verified", "profile_tier")
@@ -120,6 +120,7 @@ def evidence_page(tables, window: TimeWindow, limit: int, topic_id: int | None =
                   author: int | None = None, s: Settings = DEFAULTS,
                   after: tuple[float, str, int] | None = None) -> DataFrame:
     """One page of the feed: narrow rows are ranked and written, then the texts of the page are fetched."""
+    tables.keep("comment")  # predictions, authors and texts
     shown = stored(page(evidence_feed(tables, window, topic_id, q, author, s).drop("content"),
                         limit, after), "page")
     # at most ``limit`` keys

@@ -13,7 +13,8 @@ from tidemark.functions.text import contains_ignore_case
 from tidemark.operators.joins import join_unique
 from tidemark.operators.quantiles import nearest_rank
 from tidemark.operators.samples import (
-    EMOTION_COUNTS, busy_posts, dominant_emotion_id, emotion_aggregates, interactions, predictions_in,
+    EMOTION_COUNTS, dominant_emotion_id, emotion_aggregates, interactions, of_topic, predictions_in,
+    topic_links,
 )
 from tidemark.operators.window import TimeWindow
 from tidemark.schema import (
@@ -103,10 +104,14 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
     Totals are folded per (topic, notable author) first.  The second fold then counts distinct
     authors by counting rows, without a distinct aggregate.
     """
-    links = tables.post_topic if links is None else links
     # the search for hot posts and the join read the links
-    linked = join_unique(stored(links.select("post_id", "topic_id"), "links"),
-                         post_features(tables, window, s), "post_id", "topic_id", how="inner")
+    if links is None:
+        tables.keep("post_topic")
+        links = tables.post_topic
+    else:
+        links = stored(links, "links")
+    linked = join_unique(links.select("post_id", "topic_id"), post_features(tables, window, s), "post_id",
+                         "topic_id", how="inner")
     predicted = F.col("sample_count") > 0
     gain = F.greatest(F.col("latest") - F.col("earliest"), F.lit(0))
     created = F.col("created_in_window") == 1
@@ -243,17 +248,13 @@ def rank_topics(scored: DataFrame, limit: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------ one topic
-def topic_links(tables, topic_id: int) -> DataFrame:
-    """Posts of one topic."""
-    return tables.post_topic.filter(F.col("topic_id") == topic_id).select("post_id", "topic_id")
-
-
 def predicted_links(tables, window: TimeWindow, topic_id: int,
                     s: Settings = DEFAULTS) -> DataFrame:
     """Links of one topic whose post has a prediction in the window."""
     pred = predictions_in(tables.prediction, window, s.primary_model)
+    seen = of_topic(pred.select("post_id", "source_id"), tables, topic_id, "source_id")
     return topic_links(tables, topic_id).join(
-        pred.select("post_id").distinct(), "post_id", "left_semi")
+        seen.select("post_id").distinct(), "post_id", "left_semi")
 
 
 def topic_base(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
@@ -271,9 +272,7 @@ def topic_base(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS
 def topic_samples(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
     """Predictions of the posts of one topic and of their comments."""
     pred = predictions_in(tables.prediction, window, s.primary_model)
-    posts = topic_links(tables, topic_id).select("post_id")
-    return join_unique(pred, posts, "post_id", "source_id", how="left_semi",
-                       hot_from=busy_posts(tables))
+    return of_topic(pred, tables, topic_id, "source_id")
 
 
 def emotion_by_day(samples: DataFrame) -> DataFrame:
@@ -308,8 +307,7 @@ def emotion_distribution(samples: DataFrame) -> DataFrame:
 
 def engagement_curve(tables, window: TimeWindow, topic_id: int) -> DataFrame:
     """Per local day: newest snapshot of each post on that day, summed."""
-    seen = window.within(tables.engagement, "captured_at").join(
-        topic_links(tables, topic_id), "post_id", "left_semi")
+    seen = of_topic(window.within(tables.engagement, "captured_at"), tables, topic_id, "captured_at")
     newest = F.max_by(F.struct("comments_count", "attitudes_count", "reposts_count"),
                       F.col("captured_at")).alias("s")
     per_post = seen.groupBy(local_day(F.col("captured_at")).alias("day"), "post_id").agg(newest)
@@ -321,8 +319,8 @@ def engagement_curve(tables, window: TimeWindow, topic_id: int) -> DataFrame:
 
 def engagement_summary(tables, window: TimeWindow, topic_id: int) -> DataFrame:
     """First and last totals, gain and growth of one topic."""
-    seen = post_growth(window.within(tables.engagement, "captured_at").join(
-        topic_links(tables, topic_id), "post_id", "left_semi"))
+    seen = post_growth(of_topic(
+        window.within(tables.engagement, "captured_at"), tables, topic_id, "captured_at"))
     return seen.agg(
         F.coalesce(F.sum("earliest"), F.lit(0)).alias("earliest_interactions"),
         F.coalesce(F.sum("latest"), F.lit(0)).alias("latest_interactions"),
@@ -335,7 +333,8 @@ def engagement_summary(tables, window: TimeWindow, topic_id: int) -> DataFrame:
 def topic_sources(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS) -> DataFrame:
     """Counts and shares of the four discovery sources over predicted posts of one topic."""
     posts = predicted_links(tables, window, topic_id, s)
-    flags = post_sources(tables.discovery.join(posts, "post_id", "left_semi"))
+    flags = post_sources(of_topic(tables.discovery, tables, topic_id, "discovered_at").join(
+        posts, "post_id", "left_semi"))
     counts = flags.agg(*[F.count_if(F.col(f"from_{t}") == 1).alias(f"source_{t}")
                          for t in SOURCE_TYPES])
     return source_shares(counts)
@@ -344,9 +343,9 @@ def topic_sources(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAU
 def topic_actor_signals(tables, window: TimeWindow, topic_id: int,
                         s: Settings = DEFAULTS) -> DataFrame:
     """KOL-entry posts, verified and high-follower authors of one topic."""
-    posts = window.within(tables.post, "created_at").join(
-        topic_links(tables, topic_id), "post_id", "left_semi")
-    kol = tables.discovery.filter(F.col("source_type") == "kol").join(
+    posts = of_topic(window.within(tables.post, "created_at"), tables, topic_id, "user_id")
+    found = of_topic(tables.discovery, tables, topic_id, "discovered_at")
+    kol = found.filter(F.col("source_type") == "kol").join(
         posts, "post_id", "left_semi").select("post_id").distinct().agg(
         F.count("*").alias("n")).scalar()
     authors = tables.user.join(

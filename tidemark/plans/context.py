@@ -24,6 +24,8 @@ ACTOR_FIELDS = ("actor_id", "display_name", "roles", "dominant_emotion", "negati
 ONE_TOPIC_FIELDS = (*TOPIC_FIELDS, "lead", "post_sample_count", "sampled_comment_count",
                     "latest_interactions", "note", *[f"factor_{k}" for k in RISK_FACTOR_WEIGHTS])
 TIMELINE_POINTS = 14
+# what the parts of a pack read more than once and what is not stored as it is read
+SHARED = ("comment", "post_topic", "engagement")
 
 
 def shared_fields(window: TimeWindow, s: Settings) -> dict:
@@ -56,6 +58,7 @@ def top_evidence(tables, window: TimeWindow, topic_id: int | None, n: int,
 
 def overview_context(tables, window: TimeWindow, s: Settings = DEFAULTS, n: int = 3) -> DataFrame:
     """KPI summary with the top topics, actors and evidence as one JSON document."""
+    tables.keep(*SHARED)
     topics = risk_topics(tables, window, limit=n, s=s).select(*TOPIC_FIELDS)
     actors = key_actors(tables, window, limit=n, s=s).select(*ACTOR_FIELDS)
     summary = kpi.prediction_summary(tables, window, s).select(F.lit("overview").alias("scope"), "*")
@@ -81,6 +84,7 @@ def known_topic(tables, window: TimeWindow, topic_id: int, s: Settings) -> DataF
 def topic_context(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS,
                   n: int = 3) -> DataFrame:
     """One topic: risk, emotions, sources, last timeline points, actors and evidence."""
+    tables.keep(*SHARED)
     samples = t.topic_samples(tables, window, topic_id, s)
     days = t.emotion_by_day(samples).select("day", "total", "negative_ratio").orderBy(
         F.desc("day")).limit(TIMELINE_POINTS)
@@ -99,6 +103,7 @@ def topic_context(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAU
 def topic_detail(tables, window: TimeWindow, topic_id: int, s: Settings = DEFAULTS,
                  evidence_limit: int = 8, actor_limit: int = 8) -> DataFrame:
     """The whole topic page as one row: base, risk, timeline, mixes, actors, evidence."""
+    tables.keep(*SHARED)
     samples = t.topic_samples(tables, window, topic_id, s)
     shown = e.render_evidence(e.evidence_page(
         tables, window, evidence_limit, topic_id, s=s), s)
