@@ -49,10 +49,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, and safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# bytes of an input file, and of a shuffle, that one task gets; what a task holds stays the same when tables grow
+SPLIT_BYTES = 16 << 20
+SHUFFLE_BYTES = 4 << 20
+
+
+def size_tasks(spark: SparkSession, *paths: str) -> None:
+    """Let the number of tasks follow the size of the facts in ``paths``.
+
+    Adaptive execution merges small shuffle partitions and never cuts large ones that an aggregation reads,
+    so it has to start from enough of them.  The setting of the session stays the least number; streams,
+    whose state has a fixed number of partitions, do not use it.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).agg({"length": "sum"}).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                   str(max(least, files // SHUFFLE_BYTES)))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(SPLIT_BYTES))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input over the cores before CPU-heavy work on its rows.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedupe import latest_version
-from tidemark.session import spread
+from tidemark.session import size_tasks, spread
 from tidemark.sources.tables import Tables
 
 COMMENT_TIES = ("l_partkey", "l_suppkey", "like_count", "l_returnflag", "l_linestatus")
@@ -18,9 +18,14 @@ COMMENT_TIES = ("l_partkey", "l_suppkey", "like_count", "l_returnflag", "l_lines
 
 def star_tables(spark: SparkSession, root: str) -> Tables:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sized: list[str] = []
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+        path = f"{root.rstrip('/')}/{name}.parquet"
+        if name == "lineitem" and not sized:  # the largest facts, and most plans fold them
+            size_tasks(spark, path)
+            sized.append(path)
+        return spark.read.parquet(path)
 
     def user() -> DataFrame:
         return read("customer").selectExpr(
@@ -35,18 +40,27 @@ def star_tables(spark: SparkSession, root: str) -> Tables:
             "case when o_orderkey % 10 = 9 then o_orderkey - 8 else 0 end retweet_of",
             "concat(o_orderpriority, ' ', o_orderstatus) text_raw")
 
-    def comment_versions() -> DataFrame:
-        users = read("customer").agg(F.count("*")).scalar()
+    def replies() -> DataFrame:
         return read("lineitem").select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("comment_id"),
             (F.col("l_orderkey") + 1).alias("post_id"),
-            (F.col("l_partkey") % users + 1).alias("user_id"),
             F.col("l_quantity").cast("bigint").alias("like_count"),
             F.col("l_shipdate").alias("created_at"),
             "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
 
+    def with_author(df: DataFrame) -> DataFrame:
+        users = read("customer").agg(F.count("*")).scalar()
+        return df.withColumn("user_id", F.col("l_partkey") % users + 1)
+
+    def comment_versions() -> DataFrame:
+        return with_author(replies()).select(
+            "comment_id", "post_id", "user_id", "like_count", "created_at",
+            "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+
     def comment() -> DataFrame:
-        newest = latest_version(comment_versions(), ["comment_id"], "created_at", COMMENT_TIES)
+        # authors follow from a column that the rows carry anyway
+        newest = with_author(latest_version(
+            replies(), ["comment_id"], "created_at", COMMENT_TIES))
         return newest.selectExpr(
             "comment_id", "post_id", "user_id", "like_count", "created_at",
             "concat('reply ', l_returnflag, l_linestatus) text_raw")
