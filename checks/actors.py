@@ -187,6 +187,7 @@ def act_08(run):
 @query("act_09", "select * from a_foot_all")
 def act_09(run):
     window = run.window()
+    run.tables.keep("comment")  # the markers and the footprint read them
     return a.topic_footprint(run.tables, window, a.role_markers(run.tables, window))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.registry import Run
+from tidemark import session
 from tests.conftest import ROOT
 from tidemark.operators import actors, evidence, kpi, samples, topics
 from tidemark.operators.window import TimeWindow
@@ -118,3 +119,67 @@ def test_rows_of_a_topic_stay_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(samples, "FEW_POSTS", 0)
     many = samples.of_topic(tables.discovery, tables, topic, "discovered_at")
     assert few.count() > 0 and sorted(few.collect()) == sorted(many.collect())
+
+
+def test_accounts_meet_topics_after_one_move(spark):
+    """Rows per account and topic are not dealt a second time, nor joined to the topic table."""
+    tables, at = Run(spark, ROOT).tables, datetime(2024, 5, 1)
+    window = TimeWindow(datetime(1970, 1, 1), at, at)
+    posts = actors.posts_in(tables, window)
+    keyed = re.findall(r"hashpartitioning\((.*?), \d+\)", plan_of(
+        actors.walked_topics(tables, window, posts)))
+    assert not [k for k in keyed if "uid" in k and "topic_id" in k]
+    assert not [k for k in keyed if "uid" in k and "post_id" in k]
+
+
+def test_walked_topics_equal_both_parts(spark):
+    """The footprint and the cross-topic accounts of one pass, with unknown, null and repeated topics."""
+    at = datetime(2024, 5, 1)
+    tables = Tables(spark, {
+        "post": lambda: spark.createDataFrame([(1, 10, at), (2, 10, at), (3, 20, at)],
+                                              "post_id long, user_id long, created_at timestamp_ntz"),
+        "comment": lambda: spark.createDataFrame(
+            [(1, 30, at), (1, 30, at), (2, 30, at), (3, 10, at)],
+            "post_id long, user_id long, created_at timestamp_ntz"),
+        "comment_versions": lambda: tables.comment, "topic": lambda: spark.createDataFrame(
+            [(100, "a"), (101, "b"), (101, "b")], "topic_id long, title string"),
+        "post_topic": lambda: spark.createDataFrame(
+            [(1, 100), (1, 999), (2, 101), (2, 100), (3, None), (3, 101)], "post_id long, topic_id long")})
+    window = TimeWindow(at, at, at)
+    posts = tables.post.select("post_id", F.col("user_id").alias("uid"))
+    got = {r["uid"]: tuple(r)[1:] for r in actors.walked_topics(tables, window, posts).collect()}
+    # 10 wrote on 100, 101 and the unknown 999, and spoke twice on 100 and 101; 101 is there twice
+    assert got == {10: (3, 100, 1), 20: (2, 101, 0), 30: (3, 100, 0)}
+    few = spark.createDataFrame([(10,), (30,)], "uid long")
+    found = actors.topic_footprint(tables, window, few).collect()
+    assert sorted(map(tuple, found)) == [(10, 3, 100, "a"), (30, 3, 100, "a")]
+
+
+def test_topic_totals_move_authors_once(run):
+    keyed = re.findall(r"hashpartitioning\((.*?), \d+\)", plan_of(topics.topic_totals(
+        run.tables, run.window())))
+    assert not [k for k in keyed if "author" in k]
+
+
+def test_kept_tables_end_with_their_plan(spark):
+    tables = Run(spark, ROOT).tables
+    with tables.keeping("comment"):
+        assert tables.is_kept("comment") and "Window" not in plan_of(tables.comment)
+    assert not tables.is_kept("comment") and "Window" in plan_of(tables.comment)
+
+
+def test_tasks_grow_in_number_with_the_facts(spark, monkeypatch):
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        run = Run(spark, ROOT)
+        assert run.tables.lineitem is not None
+        small = int(spark.conf.get(names[0]))
+        monkeypatch.setattr(session, "SHUFFLE_BYTES", 1000)
+        Run(spark, ROOT).tables.post_topic  # noqa: B018
+        assert int(spark.conf.get(names[0])) > 10 * small
+        assert spark.conf.get(names[2]) == str(session.SPLIT_BYTES)
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)

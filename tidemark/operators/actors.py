@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_name
 from tidemark.functions.numeric import followers_bucket, log_norm, ratio, round_to
-from tidemark.operators.joins import join_unique
+from tidemark.operators.joins import hot_keys, join_unique, repeated, salted
 from tidemark.operators.quantiles import exact_percentile
 from tidemark.operators.ranking import number_within
 from tidemark.operators.samples import (
-    EMOTION_COUNTS, dominant_emotion_id, interactions, latest_interactions, of_topic,
+    EMOTION_COUNTS, busy_posts, busy_users, dominant_emotion_id, interactions, latest_interactions, of_topic,
     predictions_in, speakers, topic_links,
 )
 from tidemark.operators.window import TimeWindow
@@ -208,14 +208,19 @@ def _said(facts: DataFrame, kind: str, gained: Column) -> DataFrame:
 
 
 def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
-                     s: Settings = DEFAULTS) -> DataFrame:
+                     s: Settings = DEFAULTS, walked: bool = False) -> DataFrame:
     """Accounts with any role marker and their counts.
 
     The facts of the posts are written once; the percentile and the role branches read them.
     Samples, branches and notable accounts are stacked and folded per account once, instead of joining
-    the candidates back to the samples.
+    the candidates back to the samples.  With ``walked`` the footprint over all topics is folded in
+    (``topic_count``, ``top_topic_id``), and its pass over the links tells cross-topic accounts too.
     """
-    tables.keep("comment", "post_topic")  # the footprint reads them too
+    with tables.keeping("comment"):  # predictions, comment facts and the footprint read them
+        return _candidates(tables, window, topic_id, s, walked)
+
+
+def _candidates(tables, window: TimeWindow, topic_id: int | None, s: Settings, walked: bool) -> DataFrame:
     facts = stored(post_facts(tables, window, topic_id, s), "posts")
     own = facts.filter(F.col("created").isNotNull() & F.col("of_topic"))
     posts = own.filter("created").select("post_id", "uid", "interaction_count")
@@ -229,12 +234,15 @@ def actor_candidates(tables, window: TimeWindow, topic_id: int | None = None,
         entry_kols(tables, posts),
         high_interaction(posts, newest_p95(facts.filter(F.col("as_of").isNotNull()))),
     ]
-    if topic_id is None:
+    if walked:
+        parts.append(walked_topics(tables, window, posts, s))
+    elif topic_id is None:
         parts.append(cross_topic(tables, posts, s))
+    footprint = [F.max(c).alias(c) for c in FOOTPRINT] if walked else []
     marks = {m: F.coalesce(F.max(m), F.lit(0)) for m in MARKERS}
     marks["is_verified_kol"] = F.coalesce(F.max("notable") & F.max("spoke"), F.lit(False)).cast("int")
     merged = _stacked(parts).filter(F.col("uid") > 0).groupBy("uid").agg(
-        *_speech_counts(), *[v.alias(m) for m, v in marks.items()])
+        *_speech_counts(), *[v.alias(m) for m, v in marks.items()], *footprint)
     marked = merged.withColumns({
         m: F.coalesce(v, F.lit(0)) for m, v in speech_markers(s).items()})
     found = F.greatest(*[F.col(m) for m in MARKERS]) == 1
@@ -248,6 +256,59 @@ def role_markers(tables, window: TimeWindow, topic_id: int | None = None,
 
 
 # --------------------------------------------------------------------- footprint
+FOOTPRINT = ("topic_count", "top_topic_id")
+
+
+def _per_account(said: DataFrame, tables, topic_id: int | None = None) -> DataFrame:
+    """Per account: known topics, the one with most of their posts, and topics of their own posts.
+
+    ``said`` holds (uid, post_id) with ``said`` and ``own`` or null, in any number of rows.  Accounts and posts
+    meet the links after one move by post, and the topics of an account are counted after one move by account;
+    busy posts and accounts are dealt to several tasks.  The topic table meets the links before that, since
+    the rows per account and topic are many times the links.
+    """
+    posts = stored(hot_keys(busy_posts(tables), "post_id"), "hot")
+    users = stored(hot_keys(busy_users(tables), "user_id").withColumnRenamed("user_id", "uid"), "hot")
+    known = tables.topic.groupBy("topic_id").agg(F.count("*").alias("copies"))
+    links = tables.post_topic.select("post_id", "topic_id")
+    if topic_id is not None:
+        links = links.filter(F.col("topic_id") == topic_id)
+    pairs = salted(said, posts, "post_id", "uid").repartition("post_id", "_salt").groupBy(
+        "uid", "post_id", "_salt").agg(F.max("said").alias("said"), F.max("own").alias("own"))
+    touched = pairs.join(repeated(links.join(known, "topic_id", "left"), posts, "post_id"),
+                         ["post_id", "_salt"]).select("uid", "topic_id", "said", "own", "copies")
+    per_topic = salted(touched, users, "uid", "topic_id").repartition("uid", "_salt").groupBy(
+        "uid", "_salt", "topic_id").agg(F.count("said").alias("posts"), F.count("own").alias("own"),
+                                        F.max("copies").alias("copies"))
+    counted = (F.col("posts") > 0) & F.col("copies").isNotNull()
+    place = F.struct(F.col("posts"), (-F.col("topic_id")).alias("k"))
+    shares = per_topic.groupBy("uid", "_salt").agg(
+        F.sum(F.when(counted, F.col("copies"))).alias("topic_count"),
+        F.max(F.when(counted, place)).alias("place"), F.count_if(F.col("own") > 0).alias("own_topics"))
+    return shares.groupBy("uid").agg(
+        F.sum("topic_count").alias("topic_count"), (-F.max("place")["k"]).alias("top_topic_id"),
+        F.sum("own_topics").alias("own_topics"))
+
+
+def _spoke(df: DataFrame, window: TimeWindow) -> DataFrame:
+    """(uid, post_id) of the posts or comments of the window."""
+    return window.within(df, "created_at").select(
+        F.col("user_id").alias("uid"), "post_id", F.lit(1).alias("said"))
+
+
+def walked_topics(tables, window: TimeWindow, posts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Footprint of every account and whether its own ``posts`` touch several topics."""
+    stacked = _stacked([_spoke(tables.post, window), _spoke(tables.comment, window),
+                        posts.select("uid", "post_id", F.lit(1).alias("own"))])
+    return _per_account(stacked.filter(F.col("uid") > 0), tables).select("uid", *FOOTPRINT, (
+        F.col("own_topics") >= s.cross_topic_min).cast("int").alias("is_cross_topic"))
+
+
+def _titles(tables) -> DataFrame:
+    return tables.topic.groupBy(F.col("topic_id").alias("top_topic_id")).agg(
+        F.max("title").alias("top_topic_title"))
+
+
 def topic_footprint(tables, window: TimeWindow, actors: DataFrame,
                     topic_id: int | None = None) -> DataFrame:
     """Per listed actor: number of topics and the topic with most of their posts.
@@ -255,22 +316,12 @@ def topic_footprint(tables, window: TimeWindow, actors: DataFrame,
     Only the (actor, post) pairs of the listed actors meet the links.
     """
     few = actors.select("uid")
-    def spoke(df: DataFrame) -> DataFrame:
-        said = of_topic(window.within(df, "created_at"), tables, topic_id, "user_id")
-        seen = said.select(F.col("user_id").alias("uid"), "post_id")
-        return seen.join(few, "uid", "left_semi")
-    pairs = spoke(tables.post).unionByName(spoke(tables.comment)).distinct()
-    links = tables.post_topic.select("post_id", "topic_id")
-    if topic_id is not None:
-        links = links.filter(F.col("topic_id") == topic_id)
-    per_topic = pairs.join(links, "post_id").groupBy("uid", "topic_id").agg(
-        F.count("*").alias("posts"))
-    known = per_topic.join(tables.topic.select("topic_id", "title"), "topic_id")
-    best = F.max_by(F.struct("topic_id", "title"),
-                    F.struct(F.col("posts"), (-F.col("topic_id")).alias("k")))
-    return known.groupBy("uid").agg(F.count("*").alias("topic_count"), best.alias("b")).select(
-        "uid", "topic_count", F.col("b.topic_id").alias("top_topic_id"),
-        F.col("b.title").alias("top_topic_title"))
+    said = [_spoke(of_topic(df, tables, topic_id, "user_id"), window).join(few, "uid", "left_semi")
+            for df in (tables.post, tables.comment)]
+    pairs = _stacked(said).withColumn("own", F.lit(None).cast("int"))
+    found = _per_account(pairs, tables, topic_id).filter("topic_count > 0")
+    return found.drop("own_topics").join(_titles(tables), "top_topic_id", "left").select(
+        "uid", *FOOTPRINT, "top_topic_title")
 
 
 # --------------------------------------------------------------- scores and roles
@@ -344,14 +395,18 @@ def actor_profiles(tables, window: TimeWindow, topic_id: int | None = None,
                    s: Settings = DEFAULTS) -> DataFrame:
     """Every candidate with samples: counts, profile, footprint, influence and roles.
 
-    Candidates and their profiles are written once: the footprint, the maxima over all actors
-    and the ranking read them.
+    Candidates and their profiles are written once: the maxima over all actors and the ranking read
+    them.  Over all topics the footprint comes with the candidates, without a join back.
     """
-    found = stored(actor_candidates(tables, window, topic_id, s), "actors")
-    profiles = tables.user.select("uid", "verified", "profile_tier", "followers_count")
-    footprint = topic_footprint(tables, window, found, topic_id)
-    counted = found.filter(F.col("sample_count") > 0)
-    joined = counted.join(profiles, "uid", "left").join(footprint, "uid", "left").withColumns({
+    with tables.keeping("comment"):
+        found = stored(actor_candidates(tables, window, topic_id, s, walked=topic_id is None), "actors")
+        profiles = tables.user.select("uid", "verified", "profile_tier", "followers_count")
+        counted = found.filter(F.col("sample_count") > 0).join(profiles, "uid", "left")
+        if topic_id is None:
+            counted = counted.join(_titles(tables), "top_topic_id", "left")
+        else:
+            counted = counted.join(topic_footprint(tables, window, found, topic_id), "uid", "left")
+    joined = counted.withColumns({
         "verified": F.coalesce("verified", F.lit(False)),
         "profile_tier": F.coalesce("profile_tier", F.lit(0)),
         "followers_count": F.coalesce("followers_count", F.lit(0)),

@@ -120,14 +120,16 @@ def evidence_page(tables, window: TimeWindow, limit: int, topic_id: int | None =
                   author: int | None = None, s: Settings = DEFAULTS,
                   after: tuple[float, str, int] | None = None) -> DataFrame:
     """One page of the feed: narrow rows are ranked and written, then the texts of the page are fetched."""
-    tables.keep("comment")  # predictions, authors and texts
-    shown = stored(page(evidence_feed(tables, window, topic_id, q, author, s).drop("content"),
-                        limit, after), "page")
+    with tables.keeping("comment"):  # predictions and authors
+        shown = stored(page(evidence_feed(tables, window, topic_id, q, author, s).drop("content"),
+                            limit, after), "page")
     # at most ``limit`` keys
     keys = F.broadcast(shown.select("source", "source_id", "post_id"))
     posts = tables.post.select(F.lit("post").alias("source"), F.col("post_id").alias("source_id"),
                                "post_id", F.col("text_raw").alias("content"))
-    comments = tables.comment.select(F.lit("comment").alias("source"), F.col("comment_id").alias(
+    # the keys pass below the resolving of versions, so only versions of these comments are moved
+    listed = F.broadcast(shown.filter("source = 'comment'").select(F.col("source_id").alias("comment_id")))
+    comments = tables.comment.join(listed, "comment_id", "left_semi").select(F.lit("comment").alias("source"), F.col("comment_id").alias(
         "source_id"), "post_id", F.col("text_raw").alias("content"))
     texts = posts.unionByName(comments).join(keys, ["source", "source_id", "post_id"])
     return shown.join(texts, ["source", "source_id", "post_id"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key with more than 1 / SHARES of the rows is hot; there are fewer than SHARES such keys.
@@ -24,6 +24,19 @@ def hot_keys(df: DataFrame, key: str, shares: int = SHARES) -> DataFrame:
         F.col("k.count") * F.lit(shares) / F.col("n")).cast("int").alias("salts"))
 
 
+def salted(df: DataFrame, hot: DataFrame, key: str, spread: Column | str, salt: str = "_salt"
+           ) -> DataFrame:
+    """Rows with a salt: 0, and for a hot key the share that the hash of ``spread`` falls into."""
+    share = F.coalesce(F.pmod(F.xxhash64(spread), F.col("salts")), F.lit(0))
+    return df.join(F.broadcast(hot), key, "left").withColumn(salt, share.cast("int")).drop("salts")
+
+
+def repeated(unique: DataFrame, hot: DataFrame, key: str, salt: str = "_salt") -> DataFrame:
+    """The rows of hot keys once per salt."""
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)
+    return unique.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(copies)).drop("salts")
+
+
 def join_unique(many: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "left",
                 hot_from: DataFrame | None = None) -> DataFrame:
     """Join to a frame that holds each key once, spreading the rows of hot keys.

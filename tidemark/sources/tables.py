@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ class Tables:
             if name in self._loaders:
                 self.once(name, lambda: getattr(self, name))  # noqa: B023
 
+    @contextmanager
+    def keeping(self, *names: str) -> Iterator[None]:
+        """``keep`` for the plans that are built inside; plans built later do not see the written tables."""
+        added = {n for n in names if n in self._loaders and n not in self._kept}
+        self.keep(*added)
+        try:
+            yield
+        finally:
+            self._kept -= added
+            self._frames = {n: self._frames[n] for n in self._kept}
+
+    def is_kept(self, name: str) -> bool:
+        return name in self._kept
+
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A frame that is written on first use, under a name of its own."""
         if name not in self._kept:
