@@ -10,7 +10,7 @@ from tidemark.functions.numeric import (
     clip_norm, growth_label, local_day, local_iso, mean_micros, micros, ratio, risk_level, round_to,
 )
 from tidemark.functions.text import contains_ignore_case
-from tidemark.operators.joins import join_unique
+from tidemark.operators.joins import hot_keys, join_unique, salted
 from tidemark.operators.quantiles import nearest_rank
 from tidemark.operators.samples import (
     EMOTION_COUNTS, dominant_emotion_id, emotion_aggregates, interactions, of_topic, predictions_in,
@@ -27,8 +27,8 @@ CAPPED = {
     "interaction_growth": "interaction_delta",
     "kol_verified": "kol_verified_raw",
 }
-_PREDICTED = [*EMOTION_COUNTS, "sample_count", "negative_count", "anger_fear_count",
-              "confidence_micros", "post_samples", "comment_samples", "recent_negative"]
+_PREDICTED = [*EMOTION_COUNTS, "sample_count", "confidence_micros", "post_samples", "comment_samples",
+              "recent_negative"]
 
 
 # ------------------------------------------------------------ one row per post
@@ -82,8 +82,6 @@ def post_features(tables, window: TimeWindow, s: Settings = DEFAULTS) -> DataFra
     return stacked.groupBy("post_id").agg(
         *[F.count_if(label == i).alias(c) for i, c in enumerate(EMOTION_COUNTS)],
         F.count(label).alias("sample_count"),
-        F.count_if(negative).alias("negative_count"),
-        F.count_if(label.isin(*ANGER_FEAR_IDS)).alias("anger_fear_count"),
         F.coalesce(F.sum("micros"), F.lit(0)).alias("confidence_micros"),
         F.count_if(kind == "post").alias("post_samples"),
         F.count_if(kind == "comment").alias("comment_samples"),
@@ -102,16 +100,14 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
     """Metrics of every topic: posts, emotions, engagement, source mix, KOL and author signals.
 
     Totals are folded per (topic, notable author) first.  The second fold then counts distinct
-    authors by counting rows, without a distinct aggregate.
+    authors by counting rows, without a distinct aggregate.  Both follow one move by topic, in which the
+    authors of a busy topic are dealt to several tasks.
     """
-    # the search for hot posts and the join read the links
-    if links is None:
-        tables.keep("post_topic")
-        links = tables.post_topic
-    else:
+    kept = links is None and tables.is_kept("post_topic")
+    links = (tables.post_topic if links is None else links).select("post_id", "topic_id")
+    if not kept:  # the search for hot posts and the join read the links
         links = stored(links, "links")
-    linked = join_unique(links.select("post_id", "topic_id"), post_features(tables, window, s), "post_id",
-                         "topic_id", how="inner")
+    linked = join_unique(links, post_features(tables, window, s), "post_id", "topic_id", how="inner")
     predicted = F.col("sample_count") > 0
     gain = F.greatest(F.col("latest") - F.col("earliest"), F.lit(0))
     created = F.col("created_in_window") == 1
@@ -125,13 +121,23 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
            for t in SOURCE_TYPES},
         "kol_entry_count": (created & (F.col("from_kol") > 0)).cast("bigint"),
     }
-    per_author = linked.groupBy("topic_id", "author").agg(
-        *[F.sum(v).alias(k) for k, v in sums.items()],
+    dealt = salted(linked, hot_keys(links, "topic_id"), "topic_id", F.coalesce("author", -F.col("post_id"))).select(
+        "topic_id", "_salt", "author", "author_verified", "author_high",
+        *[v.alias(k) for k, v in sums.items()]).repartition("topic_id", "_salt")
+    per_author = dealt.groupBy("topic_id", "_salt", "author").agg(
+        *[F.sum(k).alias(k) for k in sums],
         F.max("author_verified").alias("author_verified"), F.max("author_high").alias("author_high"))
-    return per_author.groupBy("topic_id").agg(
-        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums],
+    shares = per_author.groupBy("topic_id", "_salt").agg(
+        *[F.sum(k).alias(k) for k in sums],
         F.count_if(F.col("author_verified") == 1).alias("verified_actor_count"),
-        F.count_if(F.col("author_high") == 1).alias("high_follower_actor_count"),
+        F.count_if(F.col("author_high") == 1).alias("high_follower_actor_count"))
+    def labelled(ids) -> Column:
+        return sum((F.col(EMOTION_COUNTS[i]) for i in ids), F.lit(0))
+    return shares.groupBy("topic_id").agg(
+        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums],
+        F.sum("verified_actor_count").alias("verified_actor_count"),
+        F.sum("high_follower_actor_count").alias("high_follower_actor_count"),
+    ).withColumns({"negative_count": labelled(NEGATIVE_IDS), "anger_fear_count": labelled(ANGER_FEAR_IDS)}
     ).withColumn("previous_negative", F.col("negative_count") - F.col("recent_negative"))
 
 
