@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import by_id, sentence
@@ -220,3 +222,15 @@ def test_spans_and_kept_bytes(spark):
     assert bytes(rows[1].kept) == "é".encode() and [tuple(s) for s in rows[1].removed] == [
         (2, 2 + len(part))]
     assert hashlib.sha256(rows[2].kept).hexdigest() == hashlib.sha256("ü".encode()).hexdigest()
+
+
+def test_packed_texts_are_cut_by_their_own_size():
+    """Long runs of one byte pack to almost nothing; a slice still holds few of them."""
+    pack = zstandard.ZstdCompressor().compress
+    texts = [b"a" * 200_000, b"", b"b" * 200_000, b"c" * 10, b"d" * 900_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([pack(t) for t in texts])],
+                                       ["doc_id", "body"])
+    parts = list(suffix_dedup.unpacked_slices(iter([batch]), 1))
+    assert [t for _, part in parts for t in part] == texts
+    assert [b.column(0).to_pylist() for b, _ in parts] == [[0, 1, 2], [3, 4]]
+    assert all(sum(map(len, part[:-1])) < suffix_dedup.SLICE for _, part in parts)

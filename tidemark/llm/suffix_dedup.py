@@ -40,7 +40,7 @@ LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM  # positions are at most so far before their anchor
 BLOCKS = (16, 4)
-SLICE = 1 << 20
+SLICE = 1 << 18  # bytes of text at once; hashes and places take about a hundred times as much
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def anchor_rows(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for b in batches for part in slices(b, SLICE)):
+        for batch in (part for b in freed(batches) for part in slices(b, SLICE)):
             body = Bytes(texts_of(batch.column(2)))
             text, place, first, last = body.anchors()
             core = body.hashes(place, place + GRAM)
@@ -147,8 +147,8 @@ def block_rows(undecided: DataFrame, size: int, bitmap: np.ndarray | None = None
     shared = undecided.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for b in batches for part in slices(b, SLICE // 4)):
-            body = Bytes(unpacked_texts(batch.column(2)))
+        for batch, texts in unpacked_slices(batches, 2):
+            body = Bytes(texts)
             spots = batch.column(3)
             text = np.repeat(np.arange(batch.num_rows), list_sizes(spots))
             place, first, last = unpacked(spots.flatten().to_numpy(zero_copy_only=False))
@@ -182,8 +182,8 @@ def position_rows(undecided: DataFrame, bitmap: np.ndarray | None = None) -> Dat
     shared = undecided.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for b in batches for part in slices(b, SLICE // 4)):
-            body = Bytes(unpacked_texts(batch.column(2)))
+        for batch, texts in unpacked_slices(batches, 2):
+            body = Bytes(texts)
             spots = batch.column(3)
             text = np.repeat(np.arange(batch.num_rows), list_sizes(spots))
             _, first, last = unpacked(spots.flatten().to_numpy(zero_copy_only=False))
@@ -236,7 +236,7 @@ def picked(docs: DataFrame, bitmap) -> DataFrame:
     """(doc_id, row, body): packed texts of the rows that may be in the bitmap."""
     def pick(batches: Iterator[pa.RecordBatch]):
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in freed(batches) for part in slices(b)):
             found = in_filter(bitmap.value, batch.column(3).to_numpy(zero_copy_only=False))
             kept = batch.filter(pa.array(found))
             yield pa.RecordBatch.from_arrays(
@@ -249,9 +249,26 @@ def picked(docs: DataFrame, bitmap) -> DataFrame:
         pick, f"doc_id {doc_type(docs)}, {ROW} long, body binary")
 
 
-def unpacked_texts(column: pa.Array) -> list[bytes]:
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; free Arrow memory goes back after each, since workers are kept."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def unpacked_slices(batches: Iterator[pa.RecordBatch], column: int
+                    ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows with their texts, cut by the size of the unpacked texts: repeats pack very well."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(v) for v in column.to_pylist()]
+    for batch in freed(batches):
+        first, texts, size = 0, [], 0
+        for k in range(batch.num_rows):
+            texts.append(unpack(batch.column(column)[k].as_py()))
+            size += len(texts[-1])
+            if size >= SLICE or k + 1 == batch.num_rows:
+                yield batch.slice(first, k + 1 - first), texts
+                first, texts, size = k + 1, [], 0
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -291,11 +308,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
               "kept binary")
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for b in batches for part in slices(b, SLICE)):
-            yield cut_rows(batch.column(0), unpacked_texts(batch.column(1)), batch.column(2))
+        for batch, texts in unpacked_slices(batches, 1):
+            yield cut_rows(batch.column(0), texts, batch.column(2))
 
     def whole(batches: Iterator[pa.RecordBatch]):
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in freed(batches) for part in slices(b)):
             found = in_filter(bitmap.value, batch.column(2).to_numpy(zero_copy_only=False))
             rest = batch.filter(pa.array(~found))
             yield cut_rows(rest.column(0), texts_of(rest.column(1)), None)
