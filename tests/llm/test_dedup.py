@@ -130,6 +130,60 @@ def test_short_texts_of_one_template_move_no_bodies(spark):
     assert got == jaccard_join.brute_force(rows)
 
 
+def test_sets_that_share_with_a_hub_only_move_no_bodies(spark):
+    """Every text shares an eighth with each of 96 others: no link, and no block of texts around a hub."""
+    dice = random.Random(19)
+    passages = [[sentence(dice, 20) for _ in range(13)] for _ in range(8)]
+    lines = [(a, b) for a in range(13) for b in range(13)]
+    rows = [(k, " ".join(f"{passages[x][(a * x + b) % 13]} w{k}x{x}" for x in range(8)))
+            for k, (a, b) in enumerate(lines)]
+    rows += [(500, rows[3][1] + " more"), (501, rows[7][1] + " more")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prefixes = jaccard_join.prefixes(frame, jaccard_join.common_shingles(frame))
+    ids = {r.sid: r.doc_id for r in prefixes.select("sid", "doc_id").collect()}
+    blocks = {}
+    for r in jaccard_join.block_members(prefixes).collect():
+        blocks.setdefault(r.hub, set()).add(ids[r.sid])
+    assert sorted(map(sorted, blocks.values())) == [[3, 500], [7, 501]]
+
+
+def test_blocks_are_cut_where_no_two_sets_may_link():
+    """Candidate components against all pairs, and a block over the limit stays whole."""
+    import numpy as np
+    dice = np.random.default_rng(2)
+    pool = dice.integers(0, 1 << 60, 60, np.int64)
+    sets, sizes = [], []
+    for k in range(200):
+        grown = np.unique(np.concatenate((dice.choice(pool, 12, False), dice.integers(0, 1 << 60, 8))))
+        sets.append(sets[-1].copy() if k % 3 == 1 else grown)
+        sizes.append(int(dice.integers(40, 200)) if k % 3 != 1 else sizes[-1] + int(dice.integers(0, 20)))
+    forest = jaccard_join.Forest()
+    for a in range(200):
+        for b in range(a):
+            low, high = sorted((sizes[a], sizes[b]))
+            if len(np.intersect1d(sets[a], sets[b])) >= 1 + low // 10 and 5 * low >= 4 * high:
+                forest.join(a, b)
+    counts = [len(s) for s in sets]
+    labels = jaccard_join.candidate_labels(
+        np.array(sizes), np.repeat(np.arange(200), counts), np.concatenate(sets))
+    groups = {}
+    for k in range(200):
+        groups.setdefault(forest.root(k), []).append(k)
+    assert 1 < len(groups) < 200
+    assert labels.tolist() == [groups[forest.root(k)][0] for k in range(200)]
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate(sets)))
+    block = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 200), pa.array([0] * 200), pa.array(range(200)), pa.array(sizes), lists],
+        ["hub", "band", "sid", "n", "hs"])
+    found = [r for b in jaccard_join.candidate_blocks(iter([block])) for r in b.to_pylist()]
+    assert found == [{"hub": k, "sid": s} for s, k in enumerate(labels.tolist())
+                     if len([x for x in labels if x == k]) > 1]
+    whole = [r for b in jaccard_join.candidate_blocks(iter([block[:90], block[90:]]), 1000)
+             for r in b.to_pylist()]
+    assert whole == [{"hub": 0, "sid": s} for s in range(200)]
+
+
 def test_searching_sets_are_streamed_past_bounded_lists(spark, monkeypatch):
     """A block of many shards whose sizes differ: cells stay bounded and links are complete."""
     dice = random.Random(13)

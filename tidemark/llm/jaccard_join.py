@@ -6,8 +6,11 @@ A document is its set of distinct 5-word shingles.  Two sets link at a similarit
 2. Prefix rows: in one global order of shingles (those common in a sample last, then by hash) two
    linked sets share a tenth of their size among the first three tenths of the larger and the
    first two ninths of the smaller one, its early part.  Sets with fewer shingles that are shared
-   so link with nothing.  Each shared shingle names a hub, the smallest set that is left with it,
-   so both partners of a link meet in the block of a hub.
+   so link with nothing.  In each band of sizes a shared shingle names a hub, the smallest set that
+   is left with it, so both partners of a link meet in the block of a hub.  Such a block holds mostly
+   sets that share something with the hub and little with each other.  It is cut by its prefix
+   shingles alone, before any text moves: sets that share enough of them for a link are candidates,
+   and each component of candidates is a block of its own.
 3. In a block, members that link with the hub need no search: they are in its component.  Each
    other member searches the block's inverted lists: short lists are merged and counted, long
    ones probed by binary search, and sets that reach the required overlap are kept.  A large block
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import (ROW, in_filter, key_filter, key_slot, map_batches, mixed, packed,
@@ -39,6 +42,8 @@ WORDS = 5
 UP, DOWN = 4, 5  # the threshold as a fraction
 SHARD_BYTES = 3 << 20
 CHUNK_SHARDS = 4  # a chunk of searching sets is streamed, so it may be larger than a shard
+PROBE_COST = 25  # of one binary search, in entries of a list that is counted
+BLOCK_SHINGLES = 2 << 20  # a block of more shared prefix shingles is not cut into candidates
 CLASS_BASE = 1.3  # sizes of linked sets differ by at most 5 / 4, so by at most one class
 SAMPLE_ROWS = 4000
 EXTRA = 10
@@ -158,15 +163,113 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
-    """The shingles ``h`` that more than one set has, and the smallest of these sets."""
-    return rows.groupBy("h").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).filter(
-        "hub <> top").select("h", "hub")
+    """The shingles ``h`` that more than one set of a band of sizes has, and the smallest of these sets."""
+    return rows.groupBy("h", "band").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).filter(
+        "hub <> top").select("h", "band", "hub")
+
+
+def bands(n: str) -> Column:
+    """One or two bands of sizes, such that two sets that may link have a common one: a set of n
+    shingles and one of at most 5 / 4 of it share the band of the larger set."""
+    return F.array_distinct(F.array(*[F.length(F.bin(F.expr(x))) for x in (n, f"{n} * {DOWN} div {UP}")]))
+
+
+def candidate_labels(sizes: np.ndarray, owners: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """A label for each set of a block: sets of different labels have no link.
+
+    ``owners`` and ``shingles`` have the shared prefix shingles of the sets.  Two sets are candidates if
+    they share enough of them for a link and their sizes allow one; labels are the components of that.
+    A set that got a label meets only those that have none, and leaves the lists.
+    """
+    count = len(sizes)
+    names = np.unique(shingles, return_inverse=True)[1]
+    twice = np.bincount(names)[names] > 1
+    names, owners = names[twice], owners[twice]
+    by_owner = np.argsort(owners, kind="stable")
+    own = names[by_owner]
+    cut = np.searchsorted(owners[by_owner], np.arange(count + 1))
+    order = np.argsort(names, kind="stable")
+    held, members = names[order], owners[order]
+    width = int(names.max()) + 1 if len(names) else 0
+    labels = np.full(count, -1, np.int64)
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        length = np.bincount(held, minlength=width)
+        return np.cumsum(length) - length, length
+    begin, length = index()
+    gone = 0
+    for first in range(count):
+        if labels[first] >= 0:
+            continue
+        labels[first] = first
+        queue = [first]
+        while queue:
+            k = queue.pop()
+            gone += cut[k + 1] - cut[k]
+            if 2 * gone > len(held):
+                stay = labels[members] < 0
+                held, members, gone = held[stay], members[stay], 0
+                begin, length = index()
+            mine = own[cut[k]:cut[k + 1]]
+            many = length[mine]
+            met = members[np.arange(int(many.sum())) + np.repeat(
+                begin[mine] - np.cumsum(many) + many, many)]
+            if len(met) * 8 < count:
+                found, shared = np.unique(met, return_counts=True)
+            else:
+                shared = np.bincount(met, minlength=count)
+                found = np.flatnonzero(shared)
+                shared = shared[found]
+            low, high = np.minimum(sizes[found], sizes[k]), np.maximum(sizes[found], sizes[k])
+            hits = found[(shared >= 1 + low // EXTRA) & (DOWN * low >= UP * high) & (labels[found] < 0)]
+            labels[hits] = first
+            queue += hits.tolist()
+    return labels
+
+
+def candidate_blocks(rows: Iterator[pa.RecordBatch], limit: int = BLOCK_SHINGLES
+                     ) -> Iterator[pa.RecordBatch]:
+    """(hub, sid): the candidate components of each sorted block (hub, band), under their smallest set.
+
+    A block with more than ``limit`` shared shingles stays whole, under its first set.
+    """
+    def block(hubs: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(sids)], ["hub", "sid"])
+
+    def ended(held: list) -> Iterator[pa.RecordBatch]:
+        sids, sizes, counts, flat = (np.concatenate(x) for x in zip(*held))
+        if len(sids) > 1:
+            labels = candidate_labels(sizes, np.repeat(np.arange(len(sids)), counts), flat)
+            several = np.bincount(labels, minlength=len(sids))[labels] > 1
+            # sets are sorted, so the label of a component is the number of its smallest set
+            yield block(sids[labels[several]], sids[several])
+
+    key, held, size, first = None, [], 0, None
+    for part in (p for batch in rows for p in slices(batch)):
+        pa.default_memory_pool().release_unused()
+        hubs, band, sids, sizes = (part.column(k).to_numpy() for k in range(4))
+        ends = part.column(4).offsets.to_numpy()
+        flat = part.column(4).values.to_numpy()
+        edges = np.flatnonzero((hubs[1:] != hubs[:-1]) | (band[1:] != band[:-1])) + 1
+        for a, b in zip([0, *edges], [*edges, len(hubs)]):
+            if (hubs[a], band[a]) != key:
+                if held:
+                    yield from ended(held)
+                key, held, size, first = (hubs[a], band[a]), [], 0, sids[a]
+            held.append((sids[a:b], sizes[a:b], np.diff(ends[a:b + 1]), flat[ends[a]:ends[b]].copy()))
+            size += ends[b] - ends[a]
+            if size > limit:
+                whole = np.concatenate([x[0] for x in held])
+                yield block(np.full(len(whole), first), whole)
+                held = []
+    if held:
+        yield from ended(held)
 
 
 def block_members(rows: DataFrame) -> DataFrame:
-    """(hub, sid): the sets that may have a link, by the hubs of their shared shingles."""
-    exploded = rows.select("sid", "least", "least_early", "early", F.posexplode("prefix").alias(
-        "at", "h")).withColumn("soon", F.col("at") < F.col("early")).drop("at", "early")
+    """(hub, sid): the sets that may have a link, in blocks that hold both sets of each link."""
+    exploded = rows.select("sid", F.col("n").cast("int").alias("n"), "early", F.posexplode(
+        "prefix").alias("at", "h")).withColumn("soon", F.col("at") < F.col("early")).drop("at", "early")
     soon = F.when(F.col("soon"), F.col("sid"))
     # of the two sets of a link, the smaller one has the shingle in its early part
     shared = stored(exploded.groupBy("h").agg(
@@ -175,15 +278,20 @@ def block_members(rows: DataFrame) -> DataFrame:
         "h", (F.col("soon_low") != F.col("soon_top")).alias("soon_twice")), "shared")
     # a set's list is bounded by its prefix, and equal sets fold in the map tasks
     use = F.struct("h", "soon", (~F.col("soon") | F.col("soon_twice")).alias("late"))
-    able = exploded.join(shared, "h").groupBy("sid", "least", "least_early").agg(
+    least = f"1 + (({UP} * n + {DOWN - 1}) div {DOWN}) div {EXTRA}"  # as in prefix_sizes
+    able = stored(exploded.join(shared, "h").groupBy("sid", "n").agg(
         F.collect_set(use).alias("uses")).filter(
-        "size(filter(uses, u -> u.soon)) >= least_early"
-        " or size(filter(uses, u -> u.late)) >= least").withColumn("hs", F.col("uses.h"))
-    left = stored(able.select("sid", F.explode("hs").alias("h")), "left")
+        f"size(filter(uses, u -> u.soon)) >= 1 + n div {EXTRA}"
+        f" or size(filter(uses, u -> u.late)) >= {least}").select(
+        "sid", "n", F.col("uses.h").alias("hs")), "able")
+    left = able.select("sid", "n", F.explode(bands("n")).alias("band"), "hs").select(
+        "sid", "n", "band", F.explode("hs").alias("h"))
     hubs = stored(shared_only(left), "hubs")
-    others = stored(left.join(hubs, "h").filter("sid <> hub").select("hub", "sid").distinct(),
-                    "others")
-    return others.unionByName(others.select("hub", F.col("hub").alias("sid")).distinct())
+    met = left.join(hubs, ["h", "band"]).groupBy("sid", "n", "band").agg(
+        F.collect_set("h").alias("hs"), F.collect_set("hub").alias("hubs")).filter(f"size(hs) >= {least}")
+    rows_of_blocks = met.select(F.explode("hubs").alias("hub"), "band", "sid", "n", "hs")
+    return rows_of_blocks.repartition("hub", "band").sortWithinPartitions(
+        "hub", "band", "sid").mapInArrow(candidate_blocks, "hub long, sid long").distinct()
 
 
 def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,17 +324,31 @@ class Lists:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
+        self.inside = np.ones(len(sets), bool)
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.lexsort((owner, flat))
+        self._index(flat[order], owner[order])
+
+    def _index(self, flat: np.ndarray, owners: np.ndarray) -> None:
         self.tokens, self.begin, self.length = np.unique(
-            flat[order], return_index=True, return_counts=True)
-        self.owners = owner[order]
+            flat, return_index=True, return_counts=True)
+        self.owners = owners
         # list number and owner in one sorted array, so one binary search probes a list
-        self.keys = np.repeat(np.arange(len(self.tokens)), self.length) * len(sets) + self.owners
+        self.keys = np.repeat(np.arange(len(self.tokens)), self.length) * len(self.sizes) + owners
 
-    def search(self, query: np.ndarray, own: int = -1) -> np.ndarray:
-        """Numbers of the sets, but ``own``, with a similarity of at least UP / DOWN."""
+    def drop(self, gone: np.ndarray) -> None:
+        """Take the sets of a mask out of the lists."""
+        stay = ~gone[self.owners]
+        self.inside &= ~gone
+        self._index(np.repeat(self.tokens, self.length)[stay], self.owners[stay])
+
+    def search(self, query: np.ndarray, own: int = -1, gone: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the sets, but ``own`` and those of a mask, with a similarity of at least UP / DOWN."""
+        if not len(self.tokens):
+            return np.zeros(0, np.int64)
+        if own >= 0 and not self.inside[own]:
+            own = -1
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
         lists = at[self.tokens[at] == query]
         length = self.length[lists] - (own >= 0)
@@ -238,19 +360,28 @@ class Lists:
         # the longest lists are only probed: fewer of them than the overlap that is needed
         probed = min(least - 1, int(least / (0.01 * np.log2(length.max() + 2) + 1)))
         merge, probe = lists[:len(lists) - probed], lists[len(lists) - probed:]
-        many = self.length[merge]
-        places = np.arange(int(many.sum())) + np.repeat(
-            self.begin[merge] - np.cumsum(many) + many, many)
-        counts = np.bincount(self.owners[places], minlength=len(self.sizes))
+        counts = self._count(merge)
         if own >= 0:
             counts[own] = 0
         found = np.flatnonzero(counts >= least - probed)
         found = found[(DOWN * self.sizes[found] >= UP * len(query))
                       & (UP * self.sizes[found] <= DOWN * len(query))]
-        overlap = np.array([counts[k] + self._probe(probe, k) for k in found], np.int64)
+        if gone is not None:
+            found = found[~gone[found]]
+        if len(found) * len(probe) * PROBE_COST > self.length[probe].sum():
+            overlap = (counts + self._count(probe))[found]
+        else:
+            overlap = np.array([counts[k] + self._probe(probe, k) for k in found], np.int64)
         union = self.sizes[found] + len(query) - overlap
         return found[DOWN * overlap >= UP * union]
 
+    def _count(self, lists: np.ndarray) -> np.ndarray:
+        """In how many of the lists each owner is."""
+        many = self.length[lists]
+        places = np.arange(int(many.sum())) + np.repeat(
+            self.begin[lists] - np.cumsum(many) + many, many)
+        return np.bincount(self.owners[places], minlength=len(self.sizes))
+
     def _probe(self, lists: np.ndarray, owner: int) -> int:
         """In how many of the lists the owner is."""
         wanted = lists * len(self.sizes) + owner
@@ -280,6 +411,30 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DOWN * shared >= UP * (len(a) + len(b) - shared)
 
 
+def tree_links(sets: list[np.ndarray], lists: Lists) -> list[tuple[int, int]]:
+    """Links that connect what is connected by any, with all links of a set before those of the next.
+
+    A set is searched among those that no link has reached yet, and the others leave the lists, so sets
+    of one component are not compared with each other.
+    """
+    out = []
+    gone = np.zeros(len(sets), bool)
+    for first in range(len(sets)):
+        if gone[first]:
+            continue
+        gone[first] = True
+        queue = [first]
+        while queue and not gone.all():
+            k = queue.pop()
+            hits = lists.search(sets[k], k, gone)
+            gone[hits] = True
+            queue += hits.tolist()
+            out += [(k, j) for j in hits.tolist()]
+            if 2 * lists.sizes[lists.inside & gone].sum() > lists.sizes[lists.inside].sum():
+                lists.drop(gone)
+    return out
+
+
 def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
     """Runs of rows with equal (hub, shard) from sorted batches: (sid, set, role, shards)."""
     import zstandard
@@ -320,21 +475,12 @@ def first_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for hub, held in blocks(rows):
         center = next(v for s, v, _, _ in held if s == hub)
         others = [(s, v) for s, v, _, _ in held if s != hub]
-        forest = Forest()
-        out, rest = [], []
-        for k, (s, v) in enumerate(others):
-            if linked(v, center):
-                forest.join(s, hub)
-                out.append((s, hub, hub, False))
-            else:
-                rest.append((k, s, v))
-        if rest and held[0][3] == 1:
-            lists = Lists([v for _, v in others])
-            for k, s, v in rest:
-                out += [(s, others[j][0], hub, False) for j in lists.search(v, k)
-                        if forest.join(s, others[j][0])]
-        elif rest:
-            out += [(s, hub, hub, True) for _, s, _ in rest]
+        near = [linked(v, center) for _, v in others]
+        if held[0][3] == 1 and not all(near):
+            ids, sets = zip((hub, center), *others)
+            out = [(ids[k], ids[j], hub, False) for k, j in tree_links(sets, Lists(sets))]
+        else:
+            out = [(s, hub, hub, not close) for (s, _), close in zip(others, near)]
         if out:
             yield link_rows(out)
 
@@ -342,7 +488,9 @@ def first_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between the members of a shard (role 0) and those of a chunk (role 1).
 
-    Only the shard is held; the sorted rows of the chunk follow it and are searched one by one.
+    Only the shard is held; the sorted rows of the chunk follow it and are searched one by one.  Links
+    inside the shard come first; a set that links with the first set of a component is not compared with
+    the others.
     """
     import zstandard
     unpack = zstandard.ZstdDecompressor().decompress
@@ -354,6 +502,7 @@ def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = (row["hub"], row["shard"], row["chunk"])
             if now != key:
                 key, own, lists, forest, last = now, {}, None, Forest(), None
+                ids, label, heads, first = [], None, None, None
             s = row["sid"]
             # rows that repeat the representative bring the same set again
             if s in own if row["role"] == 0 else s == last or not own:
@@ -363,11 +512,21 @@ def shard_links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own[s] = values
                 continue
             if lists is None:
-                ids, lists = list(own), Lists(list(own.values()))
-                number = {k: i for i, k in enumerate(ids)}
+                ids, sets = list(own), list(own.values())
+                label = np.arange(len(ids))
+                for k, j in tree_links(sets, Lists(sets)):
+                    label[j] = label[k]
+                    forest.join(ids[j], ids[k])
+                    out.append((ids[j], ids[k], row["hub"], False))
+                lists = Lists(sets)
+                heads = np.flatnonzero(np.bincount(label, minlength=len(ids)) > 1)
+                first = Lists([sets[k] for k in heads]) if len(heads) else None
             last = s
-            out += [(s, ids[j], row["hub"], False) for j in lists.search(values, number.get(s, -1))
-                    if forest.join(s, ids[j])]
+            if s in own:
+                continue
+            met = heads[first.search(values)] if first else heads
+            hits = [*met, *lists.search(values, -1, np.isin(label, met))]
+            out += [(s, ids[j], row["hub"], False) for j in hits if forest.join(s, ids[j])]
         if out:
             yield link_rows(out)
 
