@@ -110,10 +110,11 @@ def ev_06(run):
   where n > 8 and n <= 16""")
 def ev_06_next(run):
     window = run.window()
-    run.tables.keep("comment", "post_topic", "engagement")  # both pages read them
-    key = e.next_key(e.evidence_page(run.tables, window, 8), 8).first()
+    run.tables.keep("comment")  # the feed and the texts of both pages read it
+    feed = e.stored_feed(run.tables, window)  # both pages read it
+    key = e.next_key(e.evidence_page(run.tables, window, 8, feed=feed), 8).first()
     after = (key["evidence_score"], key["source"], key["source_id"])
-    return e.evidence_page(run.tables, window, 8, after=after).select(
+    return e.evidence_page(run.tables, window, 8, after=after, feed=feed).select(
         "source", "source_id", "evidence_score")
 
 

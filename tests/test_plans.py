@@ -1,12 +1,14 @@
 """How often plans read the largest table, stored parts included."""
 
 import re
+import time
 from dataclasses import replace
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import QUERIES
 from checks.registry import Run
 from tidemark import session
 from tests.conftest import ROOT
@@ -183,3 +185,50 @@ def test_tasks_grow_in_number_with_the_facts(spark, monkeypatch):
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_shuffle_files_go_with_the_action(spark):
+    """Disk holds the shuffles of one action, not of all that the driver's garbage still names."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    tables = Run(spark, ROOT).tables
+    tables.lineitem  # sets the session for its size
+    before = shuffles()
+    tables.keep("post_topic")
+    assert tables.post_topic.count() > 0
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
+def written_by(monkeypatch, module):
+    """The names that a module writes tables under."""
+    names, plain = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: (names.append(name), plain(df, name))[1])
+    return names
+
+
+def test_pages_of_one_feed_share_what_they_read(spark, monkeypatch):
+    """The feed is made once, and each side of its join ends before the join begins."""
+    names = written_by(monkeypatch, evidence)
+    got = [tuple(r) for r in QUERIES["ev_06_next"](spark, ROOT).collect()]
+    assert names == ["spoken", "context", "feed", "page", "page"]
+    run = Run(spark, ROOT)
+    pages = evidence.evidence_page(run.tables, run.window(), 16).select(
+        "source", "source_id", "evidence_score").collect()
+    rest = sorted((tuple(r) for r in pages), key=lambda r: (-r[2], r[0], r[1]))[8:]
+    assert sorted(got) == sorted(rest)
+
+
+def test_steps_of_a_pack_end_one_by_one(spark, monkeypatch):
+    """Rows per post and the walk over the topics are written before the steps that move them again."""
+    run = Run(spark, ROOT)
+    topic_names, actor_names = written_by(monkeypatch, topics), written_by(monkeypatch, actors)
+    run.tables.keep("post_topic")
+    topics.topic_totals(run.tables, run.window())
+    actors.actor_candidates(run.tables, run.window(), walked=True)
+    assert "features" in topic_names and "walked" in actor_names

@@ -91,12 +91,17 @@ def _spoken(tables, window: TimeWindow, topic_id: int | None, q: str, author: in
 def evidence_feed(tables, window: TimeWindow, topic_id: int | None = None, q: str = "",
                   author: int | None = None, s: Settings = DEFAULTS,
                   kinds: tuple[str, ...] = ("post", "comment")) -> DataFrame:
-    """Every evidence sample with its score, one row per (source, source_id).
+    """Every evidence sample with its score, one row per (source, source_id)."""
+    return _scored(tables, _spoken(tables, window, topic_id, q, author, s, kinds),
+                   _post_context(tables, window, topic_id), s)
+
+
+def _scored(tables, spoken: DataFrame, context: DataFrame, s: Settings) -> DataFrame:
+    """Predictions with the context of their posts and their authors.
 
     A viral post or a very busy account is spread over many tasks by ``join_unique``.
     """
-    spoken = _spoken(tables, window, topic_id, q, author, s, kinds)
-    placed = join_unique(spoken, _post_context(tables, window, topic_id), "post_id", "source_id",
+    placed = join_unique(spoken, context, "post_id", "source_id",
                          how="inner", hot_from=busy_posts(tables))
     users = tables.user.select(F.col("uid").alias("user_id"), "verified", "profile_tier")
     known = join_unique(placed, users, "user_id", "source_id", hot_from=busy_users(tables))
@@ -104,6 +109,19 @@ def evidence_feed(tables, window: TimeWindow, topic_id: int | None = None, q: st
         "actor_role", actor_role())
 
 
+def narrow_feed(tables, window: TimeWindow, topic_id: int | None = None, q: str = "",
+                author: int | None = None, s: Settings = DEFAULTS) -> DataFrame:
+    """The feed without its texts.
+
+    Both sides of the join by post are written first, so that what they shuffle is not on disk together
+    with what the join shuffles.
+    """
+    with tables.keeping("comment"):  # predictions and authors
+        spoken = stored(_spoken(tables, window, topic_id, q, author, s, ("post", "comment")).drop(
+            "content"), "spoken")
+        return _scored(tables, spoken, stored(_post_context(tables, window, topic_id), "context"), s)
+
+
 def page(feed: DataFrame, limit: int, after: tuple[float, str, int] | None = None) -> DataFrame:
     """The next ``limit`` rows after a (score, source, source_id) key."""
     if after is not None:
@@ -116,13 +134,23 @@ def page(feed: DataFrame, limit: int, after: tuple[float, str, int] | None = Non
     return feed.orderBy(F.desc("evidence_score"), "source", "source_id").limit(limit)
 
 
+def stored_feed(tables, window: TimeWindow, topic_id: int | None = None, q: str = "",
+                author: int | None = None, s: Settings = DEFAULTS) -> DataFrame:
+    """The feed without its texts, written once for pages that follow each other."""
+    return stored(narrow_feed(tables, window, topic_id, q, author, s), "feed")
+
+
 def evidence_page(tables, window: TimeWindow, limit: int, topic_id: int | None = None, q: str = "",
                   author: int | None = None, s: Settings = DEFAULTS,
-                  after: tuple[float, str, int] | None = None) -> DataFrame:
-    """One page of the feed: narrow rows are ranked and written, then the texts of the page are fetched."""
-    with tables.keeping("comment"):  # predictions and authors
-        shown = stored(page(evidence_feed(tables, window, topic_id, q, author, s).drop("content"),
-                            limit, after), "page")
+                  after: tuple[float, str, int] | None = None,
+                  feed: DataFrame | None = None) -> DataFrame:
+    """One page of the feed: narrow rows are ranked and written, then the texts of the page are fetched.
+
+    ``feed`` is the feed of the same filters from ``stored_feed``; without it the feed is made here.
+    """
+    if feed is None:
+        feed = narrow_feed(tables, window, topic_id, q, author, s)
+    shown = stored(page(feed, limit, after), "page")
     # at most ``limit`` keys
     keys = F.broadcast(shown.select("source", "source_id", "post_id"))
     posts = tables.post.select(F.lit("post").alias("source"), F.col("post_id").alias("source_id"),

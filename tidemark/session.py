@@ -63,7 +63,8 @@ def size_tasks(spark: SparkSession, *paths: str) -> None:
 
     Adaptive execution merges small shuffle partitions and never cuts large ones that an aggregation reads,
     so it has to start from enough of them.  The setting of the session stays the least number; streams,
-    whose state has a fixed number of partitions, do not use it.
+    whose state has a fixed number of partitions, do not use it.  Shuffle files go when the action that
+    wrote them ends, not when the driver happens to collect its garbage; plans share written tables only.
     """
     files = spark.read.format("binaryFile").load(list(paths)).agg({"length": "sum"}).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -71,6 +72,7 @@ def size_tasks(spark: SparkSession, *paths: str) -> None:
                    str(max(least, files // SHUFFLE_BYTES)))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(SPLIT_BYTES))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def spread(df: DataFrame) -> DataFrame:
