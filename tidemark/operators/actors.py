@@ -235,7 +235,8 @@ def _candidates(tables, window: TimeWindow, topic_id: int | None, s: Settings, w
         high_interaction(posts, newest_p95(facts.filter(F.col("as_of").isNotNull()))),
     ]
     if walked:
-        parts.append(walked_topics(tables, window, posts, s))
+        # its shuffles are the largest, so they end before those of the other parts begin
+        parts.append(stored(walked_topics(tables, window, posts, s), "walked"))
     elif topic_id is None:
         parts.append(cross_topic(tables, posts, s))
     footprint = [F.max(c).alias(c) for c in FOOTPRINT] if walked else []

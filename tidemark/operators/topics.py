@@ -101,13 +101,18 @@ def topic_totals(tables, window: TimeWindow, s: Settings = DEFAULTS,
 
     Totals are folded per (topic, notable author) first.  The second fold then counts distinct
     authors by counting rows, without a distinct aggregate.  Both follow one move by topic, in which the
-    authors of a busy topic are dealt to several tasks.
+    authors of a busy topic are dealt to several tasks.  In a plan that keeps
+    written tables on disk the rows per post are written first, so that what they shuffle is not there
+    together with the move by topic.
     """
     kept = links is None and tables.is_kept("post_topic")
     links = (tables.post_topic if links is None else links).select("post_id", "topic_id")
     if not kept:  # the search for hot posts and the join read the links
         links = stored(links, "links")
-    linked = join_unique(links, post_features(tables, window, s), "post_id", "topic_id", how="inner")
+    features = post_features(tables, window, s)
+    if kept:
+        features = stored(features, "features")
+    linked = join_unique(links, features, "post_id", "topic_id", how="inner")
     predicted = F.col("sample_count") > 0
     gain = F.greatest(F.col("latest") - F.col("earliest"), F.lit(0))
     created = F.col("created_in_window") == 1
